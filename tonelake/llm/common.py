@@ -35,16 +35,31 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+_paths: dict[int, str] = {}
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: it cuts the lineage, survives lost
-    executors, and goes when the driver's JVM ends."""
+    executors, and goes when the driver's JVM ends. The shuffle files behind it are let go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tonelake-{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    _filesystem(spark, path)[0].deleteOnExit(_filesystem(spark, path)[1])
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def forget(table: DataFrame) -> None:
+    """Delete a table from ``written`` that no later job reads."""
+    fs, path = _filesystem(table.sparkSession, _paths.pop(id(table)))
+    fs.delete(path, True)
+
+
+def _filesystem(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:

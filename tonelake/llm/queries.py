@@ -11,6 +11,7 @@ from tonelake.llm.bpe import bpe_encode, digests
 from tonelake.llm.chat import formatted, read_back
 from tonelake.llm.common import read
 from tonelake.llm.shards import shard_documents
+from tonelake.llm.substrings import suffix_dedup
 from tonelake.llm.topk import top_k
 
 SHARDS = 24
@@ -32,6 +33,11 @@ def op3_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, F.pmod(vectors["vec_id"], F.lit(50)) == 0, 5)
 
 
+def op5_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup(read(spark, sf_dir, "documents", "doc_id", "text"), 35)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     hard = "<|im_end|><|im_start|>assistant ok"
@@ -44,7 +50,7 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_vector_sharding, op3_maxscore_topk, op7_chat_round_trip, op8_bpe_round_trip)
+    f.__name__: f for f in (op2_vector_sharding, op3_maxscore_topk, op5_suffix_trees, op7_chat_round_trip, op8_bpe_round_trip)
 }
 
 ORACLES: dict[str, str] = {
@@ -59,6 +65,23 @@ ORACLES: dict[str, str] = {
           FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op5_suffix_trees": r"""
+        WITH d AS (
+          SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id,
+            list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        win AS (
+          SELECT r, i, array_to_string(list_slice(w, i, i + 34), ' ') AS s
+          FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+        rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY s) AS n FROM win) WHERE n > 1),
+        gone AS (SELECT DISTINCT r, i + j AS p FROM rep, (SELECT unnest(range(0, 35)) AS j)),
+        lost AS (SELECT r, list(p) AS ps FROM gone GROUP BY r),
+        kept AS (
+          SELECT d.r, string_agg(x.w, ' ' ORDER BY x.p) AS t, count(*) AS n
+          FROM d, LATERAL (SELECT unnest(d.w) AS w, unnest(range(1, len(d.w) + 1)) AS p) AS x
+          LEFT JOIN gone ON gone.r = d.r AND gone.p = x.p WHERE gone.p IS NULL GROUP BY d.r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(lost.ps), 0) AS BIGINT) AS n_removed,
+          sha256(coalesce(kept.t, '')) AS kept_sha256
+        FROM d LEFT JOIN lost USING (r) LEFT JOIN kept USING (r)""",
     "op7_chat_round_trip": r"""
         WITH c AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
