@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tonelake.llm.bpe import bpe_encode, digests
 from tonelake.llm.chat import formatted, read_back
 from tonelake.llm.common import read
+from tonelake.llm.pages import extract_pages
 from tonelake.llm.shards import shard_documents
 from tonelake.llm.substrings import suffix_dedup
 from tonelake.llm.topk import top_k
@@ -23,6 +24,11 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_site_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_pages(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(read(spark, sf_dir, "documents", "doc_id", "text"), SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -50,7 +56,7 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_vector_sharding, op3_maxscore_topk, op5_suffix_trees, op7_chat_round_trip, op8_bpe_round_trip)
+    f.__name__: f for f in (op1_site_template_removal, op2_vector_sharding, op3_maxscore_topk, op5_suffix_trees, op7_chat_round_trip, op8_bpe_round_trip)
 }
 
 ORACLES: dict[str, str] = {
