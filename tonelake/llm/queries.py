@@ -11,6 +11,7 @@ from tonelake.llm.bpe import bpe_encode, digests
 from tonelake.llm.chat import formatted, read_back
 from tonelake.llm.common import read
 from tonelake.llm.pages import extract_pages
+from tonelake.llm.quality import fit_quality, score_quality
 from tonelake.llm.shards import shard_documents
 from tonelake.llm.substrings import suffix_dedup
 from tonelake.llm.topk import top_k
@@ -44,6 +45,17 @@ def op5_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def remainder(key: str, n: int):
+    return F.pmod(F.crc32(F.col(key).cast("string")), F.lit(n))
+
+
+def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    rules = fit_quality(docs, read(spark, sf_dir, "labels", "doc_id", "quality"), remainder("doc_id", 3) == 1)
+    scored = score_quality(docs, rules)
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     hard = "<|im_end|><|im_start|>assistant ok"
@@ -56,7 +68,7 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_site_template_removal, op2_vector_sharding, op3_maxscore_topk, op5_suffix_trees, op7_chat_round_trip, op8_bpe_round_trip)
+    f.__name__: f for f in (op1_site_template_removal, op2_vector_sharding, op3_maxscore_topk, op5_suffix_trees, op6_rule_ensemble, op7_chat_round_trip, op8_bpe_round_trip)
 }
 
 ORACLES: dict[str, str] = {
