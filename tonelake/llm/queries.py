@@ -14,6 +14,7 @@ from tonelake.llm.pages import extract_pages
 from tonelake.llm.quality import fit_quality, score_quality
 from tonelake.llm.shards import shard_documents
 from tonelake.llm.substrings import suffix_dedup
+from tonelake.llm.toxicity import fit_toxicity, score_toxicity
 from tonelake.llm.topk import top_k
 
 SHARDS = 24
@@ -67,8 +68,15 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(bpe_encode(read(spark, sf_dir, "documents", "doc_id", "text"), word_bpe_path()))
 
 
+def op9_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    fitted = fit_toxicity(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"), remainder("doc_id", 4) == 2)
+    scored = score_toxicity(docs, fitted)
+    return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_site_template_removal, op2_vector_sharding, op3_maxscore_topk, op5_suffix_trees, op6_rule_ensemble, op7_chat_round_trip, op8_bpe_round_trip)
+    f.__name__: f for f in (op1_site_template_removal, op2_vector_sharding, op3_maxscore_topk, op5_suffix_trees, op6_rule_ensemble, op7_chat_round_trip, op8_bpe_round_trip, op9_noisy_channel_toxicity)
 }
 
 ORACLES: dict[str, str] = {
