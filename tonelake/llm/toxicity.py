@@ -27,8 +27,9 @@ from tonelake.llm.quality import sampled
 BUCKETS = 1 << 18
 #: At most about so many labelled rows are fitted on, and so many word features kept.
 SAMPLE_ROWS, FEATURES = 20_000, 20_000
-#: Toxic texts that a feature must stand in, and the least log odds it must have for sure.
-MIN_TEXTS, MIN_ODDS = 4, 1.8
+#: Toxic texts that a feature must stand in (a number, and a part of them, as copies of one text share
+#: all their words), and the least log odds it must have for sure.
+MIN_TEXTS, MIN_PART, MIN_ODDS = 4, 0.004, 1.8
 #: Words whose scores one worker keeps before it starts anew.
 CACHE_WORDS = 400_000
 #: Characters of text that a worker counts at once.
@@ -137,7 +138,7 @@ def texts_words(text: str) -> list[str]:
 
 def features(form: str) -> list[str]:
     """The word itself and its beginnings."""
-    return [f"={form}", *[form[:n] for n in range(3, min(8, len(form)) + 1)]] if len(form) >= 3 else []
+    return [f"={form}", *[form[:n] for n in range(4, min(8, len(form)) + 1)]] if len(form) >= 3 else []
 
 
 @dataclass
@@ -229,7 +230,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held: Column, *, key: str =
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     counted = lambda y, wanted: rows.filter(F.col("y") == y).select("t").mapInArrow(tally(wanted), "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
-    often = counted(1, None).filter(F.col("n") >= MIN_TEXTS).orderBy(F.desc("n"), "f").limit(FEATURES * 5).collect()
+    often = counted(1, None).filter(F.col("n") >= max(MIN_TEXTS, math.ceil(MIN_PART * toxic))).orderBy(F.desc("n"), "f").limit(FEATURES * 5).collect()
     against = {r["f"]: r["n"] for r in often}
     speaks_for = {r["f"]: r["n"] for r in counted(0, set(against)).collect()} if against else {}
     odds = {}
