@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one Arrow batch that a Python worker holds; texts are long, so the default of 10,000 is too many.
-ARROW_ROWS = 512
+ARROW_ROWS = 256
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

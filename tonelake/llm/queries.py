@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tonelake.llm.bpe import bpe_encode, digests
 from tonelake.llm.chat import formatted, read_back
 from tonelake.llm.common import read
+from tonelake.llm.contamination import contained_items
 from tonelake.llm.pages import extract_pages
 from tonelake.llm.quality import fit_quality, score_quality
 from tonelake.llm.shards import shard_documents
@@ -41,6 +42,10 @@ def op3_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, F.pmod(vectors["vec_id"], F.lit(50)) == 0, 5)
 
 
+def op4_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op5_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffix_dedup(read(spark, sf_dir, "documents", "doc_id", "text"), 35)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -76,7 +81,7 @@ def op9_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_site_template_removal, op2_vector_sharding, op3_maxscore_topk, op5_suffix_trees, op6_rule_ensemble, op7_chat_round_trip, op8_bpe_round_trip, op9_noisy_channel_toxicity)
+    f.__name__: f for f in (op1_site_template_removal, op2_vector_sharding, op3_maxscore_topk, op4_benchmark_containment, op5_suffix_trees, op6_rule_ensemble, op7_chat_round_trip, op8_bpe_round_trip, op9_noisy_channel_toxicity)
 }
 
 ORACLES: dict[str, str] = {
@@ -91,6 +96,18 @@ ORACLES: dict[str, str] = {
           FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op4_benchmark_containment": r"""
+        WITH t AS (
+          SELECT 'd' AS k, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+        w AS (
+          SELECT k, id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}\p{M}]+'), lambda x: x <> '') AS w FROM t),
+        s AS (
+          SELECT DISTINCT k, id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS s
+          FROM (SELECT k, id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+        n AS (SELECT id, count(*) AS size FROM s WHERE k = 'i' GROUP BY id)
+        SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared, any_value(n.size) AS size, count(*) / any_value(n.size) AS containment
+        FROM s AS i JOIN s AS d ON i.k = 'i' AND d.k = 'd' AND i.s = d.s JOIN n ON n.id = i.id
+        GROUP BY d.id, i.id HAVING count(*) >= 0.8 * any_value(n.size) - 1e-9""",
     "op5_suffix_trees": r"""
         WITH d AS (
           SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id,
