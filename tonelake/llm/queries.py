@@ -11,6 +11,7 @@ from tonelake.llm.bpe import bpe_encode, digests
 from tonelake.llm.chat import formatted, read_back
 from tonelake.llm.common import read
 from tonelake.llm.contamination import contained_items
+from tonelake.llm.neardup import near_duplicates
 from tonelake.llm.pages import extract_pages
 from tonelake.llm.quality import fit_quality, score_quality
 from tonelake.llm.shards import shard_documents
@@ -80,8 +81,12 @@ def op9_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text")).drop("node")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_site_template_removal, op2_vector_sharding, op3_maxscore_topk, op4_benchmark_containment, op5_suffix_trees, op6_rule_ensemble, op7_chat_round_trip, op8_bpe_round_trip, op9_noisy_channel_toxicity)
+    f.__name__: f for f in (op1_site_template_removal, op2_vector_sharding, op3_maxscore_topk, op4_benchmark_containment, op5_suffix_trees, op6_rule_ensemble, op7_chat_round_trip, op8_bpe_round_trip, op9_noisy_channel_toxicity, op10_bagminhash_classes)
 }
 
 ORACLES: dict[str, str] = {
