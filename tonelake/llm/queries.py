@@ -19,7 +19,7 @@ from tonelake.llm.substrings import suffix_dedup
 from tonelake.llm.toxicity import fit_toxicity, score_toxicity
 from tonelake.llm.topk import top_k
 
-SHARDS = 24
+SHARDS, WINDOW = 24, 35
 
 
 def word_bpe_path() -> str:
@@ -48,7 +48,7 @@ def op4_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = suffix_dedup(read(spark, sf_dir, "documents", "doc_id", "text"), 35)
+    kept = suffix_dedup(read(spark, sf_dir, "documents", "doc_id", "text"), WINDOW)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
@@ -82,7 +82,7 @@ def op9_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text")).drop("node")
+    return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text")).drop("node", "class_node")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -285,3 +285,17 @@ def score_toxicity(docs: DataFrame, fitted: Toxic, *, key: str = "doc_id", text:
             )
 
     return docs.select(docs[key], docs[text]).mapInArrow(run, f"`{key}` {kind}, score double, words array<string>")
+
+
+def drop_toxic(docs: DataFrame, fitted: Toxic, threshold: float = 0.3, *, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below ``threshold``."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toxic = shared.value
+        for b in batches:
+            yield b.filter(pa.array([toxic.score(toxic.text(t)[0]) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
