@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from tonelake.plans import packets
 
 FLAGSHIP = "toc_mode_mix"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = dict(packets.QUERIES)
+ORACLES = dict(packets.ORACLES)
