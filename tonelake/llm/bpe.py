@@ -9,8 +9,10 @@ space to one space, lower case, a splitting pattern, byte-level symbols and a ma
 from __future__ import annotations
 
 import json
+import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,32 @@ CACHE_WORDS = 400_000
 FAR = np.iinfo(np.int64).max
 
 
+# Letters and numbers of Unicode 16 that Python's Unicode 15.1 lacks, and lower cases
+# of later versions, as the library's own tables have them. Other libraries' tables may have more.
+LETTERS_16 = [
+    (7305, 7306), (42955, 42957), (42970, 42972), (67008, 67059), (68938, 68965), (68975, 68997), (69314, 69316), (70528, 70537), (70539, 70539), (70542, 70542), (70544, 70581),
+    (70583, 70583), (70609, 70609), (70611, 70611), (72640, 72672), (78944, 82938), (90368, 90397), (93504, 93548), (101631, 101631), (124368, 124397), (124400, 124400),
+]
+NUMBERS_16 = [(68928, 68937), (71376, 71395), (72688, 72697), (90416, 90425), (93552, 93561), (118000, 118009), (124401, 124410)]
+LOWER_17 = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+#: Below this code point all tables agree.
+AGREED = "\u0530"
+
+
+@lru_cache(maxsize=1)
+def stand_ins() -> dict[int, str]:
+    """For each character that the regular expressions' tables class otherwise: one of its true class."""
+    extra = {c: kind for kind, ranges in (("L", LETTERS_16), ("N", NUMBERS_16)) for a, b in ranges for c in range(a, b + 1)}
+    letter, number, out = regex.compile(r"\p{L}").match, regex.compile(r"\p{N}").match, {}
+    for c in range(ord(AGREED), sys.maxunicode + 1):
+        ch = chr(c)
+        kind = extra.get(c) or unicodedata.category(ch)[0]
+        seen = "L" if letter(ch) else "N" if number(ch) else "other"
+        if seen != (kind if kind in "LN" else "other"):
+            out[c] = {"L": "ª", "N": "²"}.get(kind, "\ue000")
+    return out
+
+
 def byte_symbols() -> list[str]:
     """The printable character that byte-level BPE writes for each byte: printable Latin-1 bytes
     stand for themselves, the others follow from code point 256 on."""
@@ -64,6 +92,7 @@ class WordBpe:
         self.safe = soonest[self.made] > self.rank
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(pattern.replace("[\\p{L}]", "\\p{L}").replace("[\\p{N}]", "\\p{N}")).findall
+        self.spans = regex.compile(pattern).finditer
         self.space = regex.compile(r"\s+").sub
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self._forget()
@@ -94,8 +123,15 @@ class WordBpe:
     def plain(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if max(text) >= AGREED:
+                return self.rare(self.space(" ", text).lower().translate(LOWER_17))
         return self.split(self.space(" ", text).lower())
 
+    def rare(self, text: str) -> list[str]:
+        """Split by true classes: stand-ins of the same class are split, and the characters put back."""
+        shown = text.translate(stand_ins())
+        return [text[m.start() : m.end()] for m in self.spans(shown)]
+
     def merge(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge rounds over the flat symbols; ``word`` says which word each belongs to, in order."""
         done: list[tuple[np.ndarray, np.ndarray]] = []
