@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tonelake.plans import packets
+from tonelake.plans import packets, samples
 
 FLAGSHIP = "toc_mode_mix"
-QUERIES = dict(packets.QUERIES)
-ORACLES = dict(packets.ORACLES)
+QUERIES = packets.QUERIES | samples.QUERIES
+ORACLES = packets.ORACLES | samples.ORACLES
