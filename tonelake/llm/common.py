@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one Arrow batch that a Python worker holds; texts are long, so the default of 10,000 is too many.
@@ -35,6 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed now and kept on the executors' disks for the jobs to come. Its lineage stays, so
+    what a lost executor held is computed again. The shuffle files behind it are let go."""
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 _paths: dict[int, str] = {}
 
 

@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.llm.common import forget, slices, small_batches, written
+from tonelake.llm.common import kept, slices, small_batches
 from tonelake.llm.wordhash import Runs, Words, odd, sliding_min, utf8
 
 #: Words of the prefix by which suffixes are grouped.
 PREFIX = 10
 #: Bytes of text whose hashes a worker holds at once.
-SLICE = 1 << 21
+SLICE = 1 << 19
 KEYS = "k1 bigint, k2 int"
 
 
@@ -85,21 +85,22 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def suffix_dedup(docs: DataFrame, length: int = 35, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 35, *, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
     """Columns ``key``, ``n_words``, ``n_removed`` and ``kept`` (the kept words joined by one space) for
-    each row of ``docs``.
+    each row of ``docs``, and behind them the columns that ``carry`` names. With ``whole``, texts that
+    lose nothing are kept as they are.
 
     A null text has no words. Rows that repeat, key or not, are texts of their own, so their common
     windows repeat. Texts of fewer than ``length`` words lose nothing. Other columns take no part; an
     empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    kind = next(f.dataType.simpleString() for f in docs.schema if f.name == key)
+    small_batches(docs.sparkSession)
+    carried = (key, *carry)
+    fields = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carried))
     body = F.coalesce(docs[text], F.lit(""))
     base = docs.select(
         F.coalesce(docs[key].cast("bigint"), F.lit(-(2**63))).alias("k1"), F.hash(body).alias("k2"),
-        docs[key].alias("id"), body.alias("text"),
+        F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(carried)]).alias("id"), body.alias("text"),
     )
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,21 +112,18 @@ def suffix_dedup(docs: DataFrame, length: int = 35, *, key: str = "doc_id", text
                 names=["h", "s", "k1", "k2", "i", "w"],
             )
 
-    suffixes = written(base.select("k1", "k2", "text").mapInArrow(prefixes, f"h bigint, s bigint, {KEYS}, i int, w tinyint"), "suffixes")
-    shared = (
-        suffixes.groupBy("h").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.min("s").alias("low"), F.max("s").alias("high"))
-        .filter("w >= 2").select("h", F.expr("n >= 2 AND low = high").alias("same"))
-    )
-    live = written(suffixes.join(shared, "h"), "live")
-    forget(suffixes)
+    suffixes = base.select("k1", "k2", "text").mapInArrow(prefixes, f"h bigint, s bigint, {KEYS}, i int, w tinyint")
+    shared = suffixes.groupBy("h").agg(F.sum("w").alias("w")).filter("w >= 2").select("h")
+    live = kept(suffixes.join(shared, "h").select("h", "s", "k1", "k2", "i"))
 
-    mixed = live.filter("NOT same")
-    kinds = mixed.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "i")).alias("one"))
-    sorted_out = mixed.join(kinds.select("h", "s", "n"), ["h", "s"])
-    repeated = live.filter("same").select("k1", "k2", "i").unionByName(sorted_out.filter("n >= 2").select("k1", "k2", "i"))
+    kinds = live.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "i")).alias("one"))
+    sorted_out = live.join(kinds.select("h", "s", "n"), ["h", "s"])
+    repeated = sorted_out.filter("n >= 2").select("k1", "k2", "i")
+    # where a prefix branches, one run of each kind stands for all
+    branching = kinds.filter("n >= 2").join(kinds.filter("n = 1").select("h").distinct(), "h", "left_semi")
     asked = (
         sorted_out.filter("n = 1").select("k1", "k2", "i", F.lit(True).alias("own"))
-        .unionByName(kinds.filter("n >= 2").select("one.k1", "one.k2", "one.i", F.lit(False).alias("own")))
+        .unionByName(branching.select("one.k1", "one.k2", "one.i", F.lit(False).alias("own")))
         .groupBy("k1", "k2").agg(F.collect_list(F.struct("i", "own")).alias("asked"))
     )
 
@@ -144,8 +142,9 @@ def suffix_dedup(docs: DataFrame, length: int = 35, *, key: str = "doc_id", text
                 names=["h", "d", "k1", "k2", "i", "own"],
             )
 
-    compared = base.select("k1", "k2", "text").join(asked, ["k1", "k2"]).select("k1", "k2", "text", "asked").mapInArrow(windows, f"h bigint, d bigint, {KEYS}, i int, own boolean")
-    compared = written(compared, "windows")
+    # both joins ask for all columns of the texts, so their shuffle is written once
+    compared = base.join(asked, ["k1", "k2"], "left").filter("asked IS NOT NULL").select("k1", "k2", "text", "asked", "id")
+    compared = compared.mapInArrow(windows, f"h bigint, d bigint, {KEYS}, i int, own boolean")
     deep = compared.groupBy("h", "d").count().filter("count >= 2").select("h", "d")
     single = compared.filter("own").join(deep, ["h", "d"]).select("k1", "k2", "i")
     marks = (
@@ -163,7 +162,7 @@ def suffix_dedup(docs: DataFrame, length: int = 35, *, key: str = "doc_id", text
                 w = Windows([raw[i] for i in at], length)
                 for d, p, e in zip(w.words.doc[w.run_start].tolist(), w.position(w.run_start).tolist(), (w.run_end - w.run_start).tolist(), strict=True):
                     ends[at[d]][p] = e
-            n_words, n_removed, kept = [], [], []
+            n_words, n_removed, left = [], [], []
             for r, m, rs, ss, end in zip(raw, marked, runs, singles, ends, strict=True):
                 words = r.split()
                 gone = 0
@@ -178,8 +177,9 @@ def suffix_dedup(docs: DataFrame, length: int = 35, *, key: str = "doc_id", text
                     gone = len(words) - int(stays.sum())
                     words = [x for x, s in zip(words, stays.tolist(), strict=True) if s]
                 n_removed.append(gone)
-                kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=[key, "n_words", "n_removed", "kept"])
+                left.append((r if whole and not gone else b" ".join(words)).decode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays([*b.column(0).flatten(), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(left, pa.string())], names=[*[f"c{i}" for i in range(len(carried))], "n_words", "n_removed", "kept"])
 
     joined = base.join(marks, ["k1", "k2"], "left").select("id", "text", "runs", "singles")
-    return joined.mapInArrow(remove, f"`{key}` {kind}, n_words bigint, n_removed bigint, kept string")
+    out = joined.mapInArrow(remove, f"{fields}, n_words bigint, n_removed bigint, kept string")
+    return out.select(F.col("c0").alias(key), "n_words", "n_removed", "kept", *[F.col(f"c{i}").alias(c) for i, c in enumerate(carried) if i])

@@ -7,8 +7,6 @@ values of its bytes, and the hash of a run of words is a polynomial over the mix
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 U = np.uint64
@@ -32,20 +30,19 @@ def odd(seed: int) -> int:
     return int(mix(np.array([seed], dtype=np.uint64))[0]) | 1
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        steps = np.full(n, b, dtype=np.uint64)
-        steps[0] = 1
-        out.append(np.multiply.accumulate(steps))
-    return out[0], out[1]
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i below n at least."""
-    return _powers(base, max(12, int(n).bit_length()))
+    """base**i and base**-i for i below n at least; the largest table asked for is kept."""
+    if base not in _tables or len(_tables[base][0]) < n:
+        out = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            steps = np.full(1 << max(12, int(n).bit_length()), b, dtype=np.uint64)
+            steps[0] = 1
+            out.append(np.multiply.accumulate(steps))
+        _tables[base] = out[0], out[1]
+    return _tables[base]
 
 
 class Runs:
