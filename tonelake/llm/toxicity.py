@@ -43,7 +43,7 @@ IMITATES = {
 #: Natural logarithms of the channel: a sign imitates a letter, a sign or repeated letter stands for nothing.
 IMITATED, IGNORED, REPEATED = -1.0, -2.5, -0.5
 EDGE = re.compile(r"^[^\w$@]+|[^\w$@]+$|^_+|_+$")
-RUN = re.compile(r"(.)\1\1")
+RUN = re.compile(r"(.)\1\1+")
 SINGLES = re.compile("1{3,}")
 
 
@@ -86,13 +86,15 @@ class CharModel:
     def restore(self, word: str) -> str:
         """The likeliest letters behind a disguised word, by Viterbi over its lattice."""
         states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-        before = ""
-        for ch in word:
+        # of three or more equal letters each but the first may be drawn out
+        drawn = [False] * len(word)
+        for m in RUN.finditer(word):
+            drawn[m.start() + 1 : m.end()] = [True] * (m.end() - m.start() - 1)
+        for i, ch in enumerate(word):
             # code 1 marks pairs in the tables, so control characters are never letters here
             options = [(ch, 0.0)] if ch.isalpha() else [(x, IMITATED) for x in IMITATES.get(ch, "")] + [("", IGNORED)]
-            if ch == before:
+            if drawn[i]:
                 options.append(("", REPEATED))
-            before = ch
             new: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (score, path) in states.items():
                 for out, cost in options:
@@ -256,14 +258,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held: Column, *, key: str =
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
-    """Ridge logistic regression by Newton's method; without rows, a low constant score."""
-    w = np.zeros(x.shape[1])
-    w[0] = -2.0
+    """Ridge logistic regression by Newton's method, drawn to a low constant score where there are few rows."""
+    prior = np.zeros(x.shape[1])
+    prior[0] = -2.0
+    w = prior
     if len(y):
         for _ in range(40):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(x.shape[1])
-            w = w - np.clip(np.linalg.solve(h, x.T @ (p - y) + ridge * w), -4, 4)
+            w = w - np.clip(np.linalg.solve(h, x.T @ (p - y) + ridge * (w - prior)), -4, 4)
     return tuple(float(v) for v in w)
 
 
