@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.llm.common import small_batches, written
+from tonelake.llm.common import kept, small_batches
 
 #: A subtree is template if it stands in MIN_PAGES of its host, and in MIN_SHARE of them or ENOUGH_PAGES.
 MIN_PAGES, MIN_SHARE, ENOUGH_PAGES = 3, 0.05, 20
@@ -222,7 +222,7 @@ def extract_pages(pages: DataFrame, *, key: str = "page_id", url: str = "url", h
             )
 
     shape = f"k {types[key]}, u {types[url]}, host string, blocks array<struct<text: string, around: array<bigint>>>, subtrees array<bigint>"
-    parsed = written(rows.mapInArrow(run, shape).withColumn("row", F.monotonically_increasing_id()), "pages")
+    parsed = kept(rows.mapInArrow(run, shape).withColumn("row", F.monotonically_increasing_id()))
 
     sizes = parsed.groupBy("host").agg(F.count("*").alias("pages"))
     counts = parsed.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_PAGES)

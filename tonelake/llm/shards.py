@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonelake.llm.common import written
+from tonelake.llm.common import kept
 
 #: Groups that a cell aims at, and the most cells, which bounds what reaches the driver.
 CELL_GROUPS, MAX_CELLS = 1024, 16_384
@@ -87,7 +87,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, *, key: str = "doc_id", t
         return pdf
 
     binned = units.groupBy("cell").applyInPandas(fill, "g long, chunk int, n long, size long, tokens long, cell int, bin long")
-    binned = written(binned, "bins")
+    binned = kept(binned)
     bins = binned.groupBy("cell", "bin").agg(F.sum("n").alias("n"), *sums).orderBy("cell", "bin").toPandas()
     if len(bins):
         bins["shard"] = pack(bins[["size", "tokens", "n"]].to_numpy(), shards)
@@ -104,7 +104,7 @@ def slots(placed: DataFrame, lanes: int) -> DataFrame:
     counts (at most lanes times shards) say where each begins."""
     spark = placed.sparkSession
     # one table serves both the counts and the numbering, so they cannot disagree after a retry
-    placed = written(placed.withColumn("lane", F.pmod(F.xxhash64("k", F.lit(3)), F.lit(max(lanes, 16))).cast("int")), "shards")
+    placed = kept(placed.withColumn("lane", F.pmod(F.xxhash64("k", F.lit(3)), F.lit(max(lanes, 16))).cast("int")))
     counts = placed.groupBy("shard", "lane").count().orderBy("shard", "lane").collect()
     begun: dict[int, int] = {}
     starts = []

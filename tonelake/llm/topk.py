@@ -76,7 +76,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, *, key: str = "vec_i
     ``is_query`` picks the queries. Vectors that are null or hold null or non-finite components, and
     rows without a key, take no part. Rows that repeat a key and vector count once; of one key's
     different vectors all are candidates and queries, and none meets another of its own key. Vectors
-    of different lengths are filled up with zeros. Scores beyond a long's range are held to it.
+    of different lengths are filled up with zeros. Components and scores beyond a
+    long's range are held to it.
     """
     rows = (
         vectors.select(vectors[key].cast("long").alias("id"), quantised(vectors[vector]).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
