@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tonelake.plans import packets, samples
+from tonelake.plans import kernels, packets, samples
 
 FLAGSHIP = "toc_mode_mix"
-QUERIES = packets.QUERIES | samples.QUERIES
+QUERIES = packets.QUERIES | samples.QUERIES | kernels.QUERIES
 ORACLES = packets.ORACLES | samples.ORACLES
