@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonelake.functions.kernels import page_crc
+from tonelake.shipping import ship
 
 CONTINUED, FIRST, LAST = 1, 2, 4
 PAGE = "path string, page_off bigint, end_off bigint, version int, continued boolean, bos boolean, eos boolean, granule bigint, serial bigint, seq bigint, lacing array<int>, body binary, crc_ok boolean, skipped bigint"
@@ -157,6 +158,7 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 def _scan(contents: DataFrame, schema: str, rows) -> DataFrame:
     """``rows(path, content)`` for each file, in batches of a bounded number of rows."""
+    ship(contents.sparkSession)
     names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,6 +198,7 @@ def read_packets(contents: DataFrame) -> DataFrame:
 
 def write_streams(packets: DataFrame, *, stream: str = "stream_id", order: str = "packet_no", granule: str = "granule", payload: str = "payload") -> DataFrame:
     """One row (stream, content) with each stream's pages; streams are packed in parallel."""
+    ship(packets.sparkSession)
     rows = packets.select(F.col(stream).cast("bigint").alias("s"), F.col(order).alias("o"), F.col(granule).cast("bigint").alias("g"), F.col(payload).alias("p"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:

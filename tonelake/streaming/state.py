@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tonelake.shipping import ship
+
 
 class Operator(Protocol):
     #: Name and Spark type of the value that a frame gives.
@@ -201,6 +203,7 @@ def _schema(frames: DataFrame, operator: Operator, stream: str, order: str) -> s
 
 def apply(frames: DataFrame, operator: Operator, *, stream: str = "stream_id", order: str = "frame_no", samples: str = "samples") -> DataFrame:
     """(stream, order, value) for each frame of a batch; each stream is one group, in order. A null frame is empty."""
+    ship(frames.sparkSession)
     rows = frames.select(stream, order, frames[samples].alias("samples"))
     return rows.groupBy(stream).applyInPandas(lambda pdf: _run(operator, operator.start(), pdf, stream, order)[1], _schema(rows, operator, stream, order))
 
@@ -208,6 +211,7 @@ def apply(frames: DataFrame, operator: Operator, *, stream: str = "stream_id", o
 def stream(frames: DataFrame, operator: Operator, *, stream: str = "stream_id", order: str = "frame_no", samples: str = "samples") -> DataFrame:
     """The same in a streaming query (append mode): state is carried between micro-batches. Frames must
     arrive in order between micro-batches; within one they are sorted."""
+    ship(frames.sparkSession)
     rows = frames.select(stream, order, frames[samples].alias("samples"))
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
