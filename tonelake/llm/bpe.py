@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonelake.llm.common import small_batches
+
 #: Words that one worker's cache holds before it starts anew.
 CACHE_WORDS = 400_000
 FAR = np.iinfo(np.int64).max
@@ -229,6 +231,7 @@ def bpe_encode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "
     Null and empty texts give no ids and an empty decoded text; equal rows give equal rows; other
     columns, whatever their names, take no part. ``path`` must be readable where the workers run.
     """
+    small_batches(docs.sparkSession)
     kind = next(f.dataType.simpleString() for f in docs.schema if f.name == key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

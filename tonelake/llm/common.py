@@ -9,6 +9,8 @@ from collections.abc import Iterator
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from tonelake.shipping import ship
+
 #: Rows of one Arrow batch that a Python worker holds; texts are long, so the default of 10,000 is too many.
 ARROW_ROWS = 256
 
@@ -21,6 +23,8 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Readies a session for operators in Python: small Arrow batches, and this package on the workers."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
