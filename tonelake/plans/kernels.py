@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.functions import kernels
+from tonelake.functions import kernels, signal
 from tonelake.plans import views
 from tonelake.sources import containers
 from tonelake.streaming import state
@@ -102,3 +103,44 @@ def stereo_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The width of frames taken as interleaved stereo."""
     out = state.apply(_frames(spark, sf_dir), state.StereoWidth())
     return out.select("stream_id", "frame_no", F.round("width", 6).alias("width"))
+
+
+@query
+def resample_48k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames at 44.1 kHz taken to 48 kHz, stream by stream."""
+    out = state.apply(_frames(spark, sf_dir), state.Resample(44100, 48000))
+    return out.select("stream_id", "frame_no", F.size("samples").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 6).alias("sum"))
+
+
+@query
+def high_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames through a second-order high-pass."""
+    out = state.apply(_frames(spark, sf_dir), state.HighPass())
+    return out.select("stream_id", "frame_no", F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * x), 6).alias("energy"))
+
+
+@query
+def lpc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction coefficients of order 8."""
+    fit = signal.array_udf(lambda x: signal.levinson(signal.autocorrelation(x, 8), 8))
+    return views.pcm(spark, sf_dir).select("frame_id", F.transform(fit(F.col("samples").cast("array<double>")), lambda x: F.round(x, 6)).alias("a"))
+
+
+@query
+def mdct_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Energy of the MDCT of windowed frames, by quarter of the spectrum."""
+    spectrum = signal.array_udf(lambda x: signal.mdct(x * np.r_[w := signal.power_window(len(x) // 2), w[::-1]]))
+    a = views.pcm(spark, sf_dir).select("frame_id", spectrum(F.col("samples").cast("array<double>")).alias("c"))
+    part = lambda i: F.aggregate(F.slice("c", F.lit(8 * i + 1), F.lit(8)), F.lit(0.0), lambda s, x: s + x * x)
+    return a.select("frame_id", F.posexplode(F.array(*[F.round(part(i), 6) for i in range(4)])).alias("quarter", "energy"))
+
+
+@query
+def gain_quantise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coded gain steps of four parts a frame, gains drawn from event numbers."""
+
+    def steps(x):
+        return signal.GainSteps.quantise([int(v) for v in x], 10, False)[0]
+
+    gains = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(F.col("event_id") * 7919 + i * 104729, F.lit(20_000_000)) + 1).cast("double"))
+    return views.table(spark, sf_dir, "events").select("event_id", signal.array_udf(steps)(gains).cast("array<int>").alias("steps"))

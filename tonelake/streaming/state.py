@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tonelake.functions.signal import biquad
 from tonelake.shipping import ship
 
 
@@ -222,3 +223,61 @@ def stream(frames: DataFrame, operator: Operator, *, stream: str = "stream_id",
         yield out
 
     return rows.groupBy(stream).applyInPandasWithState(step, _schema(rows, operator, stream, order), "state array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+class Resample:
+    """Rational resampling by a windowed sinc, a piece of signal at a time; the state holds the tail of
+    the input that later outputs still need."""
+
+    output = "samples array<double>"
+
+    def __init__(self, rate_in: int, rate_out: int, taps: int = 32, beta: float = 8.0):
+        common = int(np.gcd(rate_in, rate_out))
+        self.up, self.down = rate_out // common, rate_in // common
+        self.cut = min(1.0, self.up / self.down) * 0.97
+        self.half, self.beta = int(np.ceil(taps / 2 / min(1.0, self.up / self.down))), beta
+
+    def start(self) -> list[float]:
+        # the next output's number, the input's number that the tail begins at, and the tail
+        return [0.0, -float(self.half), *[0.0] * self.half]
+
+    def step(self, state: list[float], frame: np.ndarray) -> tuple[list[float], list[float]]:
+        number, begin = int(state[0]), int(state[1])
+        x = np.r_[state[2:], np.asarray(frame, dtype=float)]
+        have = begin + len(x)
+        count = max(0, -((have - self.half) * self.up // -self.down) - number)
+        n = number + np.arange(count)
+        whole, part = np.divmod(n * self.down, self.up)
+        keep = whole + self.half < have
+        whole, part, n = whole[keep], part[keep], n[keep]
+        offsets = np.arange(-self.half + 1, self.half + 1)
+        at = offsets[None, :] - (part / self.up)[:, None]
+        kernel = self.cut * np.sinc(self.cut * at) * np.i0(self.beta * np.sqrt(np.maximum(0, 1 - (at / self.half) ** 2))) / np.i0(self.beta)
+        y = (kernel * x[(whole - begin)[:, None] + offsets[None, :]]).sum(axis=1) if len(n) else np.zeros(0)
+        number += len(n)
+        first = number * self.down // self.up - self.half + 1
+        drop = max(0, min(first - begin, len(x)))
+        return [float(number), float(begin + drop), *x[drop:].tolist()], y.tolist()
+
+
+class HighPass:
+    """Second-order high-pass at a cutoff, for each channel."""
+
+    output = "samples array<double>"
+
+    def __init__(self, channels: int = 1, cutoff: float = 60.0, rate: int = 48000):
+        w = 2 * np.pi * cutoff / rate
+        q = np.sin(w) / np.sqrt(2)
+        self.channels, scale = channels, 1 + q
+        self.b = tuple(v / scale for v in ((1 + np.cos(w)) / 2, -(1 + np.cos(w)), (1 + np.cos(w)) / 2))
+        self.a = (-2 * np.cos(w) / scale, (1 - q) / scale)
+
+    def start(self) -> list[float]:
+        return [0.0, 0.0] * self.channels
+
+    def step(self, state: list[float], frame: np.ndarray) -> tuple[list[float], list[float]]:
+        y, out = np.asarray(frame, dtype=float).copy(), []
+        for c in range(self.channels):
+            y[c :: self.channels], memory = biquad(y[c :: self.channels], self.b, self.a, (state[2 * c], state[2 * c + 1]))
+            out += memory
+        return out, y.tolist()
