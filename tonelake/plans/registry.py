@@ -6,4 +6,4 @@ from tonelake.plans import kernels, packets, samples
 
 FLAGSHIP = "toc_mode_mix"
 QUERIES = packets.QUERIES | samples.QUERIES | kernels.QUERIES
-ORACLES = packets.ORACLES | samples.ORACLES
+ORACLES = packets.ORACLES | samples.ORACLES | kernels.ORACLES
