@@ -130,6 +130,22 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(lost.ps), 0) AS BIGINT) AS n_removed,
           sha256(coalesce(kept.t, '')) AS kept_sha256
         FROM d LEFT JOIN lost USING (r) LEFT JOIN kept USING (r)""",
+    "op10_bagminhash_classes": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        n AS (SELECT t, row_number() OVER (ORDER BY min(doc_id)) AS n, min(doc_id) AS first, count(*) AS copies FROM d GROUP BY t),
+        w AS (
+          SELECT n, list_filter(regexp_split_to_array(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM n),
+        s AS (
+          SELECT n, s, count(*) AS c
+          FROM (SELECT n, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (SELECT n, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)) GROUP BY n, s),
+        z AS (SELECT n, sum(c) AS z FROM s GROUP BY n),
+        o AS (SELECT a.n AS a, b.n AS b, sum(least(a.c, b.c)) AS o FROM s AS a JOIN s AS b ON a.s = b.s AND a.n <> b.n GROUP BY a.n, b.n),
+        e AS (SELECT a, b FROM o JOIN z AS x ON x.n = a JOIN z AS y ON y.n = b WHERE o >= 0.8 * (x.z + y.z - o) - 1e-9),
+        r AS (SELECT n, n AS m FROM n UNION SELECT r.n, e.b FROM r JOIN e ON e.a = r.m),
+        c AS (SELECT n, min(m) AS c FROM r GROUP BY n),
+        k AS (SELECT c, min(first) AS class_id, CAST(sum(copies) AS BIGINT) AS class_size FROM c JOIN n USING (n) GROUP BY c)
+        SELECT doc_id, class_id, class_size, (SELECT count(*) FROM e WHERE e.a = n.n) AS n_links
+        FROM d JOIN n USING (t) JOIN c USING (n) JOIN k USING (c)""",
     "op7_chat_round_trip": r"""
         WITH c AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
