@@ -53,7 +53,8 @@ def op5_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def remainder(key: str, n: int):
-    return F.pmod(F.crc32(F.col(key).cast("string")), F.lit(n))
+    """crc32 of the key as text modulo ``n``; without a key -1, so the row is never held out."""
+    return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(n)), F.lit(-1))
 
 
 def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
