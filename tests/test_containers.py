@@ -64,3 +64,25 @@ def test_corpora_and_raw_samples(spark, tmp_path):
     samples = [0, 1, -1, 32767, -32768, 256, -257]
     df = spark.createDataFrame([("p", bytearray(b"".join(x.to_bytes(2, "little", signed=True) for x in samples)))], "path string, content binary")
     assert [r.samples for r in C.read_raw_pcm(df, 1, 3).orderBy("frame_no").collect()] == [samples[:3], samples[3:6]]
+
+
+def test_pieces_give_the_same_pages():
+    for seed in range(12):
+        r = random.Random(seed)
+        data = bytearray(b"OggSjunk" + stream(7, 15, seed)[1] + b"x" * 40 + stream(8, 5, seed)[1] + b"OggS\0")
+        for _ in range(seed % 4):
+            data[r.randrange(len(data))] ^= 255
+        data = bytes(data)
+        sync, got, at = C.PageSync(), [], 0
+        while at < len(data):
+            n = r.choice([1, 3, 20, 500, 9000])
+            got += sync.feed(data[at : at + n], at + n >= len(data))
+            at += n
+        assert got == list(C.scan_pages(data))
+
+
+def test_probe():
+    from tonelake.functions.kernels import write_head
+
+    data = C.pack_stream(3, [(write_head(2, 312, 48000), 0), (b"tags", 0), (b"x", 960)])
+    assert C.probe(data)["pre_skip"] == 312 and C.probe(data[:40]) is None and C.probe(b"") is None

@@ -142,3 +142,19 @@ def test_length_fields(spark):
     sizes = spark.range(1276).select(F.col("id").cast("int").alias("n"))
     w = sizes.select("n", F.unhex(toc.write_length(F.col("n"))).alias("b")).select("n", toc.length_field(F.col("b"), 0).alias("f"), F.octet_length("b").alias("l"))
     assert w.filter("f.size <> n OR f.bytes <> l").count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.binary(max_size=300), min_size=2, max_size=2), min_size=1, max_size=4), st.integers(0, 2500))
+def test_multistream_round_trip(streams, pad_to):
+    packets = [K.build_packet(0x08 | i % 2 * 4, frames) for i, frames in enumerate(streams)]
+    data = K.join_streams(packets, pad_to)
+    assert len(data) >= pad_to
+    assert [p.frames for p in K.split_streams(data, len(streams))] == streams
+    assert K.unpad_streams(data, len(streams)) == K.join_streams(packets)
+
+
+def test_multistream_needs_equal_durations():
+    data = K.join_streams([K.build_packet(0x08, [b"a"]), K.build_packet(0x08, [b"b", b"c"])])
+    with pytest.raises(K.BadBytes):
+        K.split_streams(data, 2)

@@ -150,6 +150,38 @@ def merge_packets(packets: list[bytes]) -> bytes:
     return build_packet(parsed[0].toc, [f for p in parsed for f in p.frames])
 
 
+def split_streams(data: bytes, streams: int) -> list[Packet]:
+    """The packets of a multistream packet: all but the last are self-delimited, and all last equally long."""
+    out, at = [], 0
+    for i in range(streams):
+        p = parse_packet(data[at:], i < streams - 1)
+        out.append(p)
+        at += p.used
+    if not out or len({len(p.frames) * frame_samples(p.toc) for p in out}) > 1:
+        raise BadBytes(INVALID)
+    return out
+
+
+def join_streams(packets: list[bytes], pad_to: int = 0) -> bytes:
+    """A multistream packet of plain packets; padding goes to the last one."""
+    out = b""
+    for i, data in enumerate(packets):
+        p = parse_packet(data)
+        if i == len(packets) - 1:
+            return out + build_packet(p.toc, p.frames, pad_to - len(out))
+        plain = build_packet(p.toc, p.frames)
+        last = len(p.frames[-1])
+        coded = bytes([last]) if last < 252 else bytes([252 + (last & 3), (last - 252 - (last & 3)) // 4])
+        # the last frame's length stands before the frames
+        body = sum(map(len, p.frames))
+        out += plain[: len(plain) - body] + coded + plain[len(plain) - body :]
+    return out
+
+
+def unpad_streams(data: bytes, streams: int) -> bytes:
+    return join_streams([build_packet(p.toc, p.frames) for p in split_streams(data, streams)])
+
+
 @dataclass
 class Extension:
     id: int

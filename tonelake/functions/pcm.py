@@ -174,3 +174,36 @@ def smooth_fade(a: Column, b: Column, window: list[float]) -> Column:
     """Crossfade of two arrays by squared window weights."""
     w = F.transform(F.array(*map(F.lit, window)), lambda x: x * x)
     return F.transform(F.arrays_zip(doubles(a).alias("a"), doubles(b).alias("b"), w.alias("w")), lambda z: z["w"] * z["b"] + (F.lit(1.0) - z["w"]) * z["a"])
+
+
+def apply_gain(samples: Column, q8_db: Column) -> Column:
+    """Samples times a gain in 1/256 dB; a gain of 0 leaves them as they are."""
+    return F.transform(doubles(samples), lambda x: x * F.pow(F.lit(10.0), q8_db / F.lit(5120.0)))
+
+
+def stereo_fade(samples: Column, g1: float, g2: float, window: list[float]) -> Column:
+    """Interleaved stereo of which the side is scaled by a gain that fades from ``g1`` to ``g2`` by squared
+    window weights, and is ``g2`` behind the window; 1 keeps the width, 0 gives mono."""
+    s = doubles(samples)
+    w = F.array(*[F.lit(x * x) for x in window])
+
+    def at(x: Column, i: Column) -> Column:
+        k = F.floor(i / 2).cast("int")
+        weight = F.coalesce(F.get(w, k), F.lit(1.0))
+        other = F.get(s, F.when(i % 2 == 0, i + 1).otherwise(i - 1))
+        return x - (F.lit(1.0) - (weight * g2 + (F.lit(1.0) - weight) * g1)) * (x - other) * 0.5
+
+    return F.transform(s, at)
+
+
+def is_silent_i16(samples: Column, depth: int) -> Column:
+    """Digital silence of 16-bit samples: no magnitude beyond 2**(15 - depth), none at all from depth 15 on."""
+    return F.coalesce(F.array_max(F.transform(samples, lambda x: F.abs(x.cast("int")))), F.lit(0)) <= F.lit(0 if depth >= 15 else 1 << (15 - depth))
+
+
+def trim(samples: Column, start: Column, first: Column, end: Column) -> Column:
+    """What a frame that begins at sample ``start`` gives of the positions from ``first`` up to ``end``: the
+    declared start and length of a stream cut its first and last frames."""
+    skip = F.greatest(first - start, F.lit(0)).cast("int")
+    stop = F.least(end - start, F.size(samples).cast("bigint")).cast("int")
+    return F.slice(samples, skip + 1, F.greatest(stop - skip, F.lit(0)))

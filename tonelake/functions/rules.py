@@ -132,3 +132,8 @@ def target_snr_nb(rate: Column, half: Column) -> Column:
 def gain_linear(q8_db: Column) -> Column:
     """A gain in 1/256 dB as a factor."""
     return F.pow(F.lit(10.0), q8_db / F.lit(5120.0))
+
+
+def rate_factor(rate: Column) -> Column:
+    """How many times 48 kHz holds the rate; 0 for rates that the codec does not know."""
+    return F.when(rate.isin(48000, 24000, 16000, 12000, 8000), div(F.lit(48000), rate)).otherwise(0).cast("int")

@@ -78,3 +78,40 @@ def runs(rows: DataFrame, *, stream: str, order: tuple[str, ...], flag: str) ->
     numbered = rows.withColumn("pos", F.row_number().over(w)).withColumn("changed", changed)
     numbered = numbered.withColumn("run", F.sum("changed").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(stream, "run", flag).agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("rows"))
+
+
+def link_totals(packets: DataFrame, *, stream: str = "stream_id", payload: str = "payload", samples: str = "samples") -> DataFrame:
+    """Packets, bytes and samples of each link."""
+    return packets.groupBy(stream).agg(F.count("*").alias("packets"), F.sum(F.octet_length(payload)).cast("bigint").alias("bytes"), F.sum(samples).cast("bigint").alias("samples"))
+
+
+def instant_bitrates(packets: DataFrame, every: int, *, stream: str = "stream_id", order: str = "packet_no", payload: str = "payload", samples: str = "samples") -> DataFrame:
+    """Bitrate of every ``every`` packets of a stream: what asking after each of them would give."""
+    part = F.floor((F.col(order) - 1) / every).alias("part")
+    sums = packets.groupBy(stream, part).agg(F.sum(F.octet_length(payload)).cast("bigint").alias("bytes"), F.sum(samples).cast("bigint").alias("samples"))
+    return sums.withColumn("bitrate", bitrate(F.col("bytes"), F.col("samples")))
+
+
+def links_of_positions(links: DataFrame, positions: DataFrame, *, at: str, start: str = "start", link: str = "link") -> DataFrame:
+    """``positions`` with the link that each lies in: the last that starts at or before it, by one sorted pass
+    over ranges of positions instead of a range join.
+
+    Positions and links are cut into the same ranges; each range learns the last link before it.
+    """
+    width = F.greatest(F.ceil((F.max(start) + 1) / 256), F.lit(1)).cast("bigint")
+    step = links.agg(width.alias("w")).first()["w"]
+    cell = lambda c: F.floor(F.col(c) / F.lit(step)).cast("bigint")
+    marks = links.select(F.col(start).alias("p"), F.col(link).alias("l"), cell(start).alias("cell"))
+    # the last link of each range, carried forward: at most 257 rows
+    ends = marks.groupBy("cell").agg(F.max_by("l", "p").alias("l")).collect()
+    carried, last = [], None
+    for c in range(0, max([e["cell"] for e in ends], default=0) + 1):
+        carried.append((c, last))
+        last = next((e["l"] for e in ends if e["cell"] == c), last)
+    top = len(carried)
+    seed = links.sparkSession.createDataFrame([*carried, (top, last)], f"cell bigint, l {links.schema[link].dataType.simpleString()}")
+    asked = positions.select(F.col(at).alias("p"), F.least(cell(at), F.lit(top)).alias("cell")).withColumn("asked", F.lit(1))
+    rows = asked.withColumn("l", F.lit(None).cast(links.schema[link].dataType)).unionByName(marks.withColumn("asked", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy("cell").orderBy("p", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("found", F.last("l", ignorenulls=True).over(w)).filter("asked = 1")
+    return found.join(F.broadcast(seed), "cell").select(F.col("p").alias(at), F.coalesce("found", seed["l"]).alias(link))

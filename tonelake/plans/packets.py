@@ -313,3 +313,37 @@ def surround_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = g.withColumn("l", layouts.surround_layout(F.col("channels")))
     rates = layouts.surround_rates(F.col("rate"), F.col("l.streams"), F.col("l.coupled"), (F.col("channels") >= 6).cast("int"), F.col("frame_rate"))
     return g.select("channels", "rate", "frame_rate", F.posexplode(rates).alias("stream", "stream_rate"))
+
+
+@query(f"""WITH {PACKETS}, x AS (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY ts, event_id) AS no, ({COUNT}) * ({SPF}) AS n FROM b, (SELECT 48000 AS fs)),
+s AS (SELECT stream_id, (no - 1) // 10 AS part, count(*) * 16 AS bytes, CAST(coalesce(sum(n) FILTER (n * 25 <= 144000), 0) AS BIGINT) AS samples FROM x GROUP BY ALL)
+SELECT stream_id, part, bytes, samples, CASE WHEN samples = 0 THEN 2147483647 ELSE least((bytes * 384000 + samples // 2) // samples, 2147483647) END AS bitrate FROM s""")
+def bitrate_instant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bitrate of every ten packets."""
+    p = views.packets(spark, sf_dir, numbered=True).withColumn("samples", F.coalesce(toc.total_samples(F.col("payload"))["value"], F.lit(0)))
+    return streams.instant_bitrates(p, 10)
+
+
+@query(f"""WITH {PACKETS}, x AS (SELECT stream_id, ({COUNT}) * ({SPF}) AS n FROM b, (SELECT 48000 AS fs))
+SELECT stream_id, count(*) AS packets, count(*) * 16 AS bytes, CAST(coalesce(sum(n) FILTER (n * 25 <= 144000), 0) AS BIGINT) AS samples FROM x GROUP BY 1""")
+def link_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets, bytes and samples of each stream."""
+    p = views.packets(spark, sf_dir).withColumn("samples", F.coalesce(toc.total_samples(F.col("payload"))["value"], F.lit(0)))
+    return streams.link_totals(p)
+
+
+@query("""WITH l AS (SELECT l_orderkey AS link, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS n FROM lineitem GROUP BY 1),
+i AS (SELECT link, CAST(sum(n) OVER (ORDER BY link) - n AS BIGINT) AS start FROM l)
+SELECT q.at, i.link FROM (SELECT DISTINCT event_id * 131 AS at FROM events) AS q ASOF LEFT JOIN i ON i.start <= q.at""")
+def link_of_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The link of a chain in which each position lies."""
+    links = streams.link_intervals(views.pages(spark, sf_dir)).withColumnRenamed("serial", "link")
+    at = views.table(spark, sf_dir, "events").select((F.col("event_id") * 131).alias("at")).distinct()
+    return streams.links_of_positions(links, at, at="at")
+
+
+@query("SELECT CAST(r AS INTEGER) AS rate, CAST(CASE WHEN r IN (48000, 24000, 16000, 12000, 8000) THEN 48000 // r ELSE 0 END AS INTEGER) AS factor FROM range(0, 50000, 1000) AS t(r)")
+def rate_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decimation factors of rates."""
+    r = spark.range(0, 50000, 1000).select(F.col("id").cast("int").alias("rate"))
+    return r.withColumn("factor", rules.rate_factor(F.col("rate")))

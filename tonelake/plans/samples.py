@@ -210,3 +210,35 @@ def dtx_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = views.signal(spark, sf_dir).withColumn("idle", F.col("value") < 20)
     r = streams.runs(s, stream="stream_id", order=("ts", "event_id"), flag="idle")
     return r.select("stream_id", F.col("run").cast("bigint").alias("run"), "idle", F.col("first").cast("bigint").alias("first"), F.col("last").cast("bigint").alias("last"), "rows")
+
+
+@query(real_sql("list_transform(s, lambda x: x * pow(10, (frame_id % 2000 - 1000) / 5120.0))"))
+def pcm_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames times gains in 1/256 dB."""
+    a = views.pcm(spark, sf_dir).select("frame_id", pcm.apply_gain(F.col("samples"), F.pmod("frame_id", F.lit(2000)) - 1000).alias("a"))
+    return a.select("frame_id", *real(F.col("a")))
+
+
+FADE = [round((i + 0.5) / 16, 6) for i in range(16)]
+
+
+@query(real_sql("list_transform(s, lambda x, i: x - (1 - (coalesce(w[(i + 1) // 2] * w[(i + 1) // 2], 1) * 0.25 + (1 - coalesce(w[(i + 1) // 2] * w[(i + 1) // 2], 1)) * 0.875)) * (x - s[CASE WHEN i % 2 = 1 THEN i + 1 ELSE i - 1 END]) * 0.5)").replace("FROM s)", f"FROM s, (SELECT {FADE} AS w))"))
+def pcm_stereo_fade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The width of stereo frames faded from 7/8 to 1/4."""
+    return frames(spark, sf_dir, lambda s: pcm.stereo_fade(s, 0.875, 0.25, FADE), real)
+
+
+@query(f"""WITH {S}, q AS (SELECT frame_id, list_transform(s, lambda x: CAST(round_even(greatest(least(x * 32768, 32767), -32768), 0) AS INTEGER)) AS q FROM s), d AS (SELECT unnest([1, 8, 14, 15]) AS depth)
+SELECT frame_id, depth, list_max(list_transform(q, lambda x: abs(x))) <= CASE WHEN depth >= 15 THEN 0 ELSE 1 << (15 - depth) END AS silent FROM q, d""")
+def pcm_silence_i16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digital silence of 16-bit frames at four depths."""
+    q = views.pcm(spark, sf_dir).select("frame_id", pcm.to_i16_even(F.col("samples")).alias("q"))
+    return q.select("frame_id", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), pcm.is_silent_i16(F.col("q"), d).alias("silent")) for d in (1, 8, 14, 15)])).alias("x")).select("frame_id", "x.*")
+
+
+@query(real_sql("list_slice(s, greatest(312 - frame_id * 64, 0) + 1, greatest(least(30001 - frame_id * 64, 64), 0))").replace("CAST(len(a) AS INTEGER) AS n, round(list_sum(a), 6)", "CAST(len(a) AS INTEGER) AS n, round(coalesce(list_sum(a), 0), 6)").replace("round(list_sum(list_transform", "round(coalesce(list_sum(list_transform").replace("lambda x, i: x * i)), 6)", "lambda x, i: x * i)), 0), 6)"))
+def pcm_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of one stream without the first 312 samples and those from 30,001 on."""
+    start = F.col("frame_id") * 64
+    a = views.pcm(spark, sf_dir).select("frame_id", pcm.trim(pcm.doubles(F.col("samples")), start, F.lit(312).cast("bigint"), F.lit(30001).cast("bigint")).alias("a"))
+    return a.select("frame_id", *real(F.col("a")))

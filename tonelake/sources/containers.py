@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.functions.kernels import page_crc
+from tonelake.functions.kernels import page_crc, parse_head
 from tonelake.shipping import ship
 
 CONTINUED, FIRST, LAST = 1, 2, 4
@@ -248,3 +248,45 @@ def read_raw_pcm(contents: DataFrame, channels: int, frame: int) -> DataFrame:
         return x - F.when(x >= 32768, 65536).otherwise(0)
 
     return frames.select("path", "frame_no", F.transform(F.sequence(F.lit(0), F.lit(channels * frame - 1)), sample).alias("samples"))
+
+
+class PageSync:
+    """Pages from bytes that arrive in pieces; a page is given once it is whole, damage is skipped."""
+
+    def __init__(self) -> None:
+        self.held, self.base, self.good = b"", 0, 0
+
+    def feed(self, data: bytes, last: bool = False) -> list[Page]:
+        """The pages that ``data`` completes. With ``last`` nothing more will come."""
+        self.held += data
+        out, at = [], 0
+        while (at := self.held.find(b"OggS", at)) >= 0:
+            page = page_at(self.held, at)
+            if page is None and not last and self._may_grow(at):
+                break
+            if page is None or not page.crc_ok:
+                at += 1
+                continue
+            page.offset, page.end = self.base + at, self.base + page.end
+            page.skipped, self.good = page.offset - self.good, page.end
+            out.append(page)
+            at = page.end - self.base
+        # without a capture pattern only the last three bytes can begin one
+        keep = at if at >= 0 else max(self.good - self.base, len(self.held) - 3)
+        self.held, self.base = self.held[keep:], self.base + keep
+        return out
+
+    def _may_grow(self, at: int) -> bool:
+        if len(self.held) < at + 27:
+            return True
+        n = self.held[at + 26]
+        lacing = self.held[at + 27 : at + 27 + n]
+        return len(lacing) < n or len(self.held) < at + 27 + n + sum(lacing)
+
+
+def probe(content: bytes) -> dict | None:
+    """The identification header of a file's first stream, or None if there is none (yet)."""
+    for page in scan_pages(content):
+        if page.flags & FIRST and page.body[:8] == b"OpusHead":
+            return parse_head(page.body)
+    return None
