@@ -9,6 +9,7 @@ space to one space, lower case, a splitting pattern, byte-level symbols and a ma
 from __future__ import annotations
 
 import json
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -37,6 +38,7 @@ NUMBERS_16 = [(68928, 68937), (71376, 71395), (72688, 72697), (90416, 90425), (9
 LOWER_17 = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 #: Below this code point all tables agree.
 AGREED = "\u0530"
+RARE = re.compile(f"[{AGREED}-\U0010ffff]").search
 
 
 @lru_cache(maxsize=1)
@@ -95,7 +97,8 @@ class WordBpe:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(pattern.replace("[\\p{L}]", "\\p{L}").replace("[\\p{N}]", "\\p{N}")).findall
         self.spans = regex.compile(pattern).finditer
-        self.space = regex.compile(r"\s+").sub
+        # the same pattern over ASCII, for the faster engine
+        self.split_ascii = re.compile(pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\t-\r a-z0-9]").replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]"), re.A).findall
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self._forget()
 
@@ -123,11 +126,13 @@ class WordBpe:
         return self.plain(text)
 
     def plain(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            if max(text) >= AGREED:
-                return self.rare(self.space(" ", text).lower().translate(LOWER_17))
-        return self.split(self.space(" ", text).lower())
+        # white space is in no word, so there is no need to reduce it first
+        if text.isascii():
+            return self.split_ascii(text.lower())
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        if RARE(text):
+            return self.rare(text.lower().translate(LOWER_17))
+        return self.split(text.lower())
 
     def rare(self, text: str) -> list[str]:
         """Split by true classes: stand-ins of the same class are split, and the characters put back."""
