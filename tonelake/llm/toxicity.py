@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.llm.common import slices, small_batches
+from tonelake.llm.common import kept, slices, small_batches
 from tonelake.llm.quality import sampled
 
 #: Buckets of the trigram model, which bound what reaches the driver: each holds a hashed trigram's count.
@@ -216,6 +216,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held: Column, *, key: str =
     model = fit_characters(docs, text)
     sample = sampled(labels, key, label, held, SAMPLE_ROWS)
     rows = docs.select(docs[key].alias("k"), docs[text].alias("t")).join(F.broadcast(sample), "k").select(F.coalesce("t", F.lit("")).alias("t"), F.col("y").cast("int").alias("y"))
+    rows = kept(rows)  # the sample is read four times, the corpus for it once
     shared = spark.sparkContext.broadcast(model)
 
     def tally(wanted: set[str] | None):
@@ -244,15 +245,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held: Column, *, key: str =
             odds[f] = round(sure, 4)
     odds = dict(sorted(odds.items(), key=lambda x: (-x[1], x[0]))[:FEATURES])
     fitted = Toxic(odds, (0.0,) * 4, model)
-    kept = spark.sparkContext.broadcast(fitted)
+    sent = spark.sparkContext.broadcast(fitted)
 
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [kept.value.text(t)[0] for t in b.column(0).to_pylist()]
+            x = [sent.value.text(t)[0] for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([v[i] for v in x], pa.float64()) for i in range(4)] + [b.column(1)], names=["a", "b", "c", "d", "y"])
 
     got = rows.mapInArrow(inputs, "a double, b double, c double, d double, y int").toPandas()
     got = got.sort_values(list(got.columns), ignore_index=True)
+    rows.unpersist()
     fitted.weights = logistic(got[["a", "b", "c", "d"]].to_numpy(dtype=float), got["y"].to_numpy(dtype=float))
     return fitted
 
