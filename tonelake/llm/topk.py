@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonelake.llm.common import small_batches
+from tonelake.llm.common import kept, small_batches
 
 #: Vectors of a block, queries of a block, and vectors between two updates of a query's threshold.
 BLOCK, QUERY_BLOCK, STEP = 8192, 2048, 1024
@@ -82,7 +82,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, *, key: str = "vec_i
     long's range are held to it.
     """
     small_batches(vectors.sparkSession)
-    rows = (
+    rows = kept(
         vectors.select(vectors[key].cast("long").alias("id"), quantised(vectors[vector]).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
         .filter("id is not null and v is not null").distinct()
     )
