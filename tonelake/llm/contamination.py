@@ -26,7 +26,7 @@ BLOCK_SHINGLES = 2_000_000
 
 def words(text: Column) -> Column:
     """Words in lower case: runs of letters, digits and marks; a null text has none."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\p{M}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\p{M}]+"), "")
 
 
 def shingles(w: Column, n: int = WORDS) -> Column:
