@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 
+from tonelake.llm import neardup
 from tonelake.llm.bagminhash import Bags, signatures
 from tonelake.llm.neardup import near_duplicates, one_of_each_class
 
@@ -93,3 +94,20 @@ def test_one_of_each_class(spark, clashing, prose):
     got = one_of_each_class(df)
     assert got.columns == df.columns
     assert sorted((r.doc_id or 0) for r in got.collect()) == [0, 1, 9]
+
+
+def spaced(words, slots, tag):
+    """The words with others at every seventh place that ``slots`` names: each edit takes five shingles."""
+    w = list(words)
+    for s in slots:
+        w[7 * s] = f"{tag}x{s}"
+    return w
+
+
+def test_buckets_beyond_a_block(spark, clashing, prose, monkeypatch):
+    # versions are links of their base only, and share its buckets
+    monkeypatch.setattr(neardup, "BUCKET", 32)
+    base = prose(11, 404).split()
+    r = random.Random(5)
+    rows = [(0, " ".join(base))] + [(i, " ".join(spaced(base, r.sample(range(57), 8), f"v{i}"))) for i in range(1, 300)]
+    check(clashing(rows), rows)

@@ -3,8 +3,7 @@
 Texts that are equal form one node. Nodes whose signatures agree in a band are compared within the
 band's bucket by whole signatures, in memory; each node asks for a check against the bucket's medoid
 and its nearest neighbours, so a bucket of n nodes asks for a few times n checks, not for all pairs.
-Buckets of more than ``BUCKET`` nodes are dealt into parts: by a further band, in which true
-neighbours meet again, and at random, with one node of the bucket in every part. Checked pairs of
+Buckets of more than ``BUCKET`` nodes are compared block against block. Checked pairs of
 ``threshold`` weighted Jaccard similarity or more are links, and classes are the links' components.
 """
 
@@ -22,8 +21,8 @@ from tonelake.llm.common import forget, kept, slices, small_batches, written
 from tonelake.llm.wordhash import utf8
 
 THRESHOLD, WORDS = 0.8, 5
-#: Nodes that are compared at once, and further bands by which larger buckets are dealt.
-BUCKET, FURTHER = 2048, 3
+#: Nodes of a block; larger buckets are compared block against block.
+BUCKET = 2048
 #: Registers, of all, that a pair must share to be checked (4 standard deviations below 0.8), nearest
 #: neighbours that a node finds in each bucket, and those of all its buckets that it asks for.
 AGREE, NEAREST, ASKED = 48, 6, 24
@@ -37,6 +36,16 @@ def band(i, sig="sig"):
     return F.xxhash64(i.cast("int"), F.substring(F.col(sig), i * (2 * ROWS) + 1, F.lit(2 * ROWS)))
 
 
+def cells(key: str):
+    """The cells of a row: structs of their ``key`` and ``own``, from columns ``node``, ``blocks`` and that
+    of ``key``, the group's. A node falls in one of the group's blocks, and a cell holds two of them (or the only one), so that every two
+    nodes meet. ``own`` is true in the one cell in which the pairs within the node's block count."""
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda q: q != block)
+    cell = lambda q: F.struct(F.xxhash64(key, F.least(q, block), F.greatest(q, block)).alias("key"), (q == F.pmod(block + 1, F.col("blocks"))).alias("own"))
+    return F.when(F.col("blocks") == 1, F.array(F.struct(F.xxhash64(key, F.lit(0), F.lit(0)).alias("key"), F.lit(True).alias("own")))).otherwise(F.transform(others, cell))
+
+
 def nearest(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Who among some signatures asks for whom, by how many registers they agree, and whether that is
     the medoid: each asks for its nearest and for the medoid."""
@@ -55,51 +64,35 @@ def nearest(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return a[good], b[good], agree[a, b][good], (np.arange(len(a)) >= n * k)[good]
 
 
-def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, agree, hub) of who asks for whom from rows (bucket, node, sig) ordered by bucket; a bucket beyond ``BUCKET`` rows is
-    taken in parts that share their first part's medoid."""
-    kept: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
-
-    def emit(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        columns = [[x for p in parts for x in p[i].tolist()] for i in range(4)]
-        kinds = (pa.binary(), pa.binary(), pa.int32(), pa.bool_())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "agree", "hub"])
-
-    def search(bucket: np.ndarray, node: np.ndarray, sig: np.ndarray, last: bool):
-        """The pairs of all whole buckets, and the rows of the last one unless it is whole."""
-        starts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1] if len(bucket) else np.zeros(0, np.int64)
-        ends = np.r_[starts[1:], len(bucket)] if len(bucket) else starts
-        parts, rest = [], None
-        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-            if e == len(bucket) and not last and e - s < BUCKET:
-                rest = bucket[s:e], node[s:e], sig[s:e]
-                continue
-            if e - s < 2:
-                continue
-            for i in range(s, e, BUCKET - 1):
-                at = np.arange(i, min(i + BUCKET - 1, e))
-                if i > s:
-                    at = np.r_[s, at]
-                a, b, agree, hub = nearest(sig[at])
-                parts.append((node[at[a]], node[at[b]], agree, hub))
-            if e == len(bucket) and not last:
-                rest = bucket[s : s + 1], node[s : s + 1], sig[s : s + 1]
-        return parts, rest
-
-    def rows(b: pa.RecordBatch):
-        data = b"".join(b.column(2).to_pylist())
-        return b.column(0).to_numpy(), np.array(b.column(1).to_pylist() + [None], dtype=object)[:-1], np.frombuffer(data, dtype="<u2").reshape(-1, REGISTERS)
-
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each key, which is the first column and by which the batches are ordered."""
+    held: list[pa.RecordBatch] = []
+    last = None
     for b in batches:
         if not b.num_rows:
             continue
-        new = rows(b)
-        if kept is not None:
-            new = tuple(np.concatenate([k, x]) for k, x in zip(kept, new, strict=True))
-        parts, kept = search(*new, False)
-        yield emit(parts)
-    if kept is not None:
-        yield emit(search(*kept, True)[0])
+        key = b.column(0).to_numpy()
+        starts = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1]
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
+            if held and key[s] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(s, e - s))
+            last = key[s]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, agree, hub) of who asks for whom from rows (cell, node, sig) ordered by cell."""
+    kinds = (pa.binary(), pa.binary(), pa.int32(), pa.bool_())
+    for cell in groups(batches):
+        if len(cell) < 2:
+            continue
+        node = np.array([*cell.column(1).to_pylist(), None], dtype=object)[:-1]
+        a, b, agree, hub = nearest(np.frombuffer(b"".join(cell.column(2).to_pylist()), dtype="<u2").reshape(-1, REGISTERS))
+        columns = node[a].tolist(), node[b].tolist(), agree, hub
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "agree", "hub"])
 
 
 def _verify(threshold: float):
@@ -164,20 +157,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, *, key: str =
     nodes = kept(rows.groupBy("node").agg(F.min("k").alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig")))
     signed = nodes.filter("sig IS NOT NULL").select("node", "sig")
 
-    # buckets of two nodes or more; larger ones in parts, at random and by a further band
-    banded = signed.select("node", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), band(i).alias("bucket")) for i in range(BANDS)])).alias("x")).select("node", "x.i", "x.bucket")
-    sizes = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
-    live = banded.join(sizes.select("bucket", "n"), "bucket").join(signed, "node")
-    parts = lambda most: F.ceil(F.col("n") / F.lit(most)).cast("int")
-    part = lambda key, most: F.xxhash64(key, F.pmod(F.xxhash64("node", key), parts(most)))
-    finer = [F.xxhash64("bucket", band(F.pmod(F.col("i") + F.lit(d), F.lit(BANDS)))) for d in range(1, FURTHER + 1)]
-    keys = F.when(F.col("n") <= BUCKET, F.array(F.col("bucket"))).otherwise(F.array(part(F.col("bucket"), BUCKET // 2), *[part(f, BUCKET * 4) for f in finer]))
-    dealt = live.select(F.explode(keys).alias("bucket"), "node", "sig")
-    hubs = sizes.filter(F.col("n") > BUCKET).select("hub", F.explode(F.transform(F.sequence(F.lit(0), parts(BUCKET // 2) - 1), lambda p: F.xxhash64("bucket", p))).alias("bucket"))
-    hubs = hubs.join(signed, F.col("hub") == F.col("node")).select("bucket", "node", "sig")
-    all_buckets = dealt.unionByName(hubs)
+    # buckets of two nodes or more, in cells of two blocks each: every two nodes of a bucket meet
+    banded = signed.select("node", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("bucket"))
+    sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    live = banded.join(sizes, "bucket").join(signed, "node").withColumn("blocks", F.ceil(F.col("n") / F.lit(BUCKET)).cast("int"))
+    all_buckets = live.select(F.explode(cells("bucket")).alias("cell"), "node", "sig").select("cell.key", "node", "sig")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = all_buckets.repartition(partitions, "bucket").sortWithinPartitions("bucket", "node")
+    ordered = all_buckets.repartition(partitions, "key").sortWithinPartitions("key", "node")
     wishes = ordered.mapInArrow(_ask, "a binary, b binary, agree int, hub boolean").filter("a <> b").groupBy("a", "b").agg(F.max("agree").alias("agree"), F.max("hub").alias("hub"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("agree"), "b"))
     wishes = wishes.withColumn("rank", rank).filter(F.col("hub") | (F.col("rank") <= ASKED))
