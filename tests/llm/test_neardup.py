@@ -2,6 +2,7 @@ import collections
 import random
 
 import numpy as np
+import pytest
 
 from tonelake.llm import neardup
 from tonelake.llm.bagminhash import Bags, signatures
@@ -111,3 +112,27 @@ def test_buckets_beyond_a_block(spark, clashing, prose, monkeypatch):
     r = random.Random(5)
     rows = [(0, " ".join(base))] + [(i, " ".join(spaced(base, r.sample(range(57), 8), f"v{i}"))) for i in range(1, 300)]
     check(clashing(rows), rows)
+
+
+def test_links_among_many_near_misses(spark, clashing, prose):
+    # texts are linked by twos; all others of the template are near in signature, but below 0.8
+    base = prose(12, 404).split()
+    r = random.Random(6)
+    rows = []
+    for i in range(150):
+        s = r.sample(range(57), 10)
+        both = spaced(base, s[:2], f"p{i}")
+        rows += [(2 * i, " ".join(spaced(both, s[2:6], f"q{i}"))), (2 * i + 1, " ".join(spaced(both, s[6:], f"r{i}")))]
+    check(clashing(rows), rows)
+
+
+@pytest.mark.parametrize("block", [1024, 64])
+def test_links_are_all_counted(spark, clashing, prose, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block, raising=False)
+    base = prose(13, 404).split()
+    r = random.Random(7)
+    rows = [(i, " ".join(spaced(base, r.sample(range(57), 1 + i % 5), f"n{i}"))) for i in range(200)] + [(1000, " ".join(base))] * 2
+    bags = [bag(t) for _, t in rows[:-1]]
+    links = collections.Counter(i for i in range(len(bags)) for j in range(len(bags)) if i != j and sum((bags[i] & bags[j]).values()) >= 0.8 * (800 - sum((bags[i] & bags[j]).values())) - 1e-9)
+    assert all(len(t.split()) == 404 for _, t in rows)
+    assert {r.doc_id: r.n_links for r in near_duplicates(clashing(rows)).collect()} == {rows[i][0]: links[i] for i in range(len(bags))}

@@ -1,10 +1,11 @@
 """Near-duplicate classes by BagMinHash: band, compare signatures, verify multiset overlap.
 
-Texts that are equal form one node. Nodes whose signatures agree in a band are compared within the
-band's bucket by whole signatures, in memory; each node asks for a check against the bucket's medoid
-and its nearest neighbours, so a bucket of n nodes asks for a few times n checks, not for all pairs.
-Buckets of more than ``BUCKET`` nodes are compared block against block. Checked pairs of
-``threshold`` weighted Jaccard similarity or more are links, and classes are the links' components.
+Texts that are equal form one node. Nodes that share a band are candidates of each other if their
+whole signatures agree in ``AGREE`` registers. Every two nodes of one component of the candidates
+are compared exactly, without a cap; those of ``threshold`` weighted Jaccard similarity or more are
+links, and classes are the links' components. Only spanning forests leave a bucket or a check, so
+rows grow with the nodes although the pairs compared grow with the square of a group's size.
+Buckets and components of more nodes than a block holds are compared block against block.
 """
 
 from __future__ import annotations
@@ -13,19 +14,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.llm.bagminhash import BANDS, REGISTERS, ROWS, Bags, signatures
+from tonelake.llm.bagminhash import BANDS, REGISTERS, ROWS, STEP, Bags, signatures
 from tonelake.llm.common import forget, kept, slices, small_batches, written
-from tonelake.llm.wordhash import utf8
+from tonelake.llm.wordhash import mix, utf8
 
 THRESHOLD, WORDS = 0.8, 5
 #: Nodes of a block; larger buckets are compared block against block.
 BUCKET = 2048
-#: Registers, of all, that a pair must share to be checked (4 standard deviations below 0.8), nearest
-#: neighbours that a node finds in each bucket, and those of all its buckets that it asks for.
-AGREE, NEAREST, ASKED = 48, 6, 24
+#: Registers, of all, that a pair must share to be checked (4 standard deviations below 0.8).
+AGREE = 48
+#: Nodes and bytes of text of a block in the exact check, and the texts of a shingle from which on
+#: overlaps are counted by a product of matrices.
+BLOCK, BLOCK_BYTES, CROWD = 1024, 2 << 20, 32
 #: Bytes of text that a worker hashes at once.
 SLICE = 1 << 19
 
@@ -46,22 +49,54 @@ def cells(key: str):
     return F.when(F.col("blocks") == 1, F.array(F.struct(F.xxhash64(key, F.lit(0), F.lit(0)).alias("key"), F.lit(True).alias("own")))).otherwise(F.transform(others, cell))
 
 
-def nearest(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Who among some signatures asks for whom, by how many registers they agree, and whether that is
-    the medoid: each asks for its nearest and for the medoid."""
-    n = len(sig)
-    agree = np.zeros((n, n), dtype=np.int16)
-    step = max(1, (1 << 22) // (n * REGISTERS))
-    for i in range(0, n, step):
-        agree[i : i + step] = (sig[i : i + step, None, :] == sig[None, :, :]).sum(axis=2)
-    np.fill_diagonal(agree, 0)
-    hub = int(np.where(agree >= AGREE, agree, 0).sum(axis=1).argmax())
-    k = min(NEAREST, n - 1)
-    near = np.argpartition(-agree, k - 1, axis=1)[:, :k] if k < n else np.zeros((n, 0), np.int64)
-    a = np.r_[np.repeat(np.arange(n), k), np.arange(n)]
-    b = np.r_[near.reshape(-1), np.full(n, hub)]
-    good = agree[a, b] >= AGREE
-    return a[good], b[good], agree[a, b][good], (np.arange(len(a)) >= n * k)[good]
+def forest(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the graph that joins signatures which agree in ``AGREE`` registers.
+    A pair is left out only where both are reached already."""
+    left = np.arange(len(sig))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(left) > 1:
+        front, left = left[:1], left[1:]
+        while len(front) and len(left):
+            step = max(1, (1 << 22) // (len(left) * REGISTERS))
+            now, front = front[:step], front[step:]
+            agree = (sig[now, None, :] == sig[None, left, :]).sum(axis=2, dtype=np.int16) >= AGREE
+            hit = agree.any(axis=0)
+            a.append(now[agree[:, hit].argmax(axis=0)])
+            b.append(left[hit])
+            front, left = np.r_[front, left[hit]], left[~hit]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def overlaps(bags: Bags, docs: int) -> np.ndarray:
+    """Shared shingles, with multiplicity, of every two of the texts; the diagonal is zero."""
+    shared = np.zeros((docs, docs), dtype=np.float32)
+    # a shingle of weight w is w items: the first, the second and so on of its text
+    doc, shingle = np.repeat(bags.doc, bags.weight), np.repeat(bags.shingle, bags.weight)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(bags.weight) - bags.weight, bags.weight)
+    item = mix(shingle + place.astype(np.uint64) * STEP)
+    order = np.argsort(item, kind="stable")
+    item, doc = item[order], doc[order]
+    starts = np.flatnonzero(np.r_[True, item[1:] != item[:-1]][: len(item)])
+    size = np.diff(np.r_[starts, len(item)])
+    each = np.repeat(size, size)
+    # items of many texts by a product of matrices, the others pair by pair
+    many = np.flatnonzero(each > CROWD)
+    column = np.repeat(np.arange(int((size > CROWD).sum())), size[size > CROWD])
+    for s in range(0, int(column[-1]) + 1 if len(column) else 0, 1024):
+        at = slice(*np.searchsorted(column, [s, s + 1024]))
+        has = np.zeros((docs, 1024), dtype=np.float32)
+        has[doc[many[at]], column[at] - s] = 1
+        shared += has @ has.T
+    few = (each > 1) & (each <= CROWD)
+    item, doc = item[few], doc[few]
+    for d in range(1, CROWD):
+        same = np.flatnonzero(item[d:] == item[:-d])
+        if not len(same):
+            break
+        np.add.at(shared, (doc[same], doc[same + d]), 1)
+        np.add.at(shared, (doc[same + d], doc[same]), 1)
+    np.fill_diagonal(shared, 0)
+    return shared
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -83,30 +118,65 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, agree, hub) of who asks for whom from rows (cell, node, sig) ordered by cell."""
-    kinds = (pa.binary(), pa.binary(), pa.int32(), pa.bool_())
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b) that span the candidates among rows (cell, node, sig) ordered by cell."""
+    left, right = [], []
+
+    def emit() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+        left.clear()
+        right.clear()
+        return out
+
     for cell in groups(batches):
-        if len(cell) < 2:
-            continue
-        node = np.array([*cell.column(1).to_pylist(), None], dtype=object)[:-1]
-        a, b, agree, hub = nearest(np.frombuffer(b"".join(cell.column(2).to_pylist()), dtype="<u2").reshape(-1, REGISTERS))
-        columns = node[a].tolist(), node[b].tolist(), agree, hub
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "agree", "hub"])
+        node = cell.column(1).to_pylist()
+        a, b = forest(np.frombuffer(b"".join(cell.column(2).to_pylist()), dtype="<u2").reshape(-1, REGISTERS))
+        left += [node[i] for i in a.tolist()]
+        right += [node[i] for i in b.tolist()]
+        if len(left) >= 4096:
+            yield emit()
+    yield emit()
 
 
 def _verify(threshold: float):
+    """Rows (a, b, n) of a linked node, the first node of the cell that links lead it to, and how many
+    links it has of those that count here, from rows (cell, own, block, node, text) ordered by cell.
+    Every two texts of a cell are compared exactly."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            left, right = utf8(b.column(2).to_pylist()), utf8(b.column(3).to_pylist())
-            good = np.zeros(b.num_rows, dtype=bool)
-            for i, j in slices([len(x) + len(y) for x, y in zip(left, right, strict=True)], SLICE):
-                texts = list(dict.fromkeys(left[i:j] + right[i:j]))
-                place = {t: k for k, t in enumerate(texts)}
-                bags = Bags(texts, WORDS)
-                good[i:j] = [bags.similarity(place[x], place[y]) >= threshold - 1e-12 for x, y in zip(left[i:j], right[i:j], strict=True)]
-            at = pa.array(np.flatnonzero(good))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["a", "b"])
+        left, right, count = [], [], []
+
+        def emit() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(count, pa.int64())], names=["a", "b", "n"])
+            for x in (left, right, count):
+                x.clear()
+            return out
+
+        for cell in groups(batches):
+            own, block, node, n = cell.column(1).to_numpy(), cell.column(2).to_numpy(), cell.column(3).to_pylist(), len(cell)
+            bags = Bags(utf8(cell.column(4).to_pylist()), WORDS)
+            shared = overlaps(bags, n)
+            linked, degree = np.zeros((n, n), dtype=bool), np.zeros(n, dtype=np.int64)
+            for i in range(0, n, 256):
+                both, at = shared[i : i + 256].astype(np.float64), slice(i, i + 256)
+                linked[at] = both / np.maximum(1, bags.total[at, None] + bags.total[None, :] - both) >= threshold - 1e-12
+                linked[np.arange(i, min(i + 256, n)), np.arange(i, min(i + 256, n))] = False
+                degree[at] = (linked[at] & (own[at, None] | (block[at, None] != block[None, :]))).sum(axis=1)
+            rest = linked.any(axis=1)
+            while rest.any():
+                root = int(rest.argmax())
+                front = found = np.arange(n) == root
+                while front.any():
+                    front = linked[front].any(axis=0) & ~found
+                    found = found | front
+                rest &= ~found
+                for i in np.flatnonzero(found).tolist():
+                    left.append(node[i])
+                    right.append(node[root])
+                    count.append(int(degree[i]))
+            if len(left) >= 4096:
+                yield emit()
+        yield emit()
 
     return run
 
@@ -151,10 +221,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, *, key: str =
                 bags = Bags(raw[i:j], WORDS)
                 sig = signatures(bags, j - i).astype("<u2")
                 made = [s.tobytes() if n else None for s, n in zip(sig, bags.total, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(made, pa.binary())], names=["k", "node", "sig"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(made, pa.binary()), pa.array([len(r) for r in raw[i:j]], pa.int64())], names=["k", "node", "sig", "bytes"])
 
-    rows = kept(base.mapInArrow(sign, "k bigint, node binary, sig binary"))
-    nodes = kept(rows.groupBy("node").agg(F.min("k").alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig")))
+    rows = kept(base.mapInArrow(sign, "k bigint, node binary, sig binary, bytes bigint"))
+    nodes = kept(rows.groupBy("node").agg(F.min("k").alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bytes").alias("bytes")))
     signed = nodes.filter("sig IS NOT NULL").select("node", "sig")
 
     # buckets of two nodes or more, in cells of two blocks each: every two nodes of a bucket meet
@@ -164,19 +234,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, *, key: str =
     all_buckets = live.select(F.explode(cells("bucket")).alias("cell"), "node", "sig").select("cell.key", "node", "sig")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = all_buckets.repartition(partitions, "key").sortWithinPartitions("key", "node")
-    wishes = ordered.mapInArrow(_ask, "a binary, b binary, agree int, hub boolean").filter("a <> b").groupBy("a", "b").agg(F.max("agree").alias("agree"), F.max("hub").alias("hub"))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("agree"), "b"))
-    wishes = wishes.withColumn("rank", rank).filter(F.col("hub") | (F.col("rank") <= ASKED))
-    asked = written(wishes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "asked")
-
-    touched = asked.select(F.col("a").alias("node")).unionByName(asked.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "first"), "node")
-    here = base["k"].eqNullSafe(touched["first"]) & (base["node"] == touched["node"])
-    texts = base.join(touched, here).select(base["node"], base["text"])
-    pairs = asked.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    links = written(pairs.select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a binary, b binary").distinct(), "verified")
-    forget(asked)
-
-    of_node = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    spanning = written(ordered.mapInArrow(_candidates, "a binary, b binary").distinct(), "candidates")
+
+    # each component of the candidates is verified whole, in cells of two blocks of it
+    grouped = kept(components(spanning).join(nodes.select("node", "first", "bytes"), "node"))
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("bytes") / F.lit(BLOCK_BYTES))).cast("int")
+    placed = grouped.join(grouped.groupBy("comp").agg(blocks.alias("blocks")), "comp")
+    here = base["k"].eqNullSafe(placed["first"]) & (base["node"] == placed["node"])
+    texts = base.join(placed, here).select(base["node"], "comp", "blocks", base["text"])
+    dealt = texts.select(F.explode(cells("comp")).alias("cell"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", "text")
+    dealt = dealt.select("cell.key", "cell.own", "block", "node", "text").repartition(partitions, "key").dropDuplicates(["key", "node"]).sortWithinPartitions("key")
+    verified = written(dealt.mapInArrow(_verify(threshold), "a binary, b binary, n bigint"), "verified")
+    forget(spanning)
+
+    of_node = verified.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
+    links = verified.select("a", "b").filter("a <> b").distinct()
     members = nodes.select("node", "first", "copies").join(components(links), "node", "left").join(of_node, "node", "left")
     members = members.select("node", "first", "copies", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     # the class goes by its least key, nulls last, and that row's text
