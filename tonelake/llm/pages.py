@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from tonelake.llm.common import kept, small_batches
 
-#: A subtree is template if it stands in MIN_PAGES of its host, and in MIN_SHARE of them or ENOUGH_PAGES.
-MIN_PAGES, MIN_SHARE, ENOUGH_PAGES = 3, 0.05, 20
+#: A subtree is template if it stands in MIN_PAGES of its host and in MIN_SHARE of all the host's pages.
+MIN_PAGES, MIN_SHARE = 3, 0.05
 
 # Element names of the HTML standard, by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -226,7 +226,7 @@ def extract_pages(pages: DataFrame, *, key: str = "page_id", url: str = "url", h
 
     sizes = parsed.groupBy("host").agg(F.count("*").alias("pages"))
     counts = parsed.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_PAGES)
-    template = counts.join(sizes, "host").filter(F.col("n") >= F.least(F.lit(ENOUGH_PAGES), F.col("pages") * MIN_SHARE)).select("host", "subtree")
+    template = counts.join(sizes, "host").filter(F.col("n") >= F.col("pages") * MIN_SHARE).select("host", "subtree")
     # only blocks that stand in a candidate subtree can go
     open_pages = F.exists("blocks", lambda b: F.size(b["around"]) > 0)
     standing = parsed.filter(open_pages).select("host", "row", F.explode(F.array_distinct(F.flatten("blocks.around"))).alias("subtree"))
