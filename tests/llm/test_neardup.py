@@ -26,13 +26,14 @@ def test_signatures_are_unbiased(prose):
         b = list(a)
         for _ in range(r.randrange(0, 1 + len(a) // 12)):
             b[r.randrange(len(b))] = f"x{r.random()}"
-        a, b = a + ["rep"] * r.randrange(0, 40), b + ["rep"] * r.randrange(0, 40)
+        # a word of the pair's own, as pairs that share a shingle also share its points
+        a, b = a + [f"rep{i}"] * r.randrange(0, 40), b + [f"rep{i}"] * r.randrange(0, 40)
         bags = Bags([" ".join(a).encode(), " ".join(b).encode()])
         sig = signatures(bags, 2)
         est.append((sig[0] == sig[1]).mean())
         true.append(similarity(bag(" ".join(a)), bag(" ".join(b))))
         assert abs(true[-1] - bags.similarity(0, 1)) < 1e-12
-    assert abs(np.mean(est) - np.mean(true)) < 0.015
+    assert abs(np.mean(est) - np.mean(true)) < 0.012
     assert np.sqrt(np.mean((np.array(est) - true) ** 2)) < 0.06
 
 
@@ -126,13 +127,33 @@ def test_links_among_many_near_misses(spark, clashing, prose):
     check(clashing(rows), rows)
 
 
-@pytest.mark.parametrize("block", [1024, 64])
-def test_links_are_all_counted(spark, clashing, prose, monkeypatch, block):
-    monkeypatch.setattr(neardup, "BLOCK", block, raising=False)
+@pytest.mark.parametrize("block", [1024, 40])
+def test_classes_over_blocks(spark, clashing, prose, monkeypatch, block):
+    # versions of one base that are mostly no links of each other, and pairs that are links of nothing else
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "BUCKET", block)
     base = prose(13, 404).split()
     r = random.Random(7)
-    rows = [(i, " ".join(spaced(base, r.sample(range(57), 1 + i % 5), f"n{i}"))) for i in range(200)] + [(1000, " ".join(base))] * 2
-    bags = [bag(t) for _, t in rows[:-1]]
-    links = collections.Counter(i for i in range(len(bags)) for j in range(len(bags)) if i != j and sum((bags[i] & bags[j]).values()) >= 0.8 * (800 - sum((bags[i] & bags[j]).values())) - 1e-9)
-    assert all(len(t.split()) == 404 for _, t in rows)
-    assert {r.doc_id: r.n_links for r in near_duplicates(clashing(rows)).collect()} == {rows[i][0]: links[i] for i in range(len(bags))}
+    rows = [(i, " ".join(spaced(base, r.sample(range(57), 4 + i % 5), f"n{i}"))) for i in range(200)] + [(1000, " ".join(base))] * 2
+    for i in range(30):
+        far = spaced(base, r.sample(range(57), 12), f"far{i}")
+        rows += [(2000 + 2 * i, " ".join(far)), (2001 + 2 * i, " ".join(spaced(far, [i % 57], f"twin{i}")))]
+    check(clashing(rows), rows)
+
+
+def test_overlap_is_of_words(prose):
+    # regular texts that polynomial hashes modulo 2**64 cannot tell apart
+    x = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    y = x.translate(str.maketrans("ab", "ba"))
+    for lists in ([x, y], [" ".join(x), " ".join(y)]):
+        exact, hashed = (Bags([t.encode() for t in lists], exact=e) for e in (True, False))
+        true = similarity(bag(lists[0]), bag(lists[1]))
+        assert abs(exact.similarity(0, 1) - true) < 1e-12 and abs(hashed.similarity(0, 1) - true) < 1e-12
+    short = Bags([b"A b c", b"a B C", b"a b", b"a b c d e"], exact=True)
+    assert len(set(short.shingle.tolist())) == 3 and short.similarity(0, 1) == 1 and short.similarity(0, 3) == 0
+
+
+def test_rows_that_repeat_key_and_text(spark, clashing, prose):
+    p = prose(3, 80)
+    rows = [(None, p)] * 40 + [(5, edited(p, 1, 1))] * 30 + [(None, None)] * 20
+    check(clashing(rows), rows)

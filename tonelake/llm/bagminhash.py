@@ -12,30 +12,47 @@ from __future__ import annotations
 
 import numpy as np
 
-from tonelake.llm.wordhash import Runs, Words, mix, odd
+from tonelake.llm.wordhash import STEP, Words, mix, numbered, of_runs, word_ids
 
 U = np.uint64
 REGISTERS, ROWS = 80, 4
 BANDS = REGISTERS // ROWS
 #: Expected points of a register by the first look's end, besides those that fill all registers.
 SURE = 5.0
-STEP = U(0x9E3779B97F4A7C15)
 
 
 class Bags:
     """The shingle multisets of some texts: ``doc``, ``shingle`` and ``weight``, ordered by text and shingle.
 
     Texts of fewer than ``n`` words have one shingle of all their words, texts without words none.
+    Words are compared in ASCII lower case. Shingles are hashes, or, if ``exact``, numbers that only
+    equal shingles of these texts share.
     """
 
-    def __init__(self, raw: list[bytes], n: int = 5):
-        w = Words(raw, lower=True)
-        runs = Runs(w.hash, odd(4) & ~6 | 4)
-        many = np.where(w.count > 0, np.maximum(w.count - (n - 1), 1), 0)
+    def __init__(self, raw: list[bytes], n: int = 5, *, exact: bool = False):
+        if exact:
+            words, count = word_ids([r.lower() for r in raw])
+            step = lambda x, y: numbered(x, y) if len(x) else x
+            first = np.cumsum(count) - count
+        else:
+            w = Words(raw, lower=True)
+            words, count, first = w.hash, w.count, w.first
+        many = np.where(count > 0, np.maximum(count - (n - 1), 1), 0)
         doc = np.repeat(np.arange(len(raw)), many)
-        start = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + w.first[doc]
-        end = np.minimum(start + n, w.first[doc] + w.count[doc])
-        h = runs(start, end) if len(doc) else np.zeros(0, dtype=np.uint64)
+        start = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + first[doc]
+        h = np.zeros(len(doc), dtype=words.dtype)
+        for k in range(1, n + 1):
+            # the whole texts of k words, or all shingles of the longer ones
+            here = np.flatnonzero(count[doc] == k) if k < n else np.flatnonzero(count[doc] >= n)
+            if not len(here):
+                continue
+            if exact:
+                run = words
+                for j in range(1, k):
+                    run = step(run[: len(words) - j], words[j:])
+                h[here] = run[start[here]] * n + k - 1
+            else:
+                h[here] = mix(of_runs(words, k)[start[here]] + np.uint64(k))
         order = np.lexsort((h, doc))
         doc, h = doc[order], h[order]
         fresh = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])][: len(h)]

@@ -1,28 +1,33 @@
 """Near-duplicate classes by BagMinHash: band, compare signatures, verify multiset overlap.
 
-Texts that are equal form one node. Nodes that share a band are candidates of each other if their
-whole signatures agree in ``AGREE`` registers. Every two nodes of one component of the candidates
-are compared exactly, without a cap; those of ``threshold`` weighted Jaccard similarity or more are
-links, and classes are the links' components. Only spanning forests leave a bucket or a check, so
-rows grow with the nodes although the pairs compared grow with the square of a group's size.
-Buckets and components of more nodes than a block holds are compared block against block.
+Texts that are equal form one node. Two nodes that share a band and agree in ``AGREE`` registers of
+their whole signatures are candidates, nodes of one component of the candidates are compared
+exactly, word by word, and those of ``threshold`` weighted Jaccard similarity or more are links.
+Classes are the links' components.
+
+Neither step writes pairs: within a cell that holds a block of a group's nodes all are compared, and
+only a spanning forest of what is linked leaves it. A group of more nodes than a block holds is dealt
+into blocks. Then the node with most links of each block, the block's representative, is compared
+with all nodes of the group; and last, what still is in no class with most of the group is compared
+with all nodes of the group too. So a large group of near copies takes a few copies of each text,
+and no link is left out, as only nodes of one class are never compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.llm.bagminhash import BANDS, REGISTERS, ROWS, STEP, Bags, signatures
+from tonelake.llm.bagminhash import BANDS, REGISTERS, ROWS, Bags, signatures
 from tonelake.llm.common import forget, kept, slices, small_batches, written
-from tonelake.llm.wordhash import mix, utf8
+from tonelake.llm.wordhash import utf8
 
 THRESHOLD, WORDS = 0.8, 5
-#: Nodes of a block; larger buckets are compared block against block.
+#: Nodes of a block when signatures are compared.
 BUCKET = 2048
 #: Registers, of all, that a pair must share to be checked (4 standard deviations below 0.8).
 AGREE = 48
@@ -31,6 +36,7 @@ AGREE = 48
 BLOCK, BLOCK_BYTES, CROWD = 1024, 2 << 20, 32
 #: Bytes of text that a worker hashes at once.
 SLICE = 1 << 19
+EDGES = "cell bigint, a binary, b binary, lead boolean"
 
 
 def band(i, sig="sig"):
@@ -39,32 +45,14 @@ def band(i, sig="sig"):
     return F.xxhash64(i.cast("int"), F.substring(F.col(sig), i * (2 * ROWS) + 1, F.lit(2 * ROWS)))
 
 
-def cells(key: str):
-    """The cells of a row: structs of their ``key`` and ``own``, from columns ``node``, ``blocks`` and that
-    of ``key``, the group's. A node falls in one of the group's blocks, and a cell holds two of them (or the only one), so that every two
-    nodes meet. ``own`` is true in the one cell in which the pairs within the node's block count."""
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda q: q != block)
-    cell = lambda q: F.struct(F.xxhash64(key, F.least(q, block), F.greatest(q, block)).alias("key"), (q == F.pmod(block + 1, F.col("blocks"))).alias("own"))
-    return F.when(F.col("blocks") == 1, F.array(F.struct(F.xxhash64(key, F.lit(0), F.lit(0)).alias("key"), F.lit(True).alias("own")))).otherwise(F.transform(others, cell))
-
-
-def forest(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the graph that joins signatures which agree in ``AGREE`` registers.
-    A pair is left out only where both are reached already."""
-    left = np.arange(len(sig))
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    while len(left) > 1:
-        front, left = left[:1], left[1:]
-        while len(front) and len(left):
-            step = max(1, (1 << 22) // (len(left) * REGISTERS))
-            now, front = front[:step], front[step:]
-            agree = (sig[now, None, :] == sig[None, left, :]).sum(axis=2, dtype=np.int16) >= AGREE
-            hit = agree.any(axis=0)
-            a.append(now[agree[:, hit].argmax(axis=0)])
-            b.append(left[hit])
-            front, left = np.r_[front, left[hit]], left[~hit]
-    return np.concatenate(a), np.concatenate(b)
+def agreeing(cell: pa.Table) -> np.ndarray:
+    """Which two of a cell's signatures agree in ``AGREE`` registers."""
+    sig = np.frombuffer(b"".join(cell.column(2).to_pylist()), dtype="<u2").reshape(-1, REGISTERS)
+    out = np.zeros((len(sig), len(sig)), dtype=bool)
+    step = max(1, (1 << 22) // (len(sig) * REGISTERS))
+    for i in range(0, len(sig), step):
+        out[i : i + step] = (sig[i : i + step, None, :] == sig[None, :, :]).sum(axis=2, dtype=np.int16) >= AGREE
+    return out
 
 
 def overlaps(bags: Bags, docs: int) -> np.ndarray:
@@ -73,7 +61,7 @@ def overlaps(bags: Bags, docs: int) -> np.ndarray:
     # a shingle of weight w is w items: the first, the second and so on of its text
     doc, shingle = np.repeat(bags.doc, bags.weight), np.repeat(bags.shingle, bags.weight)
     place = np.arange(len(doc)) - np.repeat(np.cumsum(bags.weight) - bags.weight, bags.weight)
-    item = mix(shingle + place.astype(np.uint64) * STEP)
+    item = shingle * (int(bags.weight.max(initial=0)) + 1) + place
     order = np.argsort(item, kind="stable")
     item, doc = item[order], doc[order]
     starts = np.flatnonzero(np.r_[True, item[1:] != item[:-1]][: len(item)])
@@ -99,6 +87,22 @@ def overlaps(bags: Bags, docs: int) -> np.ndarray:
     return shared
 
 
+def similar(threshold: float) -> Callable[[pa.Table], np.ndarray]:
+    """Which two of a cell's texts have weighted Jaccard similarity ``threshold`` or more, by their words."""
+
+    def linked(cell: pa.Table) -> np.ndarray:
+        n = len(cell)
+        bags = Bags(utf8(cell.column(2).to_pylist()), WORDS, exact=True)
+        shared = overlaps(bags, n)
+        out = np.zeros((n, n), dtype=bool)
+        for i in range(0, n, 256):
+            both = shared[i : i + 256].astype(np.float64)
+            out[i : i + 256] = both / np.maximum(1, bags.total[i : i + 256, None] + bags.total[None, :] - both) >= threshold - 1e-12
+        return out
+
+    return linked
+
+
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of each key, which is the first column and by which the batches are ordered."""
     held: list[pa.RecordBatch] = []
@@ -118,63 +122,48 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b) that span the candidates among rows (cell, node, sig) ordered by cell."""
-    left, right = [], []
-
-    def emit() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
-        left.clear()
-        right.clear()
-        return out
-
-    for cell in groups(batches):
-        node = cell.column(1).to_pylist()
-        a, b = forest(np.frombuffer(b"".join(cell.column(2).to_pylist()), dtype="<u2").reshape(-1, REGISTERS))
-        left += [node[i] for i in a.tolist()]
-        right += [node[i] for i in b.tolist()]
-        if len(left) >= 4096:
-            yield emit()
-    yield emit()
-
-
-def _verify(threshold: float):
-    """Rows (a, b, n) of a linked node, the first node of the cell that links lead it to, and how many
-    links it has of those that count here, from rows (cell, own, block, node, text) ordered by cell.
-    Every two texts of a cell are compared exactly."""
+def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each linked node and the node with most links that links lead it to."""
+    np.fill_diagonal(linked, False)
+    degree = linked.sum(axis=1)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    rest = degree > 0
+    while rest.any():
+        root = int(np.where(rest, degree, 0).argmax())
+        front = found = np.arange(len(degree)) == root
+        while front.any():
+            front = linked[front].any(axis=0) & ~found
+            found = found | front
+        rest = rest & ~found
+        found = np.flatnonzero(found)
+        left.append(found[found != root])
+        right.append(np.full(len(found) - 1, root))
+    return np.concatenate(left), np.concatenate(right)
+
+
+def spanned(linked: Callable[[pa.Table], np.ndarray]):
+    """Rows (cell, a, b, lead) of the forest of each cell, and of the cell's representative, from rows
+    (cell, node, content) ordered by cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right, count = [], [], []
+        rows: list[tuple[int, bytes, bytes, bool]] = []
 
         def emit() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(count, pa.int64())], names=["a", "b", "n"])
-            for x in (left, right, count):
-                x.clear()
-            return out
+            cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], names=["cell", "a", "b", "lead"])
 
         for cell in groups(batches):
-            own, block, node, n = cell.column(1).to_numpy(), cell.column(2).to_numpy(), cell.column(3).to_pylist(), len(cell)
-            bags = Bags(utf8(cell.column(4).to_pylist()), WORDS)
-            shared = overlaps(bags, n)
-            linked, degree = np.zeros((n, n), dtype=bool), np.zeros(n, dtype=np.int64)
-            for i in range(0, n, 256):
-                both, at = shared[i : i + 256].astype(np.float64), slice(i, i + 256)
-                linked[at] = both / np.maximum(1, bags.total[at, None] + bags.total[None, :] - both) >= threshold - 1e-12
-                linked[np.arange(i, min(i + 256, n)), np.arange(i, min(i + 256, n))] = False
-                degree[at] = (linked[at] & (own[at, None] | (block[at, None] != block[None, :]))).sum(axis=1)
-            rest = linked.any(axis=1)
-            while rest.any():
-                root = int(rest.argmax())
-                front = found = np.arange(n) == root
-                while front.any():
-                    front = linked[front].any(axis=0) & ~found
-                    found = found | front
-                rest &= ~found
-                for i in np.flatnonzero(found).tolist():
-                    left.append(node[i])
-                    right.append(node[root])
-                    count.append(int(degree[i]))
-            if len(left) >= 4096:
+            if len(cell) < 2:
+                continue
+            key, node = cell.column(0)[0].as_py(), cell.column(1).to_pylist()
+            links = linked(cell)
+            a, b = forest(links)
+            if len(a):
+                lead = int(links.sum(axis=1).argmax())
+                rows.append((key, node[lead], node[lead], True))
+                rows += [(key, node[i], node[j], False) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+            if len(rows) >= 4096:
                 yield emit()
         yield emit()
 
@@ -201,9 +190,48 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "comp")
 
 
+def spanning(members: DataFrame, compare: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Edges (a, b) that join the nodes which links lead to each other within a group, from
+    ``members(group, node, load)``, where ``load`` is the part of a block that a node fills.
+    ``compare`` takes cells (cell, node) and compares all nodes of each."""
+    blocks = members.groupBy("group").agg(F.ceil(F.sum("load")).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = members.join(blocks, "group").withColumn("block", block).withColumn("cell", F.xxhash64("group", "block"))
+    edges = written(compare(placed.select("cell", "node")), name)
+    linked = lambda: edges.filter("NOT lead").select("a", "b").distinct()
+    large = kept(placed.filter("blocks > 1"))
+    if large.isEmpty():
+        large.unpersist()
+        return linked()
+
+    def against_all(some: DataFrame, what: str) -> DataFrame:
+        """Compare some nodes of the large groups, dealt into blocks of their own, with all of their group."""
+        load = some.groupBy("group").agg(F.ceil(F.sum("load")).cast("int").alias("some_blocks"))
+        own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("some_blocks")).cast("int")
+        upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        rows = some.join(load, "group").select("group", "node", own.alias("i"), upto("blocks").alias("j"))
+        every = large.join(load, "group").select("group", "node", F.col("block").alias("j"), upto("some_blocks").alias("i"))
+        cells = rows.unionByName(every).select(F.xxhash64("group", "i", "j", F.lit(what)).alias("cell"), "node").distinct()
+        return written(compare(cells), name)
+
+    leads = edges.filter("lead").select("cell", F.col("a").alias("node"))
+    edges = edges.unionByName(against_all(large.join(leads, ["cell", "node"], "left_semi"), "leads"))
+    # nodes outside the class that holds most of their group
+    comp = components(linked())
+    of_class = kept(large.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    sizes = of_class.groupBy("group", "comp").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("group").agg(F.max(F.struct("n", "comp"))["comp"].alias("most"), F.count("*").alias("classes")).filter("classes > 1")
+    others = kept(of_class.join(most, "group").filter("comp <> most").select("group", "node", "load", "blocks", "block"))
+    if not others.isEmpty():
+        edges = edges.unionByName(against_all(others, "others"))
+    for df in (large, of_class, others):
+        df.unpersist()
+    return linked()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns ``key``, ``node`` (digest of the text), ``class_id`` and ``class_node`` (the least key of the
-    class and a digest of its text), ``class_size`` (rows) and ``n_links`` (of the text to different texts) for each row of ``docs``.
+    class and a digest of its text) and ``class_size`` (rows) for each row of ``docs``.
 
     Words are split at white space and compared in ASCII lower case. Equal texts are of one class, the
     null text counting as empty; texts without words have no other links. Rows that repeat are rows of
@@ -226,36 +254,37 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, *, key: str =
     rows = kept(base.mapInArrow(sign, "k bigint, node binary, sig binary, bytes bigint"))
     nodes = kept(rows.groupBy("node").agg(F.min("k").alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bytes").alias("bytes")))
     signed = nodes.filter("sig IS NOT NULL").select("node", "sig")
-
-    # buckets of two nodes or more, in cells of two blocks each: every two nodes of a bucket meet
-    banded = signed.select("node", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("bucket"))
-    sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    live = banded.join(sizes, "bucket").join(signed, "node").withColumn("blocks", F.ceil(F.col("n") / F.lit(BUCKET)).cast("int"))
-    all_buckets = live.select(F.explode(cells("bucket")).alias("cell"), "node", "sig").select("cell.key", "node", "sig")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = all_buckets.repartition(partitions, "key").sortWithinPartitions("key", "node")
-    spanning = written(ordered.mapInArrow(_candidates, "a binary, b binary").distinct(), "candidates")
-
-    # each component of the candidates is verified whole, in cells of two blocks of it
-    grouped = kept(components(spanning).join(nodes.select("node", "first", "bytes"), "node"))
-    blocks = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("bytes") / F.lit(BLOCK_BYTES))).cast("int")
-    placed = grouped.join(grouped.groupBy("comp").agg(blocks.alias("blocks")), "comp")
-    here = base["k"].eqNullSafe(placed["first"]) & (base["node"] == placed["node"])
-    texts = base.join(placed, here).select(base["node"], "comp", "blocks", base["text"])
-    dealt = texts.select(F.explode(cells("comp")).alias("cell"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", "text")
-    dealt = dealt.select("cell.key", "cell.own", "block", "node", "text").repartition(partitions, "key").dropDuplicates(["key", "node"]).sortWithinPartitions("key")
-    verified = written(dealt.mapInArrow(_verify(threshold), "a binary, b binary, n bigint"), "verified")
-    forget(spanning)
-
-    of_node = verified.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
-    links = verified.select("a", "b").filter("a <> b").distinct()
-    members = nodes.select("node", "first", "copies").join(components(links), "node", "left").join(of_node, "node", "left")
-    members = members.select("node", "first", "copies", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+    def in_cells(rows: DataFrame, linked) -> DataFrame:
+        """Rows (cell, node, content), dealt and ordered by cell, compared in each."""
+        return rows.repartition(partitions, "cell").sortWithinPartitions("cell").mapInArrow(spanned(linked), EDGES)
+
+    banded = signed.select("node", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("group"))
+    shared = banded.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1").select("group")
+    members = banded.join(shared, "group").withColumn("load", F.lit(1.0 / BUCKET))
+    candidates = written(spanning(members, lambda cells: in_cells(cells.join(signed, "node").select("cell", "node", "sig"), agreeing), "candidates"), "candidates")
+
+    grouped = kept(components(candidates).join(nodes.select("node", "first", "bytes"), "node"))
+    forget(candidates)
+    here = base["k"].eqNullSafe(grouped["first"]) & (base["node"] == grouped["node"])  # one of the node's rows
+
+    def by_text(cells: DataFrame) -> DataFrame:
+        # a text is read once however many cells it goes to; rows that repeat its key and text go before they meet
+        wanted = grouped.join(cells.groupBy("node").agg(F.collect_set("cell").alias("cells")), "node")
+        texts = base.join(wanted, here).select(base["node"], F.explode("cells").alias("cell"), base["text"])
+        return in_cells(texts.dropDuplicates(["cell", "node"]).select("cell", "node", "text"), similar(threshold))
+
+    load = F.greatest(F.lit(1.0 / BLOCK), F.col("bytes") / F.lit(BLOCK_BYTES))
+    links = written(spanning(grouped.select(F.col("comp").alias("group"), "node", load.alias("load")), by_text, "verified"), "links")
+    grouped.unpersist()
+
+    members = nodes.select("node", "first", "copies").join(components(links), "node", "left").select("node", "first", "copies", F.coalesce("comp", "node").alias("comp"))
     # the class goes by its least key, nulls last, and that row's text
     classes = members.groupBy("comp").agg(F.min(F.struct(F.col("first").isNull().alias("last"), "first", "node")).alias("least"), F.sum("copies").alias("class_size"))
     classes = classes.select("comp", F.col("least.first").alias("class_id"), F.col("least.node").alias("class_node"), "class_size")
-    known = members.join(classes, "comp").select("node", "class_id", "class_node", "class_size", "n_links")
-    return rows.select("k", "node").join(known, "node").select(F.col("k").alias(key), "node", "class_id", "class_node", "class_size", "n_links")
+    known = members.join(classes, "comp").select("node", "class_id", "class_node", "class_size")
+    return rows.select("k", "node").join(known, "node").select(F.col("k").alias(key), "node", "class_id", "class_node", "class_size")
 
 
 def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -145,7 +145,7 @@ ORACLES: dict[str, str] = {
         r AS (SELECT n, n AS m FROM n UNION SELECT r.n, e.b FROM r JOIN e ON e.a = r.m),
         c AS (SELECT n, min(m) AS c FROM r GROUP BY n),
         k AS (SELECT c, min(first) AS class_id, CAST(sum(copies) AS BIGINT) AS class_size FROM c JOIN n USING (n) GROUP BY c)
-        SELECT doc_id, class_id, class_size, (SELECT count(*) FROM e WHERE e.a = n.n) AS n_links
+        SELECT doc_id, class_id, class_size
         FROM d JOIN n USING (t) JOIN c USING (n) JOIN k USING (c)""",
     "op7_chat_round_trip": r"""
         WITH c AS (

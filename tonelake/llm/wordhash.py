@@ -1,8 +1,9 @@
 """Vectorised hashing of the words of many texts.
 
-Words are maximal runs of bytes outside 0x09-0x0D and 0x20. A word's hash is a polynomial over random
-values of its bytes, and the hash of a run of words is a polynomial over the mixed hashes of its words, all modulo
-2**64, so that prefix sums give the hash of any run at once.
+Words are maximal runs of bytes outside 0x09-0x0D and 0x20. A word's hash is the sum of random
+numbers, one for each pair of a byte and its place in the word, and the hash of ``n`` consecutive
+words mixes those of its halves. Neither is a polynomial modulo 2**64, for which regular texts are
+known that always collide.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+STEP = U(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,38 +25,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
+BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * STEP)
+LEFT = U(0xD6E8FEB86659FD93)
 
 
-def odd(seed: int) -> int:
-    return int(mix(np.array([seed], dtype=np.uint64))[0]) | 1
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * LEFT + right)
 
 
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i below n at least; the largest table asked for is kept."""
-    if base not in _tables or len(_tables[base][0]) < n:
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            steps = np.full(1 << max(12, int(n).bit_length()), b, dtype=np.uint64)
-            steps[0] = 1
-            out.append(np.multiply.accumulate(steps))
-        _tables[base] = out[0], out[1]
-    return _tables[base]
-
-
-class Runs:
-    """Hashes of runs of consecutive items, from the items' hashes."""
-
-    def __init__(self, items: np.ndarray, base: int):
-        self.up, self.down = powers(base, len(items) + 1)
-        self.sums = np.zeros(len(items) + 1, dtype=np.uint64)
-        np.cumsum(items * self.up[: len(items)], out=self.sums[1:])
-
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+def of_runs(items: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of each ``n`` consecutive items, by doubling."""
+    out, done, power, width = None, 0, items, 1
+    while True:
+        if n & width:
+            out = power if out is None else joined(out[: max(0, len(power) - done)], power[done:])
+            done += width
+        if done == n:
+            return out[: max(0, len(items) - n + 1)]
+        power = joined(power[: max(0, len(power) - width)], power[width:])
+        width *= 2
 
 
 class Words:
@@ -66,10 +55,14 @@ class Words:
         edge = space[1:] != space[:-1]
         at = np.flatnonzero(edge) + 1
         starts, ends = at[::2], at[1::2]
+        letters = buf[~space]
         if lower:
-            buf = LOWER[buf]
-        values = BYTE_VALUES[buf]
-        self.hash = Runs(values, odd(1) & ~6 | 4)(starts, ends) if len(starts) else np.zeros(0, dtype=np.uint64)
+            letters = LOWER[letters]
+        size = ends - starts
+        begin = np.cumsum(size) - size
+        place = (np.arange(len(letters)) - np.repeat(begin, size)).astype(np.uint64)
+        values = mix(BYTE_VALUES[letters] + place * STEP)
+        self.hash = mix(np.add.reduceat(values, begin) + size.astype(np.uint64)) if len(starts) else np.zeros(0, dtype=np.uint64)
         begins = 1 + np.cumsum([0, *[len(r) + 1 for r in raw]])
         self.first = np.searchsorted(starts, begins[:-1])
         self.count = np.searchsorted(starts, begins[1:]) - self.first
@@ -79,6 +72,23 @@ class Words:
         return len(self.hash)
 
 
+def word_ids(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts as numbers, the same only for equal words, and each text's count of words."""
+    known: dict[bytes, int] = {}
+    ids: list[int] = []
+    count = np.zeros(len(raw), dtype=np.int64)
+    for i, r in enumerate(raw):
+        words = r.split()
+        count[i] = len(words)
+        ids += [known.setdefault(w, len(known)) for w in words]
+    return np.array(ids, dtype=np.int64), count
+
+
+def numbered(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Numbers from 0 that order the pairs, the same only for equal ones. The parts are below 2**31."""
+    return np.unique(left * (int(right.max(initial=0)) + 1) + right, return_inverse=True)[1]
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` consecutive values."""
     out, done = values, 1
