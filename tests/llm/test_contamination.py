@@ -1,5 +1,8 @@
 import re
 
+from pyspark.sql import functions as F
+
+from tonelake.llm import contamination
 from tonelake.llm.contamination import contained_items
 
 
@@ -49,6 +52,27 @@ def test_empty_tables(spark, clashing, prose):
 def test_blocks_give_the_same(spark, clashing, prose, monkeypatch):
     import tonelake.llm.contamination as c
 
-    monkeypatch.setattr(c, "BLOCK_SHINGLES", 60)
+    monkeypatch.setattr(c, "SKETCH_ROWS", 12)
+    monkeypatch.setattr(c, "CANDIDATE_ROWS", 0)
     items = [(i, prose(i, 30)) for i in range(8)]
     check(spark, [(i, prose(i % 9, 30)) for i in range(40)], clashing, items)
+
+
+def test_rows_of_one_item_are_sketched_together(spark, clashing, prose):
+    # the sketch of a row alone would be larger than that of the whole item, and of other shingles
+    parts = [prose(40 + i, 9) for i in range(16)]
+    items = [(1, p) for p in parts] + [(2, prose(3, 40)), (2, prose(3, 40)), (2, prose(4, 20))]
+    docs = [(i, " | ".join(parts[:i])) for i in range(9, 17)] + [(100, prose(3, 40) + " " + prose(4, 20)), (101, prose(3, 40))]
+    check(spark, docs, clashing, items)
+
+
+def test_sketches_leave_documents_out(spark, clashing, prose):
+    items = spark.createDataFrame([(i, prose(i, 60)) for i in range(20)], "item long, text string").select("item", contamination.words(F.col("text")).alias("w"))
+    sketch = contamination.sketches(items, 0.8)
+    assert {r["count"] for r in sketch.groupBy("item").count().collect()} == {int(64 * 0.2 + 0.01) + 1}
+    # each document holds a few words of an item, so without sketches all were candidates
+    docs = clashing([(100 * i + j, " ".join(prose(i, 60).split()[j : j + 6])) for i in range(20) for j in range(0, 54, 3)])
+    docs = docs.select(F.col("doc_id").alias("doc"), contamination.words(F.col("text")).alias("w"))
+    every = items.select("item", F.explode(contamination.hashes(F.col("w"))).alias("h")).distinct()
+    n = contamination.candidates(docs, sketch).count()
+    assert 0 < n < 0.7 * contamination.candidates(docs, every).count()

@@ -4,24 +4,27 @@ A test item's shingles in the order of their hashes are its MinHash sketch. Item
 size, and the sketch of a partition holds just so many least hashes that a document that contains
 ``threshold`` of the item must hold one of them: with at most ``u`` shingles, ``floor((1 - threshold)
 * u) + 1``. So long documents need no sketch of their own, which would be blind to short items, and no
-contained item is missed. A document is a candidate if one of its shingles is in a sketch, and
-candidates are verified by exact containment: the part of the item's distinct shingles that the
-document holds.
+contained item is missed.
 
-Documents stream past a broadcast table of shingle hashes of at most ``BLOCK_SHINGLES`` rows; a larger
-benchmark is taken in blocks of items, each with a scan of its own.
+First all documents stream past a broadcast table of the sketches, of at most ``SKETCH_ROWS`` rows; a
+larger benchmark is taken in blocks of items, each with a scan of its own. A document that holds a
+shingle of a sketch is a candidate for the item. Then the candidates alone are read again and verified
+by exact containment: the part of the item's distinct shingles, compared word by word, that the
+document holds.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonelake.llm.common import written
+
 WORDS, THRESHOLD = 5, 0.8
-#: Rows of the broadcast table: 32 bytes each.
-BLOCK_SHINGLES = 2_000_000
+#: Rows of the broadcast table of sketches (24 bytes each), and of candidates that are broadcast.
+SKETCH_ROWS, CANDIDATE_ROWS = 2_000_000, 200_000
 
 
 def words(text: Column) -> Column:
@@ -29,11 +32,21 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\p{M}]+"), "")
 
 
-def shingles(w: Column, n: int = WORDS) -> Column:
-    """Hashes of the runs of ``n`` words, as they follow, repeats included. ``w`` must be a column of its
+def runs(w: Column, make, n: int = WORDS) -> Column:
+    """``make`` of the runs of ``n`` words, as they follow, repeats included. ``w`` must be a column of its
     own: an expression would be evaluated again for each run."""
     starts = F.slice(w, F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(0)))
-    return F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, n)]))
+    return F.transform(starts, lambda x, i: make(x, *[F.get(w, i + j) for j in range(1, n)]))
+
+
+def shingles(w: Column) -> Column:
+    """The runs of words as texts."""
+    return runs(w, lambda *x: F.concat_ws(" ", *x))
+
+
+def hashes(w: Column) -> Column:
+    """Hashes of the runs of words, for sketches."""
+    return runs(w, F.xxhash64)
 
 
 def sketch_size(size: Column, threshold: float) -> Column:
@@ -43,11 +56,20 @@ def sketch_size(size: Column, threshold: float) -> Column:
     return (F.floor(upper * (1 - threshold) + 0.01) + 1).cast("int")
 
 
-def item_table(items: DataFrame, threshold: float, *, key: str, text: str) -> DataFrame:
-    """One row for each distinct shingle of each item: hash, item, its size, and whether it is in the sketch."""
-    split = items.select(items[key].alias("item"), words(items[text]).alias("w"))
-    rows = split.select("item", F.array_sort(F.array_distinct(shingles(F.col("w")))).alias("s")).withColumn("size", F.size("s")).filter("size > 0 and item is not null")
-    return rows.select("item", "size", F.posexplode("s").alias("place", "h")).select("h", "item", "size", (F.col("place") < sketch_size(F.col("size"), threshold)).alias("least"))
+def sketches(split: DataFrame, threshold: float) -> DataFrame:
+    """Rows (h, item): the least hashes of each item of ``split(item, w)``, over all rows of the item."""
+    whole = split.select("item", F.explode(F.array_distinct(hashes(F.col("w")))).alias("h")).distinct()
+    place = F.row_number().over(Window.partitionBy("item").orderBy("h"))
+    size = whole.groupBy("item").agg(F.count("*").alias("size"))
+    return whole.withColumn("place", place).join(size, "item").filter(F.col("place") <= sketch_size(F.col("size"), threshold)).select("h", "item")
+
+
+def candidates(docs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Distinct rows (doc, item) where a document of ``docs(doc, w)`` holds a shingle of the item's sketch."""
+    blocks = max(1, -(-sketch.count() // SKETCH_ROWS))
+    held = docs.select("doc", F.explode(hashes(F.col("w"))).alias("h"))
+    parts = [sketch.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, [held.join(F.broadcast(part), "h").select("doc", "item") for part in parts]).distinct()
 
 
 def contained_items(docs: DataFrame, items: DataFrame, *, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -59,21 +81,16 @@ def contained_items(docs: DataFrame, items: DataFrame, *, threshold: float = THR
     key take no part. Rows that repeat a document's key count as one document of all their shingles, and rows that repeat an
     item's key as one item likewise. Other columns take no part.
     """
-    table = item_table(items, threshold, key=item_key, text=item_text)
-    # rows of one item meet here: its size is counted anew over all of them
-    whole = table.groupBy("item", "h").agg(F.max("size").alias("size"), F.max("least").alias("least"))
-    sizes = whole.groupBy("item").agg(F.count("*").cast("int").alias("size"), F.max("size").alias("largest"))
-    whole = whole.drop("size").join(sizes, "item")
-    total = whole.count()
-    blocks = max(1, -(-total // BLOCK_SHINGLES))
-    found = []
-    split = docs.select(docs[key].alias("doc"), words(docs[text]).alias("w")).filter("doc is not null")
-    held = split.select("doc", F.explode(shingles(F.col("w"))).alias("h"))
-    for block in range(blocks):
-        part = whole.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).select("h", "item", "size", "least")
-        hits = held.join(F.broadcast(part), "h")
-        seen = hits.groupBy("doc", "item", "h").agg(F.max("size").alias("size"), F.max("least").alias("least"))
-        pairs = seen.groupBy("doc", "item").agg(F.count("*").alias("shared"), F.max("size").alias("size"), F.max("least").alias("candidate"))
-        found.append(pairs.filter("candidate").filter(F.col("shared") >= F.lit(threshold) * F.col("size") - F.lit(1e-9)))
-    out = reduce(DataFrame.unionByName, found)
+    asked = items.select(items[item_key].alias("item"), words(items[item_text]).alias("w")).filter("item is not null")
+    split = docs.select(docs[key].alias("doc"), docs[text].alias("text")).filter("doc is not null")
+    found = written(candidates(split.select("doc", words(F.col("text")).alias("w")), sketches(asked, threshold)), "candidates")
+
+    wanted = found.select("doc").distinct()
+    few = found.count() <= CANDIDATE_ROWS
+    again = split.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi").select("doc", words(F.col("text")).alias("w"))
+    held = again.select("doc", F.explode(shingles(F.col("w"))).alias("s")).distinct()
+    of_item = asked.select("item", F.explode(F.array_distinct(shingles(F.col("w")))).alias("s")).distinct()
+    size = of_item.groupBy("item").agg(F.count("*").alias("size"))
+    shared = found.join(of_item, "item").join(held, ["doc", "s"]).groupBy("doc", "item").agg(F.count("*").alias("shared"))
+    out = shared.join(size, "item").filter(F.col("shared") >= F.lit(threshold) * F.col("size") - F.lit(1e-9))
     return out.select(F.col("doc").alias(key), F.col("item").alias(item_key), F.col("shared").cast("long").alias("shared"), F.col("size").cast("long").alias("size"), (F.col("shared") / F.col("size")).alias("containment"))
