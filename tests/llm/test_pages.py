@@ -1,8 +1,16 @@
+import collections
+import random
+
 import pytest
 
+from tonelake.llm import pages
 from tonelake.llm.pages import extract_pages, parse
 
 
+def texts(html):
+    return [text for text, stays, _ in parse(html)[0] if stays]
+
+
 @pytest.mark.parametrize(
     ("html", "blocks"),
     [
@@ -21,12 +29,12 @@ from tonelake.llm.pages import extract_pages, parse
     ],
 )
 def test_blocks(html, blocks):
-    assert [" ".join(b.split()) for b in parse(html)[0]] == blocks
+    assert texts(html) == blocks
 
 
 def test_long_and_deep():
-    assert parse("<p>" + "word " * 200_000)[0] == [("word " * 200_000).strip()]
-    assert parse("<div>" * 900 + "x" + "</div>" * 900)[0] == ["x"]
+    assert texts("<p>" + "word " * 200_000) == [("word " * 200_000).strip()]
+    assert texts("<div>" * 900 + "x" + "</div>" * 900) == ["x"]
 
 
 def page(i, body):
@@ -63,3 +71,33 @@ def test_template_share_is_the_same_on_a_large_host(spark):
     rows = [(i, "http://large.example/", "".join(f"<p>{x}</p>" for x in lines(i))) for i in range(600)]
     got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: "\n".join(x for x in lines(i) if x != "A site notice") for i in range(600)}
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 0])
+def test_host_counts_decide_like_brute_force(spark, monkeypatch, rows):
+    # nothing in the markup tells the boxes apart: only how many pages of the host hold them
+    monkeypatch.setattr(pages, "TEMPLATE_ROWS", rows)
+    r = random.Random(4)
+    table = []
+    for host, n in (("a.example", 90), ("b.example", 30), ("c.example", 4), ("d.example", 2)):
+        boxes = {f"{host} box {k} in {share}": share for k, share in enumerate([0.9, 0.5, 0.12, 0.06, 0.04, 0.02, 0.02])}
+        for i in range(n):
+            lines = [b for b, share in boxes.items() if r.random() < share] + [f"own line {host} {i} {j}" for j in range(3)]
+            r.shuffle(lines)
+            table.append((len(table), f"https://{host}/{i}", host, lines))
+    pages_of, holds = collections.Counter(h for _, _, h, _ in table), collections.Counter((h, x) for _, _, h, lines in table for x in set(lines))
+    template = {k for k, n in holds.items() if n >= 3 and n >= 0.05 * pages_of[k[0]]}
+    assert len(template) > 5
+    df = spark.createDataFrame([(i, u, "<body>" + "".join(f"<div><span>{x}</span></div>" for x in lines) + "</body>") for i, u, _, lines in table], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_pages(df).collect()}
+    assert got == {i: "\n".join(x for x in lines if (h, x) not in template) for i, _, h, lines in table}
+
+
+def test_template_goes_without_telling_markup(spark, monkeypatch):
+    # with all knowledge of element and class names taken away, counts alone find menus, adverts and footers
+    monkeypatch.setattr(pages, "DROPPED", frozenset())
+    monkeypatch.setattr(pages, "MARKS", frozenset())
+    monkeypatch.setattr(pages, "CONTENT", frozenset())
+    html = "<nav><ul><li><a>home</a></li><li><a>news</a></li></ul></nav><div class=ad>buy {ad}</div><article><h1>Title {i}</h1><p>story {i}</p></article><footer>&copy; example</footer>"
+    df = spark.createDataFrame([(i, "http://x.example/", html.format(i=i, ad=i % 4)) for i in range(40)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract_pages(df).collect()} == {i: f"Title {i}\nstory {i}" for i in range(40)}

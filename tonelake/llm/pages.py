@@ -1,10 +1,12 @@
 """Main text of web pages by site template removal.
 
-Each page is parsed once into its text blocks. Every element outside the page's prose is a subtree
-with a hash of its shape and text; Spark counts in how many pages of a host each hash stands, and
-subtrees that recur across many of the host's pages are deleted with the blocks in them. What such
-counts cannot tell on hosts of few pages is left to the markup: elements whose tag, role or class
-says that they are navigation, notices, adverts, forms or comments go in any case.
+Each page is parsed once into all its visible text blocks. Every block element outside the page's
+prose is a subtree with a hash of its shape and text; Spark counts in how many pages of a host each
+hash stands, and subtrees that recur across many of the host's pages are deleted with the blocks in
+them. Then the markup decides on what such counts cannot show, as on hosts of few pages or for
+comments, which differ from page to page: of the blocks that are left, those go that stand in
+elements whose tag, role or class says that they are navigation, notices, adverts, forms or comments,
+and, in a page with an article or main element, those outside it.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.llm.common import kept, small_batches
+from tonelake.llm.common import kept, small_batches, written
 
 #: A subtree is template if it stands in MIN_PAGES of its host and in MIN_SHARE of all the host's pages.
 MIN_PAGES, MIN_SHARE = 3, 0.05
+#: Subtrees of all hosts' templates that are broadcast; of more, each page is sent its own.
+TEMPLATE_ROWS = 1_000_000
 
 # Element names of the HTML standard, by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -30,9 +34,9 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
-DROPPED = frozenset(
-    "script style textarea title xmp iframe noembed noframes noscript template head nav footer aside form button select option datalist menu dialog object svg canvas audio video map search".split()
-)
+#: Never shown, or not as text; and elements that are not the article, whatever they hold.
+UNSEEN = frozenset("script style textarea title xmp iframe noembed noframes noscript template head datalist object svg canvas audio video map".split())
+DROPPED = frozenset("nav footer aside form button select option menu dialog search".split())
 ENDS_P = BLOCKS - frozenset("body caption head html legend optgroup option tbody td tfoot th thead title tr".split())
 # Words of class, id and role names that mark what is not the article.
 MARKS = frozenset(
@@ -60,12 +64,12 @@ SIBLINGS = {
 
 
 class Node:
-    """An open element: whether its text goes by its markup, and what its subtree's hash is made of."""
+    """An open element: whether its text is never seen or goes by its markup, and what its subtree's hash is made of."""
 
-    __slots__ = ("tag", "dropped", "inside", "shape", "order", "chars", "linked", "holds")
+    __slots__ = ("tag", "unseen", "dropped", "inside", "shape", "order", "chars", "linked", "holds")
 
-    def __init__(self, tag: str, dropped: bool, inside: bool, order: int):
-        self.tag, self.dropped, self.inside, self.order = tag, dropped, inside, order
+    def __init__(self, tag: str, unseen: bool, dropped: bool, inside: bool, order: int):
+        self.tag, self.unseen, self.dropped, self.inside, self.order = tag, unseen, dropped, inside, order
         self.shape = xxhash.xxh64(tag)
         self.chars = self.linked = 0
         self.holds = False
@@ -84,28 +88,30 @@ def marked(attributes: str) -> bool:
     return False
 
 
-def parse(html: str) -> tuple[list[str], list[list[int]], list[int]]:
-    """The page's blocks that its markup leaves, for each the hashes of the candidate subtrees around
-    it, and the hashes of all its candidate subtrees.
+def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
+    """The page's blocks: text, whether the markup leaves it, and the hashes of the candidate subtrees
+    around it; and the hashes of all candidate subtrees.
 
-    In an article or main element only lists of links are candidates, so that prose stays however
-    often it recurs; in a page without prose in such an element every subtree is one.
+    In an article or main element only lists of links, and what goes by its markup, are candidates, so
+    that prose stays however often it recurs; elsewhere every subtree without such prose is one.
     """
-    stack = [Node("#root", False, False, 0)]
-    blocks: list[tuple[str, list[int], bool]] = []
+    stack = [Node("#root", False, False, False, 0)]
+    blocks: list[tuple[str, list[int], bool, bool]] = []
     nodes: dict[int, tuple[int, bool]] = {}
     line: list[str] = []
+    gone: list[str] = []  # of the same block, but in an element that goes by its markup
     count = 1
 
     def flush() -> None:
-        text = " ".join("".join(line).split())
-        line.clear()
-        if text:
-            blocks.append((text, [x.order for x in stack[1:]], stack[-1].inside))
+        for part, dropped in ((line, False), (gone, True)):
+            text = " ".join("".join(part).split())
+            part.clear()
+            if text:
+                blocks.append((text, [x.order for x in stack[1:]], stack[-1].inside, dropped))
 
     def close() -> None:
         node = stack[-1]
-        if line and node.tag in BLOCKS:
+        if (line or gone) and node.tag in BLOCKS:
             flush()
         stack.pop()
         code = node.shape.intdigest()
@@ -114,8 +120,8 @@ def parse(html: str) -> tuple[list[str], list[list[int]], list[int]]:
         up.chars += node.chars
         up.linked += node.chars if node.tag == "a" else node.linked
         up.holds |= node.holds or (node.inside and not up.inside)
-        if node.chars and node.tag in BLOCKS and node.tag not in ("html", "body"):
-            nodes[node.order] = (code, not node.holds and (not node.inside or (node.tag not in CONTENT and 2 * node.linked > node.chars)))
+        if node.chars and not node.unseen and node.tag in BLOCKS and node.tag not in ("html", "body"):
+            nodes[node.order] = (code, not node.holds and (not node.inside or node.dropped or (node.tag not in CONTENT and 2 * node.linked > node.chars)))
 
     def words(text: str) -> None:
         if "&" in text:
@@ -125,8 +131,8 @@ def parse(html: str) -> tuple[list[str], list[list[int]], list[int]]:
         if seen:
             top.shape.update(seen.encode("utf-8", "surrogatepass"))
             top.chars += len(seen)
-        if not top.dropped:
-            line.append(text)
+        if not top.unseen:
+            (gone if top.dropped else line).append(text)
 
     at, end = 0, len(html)
     while at < end:
@@ -141,18 +147,18 @@ def parse(html: str) -> tuple[list[str], list[list[int]], list[int]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if line and tag in BLOCKS:
+            if (line or gone) and tag in BLOCKS:
                 flush()
             if stack[-1].tag == tag or any(x.tag == tag for x in stack[1:]):
                 while stack[-1].tag != tag:
                     close()
                 close()
             continue
-        if line and (tag in BLOCKS or tag == "hr"):
+        if (line or gone) and (tag in BLOCKS or tag == "hr"):
             flush()
         if tag in VOID:
-            if tag == "br" and not stack[-1].dropped:
-                line.append(" ")
+            if tag == "br" and not stack[-1].unseen:
+                (gone if stack[-1].dropped else line).append(" ")
             stack[-1].shape.update(tag.encode())
             continue
         if tag in ENDS_P:  # a new block ends an open paragraph and the inline elements left open in it
@@ -176,7 +182,8 @@ def parse(html: str) -> tuple[list[str], list[list[int]], list[int]]:
         # an article's own header holds its headline; an article within an article is a reader's comment
         dropped = up.dropped or tag in DROPPED or (tag == "header" and not up.inside) or (tag == "article" and any(x.tag == "article" for x in stack))
         dropped = dropped or (len(m[3]) > 3 and tag not in ("html", "body", "main") and marked(m[3]))
-        stack.append(Node(tag, dropped, up.inside or (tag in CONTENT and not dropped), count))
+        unseen = up.unseen or tag in UNSEEN
+        stack.append(Node(tag, unseen, dropped or unseen, up.inside or (tag in CONTENT and not dropped and not unseen), count))
         count += 1
         if tag in RAW:
             m = ENDS_RAW[tag].search(html, at)
@@ -185,13 +192,10 @@ def parse(html: str) -> tuple[list[str], list[list[int]], list[int]]:
     while len(stack) > 1:
         close()
     flush()
-    prose = any(inside for _, _, inside in blocks)
-    texts, around = [], []
-    for text, orders, inside in blocks:
-        if inside or not prose:
-            texts.append(text)
-            around.append([signed(nodes[o][0]) for o in orders if o in nodes and (nodes[o][1] or not prose)])
-    return texts, around, list({signed(code) for code, may in nodes.values() if may or not prose})
+    prose = any(inside and not dropped for _, _, inside, dropped in blocks)
+    may = {o: signed(code) for o, (code, candidate) in nodes.items() if candidate or not prose}
+    found = [(text, not dropped and (inside or not prose), [may[o] for o in orders if o in may]) for text, orders, inside, dropped in blocks]
+    return found, list(set(may.values()))
 
 
 def signed(code: int) -> int:
@@ -210,31 +214,32 @@ def extract_pages(pages: DataFrame, *, key: str = "page_id", url: str = "url", h
     types = {f.name: f.dataType.simpleString() for f in pages.schema}
     host = F.lower(F.regexp_extract(F.coalesce(pages[url].cast("string"), F.lit("")), r"^[^/?#]*//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(pages[key].alias("k"), pages[url].alias("u"), host.alias("host"), pages[html].alias("html"))
-    block = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))
+    block = pa.list_(pa.struct([("text", pa.string()), ("stays", pa.bool_()), ("around", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [parse(h) if h else ([], [], []) for h in b.column(3).to_pylist()]
-            blocks = [[{"text": t, "around": a} for t, a in zip(p[0], p[1], strict=True)] for p in found]
+            found = [parse(h) if h else ([], []) for h in b.column(3).to_pylist()]
+            blocks = [[{"text": t, "stays": s, "around": a} for t, s, a in p[0]] for p in found]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(blocks, block), pa.array([p[2] for p in found], pa.list_(pa.int64()))],
+                [b.column(0), b.column(1), b.column(2), pa.array(blocks, block), pa.array([p[1] for p in found], pa.list_(pa.int64()))],
                 names=["k", "u", "host", "blocks", "subtrees"],
             )
 
-    shape = f"k {types[key]}, u {types[url]}, host string, blocks array<struct<text: string, around: array<bigint>>>, subtrees array<bigint>"
+    shape = f"k {types[key]}, u {types[url]}, host string, blocks array<struct<text: string, stays: boolean, around: array<bigint>>>, subtrees array<bigint>"
     parsed = kept(rows.mapInArrow(run, shape).withColumn("row", F.monotonically_increasing_id()))
 
     sizes = parsed.groupBy("host").agg(F.count("*").alias("pages"))
     counts = parsed.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_PAGES)
-    template = counts.join(sizes, "host").filter(F.col("n") >= F.col("pages") * MIN_SHARE).select("host", "subtree")
-    # only blocks that stand in a candidate subtree can go
-    open_pages = F.exists("blocks", lambda b: F.size(b["around"]) > 0)
-    standing = parsed.filter(open_pages).select("host", "row", F.explode(F.array_distinct(F.flatten("blocks.around"))).alias("subtree"))
-    deleted = standing.join(template, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("deleted"))
-
-    text = lambda blocks: F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")
-    left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], F.coalesce("deleted", F.array().cast("array<bigint>"))))
-    rest = parsed.filter(open_pages).join(deleted, "row", "left").withColumn("left", left)
-    rest = rest.select("k", "u", text(F.when(F.size("left") > 0, F.col("left")).otherwise(F.col("blocks"))).alias("text"))
-    whole = parsed.filter(~open_pages).select("k", "u", text(F.col("blocks")).alias("text"))
-    return whole.unionByName(rest).select(F.col("k").alias(key), F.col("u").alias(url), "text")
+    template = written(counts.join(sizes, "host").filter(F.col("n") >= F.col("pages") * MIN_SHARE).select("host", "subtree"), "template")
+    if template.count() <= TEMPLATE_ROWS:  # of a host at most 1 / MIN_SHARE times the subtrees of a page
+        deleted, by = F.broadcast(template.groupBy("host").agg(F.collect_set("subtree").alias("deleted"))), "host"
+    else:
+        standing = parsed.select("host", "row", F.explode("subtrees").alias("subtree"))
+        deleted, by = standing.join(template, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("deleted")), "row"
+
+    # the template goes first, then what the markup says of the rest
+    none = F.array().cast("array<bigint>")
+    left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], F.coalesce("deleted", none)) & b["stays"])
+    rest = F.when(F.size("left") > 0, F.col("left")).otherwise(F.filter("blocks", lambda b: b["stays"]))
+    shown = parsed.join(deleted, by, "left").withColumn("left", left)
+    return shown.select(F.col("k").alias(key), F.col("u").alias(url), F.array_join(F.transform(rest, lambda b: b["text"]), "\n").alias("text"))
