@@ -1,9 +1,11 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tonelake.llm.topk import top_k
+from tonelake.llm import topk
+from tonelake.llm.topk import essential_from, maxscore, top_k
 
 
 def brute(rows, k):
@@ -45,3 +47,27 @@ def test_fewer_than_k_and_none(spark):
     assert run(spark, [(0, [1.0])], 5) == set()
     assert run(spark, [], 5) == set()
     assert run(spark, [(1, [1.0]), (2, [1.0])], 5) == set()
+
+
+def test_fewer_terms_are_essential_as_results_come_in(monkeypatch):
+    # one query against vectors in two steps: what is traversed at the second is a part of the terms
+    assert [essential_from(np.array([1.0, 3.0, 6.0, 10.0]), room) for room in (0.5, 1.0, 5.9, 6.0, 99.0)] == [0, 1, 2, 3, 4]
+    seen = []
+    monkeypatch.setattr(topk, "essential_from", lambda sums, room: seen.append(essential_from(sums, room)) or seen[-1])
+    r = np.random.default_rng(3)
+    block = np.floor(r.normal(size=(6 * topk.STEP, 32)) * (256 * 0.7 ** np.arange(32))).astype(np.int64)
+    q = block[:3]
+    for own, ids, scores in maxscore(q, np.arange(3), block, np.arange(len(block)), 5):
+        full = block @ q[own]
+        want = sorted((-int(s), i) for i, s in enumerate(full) if i != own)[:5]
+        assert [(-int(s), int(i)) for s, i in zip(scores, ids)] == want
+    assert len(seen) == 15 and min(seen) > 8
+
+
+def test_many_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "STEP", 16)
+    monkeypatch.setattr(topk, "BLOCK", 100)
+    r = random.Random(2)
+    f = lambda x: float(np.float32(x))
+    rows = [(i, [f(r.gauss(0, 1) * (1 if j < 4 else 0.02)) for j in range(24)]) for i in range(400)] + [(400 + i, [0.0] * 24) for i in range(4)]
+    assert run(spark, rows, 5) == brute(rows, 5)

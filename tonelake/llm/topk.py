@@ -1,9 +1,12 @@
 """Exact top-k by inner product with MaxScore over blocks of vectors.
 
-Every dimension is a term; a block of vectors holds for each term its values and their bounds. A
-query's terms are ordered by how far they can move a score; the essential ones are traversed for all
-vectors of the block, and the others are probed only for vectors whose score can still reach the k-th
-best found so far. The shards' lists are merged.
+Every dimension is a term; a block of vectors holds for each term its values and their bounds. What a
+term adds to a score is counted from the least that it can add, so no term takes anything away. Once
+a query has ``k`` results, its terms of least weight whose bounds together cannot lift a vector over
+the k-th score are non-essential. Only vectors in a posting of an essential term, where they add more
+than the least, are traversed; the non-essential terms are probed, from the heaviest on, for those that
+can still compete. The k-th score rises from step to step, so ever fewer terms are essential. The
+shards' lists are merged.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from tonelake.llm.common import kept, small_batches
 
 #: Vectors of a block, queries of a block, and vectors between two updates of a query's threshold.
 BLOCK, QUERY_BLOCK, STEP = 8192, 2048, 1024
-#: Terms that are probed between two tests of the vectors that are left.
+#: Non-essential terms that are probed between two tests of the vectors that are left.
 PROBE = 8
 LONG = np.iinfo(np.int64)
 
@@ -38,38 +41,45 @@ def matrix(vectors: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+def essential_from(bounds: np.ndarray, room) -> int:
+    """How many terms, of rising bounds with these running sums, are non-essential: together they add ``room`` at most."""
+    return int(np.searchsorted(bounds, room, side="right"))
+
+
 def maxscore(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query: its id, and the ids and scores of its k best of the block, ties to smaller ids."""
     order = np.argsort(ids, kind="stable")
     block, ids = block[order], ids[order]
-    wide = float(np.abs(block).max(initial=0).astype(float)) * float(np.abs(queries).max(initial=0).astype(float)) * max(1, block.shape[1]) >= 2.0**62
-    if wide:  # scores that a long cannot hold are counted exactly and then held to its range
-        block, queries = block.astype(object), queries.astype(object)
+    most = float(np.abs(block).max(initial=0).astype(float)) * float(np.abs(queries).max(initial=0).astype(float)) * max(1, block.shape[1])
+    # doubles hold such integers exactly; scores that a long cannot hold are counted exactly and then held to its range
+    kind = np.float64 if most < 2.0**52 else np.int64 if most < 2.0**62 else object
+    block, queries = block.astype(kind), queries.astype(kind)
     low, high = block.min(axis=0, initial=LONG.max), block.max(axis=0, initial=LONG.min)
     for q, own in zip(queries, query_ids, strict=True):
-        most, least = np.maximum(q * low, q * high), np.minimum(q * low, q * high)
-        terms = np.argsort(-(most - least), kind="stable")
-        terms = terms[q[terms] != 0]
-        rest = np.r_[np.cumsum(most[terms][::-1])[::-1], 0]  # what the terms from here on can add at most
-        best_ids, best = np.zeros(0, dtype=ids.dtype), np.zeros(0, dtype=block.dtype)
+        least, bound = np.minimum(q * low, q * high), np.abs(q * high - q * low)
+        terms = np.argsort(bound, kind="stable")
+        sums, base = np.cumsum(bound[terms]), least.sum()
+        best_ids, best = np.zeros(0, dtype=ids.dtype), np.zeros(0, dtype=kind)
         for start in range(0, len(ids), STEP):
             at = np.arange(start, min(start + STEP, len(ids)))
             at = at[ids[at] != own]
-            score = np.zeros(len(at), dtype=block.dtype)
-            floor = best.min() if len(best) == k else None
-            done = 0
-            while done < len(terms) and len(at):
-                take = terms[done : done + PROBE]
-                score = score + block[np.ix_(at, take)] @ q[take]
-                done += len(take)
-                if floor is not None:
-                    # an equal score can't enter any more: ids rise from step to step
-                    alive = score + rest[done] > floor
-                    at, score = at[alive], score[alive]
-            best_ids, best = np.r_[best_ids, ids[at]], np.r_[best, score]
+            # an equal score can't enter any more: ids rise from step to step
+            room = best.min() if len(best) == k else None
+            done = 0 if room is None else essential_from(sums, room)
+            essential = terms[done:]
+            added = block[np.ix_(at, essential)] @ q[essential] - least[essential].sum()
+            while room is not None:
+                alive = added + (sums[done - 1] if done else 0) > room
+                at, added = at[alive], added[alive]
+                if not done or not len(at):
+                    break
+                take = terms[max(0, done - PROBE) : done]
+                added = added + (block[np.ix_(at, take)] @ q[take] - least[take].sum())
+                done -= len(take)
+            best_ids, best = np.r_[best_ids, ids[at]], np.r_[best, added]
             top = np.lexsort((best_ids, -best))[:k]
             best_ids, best = best_ids[top], best[top]
-        yield own, best_ids, np.clip(best, LONG.min, LONG.max).astype(np.int64) if wide else best
+        yield own, best_ids, np.clip(best + base, LONG.min, LONG.max).astype(np.int64) if kind is object else (best + base).astype(np.int64)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
