@@ -50,3 +50,7 @@ def test_empty(spark):
 @given(st.lists(st.text(alphabet="<|\\>im_startend\nx😀", max_size=30), min_size=1, max_size=25))
 def test_any_text(spark, texts):
     check(spark, [(i % 5, i, ["user", "assistant"][i % 2], t) for i, t in enumerate(texts)])
+
+
+def test_long_conversation(spark):
+    check(spark, [(1, t, ["user", "assistant"][t % 2], f"turn {t} <|im_end|>") for t in range(1500)])

@@ -8,7 +8,7 @@ every ``<|``, ``<\\|``, ``<\\\\|``..., and reading takes one off, so it is rever
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE, MASKED = "<|im_start|>", "<|im_end|>\n", "assistant"
@@ -73,16 +73,16 @@ def formatted(rows: DataFrame, *, conv: str = "conv_id", turn: str = "turn", rol
         turns = turns.withColumn("r", r).withColumn("x", x).withColumn("wrong", ~same)
         plain = F.col("wrong")
     turns = turns.withColumn("x", F.when(F.col("wrong"), F.raise_error(F.lit("a turn does not survive the round trip"))).otherwise(F.col("x")))
-    whole = turns.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("t", "role", "text", "r", "x"))).alias("turns"))
+    # where each turn starts: all that stands before it, added up once
+    before = Window.partitionBy("c").orderBy("t", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumn("s", F.coalesce(F.sum(F.length(render(F.col("r"), F.col("x")))).over(before), F.lit(0)).cast("int"))
+    whole = turns.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("t", "role", "text", "s", "r", "x"))).alias("turns"))
     rendered = F.array_join(F.transform("turns", lambda t: render(t["r"], t["x"])), "")
-    lengths = F.transform("turns", lambda t: F.length(render(t["r"], t["x"])))
-    whole = whole.select(F.col("c").alias(conv), rendered.alias("rendered"), F.col("turns"), lengths.alias("lengths"))
-    starts = F.transform("turns", lambda t, i: F.aggregate(F.slice("lengths", F.lit(1), i), F.lit(0), lambda a, b: a + b))
     spans = F.transform(
-        F.filter(F.arrays_zip(F.col("turns").alias("t"), starts.alias("s")), lambda z: z["t"]["role"] == MASKED),
-        lambda z: F.struct((z["s"] + len(OPEN) + F.length(z["t"]["r"]) + 1).alias("start"), F.length(z["t"]["x"]).alias("length")),
+        F.filter("turns", lambda t: t["role"] == MASKED),
+        lambda t: F.struct((t["s"] + len(OPEN) + F.length(t["r"]) + 1).alias("start"), F.length(t["x"]).alias("length")),
     )
-    return whole.select(conv, "rendered", spans.alias("spans"))
+    return whole.select(F.col("c").alias(conv), rendered.alias("rendered"), spans.alias("spans"))
 
 
 def read_back(chats: DataFrame, *, conv: str = "conv_id") -> DataFrame:
