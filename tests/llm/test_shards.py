@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 
+from tonelake.llm import shards
 from tonelake.llm.shards import pack, shard_documents
 
 
@@ -52,3 +53,15 @@ def test_odd_rows(spark, clashing):
     assert sorted((r.doc_id or 0, r["size"], r.text_crc32) for r in got)[0] == (0, 10, zlib.crc32("é".encode()))
     assert {(r["size"], r.text_crc32) for r in got if r.doc_id in (1, 2)} == {(8, 0)}
     assert shard_documents(clashing([]), 4).count() == 0
+
+
+def test_cells_of_cells(spark, clashing, prose, monkeypatch):
+    # 1400 groups in cells of 16, whose bins go through further levels before the driver sees them
+    monkeypatch.setattr(shards, "CELL_GROUPS", 16)
+    monkeypatch.setattr(shards, "TOP_CELLS", 4)
+    monkeypatch.setattr(shards, "LANE_ROWS", 50)
+    rows = [(i, prose(i, 5 + i % 90)) for i in range(1400)]
+    got = shard_documents(clashing(rows), 8).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1400))
+    sizes = [sum(m["size"] for m in v) for v in check(got, 8).values()]
+    assert len(sizes) == 8 and max(sizes) / min(sizes) < 1.06

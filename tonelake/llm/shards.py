@@ -1,10 +1,10 @@
 """Sharding by vector bin packing: bytes, tokens and rows of every shard are balanced jointly.
 
 Equal texts form a group and stay together unless the group is large against a shard; then its rows
-are dealt into chunks. Groups are hashed into cells of about a thousand, each cell packs its groups
-into one bin for each shard, and the bins of all cells (at most ``MAX_CELLS`` times the shard count)
-are packed into the shards the same way. Both packings take items by falling size and put each where
-the dot product of its vector with the residual capacity is highest.
+are dealt into chunks. Groups are hashed into cells of about a thousand, and each cell packs its groups
+into one bin for each shard. The bins of all cells are hashed into cells in turn, and so on, until
+``TOP_CELLS`` or fewer are left, whose bins are packed into the shards at once. All packings take items by
+falling size and put each where the dot product of its vector with the residual capacity is highest.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonelake.llm.common import kept, small_batches
+from tonelake.llm.common import kept, small_batches, written
 
-#: Groups that a cell aims at, and the most cells, which bounds what reaches the driver.
-CELL_GROUPS, MAX_CELLS = 1024, 16_384
+#: Items that a cell aims at, and the cells whose bins the driver packs at most.
+CELL_GROUPS, TOP_CELLS = 1024, 256
+#: Rows of a shard that are numbered at once, about, and the parts that rows alike in all are numbered in.
+LANE_ROWS, PARTS = 100_000, 8
 #: A group is cut into chunks of at most this part of a shard, as far as ``MAX_CHUNKS`` go.
 CHUNK_PART, MAX_CHUNKS = 32, 256
 #: Fixed bytes that each row counts besides its text.
@@ -62,7 +64,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, *, key: str = "doc_id", t
     ))
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens")]
     total = rows.agg(F.count("*").alias("n"), *sums, F.approx_count_distinct("g", 0.02).alias("groups")).first()
-    cells = int(min(MAX_CELLS, max(1, total["groups"] // CELL_GROUPS)))
+    cells = int(max(1, total["groups"] // CELL_GROUPS))
 
     # the groups that exceed a chunk: fewer than shards * CHUNK_PART for each measure
     limits = {c: max(1, (total[c] or 0) // (shards * CHUNK_PART)) for c in ("n", "size", "tokens")}
@@ -83,38 +85,47 @@ def shard_documents(docs: DataFrame, shards: int = 24, *, key: str = "doc_id", t
         .withColumn("cell", F.pmod(F.xxhash64("g", "chunk", F.lit(2)), F.lit(cells)).cast("int"))
     )
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["g", "chunk"], ignore_index=True)
-        pdf["bin"] = pack(pdf[["size", "tokens", "n"]].to_numpy(), shards)
-        return pdf
-
-    binned = units.groupBy("cell").applyInPandas(fill, "g long, chunk int, n long, size long, tokens long, cell int, bin long")
-    binned = kept(binned)
-    bins = binned.groupBy("cell", "bin").agg(F.sum("n").alias("n"), *sums).orderBy("cell", "bin").toPandas()
-    if len(bins):
-        bins["shard"] = pack(bins[["size", "tokens", "n"]].to_numpy(), shards)
-    places = spark.createDataFrame(
-        [(int(c), int(b), int(s)) for c, b, s in zip(bins["cell"], bins["bin"], bins.get("shard", []), strict=True)], "cell int, bin long, shard int"
-    )
-    homes = binned.join(F.broadcast(places), ["cell", "bin"]).select("g", "chunk", "shard")
+    def filled(items: DataFrame, keys: tuple[str, str], cell: str, bin: str) -> DataFrame:
+        """The items of each cell packed into its bins."""
+
+        def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(list(keys), ignore_index=True)
+            pdf[bin] = pack(pdf[["size", "tokens", "n"]].to_numpy(), shards)
+            return pdf
+
+        fields = ", ".join(f"{c} {t}" for c, t in items.dtypes)
+        return items.groupBy(cell).applyInPandas(fill, f"{fields}, {bin} bigint")
+
+    binned = kept(filled(units, ("g", "chunk"), "cell", "bin"))
+    bins = binned.groupBy("cell", "bin").agg(F.sum("n").alias("n"), *sums)
+    levels = []
+    while cells > TOP_CELLS:
+        cells = max(1, cells * shards // CELL_GROUPS)
+        above = bins.withColumn("up", F.pmod(F.xxhash64("cell", "bin", F.lit(4 + len(levels))), F.lit(cells)).cast("int"))
+        levels.append(kept(filled(above, ("cell", "bin"), "up", "up_bin")))
+        bins = levels[-1].groupBy(F.col("up").alias("cell"), F.col("up_bin").alias("bin")).agg(F.sum("n").alias("n"), *sums)
+    top = bins.orderBy("cell", "bin").toPandas()
+    if len(top):
+        top["shard"] = pack(top[["size", "tokens", "n"]].to_numpy(), shards)
+    places = F.broadcast(spark.createDataFrame(
+        [(int(c), int(b), int(s)) for c, b, s in zip(top["cell"], top["bin"], top.get("shard", []), strict=True)], "cell int, bin long, shard int"
+    ))
+    for level in reversed(levels):
+        places = level.select("cell", "bin", "up", "up_bin").join(places.select(F.col("cell").alias("up"), F.col("bin").alias("up_bin"), "shard"), ["up", "up_bin"]).select("cell", "bin", "shard")
+    homes = binned.join(places, ["cell", "bin"]).select("g", "chunk", "shard")
     placed = unit(rows).join(homes, ["g", "chunk"])
-    return slots(placed, cells).select(F.col("k").alias(key), "size", "tokens", "text_crc32", "shard", "slot")
+    return slots(placed, 1 + total["n"] // (shards * LANE_ROWS)).select(F.col("k").alias(key), "size", "tokens", "text_crc32", "shard", "slot")
 
 
 def slots(placed: DataFrame, lanes: int) -> DataFrame:
-    """Gapless numbers within each shard: rows are numbered in lanes of hashed keys, and the lanes'
-    counts (at most lanes times shards) say where each begins."""
-    spark = placed.sparkSession
-    # one table serves both the counts and the numbering, so they cannot disagree after a retry
-    placed = kept(placed.withColumn("lane", F.pmod(F.xxhash64("k", F.lit(3)), F.lit(max(lanes, 16))).cast("int")))
-    counts = placed.groupBy("shard", "lane").count().orderBy("shard", "lane").collect()
-    begun: dict[int, int] = {}
-    starts = []
-    for r in counts:
-        starts.append((r["shard"], r["lane"], begun.get(r["shard"], 0)))
-        begun[r["shard"]] = begun.get(r["shard"], 0) + r["count"]
-    first = spark.createDataFrame(starts, "shard int, lane int, first long")
+    """Gapless numbers within each shard: rows are numbered in lanes of hashed rows, and the lanes'
+    counts say where each begins."""
+    # a written table serves both the counts and the numbering, so they cannot disagree after a retry
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(PARTS))
+    lane = F.pmod(F.xxhash64("k", "text_crc32", "size"), F.lit(lanes)) * PARTS + part
+    placed = written(placed.select("k", "size", "tokens", "text_crc32", "shard", lane.cast("int").alias("lane")), "placed")
+    before = Window.partitionBy("shard").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
+    first = placed.groupBy("shard", "lane").agg(F.count("*").alias("n")).select("shard", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     order: list[Column] = [F.col(c).asc_nulls_first() for c in ("k", "text_crc32", "size")]
     number = F.row_number().over(Window.partitionBy("shard", "lane").orderBy(*order)) - 1
-    return placed.withColumn("number", number).join(F.broadcast(first), ["shard", "lane"]).withColumn("slot", F.col("first") + F.col("number"))
-
+    return placed.withColumn("number", number).join(first, ["shard", "lane"]).withColumn("slot", F.col("first") + F.col("number"))
