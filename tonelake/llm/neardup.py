@@ -267,17 +267,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, *, key: str =
 
     grouped = kept(components(candidates).join(nodes.select("node", "first", "bytes"), "node"))
     forget(candidates)
-    here = base["k"].eqNullSafe(grouped["first"]) & (base["node"] == grouped["node"])  # one of the node's rows
+    # one row of each node; the hint keeps the plan the same at every size of the groups
+    here = base["k"].eqNullSafe(grouped["first"]) & (base["node"] == grouped["node"])
+    texts = kept(base.join(grouped.hint("merge"), here).select(base["node"], base["text"]).dropDuplicates(["node"]))
 
     def by_text(cells: DataFrame) -> DataFrame:
-        # a text is read once however many cells it goes to; rows that repeat its key and text go before they meet
-        wanted = grouped.join(cells.groupBy("node").agg(F.collect_set("cell").alias("cells")), "node")
-        texts = base.join(wanted, here).select(base["node"], F.explode("cells").alias("cell"), base["text"])
-        return in_cells(texts.dropDuplicates(["cell", "node"]).select("cell", "node", "text"), similar(threshold))
+        return in_cells(cells.join(texts, "node").select("cell", "node", "text"), similar(threshold))
 
     load = F.greatest(F.lit(1.0 / BLOCK), F.col("bytes") / F.lit(BLOCK_BYTES))
     links = written(spanning(grouped.select(F.col("comp").alias("group"), "node", load.alias("load")), by_text, "verified"), "links")
-    grouped.unpersist()
+    for df in (grouped, texts):
+        df.unpersist()
 
     members = nodes.select("node", "first", "copies").join(components(links), "node", "left").select("node", "first", "copies", F.coalesce("comp", "node").alias("comp"))
     # the class goes by its least key, nulls last, and that row's text
