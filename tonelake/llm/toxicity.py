@@ -70,8 +70,11 @@ def trigrams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct trigrams of some code points, and how often each stands there."""
     present = np.flatnonzero(np.bincount(codes))
     n = len(present)
-    a, b, c = (np.searchsorted(present, codes[i : len(codes) - 2 + i]) for i in range(3)) if n else (codes, codes, codes)
-    a = np.where(codes[1:-1] == 0, np.searchsorted(present, 0), a)  # a word's start has no past
+    place = np.zeros(int(codes.max(initial=0)) + 1, dtype=np.int64)
+    place[present] = np.arange(n)
+    at = place[codes]
+    a, b, c = at[:-2], at[1:-1], at[2:]
+    a = np.where(codes[1:-1] == 0, place[0], a)  # a word's start has no past
     if n**3 > 1 << 22:
         return np.unique(packed(present[a], present[b], present[c]), return_counts=True)
     counts = np.bincount((a * n + b) * n + c, minlength=1)
@@ -155,12 +158,17 @@ class CharModel:
         return tuple(dict.fromkeys(found))
 
 
+def piece(w: str) -> str:
+    """How many letters a short word has, 3 standing for more; a sign behind them does not count."""
+    return str(len(w) - (1 < len(w) and not w[-1].isalnum()))
+
+
 def texts_words(text: str) -> tuple[list[str], list[str]]:
     """The words of a text in lower case, and its rows of three or more pieces of one letter (joined by
     spaces) behind them; and its rows that hold pieces of two letters as well."""
     words = text.lower().split()
     rows: list[str] = []
-    sizes = "".join(["3" if (n := len(w)) > 3 else "1" if n == 1 or (n == 2 and not w[1].isalnum()) else "2" if n == 2 or (n == 3 and not w[2].isalnum()) else "3" for w in words])
+    sizes = "".join(["3" if len(w) > 3 else piece(w) for w in words])
     if PIECES.search(sizes):
         pieces = [words[m.start() : m.end()] for m in SINGLES.finditer(sizes)]
         rows = [" ".join(words[m.start() : m.end()]) for m in PIECES.finditer(sizes) if "2" in m[0]]
