@@ -63,14 +63,6 @@ def test_logarithms():
         assert G.log2lin(G.lin2log(x)) == pytest.approx(x, rel=0.02)
 
 
-@given(st.lists(st.integers(1, 2**31 - 1), min_size=1, max_size=4), st.integers(0, 63), st.booleans())
-def test_gain_steps(gains, previous, conditional):
-    steps, coded, level = G.GainSteps.quantise(gains, previous, conditional)
-    assert all(0 <= s < 64 for s in steps) and 0 <= level < 64 and len(coded) == len(gains)
-    if conditional or steps[0] >= previous - 16:
-        assert G.GainSteps.dequantise(steps, previous, conditional) == (coded, level)
-
-
 @given(st.lists(st.integers(0, 32).flatmap(lambda n: st.tuples(st.integers(0, 2**n - 1), st.just(n))), max_size=30), st.booleans())
 def test_bits(fields, msb):
     data = G.pack_bits(fields, msb)

@@ -93,6 +93,31 @@ def matrix_mix(samples: Column, rows: int, cols: int, cells: list[int]) -> Colum
     return F.flatten(F.transform(F.arrays_zip(*[o.alias(f"o{r}") for r, o in enumerate(outs)]), lambda z: F.array(*[z[f"o{r}"] for r in range(rows)])))
 
 
+def _mixed(samples: Column, rows: int, cols: int, cells: list[int]) -> Column:
+    """Products with Q15 cells in column order, each rounded by itself and added up, as bigint."""
+    frames = F.sequence(F.lit(0), F.floor(F.size(samples) / cols).cast("int") - 1)
+    frames = F.when(F.size(samples) >= cols, frames).otherwise(F.array().cast("array<int>"))
+    sample = lambda f, c: F.element_at(samples, f * cols + c + 1).cast("bigint")
+    part = lambda f, r, c: F.shiftright(sample(f, c) * cells[rows * c + r] + 16384, 15)
+    row = lambda f, r: sum((part(f, r, c) for c in range(1, cols)), part(f, r, 0))
+    return F.flatten(F.transform(frames, lambda f: F.array(*[row(f, r) for r in range(rows)])))
+
+
+def matrix_mix_i16(samples: Column, rows: int, cols: int, cells: list[int]) -> Column:
+    """16-bit channels through a Q15 matrix, wrapping at 16 bits."""
+    return F.transform(_mixed(samples, rows, cols, cells), wrap16)
+
+
+def matrix_mix_i24(samples: Column, rows: int, cols: int, cells: list[int]) -> Column:
+    """24-bit channels through a Q15 matrix, wrapping at 32 bits."""
+    return F.transform(_mixed(samples, rows, cols, cells), lambda x: (F.pmod(x + 2**31, F.lit(2**32)) - 2**31).cast("int"))
+
+
+def matrix_mix_in(samples: Column, rows: int, cols: int, cells: list[int], bits: int = 16) -> Column:
+    """16 or 24-bit channels through a Q15 matrix as doubles of full scale 1."""
+    return F.transform(matrix_mix(samples, rows, cols, cells), lambda x: x / 2.0 ** (bits - 1))
+
+
 def is_silent(samples: Column, depth: int) -> Column:
     """Digital silence: no magnitude beyond 2**-depth."""
     return F.coalesce(F.array_max(F.transform(doubles(samples), F.abs)), F.lit(0.0)) <= F.lit(2.0**-depth)

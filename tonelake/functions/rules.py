@@ -137,3 +137,21 @@ def gain_linear(q8_db: Column) -> Column:
 def rate_factor(rate: Column) -> Column:
     """How many times 48 kHz holds the rate; 0 for rates that the codec does not know."""
     return F.when(rate.isin(48000, 24000, 16000, 12000, 8000), div(F.lit(48000), rate)).otherwise(0).cast("int")
+
+
+# Weights of the long-term predictor in Q14, and the signal-to-noise bounds in Q7 of the second and third.
+LTP_SCALES_Q14 = [15565, 12288, 8192]
+LTP_SNR_Q7 = (2900, 3900)
+
+
+def ltp_scale_index(loss: Column, frames: Column, redundancy: Column, gain: Column, snr_q7: Column, independent: Column) -> Column:
+    """How far the long-term predictor is weakened against loss: 0 to 2, above 0 only in frames coded by
+    themselves. ``loss`` is in percent; redundancy about squares it."""
+    lost = loss.cast("bigint") * frames
+    lost = F.when(redundancy, F.floor(lost * lost / 100) + 2).otherwise(lost)
+    weight = F.when(gain < 0, F.ceil(gain)).otherwise(F.floor(gain)).cast("bigint") * lost
+    return F.when(independent, sum(((weight > log2lin(F.lit(bound) - snr_q7)).cast("int") for bound in LTP_SNR_Q7), F.lit(0))).otherwise(0)
+
+
+def ltp_scale_q14(index: Column) -> Column:
+    return table(LTP_SCALES_Q14, index)

@@ -148,66 +148,6 @@ def log2lin(x: int) -> int:
     return whole + (whole * c >> 7) if x < 2048 else whole + (whole >> 7) * c
 
 
-class GainSteps:
-    """The scale of 64 gains from 2 to 88 dB, uniform in the logarithm, and its coded differences."""
-
-    levels, low, high = 64, -4, 36
-    offset = 2 * 128 // 6 + 16 * 128
-    span = (88 - 2) * 128 // 6
-    to_index, to_log = 65536 * 63 // span, 65536 * span // 63
-
-    @classmethod
-    def gain(cls, level: int) -> int:
-        return log2lin(min((cls.to_log * level >> 16) + cls.offset, MAX_LOG_Q7))
-
-    @classmethod
-    def bend(cls, level: int) -> int:
-        """The difference from which steps count double."""
-        return 2 * cls.high - cls.levels + level
-
-    @classmethod
-    def after(cls, level: int, step: int) -> int:
-        return min(level + (2 * step - cls.bend(level) if step > cls.bend(level) else step), cls.levels - 1)
-
-    @classmethod
-    def quantise(cls, gains: list[int], previous: int, conditional: bool) -> tuple[list[int], list[int], int]:
-        """Indices, quantised gains and the last level, for Q16 gains of a frame's parts."""
-        out, level = [], previous
-        for i, g in enumerate(gains):
-            at = cls.to_index * (lin2log(g) - cls.offset) >> 16
-            at = min(max(at + (at < level), 0), cls.levels - 1)
-            if i == 0 and not conditional:
-                level = max(at, level + cls.low)
-                level = min(level, cls.levels - 1)
-                out.append(level)
-                continue
-            step, bend = at - level, cls.bend(level)
-            if step > bend:
-                step = bend + (step - bend + 1 >> 1)
-            step = min(max(step, cls.low), cls.high)
-            level = cls.after(level, step)
-            out.append(step - cls.low)
-        levels, _ = cls.levels_of(out, previous, conditional, exact=True)
-        return out, [cls.gain(v) for v in levels], level
-
-    @classmethod
-    def levels_of(cls, indices: list[int], previous: int, conditional: bool, exact: bool = False) -> tuple[list[int], int]:
-        out, level = [], previous
-        for i, x in enumerate(indices):
-            if i == 0 and not conditional:
-                level = x if exact else max(x, level - 16)
-            else:
-                level = cls.after(level, x + cls.low)
-            level = min(max(level, 0), cls.levels - 1)
-            out.append(level)
-        return out, level
-
-    @classmethod
-    def dequantise(cls, indices: list[int], previous: int, conditional: bool) -> tuple[list[int], int]:
-        levels, level = cls.levels_of(indices, previous, conditional)
-        return [cls.gain(v) for v in levels], level
-
-
 def masking_offset(masks: list[float], bands: int, channels: int, rate: int) -> int:
     """Bits a second that masking saves or costs: the mean of clamped masks of 21 bands a channel, positive ones halved, plus 0.2, times the rate."""
     m = np.clip(np.array(masks, dtype=np.float32).reshape(channels, -1)[:, :bands], -2, 0.5)

@@ -71,9 +71,14 @@ def frame_count(payload: Column) -> Column:
 
 def total_samples(payload: Column, rate: int | Column = 48000) -> Column:
     """struct(value, error_code): samples of a packet; -4 beyond 120 ms or without a count byte, -1 without bytes."""
+    return samples_of(byte_at(payload, 0), frame_count(payload), rate)
+
+
+def samples_of(first: Column, frames: Column, rate: int | Column = 48000) -> Column:
+    """The same from a packet's first byte and its count of frames, which queries over several rates read once."""
     fs = F.lit(rate) if isinstance(rate, int) else rate
-    n = frame_count(payload) * samples_per_frame(byte_at(payload, 0), rate)
-    error = F.when(payload.isNull() | (F.octet_length(payload) == 0), BAD_ARGUMENT).when(n.isNull() | (n * 25 > fs * 3), INVALID_PACKET).otherwise(0)
+    n = frames * samples_per_frame(first, rate)
+    error = F.when(first.isNull(), BAD_ARGUMENT).when(n.isNull() | (n * 25 > fs * 3), INVALID_PACKET).otherwise(0)
     return F.struct(F.when(error == 0, n).alias("value"), error.alias("error_code"))
 
 

@@ -24,15 +24,25 @@ def lacing(length: Column) -> Column:
 
 
 def link_intervals(pages: DataFrame, *, stream: str = "serial", granule: str = "granule") -> DataFrame:
-    """Per stream the half-open sample interval [start, stop) that it covers when streams are chained by ``stream``."""
+    """Per stream (a whole number from 0) the half-open sample interval [start, stop) that it covers when
+    streams are chained by ``stream``.
+
+    Sums run over ranges of 65,536 streams, of as many such ranges, and so on, so that no task holds more
+    than 65,536 rows.
+    """
     links = pages.groupBy(stream).agg(F.sum(granule).alias("samples"))
-    # partial sums of ranges of streams keep the running total out of a single task
-    part = F.floor(F.col(stream) / 1024)
-    links = links.withColumn("part", part)
-    before = links.groupBy("part").agg(F.sum("samples").alias("all"))
-    before = before.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("base"))
-    inside = F.sum("samples").over(Window.partitionBy("part").orderBy(stream))
-    return links.withColumn("inside", inside).join(before, "part").select(stream, (F.col("base") + F.col("inside") - F.col("samples")).alias("start"), (F.col("base") + F.col("inside")).alias("stop"))
+    level = links.select(F.col(stream).cast("bigint").alias("at"), "samples")
+    before = []
+    for _ in range(4):
+        level = level.withColumn("above", F.shiftright("at", 16))
+        run = F.sum("samples").over(Window.partitionBy("above").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+        before.append(level.select("at", F.coalesce(run, F.lit(0)).alias("before")))
+        level = level.groupBy(F.col("above").alias("at")).agg(F.sum("samples").alias("samples"))
+    start = F.lit(0).cast("bigint")
+    for i, sums in enumerate(before):
+        links = links.withColumn("at", F.shiftright(F.col(stream).cast("bigint"), 16 * i)).join(sums.withColumnRenamed("before", f"before{i}"), "at").drop("at")
+        start = start + F.col(f"before{i}")
+    return links.select(stream, start.alias("start"), (start + F.col("samples")).alias("stop"))
 
 
 def seek(index: DataFrame, queries: DataFrame, *, stream: str, at: str, value: str) -> DataFrame:
@@ -92,26 +102,43 @@ def instant_bitrates(packets: DataFrame, every: int, *, stream: str = "stream_id
     return sums.withColumn("bitrate", bitrate(F.col("bytes"), F.col("samples")))
 
 
-def links_of_positions(links: DataFrame, positions: DataFrame, *, at: str, start: str = "start", link: str = "link") -> DataFrame:
-    """``positions`` with the link that each lies in: the last that starts at or before it, by one sorted pass
-    over ranges of positions instead of a range join.
+def links_of_positions(links: DataFrame, positions: DataFrame, *, at: str, start: str = "start", stop: str = "stop", link: str = "link", width: int = 1 << 20) -> DataFrame:
+    """``positions`` with the link [start, stop) that each lies in, and the last link for those behind all.
 
-    Positions and links are cut into the same ranges; each range learns the last link before it.
+    Links and positions are cut into cells of ``width`` samples, each link standing in all cells that it
+    covers, so the join is one on equal cells; rows grow with the links and what they last.
     """
-    width = F.greatest(F.ceil((F.max(start) + 1) / 256), F.lit(1)).cast("bigint")
-    step = links.agg(width.alias("w")).first()["w"]
-    cell = lambda c: F.floor(F.col(c) / F.lit(step)).cast("bigint")
-    marks = links.select(F.col(start).alias("p"), F.col(link).alias("l"), cell(start).alias("cell"))
-    # the last link of each range, carried forward: at most 257 rows
-    ends = marks.groupBy("cell").agg(F.max_by("l", "p").alias("l")).collect()
-    carried, last = [], None
-    for c in range(0, max([e["cell"] for e in ends], default=0) + 1):
-        carried.append((c, last))
-        last = next((e["l"] for e in ends if e["cell"] == c), last)
-    top = len(carried)
-    seed = links.sparkSession.createDataFrame([*carried, (top, last)], f"cell bigint, l {links.schema[link].dataType.simpleString()}")
-    asked = positions.select(F.col(at).alias("p"), F.least(cell(at), F.lit(top)).alias("cell")).withColumn("asked", F.lit(1))
-    rows = asked.withColumn("l", F.lit(None).cast(links.schema[link].dataType)).unionByName(marks.withColumn("asked", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy("cell").orderBy("p", "asked").rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.withColumn("found", F.last("l", ignorenulls=True).over(w)).filter("asked = 1")
-    return found.join(F.broadcast(seed), "cell").select(F.col("p").alias(at), F.coalesce("found", seed["l"]).alias(link))
+    cell = lambda c: F.floor(c / F.lit(width)).cast("bigint")
+    spans = links.filter(F.col(start) < F.col(stop)).select(F.col(start).alias("b"), F.col(stop).alias("e"), F.col(link).alias("l"))
+    spans = spans.select("*", F.explode(F.sequence(cell(F.col("b")), cell(F.col("e") - 1))).alias("cell"))
+    asked = positions.select(F.col(at).alias("p")).withColumn("cell", cell(F.col("p")))
+    inside = (asked["cell"] == spans["cell"]) & (asked["p"] >= spans["b"]) & (asked["p"] < spans["e"])
+    # one row: where all links end, and the last of them
+    end = links.agg(F.max(stop).alias("end"), F.max_by(link, F.struct(F.col(stop), F.col(link))).alias("last"))
+    found = asked.join(spans, inside, "left").select("p", "l").join(F.broadcast(end))
+    return found.select(F.col("p").alias(at), F.when(F.col("p") >= F.col("end"), F.col("last")).otherwise(F.col("l")).alias(link))
+
+
+def granule_sample(granule: Column, pre_skip: Column) -> Column:
+    """The sample at a page's granule position behind the encoder's delay; null for -1, a page on which no packet ends."""
+    return F.when(granule != -1, granule - pre_skip)
+
+
+def pcm_seek(links: DataFrame, positions: DataFrame, *, at: str, width: int = 1 << 20) -> DataFrame:
+    """(at, link, local, error_code): where each sample position lies; beyond the end it is a bad argument (-131)."""
+    found = links_of_positions(links, positions, at=at, width=width).join(links.select("link", "start", "stop"), "link", "left")
+    end = links.agg(F.max("stop").alias("end"))
+    found = found.join(F.broadcast(end))
+    ok = F.col(at).between(0, F.col("end"))
+    return found.select(at, F.when(ok, F.col("link")).alias("link"), F.when(ok, F.col(at) - F.col("start")).alias("local"), F.when(ok, 0).otherwise(-131).alias("error_code"))
+
+
+def read_samples(samples: Column, channels: int, cursor: Column, room: Column) -> Column:
+    """What a read of ``room`` values gives from a link's interleaved samples at a cursor: whole frames, up to the link's end."""
+    frames = F.greatest(F.least(F.floor(F.size(samples) / channels) - cursor, F.floor(room / channels)), F.lit(0)).cast("int")
+    return F.when(frames > 0, F.slice(samples, cursor.cast("int") * channels + 1, frames * channels)).otherwise(F.slice(samples, 1, 0))
+
+
+def gain_offset(tag_gain_q8: Column, offset_q8: Column) -> Column:
+    """A gain in 1/256 dB with an offset of the user's, which is held to 16 bits."""
+    return tag_gain_q8 + F.greatest(F.least(offset_q8, F.lit(32767)), F.lit(-32768))

@@ -38,7 +38,7 @@ ORACLES["container_round_trip"] = """SELECT user_id AS stream_id, row_number() O
 @query
 def crc_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page checksums of the packets' bytes."""
-    return views.packets(spark, sf_dir).select("event_id", kernels.crc_udf()(F.col("payload")).alias("crc"))
+    return views.packets(spark, sf_dir).select("event_id", kernels.crc_column(F.col("payload")).alias("crc"))
 
 
 @query
@@ -147,14 +147,3 @@ def mdct_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = views.pcm(spark, sf_dir).select("frame_id", spectrum(F.col("samples").cast("array<double>")).alias("c"))
     part = lambda i: F.aggregate(F.slice("c", F.lit(8 * i + 1), F.lit(8)), F.lit(0.0), lambda s, x: s + x * x)
     return a.select("frame_id", F.posexplode(F.array(*[F.round(part(i), 6) for i in range(4)])).alias("quarter", "energy"))
-
-
-@query
-def gain_quantise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coded gain steps of four parts a frame, gains drawn from event numbers."""
-
-    def steps(x):
-        return signal.GainSteps.quantise([int(v) for v in x], 10, False)[0]
-
-    gains = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(F.col("event_id") * 7919 + i * 104729, F.lit(20_000_000)) + 1).cast("double"))
-    return views.table(spark, sf_dir, "events").select("event_id", signal.array_udf(steps)(gains).cast("array<int>").alias("steps"))

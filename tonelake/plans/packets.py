@@ -64,9 +64,12 @@ def toc_table_256(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT fs, count(*) AS packets, count(*) FILTER (n * 25 > fs * 3) AS invalid, CAST(sum(n) FILTER (n * 25 <= fs * 3) AS BIGINT) AS samples FROM x GROUP BY fs""")
 def toc_samples_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid samples and invalid packets at five rates."""
-    p = views.packets(spark, sf_dir).select(F.explode(F.array(*map(F.lit, RATES))).alias("fs"), "payload")
-    x = p.select("fs", toc.total_samples(F.col("payload"), F.col("fs")).alias("t"))
-    return x.groupBy("fs").agg(F.count("*").alias("packets"), F.count_if(F.col("t.error_code") != 0).alias("invalid"), F.sum("t.value").cast("bigint").alias("samples"))
+    # equal first bytes and counts are counted before they meet the rates
+    p = views.packets(spark, sf_dir).select(toc.byte_at(F.col("payload"), 0).alias("b"), toc.frame_count(F.col("payload")).alias("n"))
+    p = p.groupBy("b", "n").agg(F.count("*").alias("packets")).select("*", F.explode(F.array(*map(F.lit, RATES))).alias("fs"))
+    x = p.select("fs", "packets", toc.samples_of(F.col("b"), F.col("n"), F.col("fs")).alias("t"))
+    invalid = F.coalesce(F.sum(F.when(F.col("t.error_code") != 0, F.col("packets"))), F.lit(0))
+    return x.groupBy("fs").agg(F.sum("packets").alias("packets"), invalid.alias("invalid"), F.sum(F.col("t.value") * F.col("packets")).cast("bigint").alias("samples"))
 
 
 @query(f"""WITH {PACKETS} SELECT b1 & 63 AS frames, b1 & 128 <> 0 AS vbr, b1 & 64 <> 0 AS padded, count(*) AS packets FROM b WHERE b0 & 3 = 3 GROUP BY ALL""")
@@ -339,7 +342,7 @@ def link_of_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The link of a chain in which each position lies."""
     links = streams.link_intervals(views.pages(spark, sf_dir)).withColumnRenamed("serial", "link")
     at = views.table(spark, sf_dir, "events").select((F.col("event_id") * 131).alias("at")).distinct()
-    return streams.links_of_positions(links, at, at="at")
+    return streams.links_of_positions(links, at, at="at", width=1 << 12)
 
 
 @query("SELECT CAST(r AS INTEGER) AS rate, CAST(CASE WHEN r IN (48000, 24000, 16000, 12000, 8000) THEN 48000 // r ELSE 0 END AS INTEGER) AS factor FROM range(0, 50000, 1000) AS t(r)")

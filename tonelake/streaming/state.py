@@ -49,35 +49,30 @@ class SoftClip:
         return carried, x.tolist()
 
     @staticmethod
-    def _bend(y: np.ndarray, a: float) -> tuple[np.ndarray, float]:
-        # the swing that the last frame left unfinished, up to its zero crossing
-        other = np.flatnonzero(y * a >= 0)
-        head = other[0] if len(other) else len(y)
-        y[:head] += a * y[:head] ** 2
-        begin, first, a = 0, y[0], 0.0
-        while True:
-            over = np.flatnonzero(np.abs(y[begin:]) > 1)
-            if not len(over):
-                return y, 0.0
-            at = begin + over[0]
-            sign = y[at]
-            left = np.flatnonzero(sign * y[:at] < 0)
-            right = np.flatnonzero(sign * y[at:] < 0)
-            lo = left[-1] + 1 if len(left) else 0
-            hi = at + right[0] if len(right) else len(y)
-            peak = at + int(np.abs(y[at:hi]).argmax())
-            top = abs(y[peak])
-            whole = lo == 0 and sign * y[0] >= 0
-            # so that top + a * top * top is just below 1
-            a = (top - 1) / top**2 * (1 + 2.4e-7) * (-1 if sign > 0 else 1)
-            y[lo:hi] += a * y[lo:hi] ** 2
-            if whole and peak >= 2:
-                # a swing cut by the frame's start is led over from where it began
-                ramp = (first - y[0]) * (1 - np.arange(1, peak - begin + 1) / peak)
-                y[begin:peak] = np.clip(y[begin:peak] + ramp, -1, 1)
-            begin = hi
-            if begin == len(y):
-                return y, a
+    def _bend(y: np.ndarray, carried: float) -> tuple[np.ndarray, float]:
+        # the swing that the last frame left unfinished is bent as it was, up to its zero crossing
+        y = np.where(np.logical_and.accumulate(y * carried < 0), y + carried * y**2, y)
+        entry, bend = y[0], 0.0
+        # swings: runs between zero crossings, where zeros go with the samples before them
+        sign = np.sign(y)
+        known = np.maximum.accumulate(np.where(sign != 0, np.arange(len(y)), -1))
+        side = np.where(known >= 0, sign[known], 0)
+        side[side == 0] = side[side != 0][0] if (side != 0).any() else 1
+        cuts = np.r_[0, np.flatnonzero(np.diff(side)) + 1, len(y)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            swing = y[lo:hi]
+            peak = int(np.abs(swing).argmax())
+            top = abs(swing[peak])
+            bend = 0.0
+            if top > 1:
+                # so that top + bend * top * top, with the swing's sign, is just below 1
+                bend = -side[lo] * (top - 1) / top**2 * (1 + 2.4e-7)
+                swing = swing + bend * swing**2
+                if lo == 0 and peak >= 2:
+                    # a swing cut by the frame's start is led over from where it began
+                    swing[:peak] = np.clip(swing[:peak] + (entry - swing[0]) * (1 - np.arange(1, peak + 1) / peak), -1, 1)
+                y[lo:hi] = swing
+        return y, bend
 
 
 class DcReject:
@@ -92,14 +87,21 @@ class DcReject:
         return [0.0] * self.channels
 
     def step(self, state: list[float], frame: np.ndarray) -> tuple[list[float], list[float]]:
-        x = np.asarray(frame, dtype=float)
-        y, state = x.copy(), list(state)
-        for i, v in enumerate(x):
-            c = i % self.channels
-            y[i] = v - state[c]
-            state[c] += self.k * (v - state[c])
+        y, state = np.asarray(frame, dtype=float).copy(), list(state)
+        for c in range(self.channels):
+            y[c :: self.channels], state[c] = self._channel(y[c :: self.channels], state[c])
         return state, y.tolist()
 
+    def _channel(self, x: np.ndarray, mean: float) -> tuple[np.ndarray, float]:
+        """The samples less the running mean before each: mean[i] = d**i * (mean[0] + k * sum of x[j] / d**(j + 1)), d = 1 - k."""
+        out, piece = np.empty(len(x)), max(1, int(20 / self.k))  # so that the powers stay in range
+        for i in range(0, len(x), piece):
+            part = x[i : i + piece]
+            powers = (1 - self.k) ** np.arange(len(part) + 1)
+            means = powers * (mean + self.k * np.r_[0.0, np.cumsum(part / powers[1:])])
+            out[i : i + piece], mean = part - means[:-1], float(means[-1])
+        return out, mean
+
 
 class StereoWidth:
     """How wide an interleaved stereo signal is, 0 to 1, from smoothed energies and their correlation."""
