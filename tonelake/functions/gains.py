@@ -1,8 +1,9 @@
 """The scale of subframe gains and its coded differences (RFC 6716, section 4.2.7.4), as Column expressions.
 
 A gain is coded as one of 64 levels. The first of a frame may be coded by itself, the others by one of
-41 codes, each of which leads from the level before to another one; a code is chosen by searching what
-the codes lead to.
+41 codes, each of which leads from the level before to the higher of two: one that counts from that
+level, and one that counts double from the lowest on. The code for a level is the first that gets there
+by either.
 """
 
 from __future__ import annotations
@@ -17,8 +18,6 @@ from tonelake.functions.rules import lin2log, log2lin, table
 LEVELS, CODES = 64, 41
 BASE_Q7, WIDTH_Q16, INVERSE_Q16 = 2090, 0x1D1C71, 2251
 CODED_FALL, READ_FALL = 4, 16
-#: The least logarithm that is coded as each level.
-FIRST_LOG_Q7 = [BASE_Q7 - (-level * 65536 // INVERSE_Q16) for level in range(LEVELS)]
 
 
 def gain_of(level: Column) -> Column:
@@ -26,13 +25,15 @@ def gain_of(level: Column) -> Column:
     return log2lin(table([(WIDTH_Q16 * i >> 16) + BASE_Q7 for i in range(LEVELS)], level))
 
 
-def aims_at(level: Column, code: Column) -> Column:
-    """Where a code leads from a level: steps beyond half of what is left count double."""
-    return F.least(F.greatest(2 * code - 16, level + code - 4), F.lit(LEVELS - 1))
+def leads_to(level: Column, code: Column) -> Column:
+    """The level that a code leads to."""
+    return F.greatest(F.least(F.greatest(2 * code - 16, level + code - 4), F.lit(LEVELS - 1)), F.lit(0))
 
 
-def leads_to(level: Column, code: Column) -> Column:
-    return F.greatest(aims_at(level, code), F.lit(0))
+def code_for(level: Column, wanted: Column) -> Column:
+    """The first code that leads to a level or beyond it, or the last."""
+    first = F.least(wanted - level + 4, F.ceil((wanted + 16) / 2))
+    return F.greatest(F.least(first, F.lit(CODES - 1)), F.lit(0)).cast("int")
 
 
 def _walk(values: Column, previous: Column, conditional: bool, first, later) -> Column:
@@ -55,22 +56,19 @@ def _walk(values: Column, previous: Column, conditional: bool, first, later) ->
 def quantise(gains: Column, previous: Column, conditional: bool = False) -> Column:
     """struct(codes, levels, level) for an array of gains in Q16: the codes, the levels they stand for
     and the last of them. ``conditional``: the first is coded by its difference too."""
-    logs = F.transform(gains, lambda g: lin2log(g))
-
-    def wanted(level: Column, log: Column) -> Column:
-        nearest = F.size(F.filter(F.array(*map(F.lit, FIRST_LOG_Q7)), lambda t: t <= log)) - 1
-        # a gain that falls is coded by the level above it
-        return F.greatest(F.when(nearest < level, nearest + 1).otherwise(nearest), F.lit(0))
+    nearest = F.transform(gains, lambda g: F.shiftright((lin2log(g) - BASE_Q7) * INVERSE_Q16, 16))
+    # a gain that falls is coded by the level above it
+    wanted = lambda level, at: F.greatest(F.least(F.when(at < level, at + 1).otherwise(at), F.lit(LEVELS - 1)), F.lit(0))
 
-    def first(level: Column, log: Column) -> tuple[Column, Column]:
-        alone = F.greatest(wanted(level, log), level - CODED_FALL)
+    def first(level: Column, at: Column) -> tuple[Column, Column]:
+        alone = F.greatest(wanted(level, at), level - CODED_FALL)
         return alone, alone
 
-    def later(level: Column, log: Column) -> tuple[Column, Column]:
-        reach = F.filter(F.sequence(F.lit(0), F.lit(CODES - 1)), lambda code: (aims_at(level, code) >= wanted(level, log)) | (code == CODES - 1))
-        return F.get(reach, F.lit(0)), leads_to(level, F.get(reach, F.lit(0)))
+    def later(level: Column, at: Column) -> tuple[Column, Column]:
+        code = code_for(level, wanted(level, at))
+        return code, leads_to(level, code)
 
-    return _walk(logs, previous, conditional, first, later)
+    return _walk(nearest, previous, conditional, first, later)
 
 
 def dequantise(codes: Column, previous: Column, conditional: bool = False) -> Column:
