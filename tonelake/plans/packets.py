@@ -166,10 +166,11 @@ def bitrate_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("bitrate", streams.bitrate(F.col("bytes"), F.col("samples")))
 
 
-@query("SELECT doc_id, source AS second_lang, 2 AS lang_tags, 1 AS source_tags FROM documents")
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN source END AS second_lang, CAST(CASE WHEN doc_id % 3 = 2 THEN 2 ELSE 1 END AS INTEGER) AS lang_tags,
+  CAST(CASE WHEN doc_id % 3 > 0 THEN 1 ELSE 0 END AS INTEGER) AS source_tags FROM documents""")
 def tag_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of tags by key, and the second value of a key, whatever its case."""
-    t = views.tags(spark, sf_dir)
+    t = views.tags(spark, sf_dir).withColumn("comments", F.slice("comments", F.lit(1), (F.pmod("doc_id", F.lit(3)) + 1).cast("int")))
     values = streams.tag_values(F.col("comments"), "Lang")
     return t.select("doc_id", F.get(values, F.lit(1)).alias("second_lang"), F.size(values).alias("lang_tags"), F.size(streams.tag_values(F.col("comments"), "SOURCE")).alias("source_tags"))
 

@@ -201,3 +201,40 @@ def gain_quantise(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.pmod(F.col("event_id") * 7919 + i * 104729, F.lit(20_000_000)) + 1)
     q = views.table(spark, sf_dir, "events").select("event_id", gains.quantise(x, F.lit(10)).alias("q"))
     return q.select("event_id", F.col("q.codes").alias("steps"), F.col("q.level").alias("level"))
+
+
+@query("""WITH e AS (SELECT event_id, event_id % 5 AS m, event_id % 300 + 1 AS w, event_id % 200 + 1 AS h FROM events)
+SELECT event_id, CASE WHEN m < 3 THEN w WHEN m = 3 THEN 0 END AS width, CASE WHEN m = 0 THEN w WHEN m < 3 THEN h WHEN m = 3 THEN 0 END AS height, CAST(CASE WHEN m < 3 THEN 24 WHEN m = 3 THEN 0 END AS BIGINT) AS depth,
+  CAST(CASE WHEN m = 0 THEN 4 WHEN m < 4 THEN 0 END AS BIGINT) AS colours, CASE m WHEN 0 THEN 'gif' WHEN 1 THEN 'png' WHEN 2 THEN 'jpeg' WHEN 3 THEN 'url' END AS format, CAST(CASE WHEN m = 4 THEN -132 ELSE 0 END AS INTEGER) AS error_code FROM e""")
+def picture_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Picture comments around headers of three image formats, around links, and cut off."""
+    i = F.col("event_id")
+    w, h = F.pmod(i, F.lit(300)) + 1, F.pmod(i, F.lit(200)) + 1
+    big = lambda n, size: F.lpad(F.hex(n.cast("bigint")), 2 * size, "0")
+    low = F.concat(F.substring(big(w, 2), 3, 2), F.substring(big(w, 2), 1, 2))
+    images = {
+        b"image/gif": F.concat(F.hex(F.lit(b"GIF89a")), low, low, F.lit("91000000")),
+        b"image/png": F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(w, 4), big(h, 4), F.lit("080200000000000000")),
+        b"image/jpeg": F.concat(F.lit("FFD8FFE00002FFC0001108"), big(h, 2), big(w, 2), F.lit("03")),
+        b"-->": F.hex(F.lit(b"https://example.org/cover")),
+    }
+    part = lambda x: F.concat(big(F.length(x) / 2, 4), x)
+    blocks = [F.concat(F.lit("00000003"), part(F.hex(F.lit(mime))), F.lit("00000000"), F.lit("0" * 32), part(data)) for mime, data in images.items()]
+    base64 = lambda b: F.replace(F.base64(F.unhex(b)), F.lit("\r\n"), F.lit(""))
+    coded = F.element_at(F.array(*map(base64, blocks), F.substring(base64(blocks[0]), 1, 61)), (F.pmod(i, F.lit(5)) + 1).cast("int"))
+    p = views.table(spark, sf_dir, "events").select("event_id", kernels.picture_udf()(coded.cast("binary")).alias("p"))
+    return p.select("event_id", "p.width", "p.height", "p.depth", "p.colours", "p.format", "p.error_code")
+
+
+@query("""WITH e AS (SELECT event_id, event_id * 7919 % 80000 - 40000 AS v, event_id % 3 AS m FROM events)
+SELECT event_id, CAST(CASE WHEN v BETWEEN -32768 AND 32767 THEN v WHEN m = 0 THEN event_id % 100 END AS INTEGER) AS track, CAST(CASE WHEN m = 1 THEN event_id % 50 END AS INTEGER) AS album,
+  CAST(CASE WHEN m = 1 THEN event_id % 50 ELSE 0 END + greatest(least(v, 32767), -32768) AS INTEGER) AS shifted FROM e""")
+def tag_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gains in comments: the first that is a number of 16 bits counts; and a user's offset to the album's."""
+    i = F.col("event_id")
+    v, m = F.pmod(i * 7919, F.lit(80000)) - 40000, F.pmod(i, F.lit(3))
+    more = F.when(m == 0, F.concat(F.lit("R128_TRACK_GAIN="), F.pmod(i, F.lit(100)).cast("string"))).when(m == 1, F.concat(F.lit("r128_Album_gain=+"), F.pmod(i, F.lit(50)).cast("string"))).otherwise(F.lit("R128_ALBUM_GAIN=loud"))
+    comments = F.array(F.concat(F.lit("r128_track_gain="), v.cast("string")), F.lit("R128_TRACK_GAIN=1.5"), more)
+    e = views.table(spark, sf_dir, "events").select("event_id", v.alias("v"), comments.alias("c"))
+    track, album = streams.tag_gain(F.col("c"), "R128_TRACK_GAIN"), streams.tag_gain(F.col("c"), "R128_ALBUM_GAIN")
+    return e.select("event_id", track.alias("track"), album.alias("album"), streams.gain_offset(F.coalesce(album, F.lit(0)), F.col("v")).cast("int").alias("shifted"))
