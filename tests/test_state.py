@@ -55,6 +55,20 @@ def test_discontinuous_runs():
     assert run(S.Discontinuous(), [np.zeros(4)] * 11 + [np.ones(4)] + [np.zeros(4)])[-2:] == [False, False]
 
 
+def test_streams_over_many_batches(spark):
+    # a stream longer than an Arrow batch, one without a key, and null frames
+    r = np.random.default_rng(5)
+    long = [(1, n, r.normal(0, 1, 4).tolist() if n % 7 else None) for n in range(900)]
+    rows = long + [(None, n, [1.0, 2.0]) for n in range(5)] + [(2**60 + 1, 0, [0.5])]
+    df = spark.createDataFrame(rows, "stream_id long, frame_no long, samples array<double>").repartition(7)
+    got = {(x.stream_id, x.frame_no): x.samples for x in S.apply(df, S.DcReject()).collect()}
+    for key in (1, None, 2**60 + 1):
+        mine = [x for x in rows if x[0] == key]
+        for (_, n, _), want in zip(mine, run(S.DcReject(), [x[2] or [] for x in mine])):
+            assert got[key, n] == pytest.approx(want)
+    assert len(got) == len(rows) and S.apply(df.limit(0), S.DcReject()).count() == 0
+
+
 def test_batch_equals_stream(spark, tmp_path):
     r = np.random.default_rng(4)
     rows = [(s, n, r.normal(0, 1, 32).tolist()) for n in range(12) for s in range(5)]

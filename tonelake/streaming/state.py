@@ -12,6 +12,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -19,6 +20,9 @@ from tonelake.functions.signal import biquad
 from tonelake.shipping import ship
 
 
+ARROW = {"array<double>": pa.list_(pa.float64()), "double": pa.float64(), "boolean": pa.bool_()}
+
+
 class Operator(Protocol):
     #: Name and Spark type of the value that a frame gives.
     output: str
@@ -205,10 +209,27 @@ def _schema(frames: DataFrame, operator: Operator, stream: str, order: str) -> s
 
 
 def apply(frames: DataFrame, operator: Operator, *, stream: str = "stream_id", order: str = "frame_no", samples: str = "samples") -> DataFrame:
-    """(stream, order, value) for each frame of a batch; each stream is one group, in order. A null frame is empty."""
+    """(stream, order, value) for each frame of a batch, each stream in order. A null frame is empty.
+
+    Streams are sorted within partitions and walked batch by batch with the state carried along, so none
+    is held in memory; rows without a stream form one.
+    """
     ship(frames.sparkSession)
-    rows = frames.select(stream, order, frames[samples].alias("samples"))
-    return rows.groupBy(stream).applyInPandas(lambda pdf: _run(operator, operator.start(), pdf, stream, order)[1], _schema(rows, operator, stream, order))
+    rows = frames.select(stream, order, frames[samples].cast("array<double>").alias("samples"))
+    name, kind = operator.output.split(" ")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, current, state = False, None, []
+        for b in batches:
+            out = []
+            for key, frame in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if not begun or key != current:
+                    begun, current, state = True, key, operator.start()
+                state, value = operator.step(state, np.asarray(frame or [], dtype=float))
+                out.append(value)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, ARROW[kind])], names=[stream, order, name])
+
+    return rows.repartition(stream).sortWithinPartitions(stream, order).mapInArrow(walk, _schema(rows, operator, stream, order))
 
 
 def stream(frames: DataFrame, operator: Operator, *, stream: str = "stream_id", order: str = "frame_no", samples: str = "samples") -> DataFrame:
