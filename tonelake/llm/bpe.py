@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from tonelake.llm.common import small_batches
 
-#: Words that one worker's cache holds before it starts anew.
-CACHE_WORDS = 400_000
+#: Words, and bytes of words, that one worker's cache holds before it starts anew.
+CACHE_WORDS, CACHE_BYTES = 400_000, 32 << 20
 FAR = np.iinfo(np.int64).max
 
 
@@ -103,6 +103,7 @@ class WordBpe:
         self._forget()
 
     def _forget(self) -> None:
+        self.held = 0
         self.index: dict[str, int] = {}
         self.flat: list[np.ndarray] = []
         self.parts: dict[str, str] = {}
@@ -184,6 +185,7 @@ class WordBpe:
         """Encode words that the cache lacks."""
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
         sizes = np.array([len(r) for r in raw], dtype=np.int64)
+        self.held += int(sizes.sum())
         data = np.frombuffer(b"".join(raw), dtype=np.uint8)
         symbols = self.inner[data]
         ends = np.cumsum(sizes) - 1
@@ -195,7 +197,7 @@ class WordBpe:
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Offsets, flat ids and decoded texts. A missing text counts as empty."""
-        if len(self.index) > CACHE_WORDS:
+        if len(self.index) > CACHE_WORDS or self.held > CACHE_BYTES:
             self._forget()
         split = [self.words(t) if t else [] for t in texts]
         new = list({w for ws in split for w in ws if w not in self.index})
