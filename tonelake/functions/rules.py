@@ -29,6 +29,28 @@ SNR_NB = [
     204, 205, 207, 208, 209, 211, 212, 213, 215, 216, 217, 219, 220, 221, 223, 224, 225, 227, 228, 230, 231, 232, 234, 235, 236, 238, 239, 241, 242, 243, 245, 246, 248,
     249, 250, 252, 253, 255,
 ]
+SNR_MB = [
+    0, 0, 28, 43, 52, 59, 65, 70, 74, 78, 81, 85, 87, 90, 93, 95, 98, 100, 102, 105, 107, 109, 111,
+    113, 115, 116, 118, 120, 122, 123, 125, 127, 128, 130, 131, 133, 134, 136, 137, 138, 140, 141,
+    143, 144, 145, 147, 148, 149, 151, 152, 153, 154, 156, 157, 158, 159, 160, 162, 163, 164, 165,
+    166, 167, 168, 169, 171, 172, 173, 174, 175, 176, 177, 178, 179, 180, 181, 182, 183, 184, 185,
+    186, 187, 188, 188, 189, 190, 191, 192, 193, 194, 195, 196, 197, 198, 199, 200, 201, 202, 203,
+    203, 204, 205, 206, 207, 208, 209, 210, 211, 212, 213, 214, 214, 215, 216, 217, 218, 219, 220,
+    221, 222, 223, 224, 224, 225, 226, 227, 228, 229, 230, 231, 232, 233, 234, 235, 236, 236, 237,
+    238, 239, 240, 241, 242, 243, 244, 245, 246, 247, 248, 249, 250, 251, 252, 253, 254, 255,
+]
+SNR_WB = [
+    0, 0, 0, 8, 29, 41, 49, 56, 62, 66, 70, 74, 77, 80, 83, 86, 88, 91, 93, 95, 97, 99, 101, 103,
+    105, 107, 108, 110, 112, 113, 115, 116, 118, 119, 121, 122, 123, 125, 126, 127, 129, 130, 131,
+    132, 134, 135, 136, 137, 138, 140, 141, 142, 143, 144, 145, 146, 147, 148, 149, 150, 151, 152,
+    153, 154, 156, 157, 158, 159, 159, 160, 161, 162, 163, 164, 165, 166, 167, 168, 169, 170, 171,
+    171, 172, 173, 174, 175, 176, 177, 177, 178, 179, 180, 181, 181, 182, 183, 184, 185, 185, 186,
+    187, 188, 189, 189, 190, 191, 192, 192, 193, 194, 195, 195, 196, 197, 198, 198, 199, 200, 200,
+    201, 202, 203, 203, 204, 205, 206, 206, 207, 208, 209, 209, 210, 211, 211, 212, 213, 214, 214,
+    215, 216, 216, 217, 218, 219, 219, 220, 221, 221, 222, 223, 224, 224, 225, 226, 226, 227, 228,
+    229, 229, 230, 231, 232, 232, 233, 234, 234, 235, 236, 237, 237, 238, 239, 240, 240, 241, 242,
+    243, 243, 244, 245, 246, 246, 247, 248, 249, 249, 250, 251, 252, 253, 255,
+]
 
 
 def table(values: list[int], index: Column) -> Column:
@@ -122,11 +144,12 @@ def redundancy_bytes(max_bytes: Column, rate: Column, frame_rate: Column, channe
     return F.when((frame_rate > 0) & (n > 4 + 8 * channels), F.least(n, F.lit(257))).otherwise(0).cast("bigint")
 
 
-def target_snr_nb(rate: Column, half: Column) -> Column:
-    """Target signal-to-noise ratio (Q7 dB) of an 8 kHz SILK channel for a bitrate; ``half`` marks 10 ms frames."""
-    i = div(rate - F.when(half, 2000).otherwise(0) + 200, 400) - 10
-    i = F.least(i, F.lit(len(SNR_NB) - 1))
-    return F.when(i <= 0, 0).otherwise(table(SNR_NB, F.greatest(i, F.lit(0))) * 21).cast("int")
+def target_snr(rate: Column, khz: Column, half: Column) -> Column:
+    """Target signal-to-noise ratio (Q7 dB) of a SILK channel for its bitrate, by its sampling rate (8, 12, or wider);
+    ``half`` marks 10 ms frames."""
+    step = div(rate - F.when(half, 2000 + div(khz, 16)).otherwise(0) + 200, 400) - 10
+    of = lambda t: table(t, F.greatest(F.least(step, F.lit(len(t) - 1)), F.lit(0))) * 21
+    return F.when(step <= 0, 0).when(khz == 8, of(SNR_NB)).when(khz == 12, of(SNR_MB)).otherwise(of(SNR_WB)).cast("int")
 
 
 def gain_linear(q8_db: Column) -> Column:

@@ -134,3 +134,11 @@ def frame_size(size: Column, duration: Column, rate: Column) -> Column:
     for k in (3, 4, 5, 6):
         valid = valid | (new * 50 == rate * k)
     return F.when((size >= div(rate, 400)) & (new <= size) & valid, new)
+
+
+def metadata(payload: Column) -> Column:
+    """struct(mode, bandwidth_id, frame_samples at 48 kHz, channels, frames) of a packet."""
+    first = byte_at(payload, 0)
+    return F.struct(
+        mode(first).alias("mode"), bandwidth_id(first).alias("bandwidth_id"), samples_per_frame(first).cast("int").alias("frame_samples"), channels(first).alias("channels"), frame_count(payload).alias("frames")
+    )

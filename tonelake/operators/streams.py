@@ -142,3 +142,23 @@ def read_samples(samples: Column, channels: int, cursor: Column, room: Column) -
 def gain_offset(tag_gain_q8: Column, offset_q8: Column) -> Column:
     """A gain in 1/256 dB with an offset of the user's, which is held to 16 bits."""
     return tag_gain_q8 + F.greatest(F.least(offset_q8, F.lit(32767)), F.lit(-32768))
+
+
+def delayed(frames: DataFrame, by: int, *, stream: str = "stream_id", order: str = "packet_no", samples: str = "samples") -> DataFrame:
+    """(stream, order, samples): each stream ``by`` samples later, frame by frame, with zeros at its start. Frames
+    are no shorter than the delay; one task needs only a frame and the one before."""
+    s = F.col(samples).cast("array<double>")
+    tail = F.lag(F.slice(s, F.size(s) - by + 1, F.lit(by))).over(Window.partitionBy(stream).orderBy(order))
+    return frames.select(stream, order, F.concat(F.coalesce(tail, F.array_repeat(F.lit(0.0), by)), F.slice(s, F.lit(1), F.size(s) - by)).alias(samples))
+
+
+def with_comment(comments: Column, key: Column, value: Column) -> Column:
+    """A list of comments and one more."""
+    return F.array_append(comments, F.concat(key, F.lit("="), value))
+
+
+def binary_suffix(data: Column) -> Column:
+    """struct(suffix, error_code): bytes to follow the comments. Their first bit must be set, or they are
+    refused; no bytes remove the suffix."""
+    kept = (F.octet_length(data) == 0) | (F.pmod(F.conv(F.hex(F.substring(data, 1, 1)), 16, 10).cast("int"), F.lit(2)) == 1)
+    return F.struct(F.when(kept & (F.octet_length(data) > 0), data).alias("suffix"), F.when(kept, 0).otherwise(-131).alias("error_code"))

@@ -246,13 +246,14 @@ def redundancy_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("bytes", rules.redundancy_bytes(*cols("max_bytes", "rate", "frame_rate", "channels")))
 
 
-@query(f"""WITH g AS (SELECT CAST(r * 137 AS BIGINT) AS rate, h AS half FROM range(0, 500) AS a(r), (SELECT unnest([true, false]) AS h)),
-i AS (SELECT *, least((rate - CASE WHEN half THEN 2000 ELSE 0 END + 200) // 400 - 10, {len(rules.SNR_NB) - 1}) AS i FROM g)
-SELECT rate, half, CAST(CASE WHEN i <= 0 THEN 0 ELSE list_extract({rules.SNR_NB}, i + 1) * 21 END AS INTEGER) AS snr_q7 FROM i""")
+@query(f"""WITH g AS (SELECT CAST(r * 137 AS BIGINT) AS rate, h AS half, k AS khz, CASE k WHEN 8 THEN {rules.SNR_NB} WHEN 12 THEN {rules.SNR_MB} ELSE {rules.SNR_WB} END AS t
+  FROM range(0, 700) AS a(r), (SELECT unnest([true, false]) AS h), (SELECT unnest([8, 12, 16]) AS k)),
+i AS (SELECT *, least((rate - CASE WHEN half THEN 2000 + khz // 16 ELSE 0 END + 200) // 400 - 10, len(t) - 1) AS i FROM g)
+SELECT rate, half, khz, CAST(CASE WHEN i <= 0 THEN 0 ELSE list_extract(t, i + 1) * 21 END AS INTEGER) AS snr_q7 FROM i""")
 def target_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target signal-to-noise ratios of narrowband channels, over a grid of bitrates."""
-    g = grid(spark, half=(True, False)).withColumn("rate", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(499 * 137).cast("bigint"), F.lit(137).cast("bigint"))))
-    return g.withColumn("snr_q7", rules.target_snr_nb(F.col("rate"), F.col("half")))
+    """Target signal-to-noise ratios of the three sampling rates, over a grid of bitrates."""
+    g = grid(spark, half=(True, False), khz=(8, 12, 16)).withColumn("rate", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(699 * 137).cast("bigint"), F.lit(137).cast("bigint"))))
+    return g.withColumn("snr_q7", rules.target_snr(F.col("rate"), F.col("khz"), F.col("half")))
 
 
 @query("""WITH x AS (SELECT CAST(v AS INTEGER) AS x FROM range(-300, 301) AS t(v)), a AS (SELECT x, abs(x) AS m, least(abs(x) >> 5, 5) AS i FROM x)

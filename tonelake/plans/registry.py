@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tonelake.plans import kernels, packets, reader, samples
+from tonelake.plans import bands, kernels, packets, reader, samples
 
 FLAGSHIP = "toc_mode_mix"
-QUERIES = packets.QUERIES | samples.QUERIES | kernels.QUERIES | reader.QUERIES
-ORACLES = packets.ORACLES | samples.ORACLES | kernels.ORACLES | reader.ORACLES
+QUERIES = packets.QUERIES | samples.QUERIES | kernels.QUERIES | reader.QUERIES | bands.QUERIES
+ORACLES = packets.ORACLES | samples.ORACLES | kernels.ORACLES | reader.ORACLES | bands.ORACLES

@@ -20,7 +20,7 @@ from tonelake.functions.signal import biquad
 from tonelake.shipping import ship
 
 
-ARROW = {"array<double>": pa.list_(pa.float64()), "double": pa.float64(), "boolean": pa.bool_()}
+ARROW = {"array<double>": pa.list_(pa.float64()), "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32()}
 
 
 class Operator(Protocol):
@@ -140,6 +140,32 @@ class StereoWidth:
         return [float(xx), float(xy), float(yy), float(width), float(peak)], float(min(1.0, 20 * peak))
 
 
+class Spreading:
+    """How far a frame's pulses are spread (0 none, 1 light, 2 normal, 3 aggressive), from how many coefficients
+    of normalised bands are small, averaged over frames and held back near the last decision."""
+
+    output = "spread int"
+    #: Squares of a band's coefficients times its width below which they count as small.
+    SMALL = np.array([0.25, 0.0625, 0.015625])
+
+    def __init__(self, edges: list[int], weights: list[int], scale: int = 1):
+        self.bands = [(a * scale, b * scale, w) for a, b, w in zip(edges, edges[1:], weights, strict=False)]
+
+    def start(self) -> list[float]:
+        return [256.0, 2.0]
+
+    def step(self, state: list[float], frame: np.ndarray) -> tuple[list[float], int]:
+        wide = [(frame[a:b], b - a, w) for a, b, w in self.bands if b - a > 8 and b <= len(frame)]
+        if not wide or self.bands[-1][1] - self.bands[-1][0] <= 8:
+            return state, 0
+        small = [((x * x * n)[:, None] < self.SMALL).sum(axis=0) for x, n, _ in wide]
+        score = sum(w * int((2 * count >= n).sum()) for count, (_, n, w) in zip(small, wide, strict=True))
+        average = (256 * score // sum(w for *_, w in wide) + int(state[0])) // 2
+        held = (3 * average + (3 - int(state[1])) * 128 + 66) // 4
+        spread = 3 - int(np.searchsorted([80, 256, 384], held, side="right"))
+        return [float(average), float(spread)], spread
+
+
 class Discontinuous:
     """Whether a frame needs no packet: after 200 ms without activity, for 400 ms at most at a time."""
 
