@@ -21,11 +21,16 @@ MASKED_BANDS = {1101: (13, 8000), 1102: (15, 12000)}
 FLOOR = 1e-27
 
 
+def bound(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, as lambdas would compute it anew for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _by_band(samples: Column, edges: list[int], scale: int, gains: Column) -> Column:
     """Each band of a spectrum times its entry of ``gains``."""
     s = doubles(samples)
-    scaled = lambda i: F.transform(F.slice(s, edges[i] * scale + 1, (edges[i + 1] - edges[i]) * scale), lambda x: x * F.get(gains, F.lit(i)))
-    return F.concat(*map(scaled, range(len(edges) - 1)))
+    scaled = lambda g, i: bound(F.get(g, F.lit(i)), lambda gain: F.transform(F.slice(s, edges[i] * scale + 1, (edges[i + 1] - edges[i]) * scale), lambda x: x * gain))
+    return bound(gains, lambda g: F.concat(*[scaled(g, i) for i in range(len(edges) - 1)]))
 
 
 def normalised(samples: Column, amplitudes: Column, edges: list[int], scale: int = 1) -> Column:
@@ -39,8 +44,8 @@ def denormalised(samples: Column, levels: Column, edges: list[int], scale: int =
     last band or the share of the spectrum that a lower rate keeps."""
     means = F.array(*map(F.lit, MEAN_ENERGIES))
     gains = F.transform(levels, lambda v, i: F.when(i >= start, F.pow(F.lit(2.0), F.least(v + F.get(means, i), F.lit(32.0)))).otherwise(0.0))
-    bound = min(edges[-1] * scale, length // downsample if downsample != 1 else length)
-    return F.concat(F.slice(_by_band(samples, edges, scale, gains), 1, bound), F.array_repeat(F.lit(0.0), length - bound))
+    end = min(edges[-1] * scale, length // downsample if downsample != 1 else length)
+    return F.concat(F.slice(_by_band(samples, edges, scale, gains), 1, end), F.array_repeat(F.lit(0.0), length - end))
 
 
 def comb_filter(samples: Column, start: int, periods: tuple[int, int], gains: tuple[float, float], taps: tuple[int, int], window: list[float]) -> Column:
@@ -77,15 +82,23 @@ def tapered_autocorrelation(samples: Column, lags: int, window: list[float]) ->
 def energy_shift(samples: Column) -> Column:
     """struct(energy, shift) of 16-bit samples: squares added in pairs and shifted right by so much that
     the sum keeps two bits of headroom in an int, as a first, rough sum of as many samples tells."""
+    return bound(samples, lambda v: bound(_pairs(v), lambda pairs: _shifted(pairs, F.size(v))))
+
+
+def _pairs(samples: Column) -> Column:
     n = F.size(samples)
     square = lambda i: F.coalesce(F.pow(F.get(samples, i), F.lit(2)), F.lit(0.0))
     half = F.floor((n + 1) / 2).cast("int")
-    pairs = F.when(n > 0, F.transform(F.sequence(F.lit(0), half - 1), lambda i: (square(i * 2) + square(i * 2 + 1)).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), half - 1), lambda i: (square(i * 2) + square(i * 2 + 1)).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _shifted(pairs: Column, n: Column) -> Column:
     shifted = lambda by: F.aggregate(F.transform(pairs, lambda v: F.call_function("shiftright", v, by)), F.lit(0).cast("bigint"), lambda a, v: a + v)
     bits = lambda v: F.length(F.bin(v.cast("bigint")))
     first = bits(n) - 1
-    shift = F.greatest(first + 3 - (32 - bits(shifted(first) + n)), F.lit(0))
-    return F.when(n > 0, F.struct(shifted(shift).alias("energy"), shift.alias("shift"))).otherwise(F.struct(F.lit(0).cast("bigint").alias("energy"), F.lit(0).alias("shift")))
+    shift = bound(first, lambda f: F.greatest(f + 3 - (32 - bits(shifted(f) + n)), F.lit(0)))
+    made = bound(shift, lambda h: F.struct(shifted(h).alias("energy"), h.alias("shift")))
+    return F.when(n > 0, made).otherwise(F.struct(F.lit(0).cast("bigint").alias("energy"), F.lit(0).alias("shift")))
 
 
 def best_pitches(x: Column, y: Column, size: int, lags: int) -> Column:
