@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 
 from tonelake.llm.bpe import bpe_encode, digests
 from tonelake.llm.chat import formatted, read_back
+from tonelake.llm.collocations import collocations
 from tonelake.llm.common import read
 from tonelake.llm.contamination import contained_items
 from tonelake.llm.neardup import near_duplicates
 from tonelake.llm.pages import extract_pages
+from tonelake.llm.prefixtrie import prefix_trie, turn_sequences
 from tonelake.llm.quality import fit_quality, score_quality
 from tonelake.llm.shards import shard_documents
 from tonelake.llm.substrings import suffix_dedup
+from tonelake.llm.suffixsort import repeated_bytes
 from tonelake.llm.toxicity import fit_toxicity, score_toxicity
 from tonelake.llm.topk import top_k
 
-SHARDS, WINDOW = 24, 35
+SHARDS, WINDOW, WINDOW_BYTES = 24, 35, 400
 
 
 def word_bpe_path() -> str:
@@ -86,8 +89,30 @@ def op10_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text")).drop("node", "class_node")
 
 
+def op11_deep_shallow_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeated_bytes(read(spark, sf_dir, "documents", "doc_id", "text"), WINDOW_BYTES)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_trie_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents", "lang", "text"), least=30, keep=2000)
+
+
+def op13_radix_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(rebuilt(turn_sequences(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))))
+
+
+def rebuilt(sequences: DataFrame) -> DataFrame:
+    """Each conversation with its first h turns replaced by those of the first of its hundred, as the contract says."""
+    hundred, h = F.col("conv_id") - F.col("conv_id") % 100, (F.crc32(F.col("conv_id").cast("string")) % 6).cast("int")
+    heads = sequences.select(F.col("conv_id").alias("hundred"), F.slice("turns", 1, 5).alias("head"))
+    both = sequences.select("conv_id", "turns", hundred.alias("hundred"), h.alias("h")).join(heads, "hundred", "left")
+    head = F.coalesce(F.slice("head", F.lit(1), F.col("h")), F.slice("turns", 1, 0))
+    return both.select("conv_id", F.concat(head, F.slice("turns", F.col("h") + 1, F.size("turns"))).alias("turns"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_site_template_removal, op2_vector_sharding, op3_maxscore_topk, op4_benchmark_containment, op5_suffix_trees, op6_rule_ensemble, op7_chat_round_trip, op8_bpe_round_trip, op9_noisy_channel_toxicity, op10_bagminhash_classes)
+    f.__name__: f for f in (op1_site_template_removal, op2_vector_sharding, op3_maxscore_topk, op4_benchmark_containment, op5_suffix_trees, op6_rule_ensemble, op7_chat_round_trip, op8_bpe_round_trip, op9_noisy_channel_toxicity, op10_bagminhash_classes, op11_deep_shallow_dedup, op12_trie_collocations, op13_radix_prefix_trie)
 }
 
 ORACLES: dict[str, str] = {
@@ -158,4 +183,69 @@ ORACLES: dict[str, str] = {
           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
           CAST(sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) AS BIGINT) AS formatted_chars
         FROM c GROUP BY conv_id""",
+    "op11_deep_shallow_dedup": r"""
+        WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        win AS (
+          SELECT r, i, md5(substring(x, 2 * i + 1, 800)) AS s
+          FROM (SELECT r, x, unnest(range(0, len(x) // 2 - 399)) AS i FROM d WHERE len(x) >= 800)),
+        rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY s) AS n FROM win) WHERE n > 1),
+        cut AS (SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 1 ELSE 0 END AS fresh FROM rep),
+        span AS (
+          SELECT r, min(i) AS a, max(i) + 400 AS b
+          FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM cut) GROUP BY r, g),
+        gap AS (
+          SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM span
+          UNION ALL SELECT r, max(b), NULL FROM span GROUP BY r UNION ALL SELECT r, 0, NULL FROM d WHERE r NOT IN (SELECT r FROM span)),
+        kept AS (SELECT r, string_agg(substring(x, 2 * a + 1, 2 * (coalesce(b, len(x)) - a)), '' ORDER BY a, b) AS t FROM gap JOIN d USING (r) GROUP BY r),
+        gone AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM span GROUP BY r)
+        SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(t)) AS kept_sha256
+        FROM d JOIN kept USING (r) LEFT JOIN gone USING (r)""",
+    "op12_trie_collocations": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        w AS (
+          SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+          FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+        f AS (
+          SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, count(*) AS f
+          FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)
+          GROUP BY ALL),
+        total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT lang, k AS m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+        cut AS (
+          SELECT c.lang, c.phrase, c.a, j, x.f AS l, y.f AS r, CAST((CAST(2000000 AS HUGEINT) * c.a) // (x.f + y.f) AS BIGINT) AS score
+          FROM (SELECT *, unnest(range(1, m)) AS j FROM c) AS c
+          JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(w, 1, j), ' ')
+          JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(w, j + 1, m), ' ')),
+        best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM cut) WHERE o = 1),
+        around AS (
+          SELECT lang, array_to_string(list_slice(w, i, i + n - 1), ' ') AS phrase, max(a) AS longer
+          FROM (SELECT lang, w, a, n, unnest(range(1, m - n + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS n FROM c)) GROUP BY ALL),
+        stay AS (SELECT best.* FROM best LEFT JOIN around USING (lang, phrase) WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * a),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM stay)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
+    "op13_radix_prefix_trie": r"""
+        WITH t AS (
+          SELECT conv_id, turn, length(coalesce(text, '')) AS n, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x
+          FROM conversations WHERE conv_id IS NOT NULL),
+        s AS (
+          SELECT conv_id AS c, list({'x': x, 'n': n} ORDER BY turn NULLS FIRST, x) AS w,
+            xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda y: CAST(ascii(y) AS BIGINT))),
+              lambda a, b: list_reduce(list_prepend(xor(a, b), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda z, i: xor(z >> 1, (z & 1) * 3988292384))), 4294967295) % 6 AS h
+          FROM t GROUP BY conv_id),
+        r AS (
+          SELECT s.c, list_concat(list_slice(coalesce(b.w, []), 1, s.h), list_slice(s.w, s.h + 1, len(s.w))) AS w
+          FROM s LEFT JOIN s AS b ON b.c = s.c - s.c % 100),
+        p AS (SELECT c, w, d, list_transform(list_slice(w, 1, d), lambda y: y.x) AS k FROM (SELECT c, w, unnest(range(0, len(w) + 1)) AS d FROM r)),
+        node AS (
+          SELECT k, d, min(c) AS conv_id, count(*) AS n, CASE WHEN d > 0 THEN (count(*) - 1) * any_value(w[d].n) ELSE 0 END AS saved,
+            sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(w) = d), '')) AS ends
+          FROM p GROUP BY k, d),
+        kid AS (SELECT list_slice(k, 1, d - 1) AS k, count(*) AS kids FROM node WHERE d > 0 GROUP BY 1),
+        full_ AS (SELECT node.*, coalesce(kids, 0) AS kids FROM node LEFT JOIN kid USING (k)),
+        tree AS (
+          SELECT list_slice(k, 1, e) AS k, CAST(sum(saved) AS BIGINT) AS saved, count(*) FILTER (kids = 0) AS leaves
+          FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM full_) GROUP BY 1)
+        SELECT a.conv_id, a.d AS depth, b.conv_id AS parent_conv_id, a.n AS n_convs, a.kids AS n_children, tree.leaves AS n_leaves,
+          tree.saved AS saved_tokens, a.ends AS ends_sha256
+        FROM full_ AS a JOIN tree USING (k) LEFT JOIN node AS b ON a.d > 0 AND b.k = list_slice(a.k, 1, a.d - 1)""",
 }
