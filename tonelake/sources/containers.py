@@ -156,10 +156,14 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+def arrow_schema(schema: str) -> pa.Schema:
+    types = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+    return pa.schema([(c.split(" ", 1)[0], types[c.split(" ", 1)[1]]) for c in schema.split(", ")])
+
+
 def _scan(contents: DataFrame, schema: str, rows) -> DataFrame:
     """``rows(path, content)`` for each file, in batches of a bounded number of rows."""
     ship(contents.sparkSession)
-    names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,22 +177,20 @@ def _scan(contents: DataFrame, schema: str, rows) -> DataFrame:
                 if block:
                     yield pa.RecordBatch.from_pylist(block, schema=kinds)
 
-    types = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
-    kinds = pa.schema([(n, types[c.split(" ", 1)[1]]) for n, c in zip(names, schema.split(", "), strict=True)])
+    kinds = arrow_schema(schema)
     return contents.select("path", "content").mapInArrow(run, schema)
 
 
 def read_pages(contents: DataFrame) -> DataFrame:
     """One row for each good page of files given as (path, content)."""
+    return _scan(contents, PAGE, lambda path, content: (page_row(path, p) for p in scan_pages(content)))
 
-    def rows(path: str, content: bytes) -> Iterator[dict]:
-        for p in scan_pages(content):
-            yield {
-                "path": path, "page_off": p.offset, "end_off": p.end, "version": p.version, "continued": bool(p.flags & CONTINUED), "bos": bool(p.flags & FIRST), "eos": bool(p.flags & LAST),
-                "granule": p.granule, "serial": p.serial, "seq": p.seq, "lacing": list(p.lacing), "body": p.body, "crc_ok": p.crc_ok, "skipped": p.skipped,
-            }
 
-    return _scan(contents, PAGE, rows)
+def page_row(path: str, p: Page) -> dict:
+    return {
+        "path": path, "page_off": p.offset, "end_off": p.end, "version": p.version, "continued": bool(p.flags & CONTINUED), "bos": bool(p.flags & FIRST), "eos": bool(p.flags & LAST),
+        "granule": p.granule, "serial": p.serial, "seq": p.seq, "lacing": list(p.lacing), "body": p.body, "crc_ok": p.crc_ok, "skipped": p.skipped,
+    }
 
 
 def read_packets(contents: DataFrame) -> DataFrame:
@@ -251,10 +253,11 @@ def read_raw_pcm(contents: DataFrame, channels: int, frame: int) -> DataFrame:
 
 
 class PageSync:
-    """Pages from bytes that arrive in pieces; a page is given once it is whole, damage is skipped."""
+    """Pages from bytes that arrive in pieces, the first of which stands at ``base``; a page is given once it is whole, damage
+    is skipped."""
 
-    def __init__(self) -> None:
-        self.held, self.base, self.good = b"", 0, 0
+    def __init__(self, base: int = 0) -> None:
+        self.held, self.base, self.good = b"", base, base
 
     def feed(self, data: bytes, last: bool = False) -> list[Page]:
         """The pages that ``data`` completes. With ``last`` nothing more will come."""
