@@ -162,38 +162,45 @@ def ambisonic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("frame_id", "x.ambisonic_order", "x.kind", *real(F.col("x.a")))
 
 
-@query("""WITH c AS (SELECT CAST(v AS INTEGER) AS channels, CAST(floor(sqrt(v)) AS INTEGER) AS q FROM range(0, 261) AS t(v)), k AS (SELECT *, q BETWEEN 2 AND 6 AND channels - q * q IN (0, 2) AS ok, 2 * (q * q + 2) * (q * q + 2) AS cells FROM c)
-SELECT channels, CASE WHEN ok THEN q - 1 END AS ambisonic_order, CASE WHEN ok THEN (channels + 1) // 2 END AS streams, CASE WHEN ok THEN channels // 2 END AS coupled, CASE WHEN ok THEN 16 + (cells + 7) // 8 * 8 END AS matrix_bytes,
+CHANNELS = views.Drawn(channels=range(261))
+
+
+@query(f"""WITH c AS (SELECT *, CAST(floor(sqrt(channels)) AS INTEGER) AS q FROM ({CHANNELS.sql})), k AS (SELECT *, q BETWEEN 2 AND 6 AND channels - q * q IN (0, 2) AS ok, 2 * (q * q + 2) * (q * q + 2) AS cells FROM c)
+SELECT event_id, channels, CASE WHEN ok THEN q - 1 END AS ambisonic_order, CASE WHEN ok THEN (channels + 1) // 2 END AS streams, CASE WHEN ok THEN channels // 2 END AS coupled, CASE WHEN ok THEN 16 + (cells + 7) // 8 * 8 END AS matrix_bytes,
   CASE WHEN channels <= 255 AND channels * 127 * 2 <= 65004 THEN 16 + (channels * 254 + 7) // 8 * 8 END AS by_127 FROM k""")
 def projection_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Projection layouts of all channel counts, and sizes of matrices of 127 columns."""
-    c = spark.range(0, 261).select(F.col("id").cast("int").alias("channels"))
-    c = c.withColumn("p", ambisonics.projection_layout(F.col("channels")))
-    return c.select("channels", F.col("p.order").alias("ambisonic_order"), F.col("p.streams").alias("streams"), F.col("p.coupled").alias("coupled"), F.col("p.matrix_bytes").alias("matrix_bytes"), ambisonics.matrix_bytes(F.col("channels"), F.lit(127)).alias("by_127"))
+    """Projection layouts of channel counts drawn from event numbers, and sizes of matrices of 127 columns."""
+    c = CHANNELS.frame(spark, sf_dir).withColumn("p", ambisonics.projection_layout(F.col("channels")))
+    return c.select("event_id", "channels", F.col("p.order").alias("ambisonic_order"), F.col("p.streams").alias("streams"), F.col("p.coupled").alias("coupled"), F.col("p.matrix_bytes").alias("matrix_bytes"), ambisonics.matrix_bytes(F.col("channels"), F.lit(127)).alias("by_127"))
 
 
 SURROUND = " ".join(f"WHEN {n} THEN {{'streams': {s}, 'coupled': {c}, 'mapping': CAST({m} AS INTEGER[])}}" for n, (s, c, m) in layouts.SURROUND.items())
 
 
-@query(f"""WITH g AS (SELECT CAST(v AS INTEGER) AS channels, f AS family, CAST(pow(floor(sqrt(v)), 2) AS INTEGER) AS q FROM range(0, 261) AS t(v), (SELECT unnest([0, 1, 2, 3, 255]) AS f)),
+FAMILIES = views.Drawn(channels=range(261), family=[0, 1, 2, 3, 255])
+
+
+@query(f"""WITH g AS (SELECT *, CAST(pow(floor(sqrt(channels)), 2) AS INTEGER) AS q FROM ({FAMILIES.sql})),
 k AS (SELECT *, CASE WHEN channels > q THEN 1 ELSE 0 END AS c FROM g),
-l AS (SELECT channels, family, CASE
+l AS (SELECT event_id, channels, family, CASE
   WHEN family = 0 AND channels IN (1, 2) THEN {{'streams': 1, 'coupled': channels - 1, 'mapping': CAST(range(0, channels) AS INTEGER[])}}
   WHEN family = 1 THEN CASE channels {SURROUND} END
   WHEN family = 2 AND channels BETWEEN 1 AND 227 AND channels - q IN (0, 2) THEN {{'streams': q + c, 'coupled': c, 'mapping': CAST(list_concat(range(2 * c, q + 2 * c), range(0, 2 * c)) AS INTEGER[])}}
   WHEN family = 255 AND channels BETWEEN 1 AND 255 THEN {{'streams': channels, 'coupled': 0, 'mapping': CAST(range(0, channels) AS INTEGER[])}} END AS l FROM k)
-SELECT channels, family, l.streams AS streams, l.coupled AS coupled, l.mapping AS mapping FROM l""")
+SELECT event_id, channels, family, l.streams AS streams, l.coupled AS coupled, l.mapping AS mapping FROM l""")
 def family_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layouts of every family and channel count."""
-    c = spark.range(0, 261).select(F.col("id").cast("int").alias("channels"), F.explode(F.array(*map(F.lit, (0, 1, 2, 3, 255)))).alias("family"))
-    return c.withColumn("l", ambisonics.layout_of(F.col("channels"), F.col("family"))).select("channels", "family", "l.streams", "l.coupled", "l.mapping")
+    """Layouts of families and channel counts drawn from event numbers."""
+    c = FAMILIES.frame(spark, sf_dir)
+    return c.withColumn("l", ambisonics.layout_of(F.col("channels"), F.col("family"))).select("event_id", "channels", "family", "l.streams", "l.coupled", "l.mapping")
+
+
+FRAME_BYTES = views.Drawn(size=range(1276))
 
 
-@query("""SELECT CAST(n AS INTEGER) AS size, CASE WHEN n < 252 THEN printf('%02X', n) ELSE printf('%02X', 252 + n % 4) || printf('%02X', (n - 252 - n % 4) // 4) END AS field FROM range(0, 1276) AS t(n)""")
+@query(f"""SELECT event_id, size, CASE WHEN size < 252 THEN printf('%02X', size) ELSE printf('%02X', 252 + size % 4) || printf('%02X', (size - 252 - size % 4) // 4) END AS field FROM ({FRAME_BYTES.sql})""")
 def length_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length fields of all frame sizes."""
-    n = spark.range(0, 1276).select(F.col("id").cast("int").alias("size"))
-    return n.withColumn("field", toc.write_length(F.col("size")))
+    """Length fields of frame sizes drawn from event numbers."""
+    return FRAME_BYTES.frame(spark, sf_dir).withColumn("field", toc.write_length(F.col("size")))
 
 
 @query("""WITH e AS (SELECT event_id, CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 2) AS INTEGER) AS t, CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 3, 2) AS INTEGER) AS b FROM events),

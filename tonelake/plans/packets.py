@@ -49,15 +49,17 @@ def toc_mode_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 RATES = (8000, 12000, 16000, 24000, 48000)
 
 
-@query(f"""WITH b AS (SELECT CAST(b0 AS INTEGER) AS b0, CAST(fs AS INTEGER) AS fs FROM range(256) AS t(b0), (SELECT unnest([8000, 12000, 16000, 24000, 48000]) AS fs))
-SELECT b0 AS toc, fs, {MODE} AS mode, {BAND} AS bandwidth, list_position(['NB', 'MB', 'WB', 'SWB', 'FB'], {BAND}) + 1100 AS bandwidth_id,
+TOCS = views.Drawn(b0=range(256), fs=list(RATES))
+
+
+@query(f"""WITH b AS ({TOCS.sql})
+SELECT event_id, b0 AS toc, fs, {MODE} AS mode, {BAND} AS bandwidth, list_position(['NB', 'MB', 'WB', 'SWB', 'FB'], {BAND}) + 1100 AS bandwidth_id,
   list_extract([4000, 6000, 8000, 12000, 20000], list_position(['NB', 'MB', 'WB', 'SWB', 'FB'], {BAND})) AS bandwidth_hz,
   CASE WHEN b0 & 4 <> 0 THEN 2 ELSE 1 END AS channels, CAST({SPF} AS INTEGER) AS samples FROM b""")
 def toc_table_256(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every inspector over all first bytes and rates."""
-    b = spark.range(256).select(F.col("id").cast("int").alias("toc"), F.explode(F.array(*map(F.lit, RATES))).alias("fs"))
-    t = F.col("toc")
-    return b.select("toc", "fs", toc.mode(t).alias("mode"), toc.bandwidth(t).alias("bandwidth"), toc.bandwidth_id(t).alias("bandwidth_id"), toc.bandwidth_hz(t).alias("bandwidth_hz"), toc.channels(t).alias("channels"), toc.samples_per_frame(t, F.col("fs")).alias("samples"))
+    """Every inspector over first bytes and rates drawn from event numbers."""
+    b, t = TOCS.frame(spark, sf_dir).withColumnRenamed("b0", "toc"), F.col("toc")
+    return b.select("event_id", "toc", "fs", toc.mode(t).alias("mode"), toc.bandwidth(t).alias("bandwidth"), toc.bandwidth_id(t).alias("bandwidth_id"), toc.bandwidth_hz(t).alias("bandwidth_hz"), toc.channels(t).alias("channels"), toc.samples_per_frame(t, F.col("fs")).alias("samples"))
 
 
 @query(f"""WITH {PACKETS}, x AS (SELECT fs, ({COUNT}) * ({SPF}) AS n FROM b, (SELECT unnest([8000, 12000, 16000, 24000, 48000]) AS fs))
@@ -98,31 +100,30 @@ def silk_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("frames", "vad0", "vad1", "vad2", "fec").agg(F.count("*").alias("packets"))
 
 
-@query("""WITH g AS (SELECT CAST(size * 30 AS INTEGER) AS size, CAST(duration AS INTEGER) AS duration, CAST(fs AS INTEGER) AS fs
-  FROM range(1, 200) AS a(size), range(5000, 5011) AS b(duration), (SELECT unnest([8000, 12000, 16000, 24000, 48000]) AS fs)),
+SIZES = views.Drawn(duration=range(5000, 5011), fs=list(RATES), size=range(30, 6000, 30))
+
+
+@query(f"""WITH g AS ({SIZES.sql}),
 n AS (SELECT *, CASE WHEN duration = 5000 THEN size WHEN duration BETWEEN 5001 AND 5005 THEN (fs // 400) << (duration - 5001)
   WHEN duration BETWEEN 5006 AND 5009 THEN (duration - 5003) * fs // 50 END AS w FROM g)
-SELECT size, duration, fs, CAST(CASE WHEN size >= fs // 400 AND w <= size AND (400 * w = fs OR 200 * w = fs OR 100 * w = fs OR 50 * w = fs OR 25 * w = fs
+SELECT event_id, size, duration, fs, CAST(CASE WHEN size >= fs // 400 AND w <= size AND (400 * w = fs OR 200 * w = fs OR 100 * w = fs OR 50 * w = fs OR 25 * w = fs
   OR 50 * w = 3 * fs OR 50 * w = 4 * fs OR 50 * w = 5 * fs OR 50 * w = 6 * fs) THEN w END AS INTEGER) AS chosen FROM n""")
 def frame_size_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The frame size for every duration code, rate and input size of a grid."""
-    g = spark.range(1, 200).select((F.col("id") * 30).cast("int").alias("size"))
-    g = g.select("size", F.explode(F.sequence(F.lit(5000), F.lit(5010))).alias("duration")).select("*", F.explode(F.array(*map(F.lit, RATES))).alias("fs"))
-    return g.select("size", "duration", "fs", toc.frame_size(F.col("size"), F.col("duration"), F.col("fs")).alias("chosen"))
+    """The frame size for duration codes, rates and input sizes drawn from event numbers."""
+    return SIZES.frame(spark, sf_dir).select("event_id", "size", "duration", "fs", toc.frame_size(F.col("size"), F.col("duration"), F.col("fs")).alias("chosen"))
 
 
-@query("""WITH g AS (SELECT m AS mode, CAST(fr AS INTEGER) AS frame_rate, CAST(bw AS INTEGER) AS bandwidth_id, CAST(ch AS INTEGER) AS channels
-  FROM (SELECT unnest(['SILK', 'HYBRID', 'CELT']) AS m), (SELECT unnest([400, 200, 100, 50, 25]) AS fr), range(1101, 1106) AS b(bw), range(1, 3) AS c(ch)),
+TOC_SETTINGS = views.Drawn(mode=list(toc.MODES), frame_rate=[400, 200, 100, 50, 25], bandwidth_id=range(1101, 1106), channels=range(1, 3))
+
+
+@query(f"""WITH g AS ({TOC_SETTINGS.sql}),
 k AS (SELECT *, CASE frame_rate WHEN 400 THEN 0 WHEN 200 THEN 1 WHEN 100 THEN 2 WHEN 50 THEN 3 ELSE 4 END AS period FROM g)
-SELECT mode, frame_rate, bandwidth_id, channels, CAST(CASE mode WHEN 'SILK' THEN least(bandwidth_id - 1101, 3) * 32 + least(greatest(period - 2, 0), 3) * 8
+SELECT event_id, mode, frame_rate, bandwidth_id, channels, CAST(CASE mode WHEN 'SILK' THEN least(bandwidth_id - 1101, 3) * 32 + least(greatest(period - 2, 0), 3) * 8
   WHEN 'CELT' THEN 128 + greatest(bandwidth_id - 1102, 0) * 32 + least(period, 3) * 8
   ELSE 96 + CASE WHEN bandwidth_id = 1105 THEN 16 ELSE 0 END + least(greatest(period - 2, 0), 3) * 8 END + CASE WHEN channels = 2 THEN 4 ELSE 0 END AS INTEGER) AS toc FROM k""")
 def toc_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first byte for every mode, frame rate, bandwidth and channel count."""
-    g = spark.range(1).select(F.explode(F.array(*map(F.lit, toc.MODES))).alias("mode"))
-    for name, values in (("frame_rate", (400, 200, 100, 50, 25)), ("bandwidth_id", range(1101, 1106)), ("channels", (1, 2))):
-        g = g.withColumn(name, F.explode(F.array(*map(F.lit, values))))
-    return g.withColumn("toc", toc.make_toc(*[F.col(c) for c in ("mode", "frame_rate", "bandwidth_id", "channels")]).cast("int"))
+    """The first byte for modes, frame rates, bandwidths and channel counts drawn from event numbers."""
+    return TOC_SETTINGS.frame(spark, sf_dir).withColumn("toc", toc.make_toc(*[F.col(c) for c in ("mode", "frame_rate", "bandwidth_id", "channels")]).cast("int"))
 
 
 @query("""SELECT l_orderkey AS serial, l_linenumber AS seq, l_partkey, l_suppkey, CAST(coalesce(greatest(l_linenumber
@@ -182,13 +183,6 @@ def gain_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.round(rules.gain_linear(F.pmod("event_id", F.lit(8192)) - 4096), 9).alias("factor"))
 
 
-def grid(spark: SparkSession, **values) -> DataFrame:
-    out = spark.range(1).select()
-    for name, listed in values.items():
-        out = out.withColumn(name, F.explode(F.array(*map(F.lit, listed))))
-    return out
-
-
 def cols(*names: str) -> list[Column]:
     return [F.col(n) for n in names]
 
@@ -208,61 +202,71 @@ def equiv_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", rules.equivalent_rate(*cols("rate", "ch", "fr", "vbr", "mode", "cx", "loss")).alias("equivalent"))
 
 
-@query("""WITH g AS (SELECT CAST(loss AS INTEGER) AS loss, last, CAST(bw AS INTEGER) AS bw, CAST(rate * 500 AS BIGINT) AS rate
-  FROM (SELECT unnest([0, 3, 5, 6, 10, 25, 40]) AS loss), (SELECT unnest([true, false]) AS last), range(1101, 1106) AS b(bw), range(10, 60) AS r(rate)),
+FEC_SETTINGS = views.Drawn(loss=[0, 3, 5, 6, 10, 25, 40], last=[True, False], bw=range(1101, 1106), rate=range(5000, 30000, 500))
+
+
+@query(f"""WITH g AS ({FEC_SETTINGS.sql}),
 t AS (SELECT g.*, s.bw AS tried, ((list_extract([12000, 14000, 16000, 20000, 22000], s.bw - 1100) + CASE WHEN last THEN -1000 ELSE 1000 END) * (125 - least(loss, 25)) * 655) >> 16 AS lim
   FROM g JOIN (SELECT CAST(x AS INTEGER) AS bw FROM range(1101, 1106) AS y(x)) AS s ON s.bw <= g.bw AND (s.bw = g.bw OR g.loss > 5)),
-c AS (SELECT loss, last, bw, rate, max(tried) FILTER (rate > lim) AS got FROM t GROUP BY ALL)
-SELECT loss, last AS last_fec, bw AS bandwidth_id, rate, loss <> 0 AND got IS NOT NULL AS fec, CAST(CASE WHEN loss <> 0 THEN coalesce(got, bw) ELSE bw END AS INTEGER) AS chosen FROM c""")
+c AS (SELECT event_id, loss, last, bw, rate, max(tried) FILTER (rate > lim) AS got FROM t GROUP BY ALL)
+SELECT event_id, loss, last AS last_fec, bw AS bandwidth_id, rate, loss <> 0 AND got IS NOT NULL AS fec, CAST(CASE WHEN loss <> 0 THEN coalesce(got, bw) ELSE bw END AS INTEGER) AS chosen FROM c""")
 def fec_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether redundancy pays, over a grid of settings."""
-    g = grid(spark, loss=(0, 3, 5, 6, 10, 25, 40), last_fec=(True, False), bandwidth_id=range(1101, 1106)).withColumn("rate", F.explode(F.sequence(F.lit(5000).cast("bigint"), F.lit(29500).cast("bigint"), F.lit(500).cast("bigint"))))
+    """Whether redundancy pays, for settings drawn from event numbers."""
+    g = FEC_SETTINGS.frame(spark, sf_dir).withColumnsRenamed({"last": "last_fec", "bw": "bandwidth_id"})
     d = rules.fec_decision(F.lit(True), F.col("loss"), F.col("last_fec"), F.lit("SILK"), F.col("bandwidth_id"), F.col("rate"))
-    return g.withColumn("d", d).select("loss", "last_fec", "bandwidth_id", "rate", "d.fec", F.col("d.bandwidth_id").alias("chosen"))
+    return g.withColumn("d", d).select("event_id", "loss", "last_fec", "bandwidth_id", "rate", "d.fec", F.col("d.bandwidth_id").alias("chosen"))
 
 
-@query("""WITH g AS (SELECT CAST(r * 1000 AS BIGINT) AS rate, CAST(bw AS INTEGER) AS bw, l AS long, v AS vbr, f AS fec, CAST(ch AS INTEGER) AS ch FROM range(1, 150) AS a(r), range(1104, 1106) AS b(bw),
-  (SELECT unnest([true, false]) AS l), (SELECT unnest([true, false]) AS v), (SELECT unnest([true, false]) AS f), range(1, 3) AS c(ch)),
+HYBRID_SETTINGS = views.Drawn(bw=range(1104, 1106), long=[True, False], vbr=[True, False], fec=[True, False], ch=range(1, 3), rate=range(1000, 150000, 1000))
+
+
+@query(f"""WITH g AS ({HYBRID_SETTINGS.sql}),
 t AS (SELECT * FROM (VALUES (0, 0, [0, 0, 0, 0]), (1, 12000, [10000, 10000, 11000, 11000]), (2, 16000, [13500, 13500, 15000, 15000]), (3, 20000, [16000, 16000, 18000, 18000]),
   (4, 24000, [18000, 18000, 21000, 21000]), (5, 32000, [22000, 22000, 28000, 28000]), (6, 64000, [38000, 38000, 50000, 50000])) AS t(i, x, v)),
 e AS (SELECT g.*, rate // ch AS each, 1 + long::INT + 2 * fec::INT AS c FROM g),
 k AS (SELECT e.*, CAST(CASE WHEN each >= 64000 THEN list_extract(a.v, c) + (each - a.x) // 2 ELSE (list_extract(a.v, c) * (b.x - each) + list_extract(b.v, c) * (each - a.x)) // (b.x - a.x) END AS BIGINT) AS s
   FROM e JOIN t AS a ON a.x <= each LEFT JOIN t AS b ON b.i = a.i + 1 WHERE each >= 64000 AND a.i = 6 OR each < b.x)
-SELECT rate, bw AS bandwidth_id, long AS frame_20ms, vbr, fec, ch AS channels, CAST((s + CASE WHEN vbr THEN 0 ELSE 100 END + CASE WHEN bw = 1104 THEN 300 ELSE 0 END) * ch
+SELECT event_id, rate, bw AS bandwidth_id, long AS frame_20ms, vbr, fec, ch AS channels, CAST((s + CASE WHEN vbr THEN 0 ELSE 100 END + CASE WHEN bw = 1104 THEN 300 ELSE 0 END) * ch
   - CASE WHEN ch = 2 AND each >= 12000 THEN 1000 ELSE 0 END AS BIGINT) AS silk_rate FROM k""")
 def hybrid_silk_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SILK's part of hybrid bitrates, over a grid of settings."""
-    g = grid(spark, bandwidth_id=(1104, 1105), frame_20ms=(True, False), vbr=(True, False), fec=(True, False), channels=(1, 2)).withColumn("rate", F.explode(F.sequence(F.lit(1000).cast("bigint"), F.lit(149000).cast("bigint"), F.lit(1000).cast("bigint"))))
+    """SILK's part of hybrid bitrates, for settings drawn from event numbers."""
+    g = HYBRID_SETTINGS.frame(spark, sf_dir).withColumnsRenamed({"bw": "bandwidth_id", "long": "frame_20ms", "ch": "channels"})
     return g.withColumn("silk_rate", rules.hybrid_silk_rate(*cols("rate", "bandwidth_id", "frame_20ms", "vbr", "fec", "channels")))
 
 
-@query("""WITH g AS (SELECT CAST(m * 20 AS BIGINT) AS max_bytes, CAST(r * 4000 AS BIGINT) AS rate, CAST(fr AS BIGINT) AS fr, CAST(ch AS BIGINT) AS ch FROM range(1, 65) AS a(m), range(1, 40) AS b(r), (SELECT unnest([25, 50, 100, 200]) AS fr), range(1, 3) AS c(ch)),
+REDUNDANCY_SETTINGS = views.Drawn(fr=[25, 50, 100, 200], ch=range(1, 3), max_bytes=range(20, 1300, 20), rate=range(4000, 160000, 4000))
+
+
+@query(f"""WITH g AS ({REDUNDANCY_SETTINGS.sql}),
 n AS (SELECT *, least((3 * (rate + (40 * ch + 20) * (200 - fr)) // 2) // 1600, ((max_bytes * 8 - 2 * (40 * ch + 20)) * 240 // (240 + 48000 // fr) + 40 * ch + 20) // 8) AS n FROM g)
-SELECT max_bytes, rate, CAST(fr AS INTEGER) AS frame_rate, CAST(ch AS INTEGER) AS channels, CAST(CASE WHEN n > 4 + 8 * ch THEN least(n, 257) ELSE 0 END AS BIGINT) AS bytes FROM n""")
+SELECT event_id, max_bytes, rate, CAST(fr AS INTEGER) AS frame_rate, CAST(ch AS INTEGER) AS channels, CAST(CASE WHEN n > 4 + 8 * ch THEN least(n, 257) ELSE 0 END AS BIGINT) AS bytes FROM n""")
 def redundancy_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes for a redundant frame, over a grid of settings."""
-    step = lambda a, b, s: F.explode(F.sequence(*[F.lit(v).cast("bigint") for v in (a, b, s)]))
-    g = grid(spark, frame_rate=(25, 50, 100, 200), channels=(1, 2)).withColumn("max_bytes", step(20, 1280, 20)).withColumn("rate", step(4000, 156000, 4000))
+    """Bytes for a redundant frame, for settings drawn from event numbers."""
+    g = REDUNDANCY_SETTINGS.frame(spark, sf_dir).withColumnsRenamed({"fr": "frame_rate", "ch": "channels"})
     return g.withColumn("bytes", rules.redundancy_bytes(*cols("max_bytes", "rate", "frame_rate", "channels")))
 
 
-@query(f"""WITH g AS (SELECT CAST(r * 137 AS BIGINT) AS rate, h AS half, k AS khz, CASE k WHEN 8 THEN {rules.SNR_NB} WHEN 12 THEN {rules.SNR_MB} ELSE {rules.SNR_WB} END AS t
-  FROM range(0, 700) AS a(r), (SELECT unnest([true, false]) AS h), (SELECT unnest([8, 12, 16]) AS k)),
+SNR_SETTINGS = views.Drawn(half=[True, False], khz=[8, 12, 16], rate=range(0, 95900, 137))
+
+
+@query(f"""WITH g AS (SELECT *, CASE khz WHEN 8 THEN {rules.SNR_NB} WHEN 12 THEN {rules.SNR_MB} ELSE {rules.SNR_WB} END AS t FROM ({SNR_SETTINGS.sql})),
 i AS (SELECT *, least((rate - CASE WHEN half THEN 2000 + khz // 16 ELSE 0 END + 200) // 400 - 10, len(t) - 1) AS i FROM g)
-SELECT rate, half, khz, CAST(CASE WHEN i <= 0 THEN 0 ELSE list_extract(t, i + 1) * 21 END AS INTEGER) AS snr_q7 FROM i""")
+SELECT event_id, rate, half, khz, CAST(CASE WHEN i <= 0 THEN 0 ELSE list_extract(t, i + 1) * 21 END AS INTEGER) AS snr_q7 FROM i""")
 def target_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target signal-to-noise ratios of the three sampling rates, over a grid of bitrates."""
-    g = grid(spark, half=(True, False), khz=(8, 12, 16)).withColumn("rate", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(699 * 137).cast("bigint"), F.lit(137).cast("bigint"))))
+    """Target signal-to-noise ratios of the three sampling rates, for bitrates drawn from event numbers."""
+    g = SNR_SETTINGS.frame(spark, sf_dir)
     return g.withColumn("snr_q7", rules.target_snr(F.col("rate"), F.col("khz"), F.col("half")))
 
 
-@query("""WITH x AS (SELECT CAST(v AS INTEGER) AS x FROM range(-300, 301) AS t(v)), a AS (SELECT x, abs(x) AS m, least(abs(x) >> 5, 5) AS i FROM x)
-SELECT x, CAST(CASE WHEN x < 0 THEN CASE WHEN m >= 192 THEN 0 ELSE list_extract([16384, 8812, 3906, 1554, 589, 219], i + 1) - list_extract([237, 153, 73, 30, 12, 7], i + 1) * (m & 31) END
+STEPS = views.Drawn(x=range(-300, 301))
+
+
+@query(f"""WITH x AS ({STEPS.sql}), a AS (SELECT event_id, x, abs(x) AS m, least(abs(x) >> 5, 5) AS i FROM x)
+SELECT event_id, x, CAST(CASE WHEN x < 0 THEN CASE WHEN m >= 192 THEN 0 ELSE list_extract([16384, 8812, 3906, 1554, 589, 219], i + 1) - list_extract([237, 153, 73, 30, 12, 7], i + 1) * (m & 31) END
   WHEN m >= 192 THEN 32767 ELSE list_extract([16384, 23955, 28861, 31213, 32178, 32548], i + 1) + list_extract([237, 153, 73, 30, 12, 7], i + 1) * (m & 31) END AS INTEGER) AS y FROM a""")
 def sigmoid_lut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The integer sigmoid over its whole range."""
-    x = spark.range(-300, 301).select(F.col("id").cast("int").alias("x"))
-    return x.withColumn("y", rules.sigmoid_q15(F.col("x")).cast("int"))
+    """The integer sigmoid of steps drawn from event numbers."""
+    return STEPS.frame(spark, sf_dir).withColumn("y", rules.sigmoid_q15(F.col("x")).cast("int"))
 
 
 @query("""WITH x AS (SELECT event_id, event_id * 7919 % 2147483647 AS x FROM events), t AS (SELECT *, CASE WHEN x = 0 THEN 0 ELSE CAST(length(ltrim(bin(x), '0')) - 1 AS BIGINT) END AS t FROM x),
@@ -274,13 +278,15 @@ def lin2log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("event_id", rules.lin2log(F.col("x")).alias("y"))
 
 
-@query("""WITH x AS (SELECT CAST(v AS BIGINT) AS x FROM range(-10, 4000) AS t(v)), k AS (SELECT x, least(greatest(x, 0), 3966) AS i FROM x),
-o AS (SELECT x, CAST(1 AS BIGINT) << CAST(i >> 7 AS INTEGER) AS o, i & 127 AS f FROM k), c AS (SELECT *, f + ((f * (128 - f) * -174) >> 16) AS c FROM o)
-SELECT CAST(x AS INTEGER) AS x, CAST(CASE WHEN x < 0 THEN 0 WHEN x >= 3967 THEN 2147483647 WHEN x < 2048 THEN o + ((o * c) >> 7) ELSE o + (o >> 7) * c END AS INTEGER) AS y FROM c""")
+LOGS = views.Drawn(x=range(-10, 4000))
+
+
+@query(f"""WITH x AS (SELECT event_id, CAST(x AS BIGINT) AS x FROM ({LOGS.sql})), k AS (SELECT event_id, x, least(greatest(x, 0), 3966) AS i FROM x),
+o AS (SELECT event_id, x, CAST(1 AS BIGINT) << CAST(i >> 7 AS INTEGER) AS o, i & 127 AS f FROM k), c AS (SELECT *, f + ((f * (128 - f) * -174) >> 16) AS c FROM o)
+SELECT event_id, CAST(x AS INTEGER) AS x, CAST(CASE WHEN x < 0 THEN 0 WHEN x >= 3967 THEN 2147483647 WHEN x < 2048 THEN o + ((o * c) >> 7) ELSE o + (o >> 7) * c END AS INTEGER) AS y FROM c""")
 def log2lin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Integer powers of two over their whole range."""
-    x = spark.range(-10, 4000).select(F.col("id").cast("int").alias("x"))
-    return x.withColumn("y", rules.log2lin(F.col("x")))
+    """Integer powers of two of logarithms drawn from event numbers."""
+    return LOGS.frame(spark, sf_dir).withColumn("y", rules.log2lin(F.col("x")))
 
 
 @query("""WITH e AS (SELECT event_id, list_transform(range(0, 6), lambda i: CASE WHEN (event_id + i * 3) % 7 = 0 THEN 255 ELSE (event_id + i) % 6 END) AS m FROM events)
@@ -295,29 +301,35 @@ def layout_muted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.size(layouts.muted_channels(m)).alias("muted"), layouts.left_channel(m, lit(1)).alias("left1"), layouts.right_channel(m, lit(1)).alias("right1"), layouts.mono_channel(m, lit(2), lit(2)).alias("mono2"), layouts.is_valid(m, lit(3), lit(2)).alias("valid"))
 
 
-@query("""WITH c AS (SELECT CAST(v AS INTEGER) AS channels, CAST(pow(floor(sqrt(v)), 2) AS INTEGER) AS acn FROM range(0, 261) AS t(v))
-SELECT channels, CASE WHEN channels BETWEEN 1 AND 227 AND channels - acn IN (0, 2) THEN acn + CASE WHEN channels > acn THEN 1 ELSE 0 END END AS streams,
+CHANNELS = views.Drawn(channels=range(261))
+
+
+@query(f"""WITH c AS (SELECT *, CAST(pow(floor(sqrt(channels)), 2) AS INTEGER) AS acn FROM ({CHANNELS.sql}))
+SELECT event_id, channels, CASE WHEN channels BETWEEN 1 AND 227 AND channels - acn IN (0, 2) THEN acn + CASE WHEN channels > acn THEN 1 ELSE 0 END END AS streams,
   CASE WHEN channels BETWEEN 1 AND 227 AND channels - acn IN (0, 2) THEN CASE WHEN channels > acn THEN 1 ELSE 0 END END AS coupled FROM c""")
 def ambisonic_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streams of every ambisonic channel count."""
-    c = spark.range(0, 261).select(F.col("id").cast("int").alias("channels"))
-    return c.withColumn("a", layouts.ambisonic(F.col("channels"))).select("channels", "a.streams", "a.coupled")
+    """Streams of ambisonic channel counts drawn from event numbers."""
+    c = CHANNELS.frame(spark, sf_dir)
+    return c.withColumn("a", layouts.ambisonic(F.col("channels"))).select("event_id", "channels", "a.streams", "a.coupled")
+
 
+SURROUND_SETTINGS = views.Drawn(ch=range(3, 9), fr=[25, 50, 100], rate=range(16000, 800000, 8000))
 
-@query("""WITH l AS (SELECT * FROM (VALUES (3, 2, 1, 0), (4, 2, 2, 0), (5, 3, 2, 0), (6, 4, 2, 1), (7, 4, 3, 1), (8, 5, 3, 1)) AS l(ch, s, c, lfe)),
-g AS (SELECT l.*, CAST(r * 8000 AS BIGINT) AS rate, CAST(f AS BIGINT) AS fr FROM l, range(2, 100) AS a(r), (SELECT unnest([25, 50, 100]) AS f)),
+
+@query(f"""WITH l AS (SELECT * FROM (VALUES (3, 2, 1, 0), (4, 2, 2, 0), (5, 3, 2, 0), (6, 4, 2, 1), (7, 4, 3, 1), (8, 5, 3, 1)) AS l(ch, s, c, lfe)),
+g AS (SELECT l.*, event_id, rate, CAST(fr AS BIGINT) AS fr FROM ({SURROUND_SETTINGS.sql}) JOIN l USING (ch)),
 a AS (SELECT *, s + c - lfe AS n, s - c - lfe AS u, 40 * greatest(fr, 50) AS o, least(rate // 20, 3000) + 15 * greatest(fr, 50) AS lo FROM g),
 b AS (SELECT *, least(greatest((rate - o * n - lo * lfe) // n // 2, 0), 20000) AS so FROM a),
 d AS (SELECT *, 256 * (rate - lo * lfe - so * (c + u) - o * n) // (u * 256 + c * 512 + lfe * 32) AS cr FROM b),
-r AS (SELECT ch, rate, fr, unnest(range(0, s)) AS i, * EXCLUDE (ch, rate, fr) FROM d)
-SELECT CAST(ch AS INTEGER) AS channels, rate, CAST(fr AS INTEGER) AS frame_rate, CAST(i AS INTEGER) AS stream, CAST(greatest(CASE WHEN i < c THEN 2 * o + greatest(so + ((cr * 512) >> 8), 0)
+r AS (SELECT unnest(range(0, s)) AS i, * FROM d)
+SELECT event_id, CAST(ch AS INTEGER) AS channels, rate, CAST(fr AS INTEGER) AS frame_rate, CAST(i AS INTEGER) AS stream, CAST(greatest(CASE WHEN i < c THEN 2 * o + greatest(so + ((cr * 512) >> 8), 0)
   WHEN lfe = 1 AND i = s - 1 THEN greatest(lo + ((cr * 32) >> 8), 0) ELSE o + greatest(so + cr, 0) END, 500) AS BIGINT) AS stream_rate FROM r""")
 def surround_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stream bitrates of surround layouts, over a grid of bitrates."""
-    g = grid(spark, channels=range(3, 9), frame_rate=(25, 50, 100)).withColumn("rate", F.explode(F.sequence(F.lit(16000).cast("bigint"), F.lit(792000).cast("bigint"), F.lit(8000).cast("bigint"))))
+    """Stream bitrates of surround layouts, for bitrates drawn from event numbers."""
+    g = SURROUND_SETTINGS.frame(spark, sf_dir).withColumnsRenamed({"ch": "channels", "fr": "frame_rate"})
     g = g.withColumn("l", layouts.surround_layout(F.col("channels")))
     rates = layouts.surround_rates(F.col("rate"), F.col("l.streams"), F.col("l.coupled"), (F.col("channels") >= 6).cast("int"), F.col("frame_rate"))
-    return g.select("channels", "rate", "frame_rate", F.posexplode(rates).alias("stream", "stream_rate"))
+    return g.select("event_id", "channels", "rate", "frame_rate", F.posexplode(rates).alias("stream", "stream_rate"))
 
 
 @query(f"""WITH {PACKETS}, x AS (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY ts, event_id) AS no, ({COUNT}) * ({SPF}) AS n FROM b, (SELECT 48000 AS fs)),
@@ -347,8 +359,10 @@ def link_of_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.links_of_positions(links, at, at="at", width=1 << 12)
 
 
-@query("SELECT CAST(r AS INTEGER) AS rate, CAST(CASE WHEN r IN (48000, 24000, 16000, 12000, 8000) THEN 48000 // r ELSE 0 END AS INTEGER) AS factor FROM range(0, 50000, 1000) AS t(r)")
+EVERY_RATE = views.Drawn(rate=range(0, 50000, 1000))
+
+
+@query(f"SELECT event_id, rate, CAST(CASE WHEN rate IN (48000, 24000, 16000, 12000, 8000) THEN 48000 // rate ELSE 0 END AS INTEGER) AS factor FROM ({EVERY_RATE.sql})")
 def rate_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decimation factors of rates."""
-    r = spark.range(0, 50000, 1000).select(F.col("id").cast("int").alias("rate"))
-    return r.withColumn("factor", rules.rate_factor(F.col("rate")))
+    """Decimation factors of rates drawn from event numbers."""
+    return EVERY_RATE.frame(spark, sf_dir).withColumn("factor", rules.rate_factor(F.col("rate")))

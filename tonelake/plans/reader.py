@@ -168,18 +168,17 @@ def mix_i24(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOG2LIN = "CASE WHEN x < 0 THEN 0 WHEN x >= 3967 THEN 2147483647 WHEN x < 2048 THEN (1 << (x >> 7)) + (((1 << (x >> 7)) * ((x & 127) + (((x & 127) * (128 - (x & 127)) * -174) >> 16))) >> 7) ELSE (1 << (x >> 7)) + ((1 << (x >> 7)) >> 7) * ((x & 127) + (((x & 127) * (128 - (x & 127)) * -174) >> 16)) END"
 
 
-@query(f"""WITH g AS (SELECT CAST(loss AS BIGINT) AS loss, CAST(frames AS BIGINT) AS frames, lbrr, CAST(gain AS BIGINT) AS gain, CAST(snr * 300 AS BIGINT) AS snr, ind
-  FROM range(0, 101, 10) AS a(loss), range(1, 4) AS b(frames), (SELECT unnest([true, false]) AS lbrr), range(-3, 40, 6) AS c(gain), range(0, 12) AS d(snr), (SELECT unnest([true, false]) AS ind)),
+LTP_SETTINGS = views.Drawn(loss=range(0, 101, 10), frames=range(1, 4), lbrr=[True, False], gain=range(-3, 40, 6), snr=range(0, 3600, 300), ind=[True, False])
+
+
+@query(f"""WITH g AS (SELECT * REPLACE (CAST(loss AS BIGINT) AS loss, CAST(frames AS BIGINT) AS frames, CAST(gain AS BIGINT) AS gain, CAST(snr AS BIGINT) AS snr) FROM ({LTP_SETTINGS.sql})),
 w AS (SELECT *, gain * CASE WHEN lbrr THEN 2 + (loss * frames * loss * frames) // 100 ELSE loss * frames END AS w FROM g),
 k AS (SELECT *, (SELECT {LOG2LIN} FROM (SELECT 2900 - snr AS x)) AS a, (SELECT {LOG2LIN} FROM (SELECT 3900 - snr AS x)) AS b FROM w)
-SELECT CAST(loss AS INTEGER) AS loss, CAST(frames AS INTEGER) AS frames, lbrr, CAST(gain AS INTEGER) AS gain, CAST(snr AS INTEGER) AS snr, ind, CAST(CASE WHEN ind THEN (w > a)::INT + (w > b)::INT ELSE 0 END AS INTEGER) AS index FROM k""")
+SELECT event_id, CAST(loss AS INTEGER) AS loss, CAST(frames AS INTEGER) AS frames, lbrr, CAST(gain AS INTEGER) AS gain, CAST(snr AS INTEGER) AS snr, ind, CAST(CASE WHEN ind THEN (w > a)::INT + (w > b)::INT ELSE 0 END AS INTEGER) AS index FROM k""")
 def ltp_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The long-term predictor's scale over a grid of losses, frames, gains and ratios."""
-    g = spark.range(1)
-    for name, values in (("loss", range(0, 101, 10)), ("frames", range(1, 4)), ("lbrr", (True, False)), ("gain", range(-3, 40, 6)), ("snr", range(0, 3600, 300)), ("ind", (True, False))):
-        g = g.withColumn(name, F.explode(F.array(*map(F.lit, values))))
-    c = F.col
-    return g.drop("id").withColumn("index", rules.ltp_scale_index(c("loss"), c("frames"), c("lbrr"), c("gain"), c("snr"), c("ind")).cast("int"))
+    """The long-term predictor's scale for losses, frames, gains and ratios drawn from event numbers."""
+    g = LTP_SETTINGS.frame(spark, sf_dir)
+    return g.withColumn("index", rules.ltp_scale_index(*[F.col(c) for c in ("loss", "frames", "lbrr", "gain", "snr", "ind")]).cast("int"))
 
 
 LOG = "(t * 128 + f + ((f * (128 - f) * 179) >> 16))"

@@ -38,3 +38,27 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("stream_id"), "ts", "event_id", "value")
+
+
+class Drawn:
+    """Settings for each event, drawn from its number: ``event_id`` counts through all combinations of the given values, the
+    first name's fastest. ``sql`` is the same table for DuckDB."""
+
+    def __init__(self, **values: range | list):
+        self.values = values
+        at = [f"{x} AS {name}" for name, x in self._each("list_extract([{0}], {1} + 1)", "//", {str: "VARCHAR", bool: "BOOLEAN", int: "INTEGER", float: "BIGINT"})]
+        self.sql = f"SELECT event_id, {', '.join(at)} FROM events"
+
+    def _each(self, pick: str, div: str, types: dict):
+        """Each name with the expression for its value; wide whole numbers go by the type of ``float``."""
+        stride = 1
+        for name, v in self.values.items():
+            at = f"(event_id {div} {stride}) % {len(v)}"
+            kind = types[float if isinstance(v[0], int) and max(map(abs, v)) >= 1 << 15 else type(v[0])]
+            yield name, f"CAST({f'{v.start} + {v.step} * ({at})' if isinstance(v, range) else pick.format(', '.join(map(repr, v)), at)} AS {kind})"
+            stride *= len(v)
+
+    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        types = {str: "STRING", bool: "BOOLEAN", int: "INT", float: "BIGINT"}
+        at = self._each("element_at(array({0}), CAST({1} + 1 AS INT))", "div", types)
+        return table(spark, sf_dir, "events").select("event_id", *[F.expr(x).alias(name) for name, x in at])
