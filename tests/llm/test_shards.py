@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from tonelake.llm import shards
 from tonelake.llm.shards import pack, shard_documents
@@ -46,6 +47,34 @@ def test_hot_group_is_split(spark, clashing, prose):
     assert max(sizes) / min(sizes) < 1.1
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_hot_group_of_repeated_keys_is_split(spark, prose, key):
+    rows = [(key, "one text that a third of all rows share " * 5) for _ in range(1500)] + [(i, prose(i, 30)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    by = check(shard_documents(df, 12).collect(), 12)
+    sizes = [sum(m["size"] for m in v) for v in by.values()]
+    assert len(by) == 12 and max(sizes) - min(sizes) < 1000
+
+
+def plain_pack(items, bins):
+    """The rule of ``pack`` item by item: falling size, each where its product with the room left is highest."""
+    share = [max(sum(x[j] for x in items), 1) / bins for j in range(3)]
+    room, out = [[1.0] * 3 for _ in range(bins)], [None] * len(items)
+    for i in sorted(range(len(items)), key=lambda i: (-sum(x / s for x, s in zip(items[i], share)), i)):
+        v = [x / s for x, s in zip(items[i], share)]
+        b = max(range(bins), key=lambda b: (round(sum(x * y for x, y in zip(v, room[b])), 9), -b))
+        out[i] = b
+        room[b] = [y - x for x, y in zip(v, room[b])]
+    return out
+
+
+def test_pack_follows_the_plain_rule():
+    r = np.random.default_rng(5)
+    for bins in (1, 3, 7):
+        items = [[int(r.integers(1, 10**6)), int(r.integers(1, 10**4)), 1] for _ in range(150)]
+        assert pack(np.array(items), bins).tolist() == plain_pack(items, bins)
+
+
 def test_odd_rows(spark, clashing):
     rows = [(1, None), (2, ""), (None, "é"), (None, "é"), (1, None), (3, "long " * 30_000)]
     got = shard_documents(clashing(rows), 4).collect()

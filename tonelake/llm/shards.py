@@ -52,16 +52,17 @@ def shard_documents(docs: DataFrame, shards: int = 24, *, key: str = "doc_id", t
     spark = docs.sparkSession
     small_batches(spark)
     body = F.coalesce(docs[text], F.lit(""))
-    salt = F.pmod(F.xxhash64(docs[key], F.lit(1)), F.lit(MAX_CHUNKS)).cast("int")
-    # all that packing needs of a text: the corpus is read once
-    rows = kept(docs.select(
+    # dealt by place, as keys may repeat or be null
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(MAX_CHUNKS)).cast("int")
+    # all that packing needs of a text: the corpus is read once. A written table, so that a row's salt stays what it was
+    rows = written(docs.select(
         docs[key].alias("k"),
         (F.octet_length(body) + ROW_BYTES).cast("long").alias("size"),
         F.regexp_count(body, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"),
         F.crc32(body).alias("text_crc32"),
         F.xxhash64(body).alias("g"),
         salt.alias("salt"),
-    ))
+    ), "rows")
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens")]
     total = rows.agg(F.count("*").alias("n"), *sums, F.approx_count_distinct("g", 0.02).alias("groups")).first()
     cells = int(max(1, total["groups"] // CELL_GROUPS))
