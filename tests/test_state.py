@@ -85,3 +85,22 @@ def test_batch_equals_stream(spark, tmp_path):
         expected = {(x.stream_id, x.frame_no): x[name] for x in S.apply(spark.createDataFrame(rows, schema), op).collect()}
         assert got == pytest.approx(expected) if name == "smooth" else all(got[k] == pytest.approx(v) for k, v in expected.items())
         assert len(got) == len(rows)
+
+
+def test_energies_are_near_and_a_decoder_keeps_up():
+    r = np.random.default_rng(8)
+    op = S.EnergyCode(0.8, 0.2, [0, 1, 2, 3, 0])
+    frames = np.cumsum(r.normal(0, 2, (60, 5)), axis=0)
+    state, old = op.start(), np.zeros(5)
+    for n, frame in enumerate(frames):
+        state, code = op.step(state, frame)
+        # a decoder has the codes alone
+        alpha, beta = (0.8, 0.2) if n else (0.0, 0.15)
+        lower = 0.0
+        for b in range(5):
+            guess = alpha * max(old[b], -9) + lower
+            lower += code[b] * (1 - beta)
+            old[b] = max(guess + code[b], -28) + (code[5 + b] + 0.5) / 2 ** op.fine[b] - 0.5
+            assert abs(old[b] - max(frame[b], -28.5)) <= 0.5 / 2 ** op.fine[b] + 1e-9
+        assert state[1:] == pytest.approx(old.tolist())
+    assert len(op.step(state, np.array([np.nan, 1.0]))[1]) == 10

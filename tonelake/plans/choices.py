@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.functions import allocation
+from tonelake.functions import allocation, lanes
 from tonelake.plans import views
+from tonelake.streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +87,69 @@ def tf_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda transient: allocation.time_frequency(F.col("m"), F.col("w"), F.col("s"), 3, transient)
     v = v.select("vec_id", F.when(F.col("vec_id") % 2 == 1, one(True)).otherwise(one(False)).alias("x"))
     return v.select("vec_id", F.col("x.select").alias("sel"), "x.path")
+
+
+#: Cumulative counts of the symbols that packets are read as, and how many are read.
+COUNTS, SYMBOLS = [0, 1, 3, 8, 16], 12
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT event_id, list_transform(range(0, 16), lambda k: CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 2 * k + 1, 2) AS BIGINT)) AS b FROM events),
+d AS (SELECT event_id, b, 0 AS n, CAST(4 AS BIGINT) AS pos, CAST(2147483648 AS BIGINT) AS rng,
+    list_reduce(list_prepend(127 - (b[1] >> 1), list_transform(range(1, 4), lambda k: 255 - (((b[k] << 8 | b[k + 1]) >> 1) & 255))), lambda v, x: ((v << 8) + x) & 2147483647) AS val, CAST([] AS INTEGER[]) AS got FROM p
+  UNION ALL SELECT event_id, b, n + 1, pos + few, CASE WHEN few = 1 THEN r << 8 ELSE r END,
+    CASE WHEN few = 1 THEN ((v << 8) + 255 - (((b[pos] << 8 | coalesce(b[pos + 1], 0)) >> 1) & 255)) & 2147483647 ELSE v END, list_append(got, CAST(k - 1 AS INTEGER))
+  FROM (SELECT *, CASE WHEN r <= 8388608 THEN 1 ELSE 0 END AS few FROM (
+    SELECT *, val - part * (16 - {COUNTS}[k + 1]) AS v, CASE WHEN k > 1 THEN part * ({COUNTS}[k + 1] - {COUNTS}[k]) ELSE rng - part * (16 - {COUNTS}[k + 1]) END AS r FROM (
+      SELECT *, len(list_filter({COUNTS}, lambda c: c <= 16 - least(val // part + 1, 16))) AS k FROM (SELECT *, rng // 16 AS part FROM d WHERE n < {SYMBOLS})))))
+SELECT event_id, got AS symbols, rng AS final_range FROM d WHERE n = {SYMBOLS}""")
+def range_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets' bytes as range-coded symbols, and the decoder's last range."""
+    p = views.packets(spark, sf_dir).select("event_id", lanes.decode_symbols(F.col("payload"), COUNTS, SYMBOLS).alias("x"))
+    return p.select("event_id", "x.symbols", F.col("x.range").alias("final_range"))
+
+
+@query("""SELECT event_id, list_transform(range(0, event_id % 20), lambda i: CAST((event_id + 3 * i * i) % 4 AS INTEGER)) AS symbols, true AS same_range, true AS exact_size FROM events""")
+def range_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols range-coded into 24 bytes and read again, up to twenty of them behind a count of their own."""
+    i = F.col("event_id")
+    n = F.pmod(i, F.lit(20)).cast("int")
+    made = F.transform(F.filter(F.sequence(F.lit(0), F.lit(19)), lambda k: k < n), lambda k: ((i + k * k * 3) % 4).cast("int"))
+    # all lanes read twenty symbols, so that the shorter ones are filled up with the last one
+    filled = F.concat(made, F.array_repeat(F.lit(3), 20 - n))
+    e = views.table(spark, sf_dir, "events").select("event_id", n.alias("n"), lanes.encode_symbols(filled, COUNTS, 24).alias("e"))
+    d = e.select("event_id", "n", F.col("e.range").alias("was"), F.octet_length("e.data").alias("size"), lanes.decode_symbols(F.col("e.data"), COUNTS, 20).alias("d"))
+    return d.select("event_id", F.slice("d.symbols", F.lit(1), F.col("n")).alias("symbols"), (F.col("was") == F.col("d.range")).alias("same_range"), (F.col("size") == 24).alias("exact_size"))
+
+
+@query("""WITH e AS (SELECT event_id, [event_id % 12 - 5, event_id % 7 - 3, event_id % 5 - 2, event_id % 3 - 1] AS y FROM events),
+k AS (SELECT *, CAST(list_sum(list_transform(y, lambda x: abs(x))) AS BIGINT) AS k FROM e)
+SELECT event_id, k = 6 AS fits, CASE WHEN k = 6 THEN list_transform(y, lambda x: CAST(x AS INTEGER)) END AS vector,
+  CASE WHEN k = 6 THEN (SELECT count(*) FROM (SELECT unnest(range(-6, 7)) AS a), (SELECT unnest(range(-6, 7)) AS b), (SELECT unnest(range(-6, 7)) AS c), (SELECT unnest(range(-6, 7)) AS d)
+    WHERE abs(a) + abs(b) + abs(c) + abs(d) = 6 AND [abs(a) * 2 + (a < 0)::INT, abs(b) * 2 + (b < 0)::INT, abs(c) * 2 + (c < 0)::INT, abs(d) * 2 + (d < 0)::INT]
+      < list_transform(y, lambda x: abs(x) * 2 + (x < 0)::INT)) END AS place FROM k""")
+def pulse_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of six pulses, their places among all of them, and back."""
+    i = F.col("event_id")
+    y = F.array(*[(F.pmod(i, F.lit(m)) - low).cast("int") for m, low in ((12, 5), (7, 3), (5, 2), (3, 1))])
+    p = views.table(spark, sf_dir, "events").select("event_id", lanes.pulse_index(y, 4, 6).alias("place"))
+    return p.select("event_id", F.col("place").isNotNull().alias("fits"), lanes.pulse_vector(F.col("place"), 4, 6).alias("vector"), "place")
+
+
+ENERGY_BANDS, FINE = 6, [0, 1, 2, 3, 1, 0]
+
+
+@query(f"""WITH RECURSIVE f AS (SELECT vec_id % 16 AS s, row_number() OVER (PARTITION BY vec_id % 16 ORDER BY vec_id) - 1 AS n, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+x AS (SELECT s, n * {ENERGY_BANDS} + b AS i, n, vec_id, b, e[b + 1] * 12 AS e FROM f, (SELECT unnest(range(0, {ENERGY_BANDS})) AS b)),
+r AS (SELECT s, CAST(-1 AS BIGINT) AS i, list_transform(range(0, {ENERGY_BANDS}), lambda b: 0.0::DOUBLE) AS old, 0.0::DOUBLE AS lower, CAST(0 AS BIGINT) AS q, CAST(0 AS BIGINT) AS rest FROM (SELECT DISTINCT s FROM f)
+  UNION ALL SELECT s, i, list_concat(list_concat(list_slice(old, 1, b), [reached + (rest + 0.5) / (1 << fine) - 0.5]), list_slice(old, b + 2, {ENERGY_BANDS})), low + q * (1 - CASE WHEN n = 0 THEN 0.15 ELSE 0.25 END), q, rest
+  FROM (SELECT *, CAST(least(greatest(floor((e - reached + 0.5) * (1 << fine)), 0), (1 << fine) - 1) AS BIGINT) AS rest FROM (
+    SELECT *, greatest(guess + q, -28.0) AS reached FROM (
+      SELECT *, CAST(floor(e - guess + 0.5) AS BIGINT) AS q FROM (
+        SELECT x.s, x.i, x.n, x.b, x.e, r.old, CASE WHEN x.b = 0 THEN 0.0::DOUBLE ELSE r.lower END AS low, {FINE}[x.b + 1] AS fine, CASE WHEN x.n = 0 THEN 0.0::DOUBLE ELSE 0.75::DOUBLE END * greatest(r.old[x.b + 1], -9.0) + CASE WHEN x.b = 0 THEN 0.0::DOUBLE ELSE r.lower END AS guess
+        FROM r JOIN x ON x.s = r.s AND x.i = r.i + 1)))))
+SELECT s AS stream_id, vec_id AS frame_no, list_concat(list(CAST(q AS INTEGER) ORDER BY b), list(CAST(rest AS INTEGER) ORDER BY b)) AS codes FROM r JOIN x USING (s, i) GROUP BY s, vec_id""")
+def energy_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six band energies of each frame, coded along sixteen streams."""
+    v = views.pcm(spark, sf_dir)
+    frames = v.select(F.pmod("frame_id", F.lit(16)).alias("stream_id"), F.col("frame_id").alias("frame_no"), F.transform(F.slice("samples", 1, ENERGY_BANDS), lambda x: x.cast("double") * 12).alias("samples"))
+    return state.apply(frames, state.EnergyCode(0.75, 0.25, FINE))

@@ -20,7 +20,7 @@ from tonelake.functions.signal import biquad
 from tonelake.shipping import ship
 
 
-ARROW = {"array<double>": pa.list_(pa.float64()), "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32()}
+ARROW = {"array<double>": pa.list_(pa.float64()), "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32(), "array<int>": pa.list_(pa.int32())}
 
 
 class Operator(Protocol):
@@ -220,6 +220,41 @@ class Smooth:
         return [now, 1.0], now
 
 
+class EnergyCode:
+    """Band energies (logarithms to base 2) as whole steps and a fine rest. Each is predicted from the same band of the frame before,
+    by ``alpha``, and from what the lower bands of the frame turned out to be, by ``beta``; the stream's first
+    frame has the prediction over bands alone, by ``first_beta``. ``fine`` gives the bits of each band's rest. The state holds what a
+    decoder knows: the energies as coded."""
+
+    output = "codes array<int>"
+    #: Least energies, of the frame before and of a coded one.
+    FLOOR, LEAST = -9.0, -28.0
+
+    def __init__(self, alpha: float, beta: float, fine: list[int], first_beta: float = 0.15):
+        self.alpha, self.beta, self.first_beta, self.fine = alpha, beta, first_beta, fine
+
+    def start(self) -> list[float]:
+        return [0.0, *[0.0] * len(self.fine)]
+
+    def step(self, state: list[float], frame: np.ndarray) -> tuple[list[float], list[int]]:
+        """The whole steps of all bands, then their rests. Bands that a frame lacks, or without a number, are silent."""
+        begun, old = state[0], state[1:]
+        alpha, beta = (self.alpha, self.beta) if begun else (0.0, self.first_beta)
+        energy = np.full(len(self.fine), self.LEAST)
+        energy[: len(frame)] = np.where(np.isfinite(frame), frame, self.LEAST)[: len(energy)]
+        coarse, rests, coded, lower = [], [], [], 0.0
+        for e, before, bits in zip(energy.tolist(), old, self.fine, strict=True):
+            guess = alpha * max(before, self.FLOOR) + lower
+            q = int(np.floor(e - guess + 0.5))
+            lower += q * (1 - beta)
+            reached = max(guess + q, self.LEAST)
+            rest = int(min(max(np.floor((e - reached + 0.5) * 2**bits), 0), 2**bits - 1))
+            coarse.append(q)
+            rests.append(rest)
+            coded.append(reached + (rest + 0.5) / 2**bits - 0.5)
+        return [1.0, *coded], coarse + rests
+
+
 def _run(operator: Operator, state: list[float], pdf: pd.DataFrame, stream: str, order: str) -> tuple[list[float], pd.DataFrame]:
     name, out = operator.output.split(" ")[0], []
     pdf = pdf.sort_values(order, kind="stable")
