@@ -109,16 +109,19 @@ def test_dc_reject(result, frames):
 
 
 def test_high_pass(result, frames):
-    w = 2 * math.pi * 60 / 48000
-    q = math.sin(w) / math.sqrt(2)
-    b, a = [(1 + math.cos(w)) / 2, -(1 + math.cos(w)), (1 + math.cos(w)) / 2], [1 + q, -2 * math.cos(w), 1 - q]
+    """At 60 Hz the codec's fixed-point rule gives these coefficients in Q28."""
+    f = 2471 * 60 // 48  # 1.5 pi * 60 / 48000 in Q19
+    assert f == 3088 and abs(f / 2**19 - 1.5 * math.pi * 60 / 48000) < 2e-6
+    r = 2**28 - 471 * f
+    b, a = [r / 2**28, -2 * r / 2**28, r / 2**28], [(r // 64 * (f * f // 65536 - 2**23) // 65536) / 2**28, ((r // 64) ** 2 // 65536) / 2**28]
+    assert b[0] == pytest.approx(0.99458, abs=1e-5) and a[1] == pytest.approx(b[0] ** 2, abs=1e-6)
     want = {}
     for s, rows in frames.items():
         xs, ys = [0.0, 0.0], [0.0, 0.0]
         for n, x in rows:
             energy = 0.0
             for v in x:
-                y = (b[0] * v + b[1] * xs[-1] + b[2] * xs[-2] - a[1] * ys[-1] - a[2] * ys[-2]) / a[0]
+                y = b[0] * v + b[1] * xs[-1] + b[2] * xs[-2] - a[0] * ys[-1] - a[1] * ys[-2]
                 xs, ys, energy = [xs[-1], v], [ys[-1], y], energy + y * y
             want[s, n] = energy
     assert {(r.stream_id, r.frame_no): r.energy for r in result("high_pass")} == pytest.approx(want, abs=1e-5, rel=1e-6)

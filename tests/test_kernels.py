@@ -61,7 +61,9 @@ def test_merge():
 def test_extension_cases():
     items = [K.Extension(3, 0, b"a"), K.Extension(32, 10, b"DRED"), K.Extension(33, 1, b"NOT DRED"), K.Extension(4, 4, b"")]
     data = K.write_extensions(items, 12, 27)
-    assert len(data) == 27
+    # padding, a short one with its byte, a long one with a length, steps of one, three and six frames, and a last long one without
+    want = b"\x01" * 4 + bytes([3 << 1 | 1]) + b"a" + b"\x02" + bytes([33 << 1 | 1, 8]) + b"NOT DRED" + b"\x03\x03" + bytes([4 << 1]) + b"\x03\x06" + bytes([32 << 1]) + b"DRED"
+    assert data == want and len(data) == 27
     assert sorted(K.extensions(data, 12), key=lambda e: e.frame) == sorted(items, key=lambda e: e.frame)
 
 
@@ -72,6 +74,50 @@ def test_extension_repeats():
     assert got == [(3, 0, b"\x07"), (40, 0, b"\x01\x02"), (3, 1, b"\x08"), (40, 1, b"\x03\x04"), (3, 2, b"\x09"), (40, 2, b"\x05\x06\x07")]
 
 
+def test_repeats_are_said_once():
+    """What a frame shares with all later ones; the reader knows no more than the format."""
+    r = random.Random(3)
+    shorter = 0
+    for _ in range(1500):
+        n = r.randrange(1, 12)
+        kinds = [(i, r.randrange(2)) for i in (r.choice([3, 9, 31, 32, 40, 127]) for _ in range(r.randrange(5)))]
+        items = [K.Extension(i, f, r.randbytes(b if i < 32 else r.choice([0, 3, 255, 300]))) for f in range(n) for i, b in kinds]
+        items += [K.Extension(i, r.randrange(n), r.randbytes(1)) for i in (r.choice([3, 4, 50]) for _ in range(r.randrange(3)))]
+        items = sorted(items, key=lambda e: e.frame)
+        data = K.write_extensions(items, n)
+        assert sorted(K.extensions(data, n), key=lambda e: e.frame) == items
+        shorter += len(data) < sum(1 + len(e.data) + (e.id >= 32) for e in items)
+    assert shorter > 300
+    same = [K.Extension(i, f, bytes([f])) for f in range(3) for i in (3, 40)]
+    assert K.write_extensions(same, 3) == bytes([3 << 1 | 1, 0, 40 << 1 | 1, 1, 0, 2 << 1, 1, 1, 1, 2, 2])
+
+
+def test_packets_carry_extensions():
+    r = random.Random(4)
+    for _ in range(500):
+        n = r.randrange(1, 5)
+        frames = [r.randbytes(r.choice([3, 3, 7])) for _ in range(n)]
+        items = [K.Extension(i, f, r.randbytes(r.randrange(2) if i < 32 else r.randrange(300))) for f in range(n) for i in r.sample([3, 40, 126], r.randrange(3))]
+        data = K.build_packet(0x08, frames, carried=items)
+        p = K.parse_packet(data)
+        assert p.frames == frames and sorted(K.extensions(p.padding, n), key=lambda e: e.frame) == items
+        if items:
+            longer = K.build_packet(0x08, frames, len(data) + 40, items)
+            p = K.parse_packet(longer)
+            assert len(longer) == len(data) + 40 and p.frames == frames and sorted(K.extensions(p.padding, n), key=lambda e: e.frame) == items
+            with pytest.raises(K.BadBytes):
+                K.build_packet(0x08, frames, len(data) - len(K.write_extensions(items, n)), items)
+
+
+def test_redundancy():
+    mark = K.REDUNDANCY_MARK
+    items = [K.Extension(126, 0, b"xx"), K.Extension(126, 1, mark), K.Extension(126, 2, mark + b"abc"), K.Extension(126, 3, mark + b"later")]
+    assert K.redundancy(K.build_packet(0x08, [b"a"] * 4, carried=items)) == {"payload": b"abc", "frame_offset": 2 * 960 // 120}
+    assert K.redundancy(K.build_packet(0x08, [b"a"] * 2))["payload"] is None
+    with pytest.raises(K.BadBytes):
+        K.redundancy(b"")
+
+
 def test_extension_errors_count_and_raise():
     data = bytes([3 << 1 | 1, 7, 40 << 1 | 1, 200, 1])
     assert K.count_extensions(data, 2) == 1
@@ -85,7 +131,7 @@ def test_random_extensions():
         n = r.randrange(1, 49)
         items = [K.Extension(i, r.randrange(n), r.randbytes(r.randrange(2) if i < 32 else r.randrange(300))) for i in (r.randrange(3, 128) for _ in range(r.randrange(8)))]
         data = K.write_extensions(items, n, r.randrange(200))
-        assert list(K.extensions(data, n)) == sorted(items, key=lambda e: e.frame)
+        assert sorted(K.extensions(data, n), key=lambda e: e.frame) == sorted(items, key=lambda e: e.frame)
     for _ in range(5000):
         K.count_extensions(r.randbytes(r.randrange(200)), r.randrange(1, 49))
 

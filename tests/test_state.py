@@ -104,3 +104,26 @@ def test_energies_are_near_and_a_decoder_keeps_up():
             assert abs(old[b] - max(frame[b], -28.5)) <= 0.5 / 2 ** op.fine[b] + 1e-9
         assert state[1:] == pytest.approx(old.tolist())
     assert len(op.step(state, np.array([np.nan, 1.0]))[1]) == 10
+
+
+def test_high_pass_cutoff_moves():
+    op = S.HighPass(1, cutoff=200, start=60)
+    state, seen = op.start(), []
+    for _ in range(400):
+        state, _ = op.step(state, np.zeros(4))
+        seen.append(S.log2lin(int(state[0]) >> 8))
+    assert seen[0] < 65 and seen == sorted(seen) and 190 <= seen[-1] <= 200
+    still = S.HighPass(1)
+    assert still.step(still.start(), np.zeros(4))[0][0] == still.start()[0]
+
+
+def test_width_decays_in_silence_and_short_frames():
+    op = S.StereoWidth()
+    r = np.random.default_rng(3)
+    state = op.start()
+    for _ in range(60):
+        state, width = op.step(state, r.normal(0, 0.4, 1920))
+    assert width > 0.04
+    short, _ = op.step(state, np.ones(6))
+    assert short[0] < state[0] and short[2] < state[2]
+    assert op.step(state, np.zeros(0))[0] == state

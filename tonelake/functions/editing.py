@@ -41,7 +41,8 @@ def _kernel(make: Callable[..., bytes], count: int):
 
 def frame_range(packets: Column, begin: Column, end: Column) -> Column:
     """One packet of the frames ``begin`` to ``end`` (without) of an array of packets, taken one behind the
-    other. The packets must agree in all but the frame code and last 120 ms together at most."""
+    other. The packets must agree in all but the frame code and last 120 ms together at most. Extensions in their padding
+    go with their frames."""
 
     def make(packets, begin, end) -> bytes:
         parsed = [kernels.parse_packet(bytes(p)) for p in packets]
@@ -50,13 +51,18 @@ def frame_range(packets: Column, begin: Column, end: Column) -> Column:
             raise BadBytes(kernels.INVALID)
         if not 0 <= begin < end <= len(frames):
             raise BadBytes(BAD_ARGUMENT)
-        return kernels.build_packet(parsed[0].toc, frames[begin:end])
+        first, carried = 0, []
+        for p in parsed:
+            carried += [Extension(e.id, e.frame + first - begin, e.data) for e in kernels.extensions(p.padding, len(p.frames)) if begin <= e.frame + first < end]
+            first += len(p.frames)
+        return kernels.build_packet(parsed[0].toc, frames[begin:end], carried=carried)
 
     return _kernel(make, 3)(packets, begin.cast("int"), end.cast("int"))
 
 
 def pad(packet: Column, length: Column, streams: int = 1) -> Column:
-    """A packet of ``streams`` streams padded to a length; a shorter length than it has is a bad argument."""
+    """A packet of ``streams`` streams padded to a length; a shorter length than it has is a bad argument. Extensions in
+    the padding of the last stream's packet stay."""
 
     def make(data, length) -> bytes:
         data = bytes(data)
@@ -65,7 +71,8 @@ def pad(packet: Column, length: Column, streams: int = 1) -> Column:
         if length == len(data):
             return data
         parts = kernels.split_streams(data, streams)
-        return kernels.join_streams([kernels.build_packet(p.toc, p.frames) for p in parts], length)
+        carried = list(kernels.extensions(parts[-1].padding, len(parts[-1].frames)))
+        return kernels.join_streams([kernels.build_packet(p.toc, p.frames) for p in parts], length, carried)
 
     return _kernel(make, 2)(packet, length.cast("int"))
 

@@ -15,7 +15,10 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tonelake.shipping import ship
+
 INVALID, NOT_FORMAT, BAD_HEADER, BAD_VERSION, UNSUPPORTED = -4, -132, -133, -134, -130
+TOO_SMALL = -2
 MAX_FRAMES, MAX_FRAME_BYTES, MAX_SAMPLES = 48, 1275, 5760
 
 
@@ -118,23 +121,30 @@ def parse_packet(data: bytes, self_delimited: bool = False) -> Packet:
     return Packet(toc, frames, offset, at + pad, data[at : at + pad])
 
 
-def build_packet(toc: int, frames: list[bytes], pad_to: int = 0) -> bytes:
-    """A packet of frames with the shortest fitting code; ``pad_to`` bytes long if that is more."""
+def build_packet(toc: int, frames: list[bytes], pad_to: int = 0, carried: list[Extension] | None = None) -> bytes:
+    """A packet of frames with the shortest fitting code, ``pad_to`` bytes long if that is more. Extensions that it carries stand at the
+    padding's end, and make it as long as they need if it isn't given."""
     lengths = [len(f) for f in frames]
     if not 0 < len(frames) <= MAX_FRAMES or max(lengths) > MAX_FRAME_BYTES or len(frames) * frame_samples(toc) > MAX_SAMPLES:
         raise BadBytes(-1)
     same, base, body = len(set(lengths)) == 1, toc & 0xFC, b"".join(frames)
     coded = lambda n: bytes([n]) if n < 252 else bytes([252 + (n & 3), (n - 252 - (n & 3)) // 4])
     short = {1: bytes([base]) + body, 2: bytes([base | 1]) + body if same else bytes([base | 2]) + coded(lengths[0]) + body}.get(len(frames))
-    if short is not None and len(short) >= pad_to:
+    extra = write_extensions(carried, len(frames)) if carried else b""
+    if short is not None and len(short) >= pad_to and not extra:
         return short
     sizes = b"" if same else b"".join(map(coded, lengths[:-1]))
     plain = len(sizes) + len(body) + 2
-    if plain >= pad_to:
+    if plain >= pad_to and not extra:
         return bytes([base | 3, len(frames) | (0 if same else 128)]) + sizes + body
-    need = pad_to - plain  # counts the padding's length bytes too: each of 255 stands for itself and 254
+    # counts the padding's length bytes too: each of 255 stands for itself and 254
+    need = pad_to - plain if pad_to else len(extra) + len(extra) // 254 + 1
     full, rest = divmod(need - 1, 255)
-    return bytes([base | 3, len(frames) | (0 if same else 128) | 64]) + b"\xff" * full + bytes([rest]) + sizes + body + bytes(full * 254 + rest)
+    room = full * 254 + rest
+    if need < 1 or room < len(extra):
+        raise BadBytes(TOO_SMALL)
+    filled = b"\x01" * (room - len(extra)) + extra if extra else bytes(room)
+    return bytes([base | 3, len(frames) | (0 if same else 128) | 64]) + b"\xff" * full + bytes([rest]) + sizes + body + filled
 
 
 def unpad_packet(data: bytes) -> bytes:
@@ -162,13 +172,13 @@ def split_streams(data: bytes, streams: int) -> list[Packet]:
     return out
 
 
-def join_streams(packets: list[bytes], pad_to: int = 0) -> bytes:
-    """A multistream packet of plain packets; padding goes to the last one."""
+def join_streams(packets: list[bytes], pad_to: int = 0, carried: list[Extension] | None = None) -> bytes:
+    """A multistream packet of plain packets; padding goes to the last one, and so do the extensions that it carries."""
     out = b""
     for i, data in enumerate(packets):
         p = parse_packet(data)
         if i == len(packets) - 1:
-            return out + build_packet(p.toc, p.frames, pad_to - len(out))
+            return out + build_packet(p.toc, p.frames, pad_to - len(out), carried)
         plain = build_packet(p.toc, p.frames)
         last = len(p.frames[-1])
         coded = bytes([last]) if last < 252 else bytes([252 + (last & 3), (last - 252 - (last & 3)) // 4])
@@ -254,27 +264,63 @@ def count_extensions(padding: bytes, frames: int) -> int:
     return n
 
 
+def _coded(e: Extension, bare: bool) -> tuple[int, bytes]:
+    """An extension's flag and payload; a long one that is ``bare`` takes all that is left and has no length."""
+    if e.id < 32:
+        return len(e.data), e.data
+    return (0, e.data) if bare else (1, b"\xff" * (len(e.data) // 255) + bytes([len(e.data) % 255]) + e.data)
+
+
 def write_extensions(items: list[Extension], frames: int, pad_to: int = 0) -> bytes:
-    """Padding bytes for extensions, by frame and without repeats; ``pad_to`` bytes long if that is more.
+    """Padding bytes for extensions, by frame and within a frame as they come; behind padding if ``pad_to`` is more bytes.
 
-    The last long extension goes without a length unless padding must follow.
+    What a frame begins with, and all later frames begin with too, apart from the data, is said once: a repeat with
+    the later frames' data follows. The last extension, if long, goes without a length, and so does the last
+    long one of a repeat that is the last.
     """
-    out, now = bytearray(), 0
-    ordered = sorted(items, key=lambda e: e.frame)
-    for i, e in enumerate(ordered):
-        if not 2 < e.id < 128 or not 0 <= e.frame < frames or (e.id < 32 and len(e.data) > 1):
-            raise BadBytes(-1)
-        if e.frame != now:
-            out += bytes([2]) if e.frame == now + 1 else bytes([3, e.frame - now])
-            now = e.frame
-        if e.id < 32:
-            out += bytes([e.id << 1 | len(e.data)]) + e.data
-        elif i == len(ordered) - 1 and len(out) + 1 + len(e.data) >= pad_to:
-            out += bytes([e.id << 1]) + e.data
-        else:
-            full, rest = divmod(len(e.data), 255)
-            out += bytes([e.id << 1 | 1]) + b"\xff" * full + bytes([rest]) + e.data
-    return bytes(1 for _ in range(pad_to - len(out))) + bytes(out)
+    if any(not 2 < e.id < 128 or not 0 <= e.frame < frames or (e.id < 32 and len(e.data) > 1) for e in items):
+        raise BadBytes(-1)
+    left = [[e for e in items if e.frame == f] for f in range(frames)]
+    out, now, missing = bytearray(), 0, len(items)
+    for f, mine in enumerate(left):
+        later = left[f + 1 :]
+        alike = lambda a, b: a.id == b.id and (a.id >= 32 or len(a.data) == len(b.data))
+        most = min(map(len, (mine, *later))) if later else 0
+        same = next((k for k in range(most) if not all(alike(mine[k], other[k]) for other in later)), most)
+        for k, e in enumerate(mine):
+            if f != now:
+                out += b"\x02" if f == now + 1 else bytes([3, f - now])
+                now = f
+            missing -= 1
+            flag, data = _coded(e, not missing)
+            out += bytes([e.id << 1 | flag]) + data
+            if k + 1 != same:
+                continue
+            longs = [i for i, x in enumerate(mine[:same]) if x.id >= 32]
+            missing -= same * len(later)
+            ends = not missing or (not longs and same == len(mine))
+            out.append(4 if ends else 5)
+            for g, other in enumerate(later, f + 1):
+                for i, x in enumerate(other[:same]):
+                    out += _coded(x, ends and g == frames - 1 and i == max(longs, default=-1))[1]
+                del other[:same]
+            now += ends
+    return b"\x01" * (pad_to - len(out)) + bytes(out)
+
+
+# The extension that carries redundancy, what its payload begins with, and samples of a unit of its offset.
+REDUNDANCY, REDUNDANCY_MARK, REDUNDANCY_UNIT = 126, b"D\x0a", 120
+
+
+def redundancy(data: bytes) -> dict:
+    """The first redundancy payload of a packet: its bytes behind the mark, and how far into the packet its frame lies, in units of 2.5 ms.
+    Extensions of the same id that lack the mark are passed over. Raises ``BadBytes`` where packet or padding break off
+    before it."""
+    p = parse_packet(data)
+    for e in extensions(p.padding, len(p.frames)):
+        if e.id == REDUNDANCY and len(e.data) > len(REDUNDANCY_MARK) and e.data.startswith(REDUNDANCY_MARK):
+            return {"payload": e.data[len(REDUNDANCY_MARK) :], "frame_offset": e.frame * frame_samples(p.toc) // REDUNDANCY_UNIT}
+    return {"payload": None, "frame_offset": None}
 
 
 def parse_head(data: bytes) -> dict:
@@ -464,6 +510,29 @@ def head_udf():
     return _udf("version int, channels int, pre_skip int, rate bigint, gain int, family int, streams int, coupled int, mapping array<int>, error_code int", parse_head)
 
 
+def redundancy_udf():
+    return _udf("payload binary, frame_offset int, error_code int", redundancy)
+
+
+class ExtensionRows:
+    """The table function of ``extension_table``."""
+
+    def eval(self, padding: bytes, frames: int) -> Iterator[tuple]:
+        place = 0
+        try:
+            for place, e in enumerate(extensions(bytes(padding or b""), int(frames or 0)), 1):
+                yield place - 1, e.id, e.frame, e.data, 0
+        except BadBytes as e:
+            yield place, None, None, None, e.code
+
+
+def extension_table(spark) -> None:
+    """Registers ``packet_extensions(padding, frames)`` for SQL: a row (place, id, frame, data, error_code) for each extension in coded order, to
+    be joined by LATERAL; a last row with a code tells where they break off."""
+    ship(spark)
+    spark.udtf.register("packet_extensions", F.udtf(ExtensionRows, returnType="place int, id int, frame int, data binary, error_code int"))
+
+
 def tags_udf():
     return _udf("vendor binary, comments array<binary>, suffix binary, error_code int", parse_tags)
 

@@ -86,6 +86,37 @@ def extensions_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("event_id", "n", F.transform("e", lambda e: e["frame"]).alias("frames"), F.transform("e", lambda e: e["id"]).alias("ids"), F.transform("e", lambda e: F.hex(e["data"])).alias("data"))
 
 
+@query("""WITH e AS (SELECT event_id, upper(md5(CAST(event_id AS VARCHAR))) AS h, CAST(event_id % 3 + 1 AS INTEGER) AS n FROM events),
+x AS (SELECT *, f, k FROM e, (SELECT unnest(range(0, 3)) AS f), (SELECT unnest(range(0, 2)) AS k) WHERE f < n OR event_id % 2 = 0)
+SELECT event_id, CAST(CASE k WHEN 0 THEN 5 ELSE 60 END AS INTEGER) AS id, CAST(f AS INTEGER) AS frame, CASE k WHEN 0 THEN substr(h, 2 * f + 1, 2) ELSE substr(h, 8 + 4 * f, 2 * (f + 1)) END AS data, 0 AS error_code FROM x""")
+def extension_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A short and a long extension of one to three frames, written with repeats where all frames have them, and joined row by row in SQL."""
+    kernels.extension_table(spark)
+    n = F.when(F.pmod("event_id", F.lit(2)) == 0, 3).otherwise(F.pmod("event_id", F.lit(3)) + 1)
+    # each hex text is cut to whole bytes
+    item = lambda f: F.array(F.struct(F.lit(5).alias("id"), f.alias("frame"), F.unhex(F.substring("h", f * 2 + 1, F.lit(2))).alias("data")), F.struct(F.lit(60).alias("id"), f.alias("frame"), F.unhex(F.substring("h", f * 4 + 8, (f + 1) * 2)).alias("data")))
+    items = F.flatten(F.transform(F.sequence(F.lit(0), n.cast("int") - 1), item))
+    events(spark, sf_dir).select("event_id", editing.extension_bytes(items, F.lit(3), F.lit(0))["data"].alias("padding")).createOrReplaceTempView("tonelake_padding")
+    return spark.sql("SELECT event_id, x.id, x.frame, hex(x.data) AS data, x.error_code FROM tonelake_padding, LATERAL packet_extensions(padding, 3) AS x")
+
+
+@query("""SELECT event_id, CAST(event_id % 4 + 1 AS INTEGER) AS frames, CASE WHEN event_id % 3 > 0 THEN upper(substr(md5(CAST(event_id AS VARCHAR)), 1, 2 + 2 * CAST(event_id % 7 AS INTEGER))) END AS payload,
+  CAST(CASE WHEN event_id % 3 > 0 THEN 8 * (event_id // 4 % (event_id % 4 + 1)) END AS INTEGER) AS frame_offset, 0 AS error_code FROM events""")
+def redundancy_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redundancy in the padding of packets of one to four frames, behind extensions of the same id without its mark; every third has none."""
+    i = F.col("event_id")
+    n = (F.pmod(i, F.lit(4)) + 1).cast("int")
+    frame = F.pmod(F.floor(i / 4), n).cast("int")
+    payload = F.unhex(F.concat(F.lit("440A"), F.substring("h", F.lit(1), (F.pmod(i, F.lit(7)) * 2 + 2).cast("int"))))
+    other = F.struct(F.lit(126).alias("id"), F.lit(0).alias("frame"), F.unhex(F.lit("4409AA")).alias("data"))
+    real = F.struct(F.lit(126).alias("id"), frame.alias("frame"), payload.alias("data"))
+    items = F.when(F.pmod(i, F.lit(3)) > 0, F.array(other, real)).otherwise(F.array(other))
+    e = events(spark, sf_dir).select("event_id", n.alias("n"), "h", editing.extension_bytes(items, n, F.lit(0))["data"].alias("padding"))
+    # a packet of n frames of two bytes with the padding behind them
+    packet = F.concat(F.unhex(F.concat(F.lit("0B"), F.lpad(F.hex(F.col("n") + 64), 2, "0"), F.lpad(F.hex(F.octet_length("padding")), 2, "0"), F.substring("h", F.lit(1), F.col("n") * 4))), F.col("padding"))
+    return e.select("event_id", F.col("n").alias("frames"), kernels.redundancy_udf()(packet).alias("r")).select("event_id", "frames", F.hex("r.payload").alias("payload"), "r.frame_offset", "r.error_code")
+
+
 @query("""SELECT event_id, CAST(event_id % 2 + 1 AS INTEGER) AS channels, CAST(event_id % 4000 AS INTEGER) AS pre_skip, CAST(8000 * (event_id % 6 + 1) AS BIGINT) AS rate,
   CAST(event_id % 65536 - 32768 AS INTEGER) AS gain, 0 AS error_code FROM events""")
 def head_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tonelake.functions.signal import biquad
+from tonelake.functions.signal import biquad, lin2log, log2lin
 from tonelake.shipping import ship
 
 
@@ -108,7 +108,8 @@ class DcReject:
 
 
 class StereoWidth:
-    """How wide an interleaved stereo signal is, 0 to 1, from smoothed energies and their correlation."""
+    """How wide an interleaved stereo signal is, 0 to 1, from smoothed energies and their correlation. Pairs are taken by fours; a frame
+    of fewer is silence, and one of none leaves everything as it was."""
 
     output = "width double"
 
@@ -120,7 +121,7 @@ class StereoWidth:
 
     def step(self, state: list[float], frame: np.ndarray) -> tuple[list[float], float]:
         pairs = np.asarray(frame, dtype=float)[: len(frame) // 8 * 8].reshape(-1, 2)
-        if not len(pairs):
+        if len(frame) < 2:
             return state, min(1.0, 20 * state[4])
         per_second = max(1, self.rate // (len(frame) // 2))
         alpha = 1 - 25 / max(50, per_second)
@@ -345,23 +346,34 @@ class Resample:
 
 
 class HighPass:
-    """Second-order high-pass at a cutoff, for each channel."""
+    """Second-order high-pass for each channel, with a double zero at 0 Hz and poles of radius 1 - 0.92 * f, where f is 1.5 pi times the
+    cutoff by the rate. The cutoff moves from ``start`` Hz towards ``cutoff`` from frame to frame, on a scale
+    of logarithms, and is at ``cutoff`` from the first frame on if they are the same."""
 
     output = "samples array<double>"
+    # 1.5 pi / 1000 in Q19, 0.92 in Q9, and the part of the way that the cutoff goes in a frame in Q16.
+    FREQUENCY_Q19, RADIUS_Q9, PART_Q16 = 2471, 471, 983
 
-    def __init__(self, channels: int = 1, cutoff: float = 60.0, rate: int = 48000):
-        w = 2 * np.pi * cutoff / rate
-        q = np.sin(w) / np.sqrt(2)
-        self.channels, scale = channels, 1 + q
-        self.b = tuple(v / scale for v in ((1 + np.cos(w)) / 2, -(1 + np.cos(w)), (1 + np.cos(w)) / 2))
-        self.a = (-2 * np.cos(w) / scale, (1 - q) / scale)
+    def __init__(self, channels: int = 1, cutoff: int = 60, rate: int = 48000, start: int = 60):
+        self.channels, self.rate, self.begin, self.aim = channels, rate, lin2log(start) << 8, lin2log(cutoff) << 8
 
     def start(self) -> list[float]:
-        return [0.0, 0.0] * self.channels
+        return [float(self.begin), *[0.0, 0.0] * self.channels]
+
+    def coefficients(self, hertz: int) -> tuple[tuple[float, float, float], tuple[float, float]]:
+        """Of the zeros and of the poles, from whole numbers."""
+        f = self.FREQUENCY_Q19 * hertz // (self.rate // 1000)
+        r = (1 << 28) - self.RADIUS_Q9 * f
+        part = r >> 6
+        poles = part * ((f * f >> 16) - (2 << 22)) >> 16, part * part >> 16
+        return (r / 2**28, -2 * r / 2**28, r / 2**28), (poles[0] / 2**28, poles[1] / 2**28)
 
     def step(self, state: list[float], frame: np.ndarray) -> tuple[list[float], list[float]]:
-        y, out = np.asarray(frame, dtype=float).copy(), []
+        now = int(state[0])
+        now += (self.aim - now) * self.PART_Q16 >> 16
+        b, a = self.coefficients(log2lin(now >> 8))
+        y, out = np.asarray(frame, dtype=float).copy(), [float(now)]
         for c in range(self.channels):
-            y[c :: self.channels], memory = biquad(y[c :: self.channels], self.b, self.a, (state[2 * c], state[2 * c + 1]))
+            y[c :: self.channels], memory = biquad(y[c :: self.channels], b, a, (state[1 + 2 * c], state[2 + 2 * c]))
             out += memory
         return out, y.tolist()
