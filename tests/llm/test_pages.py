@@ -35,6 +35,9 @@ def test_blocks(html, blocks):
 def test_long_and_deep():
     assert texts("<p>" + "word " * 200_000) == [("word " * 200_000).strip()]
     assert texts("<div>" * 900 + "x" + "</div>" * 900) == ["x"]
+    # memory and time in proportion to the depth
+    blocks, codes, above = parse("<div>a" * 50_000 + "</b></article>" * 1000)
+    assert len(blocks) == len(codes) == len(above) == 50_000 and above == list(range(-1, 49_999)) and [b[2] for b in blocks] == list(range(50_000))
 
 
 def page(i, body):

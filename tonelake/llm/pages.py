@@ -12,6 +12,7 @@ and, in a page with an article or main element, those outside it.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -88,16 +89,19 @@ def marked(attributes: str) -> bool:
     return False
 
 
-def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
-    """The page's blocks: text, whether the markup leaves it, and the hashes of the candidate subtrees
-    around it; and the hashes of all candidate subtrees.
+def parse(html: str) -> tuple[list[tuple[str, bool, int]], list[int], list[int]]:
+    """The page's blocks: text, whether the markup leaves it, and the innermost candidate subtree around
+    it; and of all candidate subtrees, outer before inner, the hash and the next candidate around. Candidates go by their
+    number, -1 is none.
 
     In an article or main element only lists of links, and what goes by its markup, are candidates, so
     that prose stays however often it recurs; elsewhere every subtree without such prose is one.
     """
     stack = [Node("#root", False, False, False, 0)]
-    blocks: list[tuple[str, list[int], bool, bool]] = []
+    blocks: list[tuple[str, int, bool, bool]] = []
     nodes: dict[int, tuple[int, bool]] = {}
+    parent = [-1]  # of each element, by its order
+    open_: Counter[str] = Counter()  # elements of a tag in the stack
     line: list[str] = []
     gone: list[str] = []  # of the same block, but in an element that goes by its markup
     count = 1
@@ -107,13 +111,14 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
             text = " ".join("".join(part).split())
             part.clear()
             if text:
-                blocks.append((text, [x.order for x in stack[1:]], stack[-1].inside, dropped))
+                blocks.append((text, stack[-1].order, stack[-1].inside, dropped))
 
     def close() -> None:
         node = stack[-1]
         if (line or gone) and node.tag in BLOCKS:
             flush()
         stack.pop()
+        open_[node.tag] -= 1
         code = node.shape.intdigest()
         up = stack[-1]
         up.shape.update(code.to_bytes(8, "little"))
@@ -149,7 +154,7 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
         if m[1]:
             if (line or gone) and tag in BLOCKS:
                 flush()
-            if stack[-1].tag == tag or any(x.tag == tag for x in stack[1:]):
+            if open_[tag]:
                 while stack[-1].tag != tag:
                     close()
                 close()
@@ -161,7 +166,7 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
                 (gone if stack[-1].dropped else line).append(" ")
             stack[-1].shape.update(tag.encode())
             continue
-        if tag in ENDS_P:  # a new block ends an open paragraph and the inline elements left open in it
+        if tag in ENDS_P and open_["p"]:  # a new block ends an open paragraph and the inline elements left open in it
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
                     while len(stack) > i:
@@ -171,7 +176,7 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
                     break
         if tag in SIBLINGS:
             ended, stops = SIBLINGS[tag]
-            for i in range(len(stack) - 1, 0, -1):
+            for i in () if not any(open_[x] for x in ended) else range(len(stack) - 1, 0, -1):
                 if stack[i].tag in ended:
                     while len(stack) > i:
                         close()
@@ -180,10 +185,12 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
                     break
         up = stack[-1]
         # an article's own header holds its headline; an article within an article is a reader's comment
-        dropped = up.dropped or tag in DROPPED or (tag == "header" and not up.inside) or (tag == "article" and any(x.tag == "article" for x in stack))
+        dropped = up.dropped or tag in DROPPED or (tag == "header" and not up.inside) or (tag == "article" and open_["article"] > 0)
         dropped = dropped or (len(m[3]) > 3 and tag not in ("html", "body", "main") and marked(m[3]))
         unseen = up.unseen or tag in UNSEEN
         stack.append(Node(tag, unseen, dropped or unseen, up.inside or (tag in CONTENT and not dropped and not unseen), count))
+        parent.append(up.order)
+        open_[tag] += 1
         count += 1
         if tag in RAW:
             m = ENDS_RAW[tag].search(html, at)
@@ -193,9 +200,16 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
         close()
     flush()
     prose = any(inside and not dropped for _, _, inside, dropped in blocks)
-    may = {o: signed(code) for o, (code, candidate) in nodes.items() if candidate or not prose}
-    found = [(text, not dropped and (inside or not prose), [may[o] for o in orders if o in may]) for text, orders, inside, dropped in blocks]
-    return found, list(set(may.values()))
+    # the innermost candidate around each element, itself included
+    codes, above, near = [], [], [-1] * count
+    for o in range(1, count):
+        near[o] = near[parent[o]]
+        code, candidate = nodes.get(o, (0, False))
+        if o in nodes and (candidate or not prose):
+            above.append(near[o])
+            near[o] = len(codes)
+            codes.append(signed(code))
+    return [(text, not dropped and (inside or not prose), near[o]) for text, o, inside, dropped in blocks], codes, above
 
 
 def signed(code: int) -> int:
@@ -214,22 +228,22 @@ def extract_pages(pages: DataFrame, *, key: str = "page_id", url: str = "url", h
     types = {f.name: f.dataType.simpleString() for f in pages.schema}
     host = F.lower(F.regexp_extract(F.coalesce(pages[url].cast("string"), F.lit("")), r"^[^/?#]*//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(pages[key].alias("k"), pages[url].alias("u"), host.alias("host"), pages[html].alias("html"))
-    block = pa.list_(pa.struct([("text", pa.string()), ("stays", pa.bool_()), ("around", pa.list_(pa.int64()))]))
+    block = pa.list_(pa.struct([("text", pa.string()), ("stays", pa.bool_()), ("around", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [parse(h) if h else ([], []) for h in b.column(3).to_pylist()]
+            found = [parse(h) if h else ([], [], []) for h in b.column(3).to_pylist()]
             blocks = [[{"text": t, "stays": s, "around": a} for t, s, a in p[0]] for p in found]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(blocks, block), pa.array([p[1] for p in found], pa.list_(pa.int64()))],
-                names=["k", "u", "host", "blocks", "subtrees"],
+                [b.column(0), b.column(1), b.column(2), pa.array(blocks, block), pa.array([p[1] for p in found], pa.list_(pa.int64())), pa.array([p[2] for p in found], pa.list_(pa.int32()))],
+                names=["k", "u", "host", "blocks", "subtrees", "above"],
             )
 
-    shape = f"k {types[key]}, u {types[url]}, host string, blocks array<struct<text: string, stays: boolean, around: array<bigint>>>, subtrees array<bigint>"
+    shape = f"k {types[key]}, u {types[url]}, host string, blocks array<struct<text: string, stays: boolean, around: int>>, subtrees array<bigint>, above array<int>"
     parsed = kept(rows.mapInArrow(run, shape).withColumn("row", F.monotonically_increasing_id()))
 
     sizes = parsed.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = parsed.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_PAGES)
+    counts = parsed.select("host", F.explode(F.array_distinct("subtrees")).alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_PAGES)
     template = written(counts.join(sizes, "host").filter(F.col("n") >= F.col("pages") * MIN_SHARE).select("host", "subtree"), "template")
     if template.count() <= TEMPLATE_ROWS:  # of a host at most 1 / MIN_SHARE times the subtrees of a page
         deleted, by = F.broadcast(template.groupBy("host").agg(F.collect_set("subtree").alias("deleted"))), "host"
@@ -237,9 +251,18 @@ def extract_pages(pages: DataFrame, *, key: str = "page_id", url: str = "url", h
         standing = parsed.select("host", "row", F.explode("subtrees").alias("subtree"))
         deleted, by = standing.join(template, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("deleted")), "row"
 
-    # the template goes first, then what the markup says of the rest
-    none = F.array().cast("array<bigint>")
-    left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], F.coalesce("deleted", none)) & b["stays"])
-    rest = F.when(F.size("left") > 0, F.col("left")).otherwise(F.filter("blocks", lambda b: b["stays"]))
-    shown = parsed.join(deleted, by, "left").withColumn("left", left)
-    return shown.select(F.col("k").alias(key), F.col("u").alias(url), F.array_join(F.transform(rest, lambda b: b["text"]), "\n").alias("text"))
+    def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The template goes first, then what the markup says of the rest."""
+        for b in batches:
+            texts = []
+            for blocks, codes, above, deleted in zip(*[b.column(i).to_pylist() for i in range(2, 6)], strict=True):
+                gone, dead = set(deleted or ()), []
+                for code, up in zip(codes, above, strict=True):
+                    dead.append(code in gone or (up >= 0 and dead[up]))
+                stays = [x for x in blocks if x["stays"]]
+                left = [x for x in stays if x["around"] < 0 or not dead[x["around"]]]
+                texts.append("\n".join(x["text"] for x in left or stays))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["k", "u", "text"])
+
+    shown = parsed.join(deleted, by, "left").select("k", "u", "blocks", "subtrees", "above", "deleted").mapInArrow(delete, f"k {types[key]}, u {types[url]}, text string")
+    return shown.select(F.col("k").alias(key), F.col("u").alias(url), "text")
