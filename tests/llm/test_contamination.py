@@ -10,17 +10,19 @@ def words(text):
     return re.findall(r"[^\W_]+", (text or "").lower())
 
 
-def grams(text):
+def grams(text, n):
     w = words(text)
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
 
 def brute(docs, items, threshold):
     d, q = {}, {}
-    for table, rows in ((d, docs), (q, items)):
-        for k, t in rows:
-            if k is not None:
-                table.setdefault(k, set()).update(grams(t))
+    for k, t in docs:
+        if k is not None:
+            d.setdefault(k, set()).update(*(grams(t, n) for n in range(1, 6)))
+    for k, t in items:
+        if k is not None:  # a row under five words is one run of all its words
+            q.setdefault(k, set()).update(grams(t, max(1, min(5, len(words(t))))))
     return {(k, i, len(g & s), len(s)) for k, g in d.items() for i, s in q.items() if s and len(g & s) >= threshold * len(s) - 1e-9}
 
 
@@ -76,3 +78,19 @@ def test_sketches_leave_documents_out(spark, clashing, prose):
     every = items.select("item", F.explode(contamination.hashes(F.col("w"))).alias("h")).distinct()
     n = contamination.candidates(docs, sketch).count()
     assert 0 < n < 0.7 * contamination.candidates(docs, every).count()
+
+
+def test_short_items(spark, clashing, prose):
+    items = [(1, "one"), (2, "two little words"), (3, "a run of four"), (4, prose(1, 30)), (4, "and more"), (5, ",.;")]
+    docs = [(1, "One!"), (2, "two words little words"), (3, prose(2, 40) + " two, LITTLE words " + prose(3, 20)), (4, "a run of four"), (5, "run of four a"), (6, prose(1, 30) + " and more"), (7, prose(1, 30)), (8, "and more one")]
+    got = check(spark, docs, clashing, items)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 1), (8, 1), (3, 2), (4, 3), (6, 4), (7, 4)}
+
+
+def test_a_passage_of_many_items_makes_no_candidates(spark, clashing, prose):
+    """k documents and k items that share nine words."""
+    common = prose(1, 9)
+    for k in (30, 60):
+        items = spark.createDataFrame([(i, f"{prose(1000 + i, 12)} item{i} {common} item{i} {prose(3000 + i, 12)}") for i in range(k)], "item long, text string").select("item", contamination.words(F.col("text")).alias("w"))
+        docs = clashing([(i, f"{prose(5000 + i, 40)} {common} {prose(7000 + i, 40)}") for i in range(k)]).select(F.col("doc_id").alias("doc"), contamination.words(F.col("text")).alias("w"))
+        assert contamination.candidates(docs, contamination.sketches(items, 0.8)).count() == 0
