@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.functions import allocation, lanes
+from tonelake.functions import allocation, lanes, pitch
 from tonelake.plans import views
 from tonelake.streaming import state
 
@@ -153,3 +153,41 @@ def energy_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = views.pcm(spark, sf_dir)
     frames = v.select(F.pmod("frame_id", F.lit(16)).alias("stream_id"), F.col("frame_id").alias("frame_no"), F.transform(F.slice("samples", 1, ENERGY_BANDS), lambda x: x.cast("double") * 12).alias("samples"))
     return state.apply(frames, state.EnergyCode(0.75, 0.25, FINE))
+
+
+def _dot(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
+
+
+def _best(score: str, n: int) -> str:
+    """The two best of scores (null for none) by SQL, the lesser of equal ones first."""
+    order = f"list_transform(list_sort(list_filter(list_transform({score}, lambda v, i: {{'v': -v, 'i': i - 1}}), lambda z: z.v IS NOT NULL)), lambda z: z.i)"
+    return f"list_slice(list_concat({order}, CASE WHEN len({order}) = 0 THEN [0, {min(1, n - 1)}] ELSE [0] END), 1, 2)"
+
+
+@query(f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS y FROM embeddings),
+a AS (SELECT *, list_transform(range(16), lambda j: y[33 + 2 * j]) AS x4, list_transform(range(32), lambda j: y[1 + 2 * j]) AS y4 FROM v),
+c AS (SELECT *, list_transform(range(16), lambda k: {_dot("x4", "list_slice(y4, k + 1, k + 16)")}) AS r4, list_transform(range(16), lambda k: 1 + {_dot("list_slice(y4, k + 1, k + 16)", "list_slice(y4, k + 1, k + 16)")}) AS e4 FROM a),
+n AS (SELECT vec_id, y, {_best("list_transform(range(16), lambda k: CASE WHEN r4[k + 1] > 0 THEN r4[k + 1] * r4[k + 1] / e4[k + 1] END)", 16)} AS near FROM c),
+f AS (SELECT *, list_transform(range(32), lambda k: CASE WHEN abs(k - 2 * near[1]) <= 2 OR abs(k - 2 * near[2]) <= 2 THEN greatest({_dot("list_slice(y, 33, 64)", "list_slice(y, k + 1, k + 32)")}, -1) ELSE 0 END) AS r,
+  list_transform(range(32), lambda k: 1 + {_dot("list_slice(y, k + 1, k + 32)", "list_slice(y, k + 1, k + 32)")}) AS e FROM n),
+b AS (SELECT vec_id, r, ({_best("list_transform(range(32), lambda k: CASE WHEN r[k + 1] > 0 THEN r[k + 1] * r[k + 1] / e[k + 1] END)", 32)})[1] AS best FROM f)
+SELECT vec_id, CAST(2 * best - CASE WHEN best NOT BETWEEN 1 AND 30 THEN 0 WHEN r[best + 2] - r[best] > 0.7 * (r[best + 1] - r[best]) THEN 1 WHEN r[best] - r[best + 2] > 0.7 * (r[best + 1] - r[best + 2]) THEN -1 ELSE 0 END AS INTEGER) AS lag FROM b""")
+def pitch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lag at which the last half of each vector is most like an earlier part."""
+    return views.table(spark, sf_dir, "embeddings").select("vec_id", pitch.pitch_lag(F.col("embedding").cast("array<double>"), 64, 64).alias("lag"))
+
+
+@query("""WITH RECURSIVE f AS (SELECT vec_id % 16 AS s, row_number() OVER (PARTITION BY vec_id % 16 ORDER BY vec_id) AS n, vec_id,
+  list_transform(range(0, 32), lambda k: 6 * CAST(embedding[2 * k + 1] AS DOUBLE)) AS x, list_transform(range(0, 32), lambda k: 6 * CAST(embedding[2 * k + 2] AS DOUBLE)) AS y FROM embeddings),
+e AS (SELECT s, n, vec_id, greatest(list_sum(list_transform(x, lambda v: v * v)), 1) AS xx, list_sum(list_transform(y, lambda v: v * v)) AS yy, list_sum(list_transform(list_zip(x, y), lambda z: z[1] * z[2])) AS xy FROM f),
+p AS (SELECT *, least(greatest(floor(xy / xx * 8192) / 8192, -2), 2) AS k FROM e),
+q AS (SELECT *, greatest(0.01::DOUBLE, k * k / 64) AS pace, sqrt(xx) AS mid, sqrt(greatest(yy - 2 * k * xy + k * k * xx, 0)) AS rest FROM p),
+r AS (SELECT s, CAST(0 AS BIGINT) AS n, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM (SELECT DISTINCT s FROM f)
+  UNION ALL SELECT q.s, q.n, a + (mid - a) * pace, b + (rest - b) * pace FROM r JOIN q ON q.s = r.s AND q.n = r.n + 1)
+SELECT s AS stream_id, vec_id AS frame_no, [CAST(k * 8192 AS INTEGER), CAST(least(floor(b / greatest(a, 1) * 16384), 32767) AS INTEGER)] AS predictor FROM r JOIN q USING (s, n)""")
+def stereo_predictor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames taken as interleaved stereo: the second channel from the first, along sixteen streams."""
+    v = views.pcm(spark, sf_dir)
+    frames = v.select(F.pmod("frame_id", F.lit(16)).alias("stream_id"), F.col("frame_id").alias("frame_no"), F.transform("samples", lambda x: x.cast("double") * 6).alias("samples"))
+    return state.apply(frames, state.StereoPredictor())

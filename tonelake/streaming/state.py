@@ -221,6 +221,32 @@ class Smooth:
         return [now, 1.0], now
 
 
+class StereoPredictor:
+    """How the second of two interleaved channels follows from the first: the factor, held to -2 and 2, in 1/8192, and what is left over by
+    what there is, in 1/16384, both from amplitudes smoothed along the stream. The stronger the factor the
+    faster they follow, but by ``smooth`` at least."""
+
+    output = "predictor array<int>"
+
+    def __init__(self, smooth: float = 0.01):
+        self.smooth = smooth
+
+    def start(self) -> list[float]:
+        return [0.0, 0.0]
+
+    def step(self, state: list[float], frame: np.ndarray) -> tuple[list[float], list[int]]:
+        pairs = np.nan_to_num(np.asarray(frame, dtype=float)[: len(frame) // 2 * 2]).reshape(-1, 2)
+        if not len(pairs):
+            return state, [0, 0]
+        x, y = pairs.T
+        xx, yy, xy = max(float(x @ x), 1.0), float(y @ y), float(x @ y)
+        factor = min(max(np.floor(xy / xx * 8192) / 8192, -2.0), 2.0)
+        pace = max(self.smooth, factor**2 / 64)
+        rest = max(yy - 2 * factor * xy + factor**2 * xx, 0.0)
+        now = [a + (np.sqrt(e) - a) * pace for a, e in zip(state, (xx, rest), strict=True)]
+        return [float(a) for a in now], [int(factor * 8192), int(min(np.floor(now[1] / max(now[0], 1.0) * 16384), 32767))]
+
+
 class EnergyCode:
     """Band energies (logarithms to base 2) as whole steps and a fine rest. Each is predicted from the same band of the frame before,
     by ``alpha``, and from what the lower bands of the frame turned out to be, by ``beta``; the stream's first
