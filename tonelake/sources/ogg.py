@@ -27,6 +27,8 @@ from tonelake.sources.containers import CONTINUED, FIRST, LAST, PAGE, PageSync,
 LARGEST_PAGE = 27 + 255 + 255 * 255
 #: Bytes read at a time, and bytes of a range unless the reader is told otherwise.
 PIECE, RANGE = 1 << 20, 64 << 20
+#: Small ranges go to one task until it has so many bytes, or more if there would be more tasks than so many.
+LEAST_TASK, MOST_TASKS = 1 << 20, 256
 #: Pages of one Arrow batch.
 BATCH = 256
 #: Samples of a page, at 48 kHz, unless the writer is told otherwise.
@@ -70,11 +72,10 @@ def pages_from(file, start: int, stop: int, size: int) -> Iterator:
 
 
 @dataclass
-class ByteRange(InputPartition):
-    path: str
-    start: int
-    stop: int
-    size: int
+class ByteRanges(InputPartition):
+    """What one task reads: (path, start, stop, size of the file) of one large range or of many small ones."""
+
+    parts: list[tuple[str, int, int, int]]
 
 
 class PageReader(DataSourceReader):
@@ -83,26 +84,33 @@ class PageReader(DataSourceReader):
         self.ranges = int(options.get("ranges", 0))
         self.bytes = int(options.get("rangebytes", options.get("rangeBytes", RANGE)))
 
-    def partitions(self) -> list[ByteRange]:
+    def partitions(self) -> list[ByteRanges]:
         system, path = at_path(self.path)
         info = system.get_file_info(path)
         found = system.get_file_info(fs.FileSelector(path, recursive=True)) if info.type == fs.FileType.Directory else [info]
-        out = []
-        for f in sorted((f for f in found if f.is_file and not f.base_name.startswith(("_", "."))), key=lambda f: f.path):
+        files = sorted((f for f in found if f.is_file and not f.base_name.startswith(("_", "."))), key=lambda f: f.path)
+        room = min(self.bytes, max(LEAST_TASK, sum(f.size for f in files) // MOST_TASKS))
+        out, held = [ByteRanges([])], 0
+        for f in files:
             step = -(-f.size // self.ranges) if self.ranges else self.bytes
-            out += [ByteRange(f.path, at, min(at + step, f.size), f.size) for at in range(0, f.size, max(1, step))]
+            for at in range(0, f.size, max(1, step)):
+                n = min(step, f.size - at)
+                if held and held + n > room:
+                    out.append(ByteRanges([]))
+                    held = 0
+                out[-1].parts.append((f.path, at, at + n, f.size))
+                held += n
         return out
 
-    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # an empty folder
-            return
+    def read(self, partition: ByteRanges) -> Iterator[pa.RecordBatch]:
         schema, rows = arrow_schema(PAGE), []
-        with at_path(self.path)[0].open_input_file(partition.path) as file:
-            for page in pages_from(file, partition.start, partition.stop, partition.size):
-                rows.append(page_row(partition.path, page))
-                if len(rows) == BATCH:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                    rows = []
+        for path, start, stop, size in partition.parts:
+            with at_path(self.path)[0].open_input_file(path) as file:
+                for page in pages_from(file, start, stop, size):
+                    rows.append(page_row(path, page))
+                    if len(rows) == BATCH:
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows = []
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
