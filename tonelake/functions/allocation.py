@@ -57,70 +57,81 @@ def share_out(curves: list[list[int]], edges: list[int], caps: list[int], boosts
     width = [b - a for a, b in zip(edges, edges[1:], strict=False)]
     floor, shift = channels << EIGHTHS, lm + EIGHTHS
     need = [max(floor, (3 * w) << shift >> 4) for w in width]
-    thresholds, limits, widths = _array(need), _array(caps), _array(width)
-    total = F.greatest(total.cast("bigint"), F.lit(0))
-    reserve = F.when(total >= 1 << EIGHTHS, 1 << EIGHTHS).otherwise(0)
-    total = total - reserve
-    tilt = F.transform(F.array(*[F.lit(channels * w * (n - j - 1) << shift).cast("bigint") for j, w in enumerate(width)]), lambda x, j: F.shiftright(x * (trim - 5 - lm), 6) - F.when(F.shiftleft(at(widths, j), lm) == 1, floor).otherwise(0))
+    thresholds, limits, widths, places = _array(need), _array(caps), _array(width), _array(edges)
     table = F.array(*[_array([(channels * w * v) << lm >> 2 for w, v in zip(width, c, strict=True)]) for c in curves])
-
-    def tilted(curve: Column, tilt: Column) -> Column:
-        return F.transform(curve, lambda x, j: F.when(x > 0, F.greatest(x + at(tilt, j), F.lit(0))).otherwise(0))
+    top = len(curves) - 1
 
     def plus(a: Column, b: Column) -> Column:
         return F.zip_with(a, b, lambda x, y: x + y)
 
-    # each stage names what it found, so that the next reads it by name
-    def curve_fits(i: Column) -> Column:
-        return _sum(spent(plus(tilted(at(table, i), tilt), boosts), thresholds, limits, floor)) <= total
+    def tilted(curve: Column, tilt: Column) -> Column:
+        return F.zip_with(curve, tilt, lambda x, t: F.when(x > 0, F.greatest(x + t, F.lit(0))).otherwise(0))
 
-    def stage_two(curve: Column) -> Column:
-        low = F.zip_with(tilted(at(table, curve), tilt), boosts, lambda x, y: x + F.when(curve > 0, y).otherwise(0))
-        high = plus(F.when(curve >= len(curves) - 1, F.transform(limits, lambda x, j: F.when(x > 0, F.greatest(x + at(tilt, j), F.lit(0))).otherwise(0))).otherwise(tilted(at(table, F.least(curve + 1, F.lit(len(curves) - 1))), tilt)), boosts)
-        return F.struct(curve.alias("curve"), low.alias("low"), F.zip_with(high, low, lambda h, x: F.greatest(h - x, F.lit(0))).alias("span"))
+    # what a row gives, computed once; each stage then names what it found for the next
+    whole_total = F.greatest(total.cast("bigint"), F.lit(0))
+    reserve = F.when(whole_total >= 1 << EIGHTHS, 1 << EIGHTHS).otherwise(0)
+    slopes = _array([channels * w * (n - j - 1) << shift for j, w in enumerate(width)])
+    ones = _array([floor if w << lm == 1 else 0 for w in width])
+    given = F.struct(
+        boosts.alias("boosts"), (whole_total - reserve).alias("total"), reserve.alias("reserve"), bandwidth.alias("bandwidth"),
+        F.zip_with(F.transform(slopes, lambda x: F.shiftright(x * (trim - 5 - lm), 6)), ones, lambda x, y: x - y).alias("tilt"),
+        F.array_max(F.transform(boosts, lambda x, j: F.when(x > 0, j).otherwise(0))).alias("boosted"),
+    )
 
-    def stage_three(s: Column) -> Column:
-        share = lambda step: F.zip_with(s["low"], s["span"], lambda x, d: x + F.shiftright(d * step, STEPS))
-        step = _highest(lambda k: _sum(spent(share(k), thresholds, limits, floor)) <= total, (1 << STEPS) - 1)
-        return _let(step, lambda k: F.struct(s["curve"].alias("curve"), k.alias("step"), spent(share(k), thresholds, limits, floor).alias("bits")))
+    def fits(g: Column, bits: Column) -> Column:
+        return _let(bits, lambda b: _sum(spent(b, thresholds, limits, floor)) <= g["total"])
+
+    def between(g: Column) -> Column:
+        """The curve, and the bits of its bands with what the next one has more."""
 
-    found = _let(_let(_highest(curve_fits, len(curves) - 1), stage_two), stage_three)
-    boosted = F.array_max(F.transform(boosts, lambda x, j: F.when(x > 0, j).otherwise(0)))
+        def of(curve: Column) -> Column:
+            low = F.zip_with(tilted(at(table, curve), g["tilt"]), g["boosts"], lambda x, y: x + F.when(curve > 0, y).otherwise(0))
+            high = plus(tilted(F.when(curve >= top, limits).otherwise(at(table, F.least(curve + 1, F.lit(top)))), g["tilt"]), g["boosts"])
+            return _let(low, lambda x: F.struct(curve.alias("curve"), x.alias("low"), F.zip_with(high, x, lambda h, v: F.greatest(h - v, F.lit(0))).alias("span")))
 
-    def skipped(s: Column) -> Column:
-        start = F.struct(F.lit(n).alias("coded"), _sum(s["bits"]).alias("sum"), total.alias("total"), F.lit(False).alias("done"), F.array().cast("array<bigint>").alias("top"))
+        return _let(_highest(lambda i: fits(g, plus(tilted(at(table, i), g["tilt"]), g["boosts"])), top), of)
+
+    def stepped(g: Column, s: Column) -> Column:
+        share = lambda step: F.zip_with(s["low"], s["span"], lambda x, d: x + F.shiftright(d * step, STEPS))
+        step = _highest(lambda k: fits(g, share(k)), (1 << STEPS) - 1)
+        return _let(step, lambda k: _let(share(k), lambda b: F.struct(s["curve"].alias("curve"), k.alias("step"), spent(b, thresholds, limits, floor).alias("bits"))))
+
+    def skipped(g: Column, s: Column) -> Column:
+        start = F.struct(F.lit(n).alias("coded"), _sum(s["bits"]).alias("sum"), g["total"].alias("total"), F.lit(False).alias("done"), F.array().cast("array<bigint>").alias("top"))
 
         def band(acc: Column, j: Column) -> Column:
-            below = at(_array(edges), j) - edges[0]
-            span = at(_array(edges), j + 1) - edges[0]
             left = acc["total"] - acc["sum"]
+            span = at(places, j + 1) - edges[0]
             each = F.floor(F.greatest(left, F.lit(0)) / span)
-            mine = at(s["bits"], j) + each * at(widths, j) + F.greatest(left - span * each - below, F.lit(0))
+            mine = at(s["bits"], j) + each * at(widths, j) + F.greatest(left - span * each - (at(places, j) - edges[0]), F.lit(0))
+            return _let(mine, lambda m: decided(acc, j, m))
+
+        def decided(acc: Column, j: Column, mine: Column) -> Column:
             depth = F.when(acc["coded"] > 17, F.when(j < previous, 7).otherwise(9)).otherwise(0)
-            pays = (acc["coded"] <= 2) | ((mine > F.shiftright(F.shiftleft((depth * at(widths, j)).cast("bigint"), shift), 4)) & (j <= bandwidth))
+            pays = (acc["coded"] <= 2) | ((mine > F.shiftright(F.shiftleft((depth * at(widths, j)).cast("bigint"), shift), 4)) & (j <= g["bandwidth"]))
             asked = mine >= F.greatest(at(thresholds, j), F.lit(floor + (1 << EIGHTHS)))
-            last = j <= boosted
-            stop = acc["done"] | last | (asked & pays)
+            last = j <= g["boosted"]
             flag = F.when(asked, 1 << EIGHTHS).otherwise(0)
             kept = F.when(mine - flag >= floor, floor).otherwise(0).cast("bigint")
             go_on = F.struct((acc["coded"] - 1).alias("coded"), (acc["sum"] + flag - at(s["bits"], j) + kept).alias("sum"), acc["total"].alias("total"), F.lit(False).alias("done"), F.concat(F.array(kept), acc["top"]).alias("top"))
-            ends = F.struct(acc["coded"].alias("coded"), acc["sum"].alias("sum"), (acc["total"] + F.when(~acc["done"] & last, reserve).otherwise(0)).alias("total"), F.lit(True).alias("done"), acc["top"].alias("top"))
-            return F.when(stop, ends).otherwise(go_on)
+            ends = F.struct(acc["coded"].alias("coded"), acc["sum"].alias("sum"), (acc["total"] + F.when(last, g["reserve"]).otherwise(0)).alias("total"), F.lit(True).alias("done"), acc["top"].alias("top"))
+            return F.when(last | (asked & pays), ends).otherwise(go_on)
 
-        return F.aggregate(F.array(*map(F.lit, range(n - 1, -1, -1))), start, band)
+        return F.aggregate(F.array(*map(F.lit, range(n - 1, -1, -1))), start, lambda acc, j: F.when(acc["done"], acc).otherwise(band(acc, j)))
 
     def spread(s: Column, k: Column) -> Column:
-        span = at(_array(edges), k["coded"]) - edges[0]
-        left = k["total"] - k["sum"]
-        each = F.floor(F.greatest(left, F.lit(0)) / F.greatest(span, F.lit(1)))
-        rest = left - span * each
-        more = lambda j: each * at(widths, j) + F.greatest(F.least(at(widths, j), rest - (at(_array(edges), j) - edges[0])), F.lit(0))
-        bits = F.transform(F.slice(s["bits"], F.lit(1), k["coded"]), lambda x, j: x + F.when(left > 0, more(j)).otherwise(0))
-        return F.struct(s["curve"].alias("curve"), s["step"].alias("step"), k["coded"].alias("coded"), F.concat(bits, k["top"]).alias("bits"))
-
-    whole = _let(found, lambda s: _let(skipped(s), lambda k: spread(s, k)))
-    given = reduce(lambda a, b: a & b.isNotNull(), (trim, total, bandwidth), boosts.isNotNull())
-    return F.when(given, whole)
+        def more(left: Column) -> Column:
+            span = F.greatest(at(places, k["coded"]) - edges[0], F.lit(1))
+            each = F.floor(left / span)
+            rest = left - span * each
+            share = lambda x, j: x + each * at(widths, j) + F.greatest(F.least(at(widths, j), rest - (at(places, j) - edges[0])), F.lit(0))
+            return F.struct(s["curve"].alias("curve"), s["step"].alias("step"), k["coded"].alias("coded"), F.concat(F.transform(F.slice(s["bits"], F.lit(1), k["coded"]), share), k["top"]).alias("bits"))
+
+        return _let(F.greatest(k["total"] - k["sum"], F.lit(0)), more)
+
+    found = _let(given, lambda g: _let(between(g), lambda b: _let(stepped(g, b), lambda s: _let(skipped(g, s), lambda k: spread(s, k)))))
+    there = reduce(lambda a, b: a & b.isNotNull(), (trim, total, bandwidth), boosts.isNotNull())
+    return F.when(there, found)
 
 
 def _let(value: Column, body) -> Column:

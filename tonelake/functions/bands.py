@@ -105,9 +105,9 @@ def best_pitches(x: Column, y: Column, size: int, lags: int) -> Column:
     """The two lags at which ``y`` resembles the ``size`` samples of ``x`` most: by squared correlation over
     one plus energy, among positive correlations, the smaller lag first of equal ones. Lags 0 and 1 stand in
     for those that are missing."""
-    part = lambda k: F.slice(y, k + 1, size)
-    at = [(inner_product(x, part(k)), F.lit(1.0) + energy(part(k)), k) for k in range(lags)]
-    found = F.filter(F.array(*[F.struct(F.round(-r * r / e, 9).alias("score"), F.lit(k).alias("lag"), (r > 0).alias("ok")) for r, e, k in at]), lambda z: z["ok"])
+    part = lambda k: F.slice(y, k + 1, F.lit(size))
+    each = F.transform(F.sequence(F.lit(0), F.lit(lags - 1)), lambda k: F.struct(inner_product(x, part(k)).alias("r"), (F.lit(1.0) + energy(part(k))).alias("e"), k.alias("lag")))
+    found = F.transform(F.filter(each, lambda z: z["r"] > 0), lambda z: F.struct(F.round(-z["r"] * z["r"] / z["e"], 9).alias("score"), z["lag"].alias("lag")))
     best = F.transform(F.array_sort(found), lambda z: z["lag"])
     second = F.lit(min(1, lags - 1))
     # a single find pushes the first stand-in to the second place
