@@ -54,14 +54,13 @@ def check(spark, rows, least=5, keep=2000, **options):
     assert len(got) == len(set(got)) and set(got) == brute(rows, least, keep)
 
 
-@pytest.mark.parametrize("options", [{}, {"words_at_once": 5}, {"trie_phrases": 40}, {"words_at_once": 3, "trie_phrases": 15}])
+@pytest.mark.parametrize("options", [{}, {"words_at_once": 5, "trie_phrases": 40}])
 def test_random_texts(spark, options):
     check(spark, made(3, 250), **options)
 
 
 def test_ranks_end_and_ties(spark):
-    check(spark, made(5, 250), keep=7)
-    check(spark, [("en", "a b. c d. e f. g h.")] * 5, keep=2)
+    check(spark, made(5, 60) + [("en", "a b. c d. e f. g h.")] * 5, keep=3)
 
 
 def test_odd_rows(spark):

@@ -7,7 +7,8 @@
    ``bincount``, and Spark sums the counts of the tasks.
 3. The same pass meets the candidates of the next level: a state that accepts, whose right neighbour's state accepts
    too, and the word behind it. Both parts being candidates makes them Apriori-safe. Spark sums their
-   occurrences too, and those that reach ``least`` are the next trie's.
+   occurrences too, and those that reach ``least`` are the next trie's. Pairs, of which most texts have nearly as many
+   as words, are summed in ``PARTS`` passes one behind the other, so that only a part of them is in a shuffle at once.
 
 A trie holds ``TRIE_PHRASES`` at most. Beyond that the first words are dealt into blocks, each with a trie and a
 pass of its own; so are the words when texts are numbered, ``WORDS`` at a time.
@@ -33,6 +34,8 @@ LONGEST = 4
 WORDS, TRIE_PHRASES = 1 << 20, 1 << 20
 #: Bytes of text, and words, that a worker handles at once.
 SLICE, POSITIONS = 1 << 20, 1 << 21
+#: Passes in which pairs are summed, and parts that a language's phrases are ranked in before all of its first ones are.
+PARTS, RANK_PARTS = 4, 32
 #: What a byte is: 0 of a word, 1 blank, 2 the end of a piece.
 KIND = np.zeros(256, np.uint8)
 KIND[[9, 32]] = 1
@@ -162,9 +165,10 @@ class DoubleArray:
         return np.where(self.check[at] == state, at, -1)
 
 
-def scan(trie, depth: int, blocks: int, block: int, more: bool):
-    """Counts (w1 .. w4, n, met) over codes: of the trie's phrases of ``depth`` words (``met`` false), and, if ``more``, of the
-    candidates of a word more (``met`` true)."""
+def scan(trie, depth: int, blocks: int, block: int, part: int, parts: int):
+    """Counts (w1 .. w4, n, met) over codes: in the first part those of the trie's phrases of ``depth`` words (``met`` false), if there are two or
+    more, and those of the candidates of a word more that fall into the part (``met`` true)."""
+    more = depth < LONGEST
 
     def counts(ids: np.ndarray, n: np.ndarray, met: bool) -> pa.RecordBatch:
         wide = np.full((len(ids), LONGEST), -1, np.int32)
@@ -182,7 +186,8 @@ def scan(trie, depth: int, blocks: int, block: int, more: bool):
             for d in range(depth):
                 state = t.step(state, words[at + d])
                 at, state = at[state >= 0], state[state >= 0]
-            np.add(accepted, np.bincount(state, minlength=len(accepted)), out=accepted)
+            if not part and depth > 1:
+                np.add(accepted, np.bincount(state, minlength=len(accepted)), out=accepted)
             if not more:
                 return None
             here = np.zeros(len(words) + 1, dtype=bool)
@@ -190,6 +195,8 @@ def scan(trie, depth: int, blocks: int, block: int, more: bool):
             if blocks > 1:  # what another block's trie holds isn't known here
                 here[:-1] |= (words >= 0) & (words % blocks != block)
             safe = here[at + 1] & (words[at + depth] >= 0)
+            if parts > 1:
+                safe &= (words[at] + 7 * words[at + depth]) % parts == part
             at, state = at[safe], state[safe]
             _, first, n = np.unique(state * (1 << 31) + words[at + depth], return_index=True, return_counts=True)
             return counts(words[at[first][:, None] + np.arange(depth + 1)], n, True)
@@ -248,12 +255,16 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lea
     held: list[DataFrame] = [found]
     for depth in range(1, LONGEST + 1):
         blocks = max(1, -(-sum(x.count() for x in held) // trie_phrases))
-        passes = []
+        tries = []
         for b in range(blocks):
             rows = [np.stack([c.to_numpy() for c in x.filter(F.pmod("w1", F.lit(blocks)) == b).toArrow().columns], axis=1) for x in held]
-            broadcasts.append(trie := spark.sparkContext.broadcast(DoubleArray(rows)))
-            passes.append(coded.mapInArrow(scan(trie, depth, blocks, b, depth < LONGEST), ", ".join(f"{w} int" for w in IDS) + ", n bigint, met boolean"))
-        sums = written(reduce(DataFrame.unionByName, passes).groupBy("met", *IDS).agg(F.sum("n").alias("n")).filter(F.col("n") >= least), f"level{depth}")
+            tries.append(spark.sparkContext.broadcast(DoubleArray(rows)))
+        broadcasts += tries
+        parts, tables = PARTS if depth == 1 else 1, []
+        for part in range(parts):
+            passes = [coded.mapInArrow(scan(t, depth, blocks, b, part, parts), ", ".join(f"{w} int" for w in IDS) + ", n bigint, met boolean") for b, t in enumerate(tries)]
+            tables.append(written(reduce(DataFrame.unionByName, passes).groupBy("met", *IDS).agg(F.sum("n").alias("n")).filter(F.col("n") >= least), f"level{depth}"))
+        sums = reduce(DataFrame.unionByName, tables)
         if depth > 1:
             levels.append(sums.filter("NOT met").select(F.array(*IDS[:depth]).alias("p"), F.col("n").alias("f")))
         held.append(sums.filter("met").select(*IDS[: depth + 1]))
@@ -296,6 +307,8 @@ def ranked(phrases: DataFrame, words: DataFrame, totals: DataFrame, keep: int) -
     stay = scored.join(around, "p", "left").filter(F.col("longer").isNull() | (wide("longer") * 100 < wide("a") * 80))
     each = stay.select("p", "a", "cut", F.posexplode("p").alias("i", "id")).join(words, "id")
     named = each.groupBy("p", "a", "cut").agg(F.first("lang").alias("lang"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("phrase"))
-    order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    first = named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
+    order = [F.desc("cut.score"), F.desc("a"), "phrase"]
+    part = F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))
+    first = named.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("rank") <= keep)
+    first = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= keep)
     return first.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
