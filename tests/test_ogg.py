@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from tonelake.functions.kernels import parse_head
+from tonelake.functions.kernels import parse_head, write_head, write_tags
 from tonelake.sources import containers as C
 from tonelake.sources import ogg
 
@@ -108,3 +108,21 @@ def test_sink(spark, tmp_path):
         assert len(heads) == 1 + s % 2 and all(parse_head(h["payload"])["channels"] == 1 for h in heads)
         assert [g["payload"] for g in got if g["packet_no"] > 1] == payloads and not any(g["hole_before"] for g in got)
         assert sum(g["eos"] for g in got) == len(heads)
+
+
+def test_pages_of_ranges_make_the_same_packets(spark, tmp_path):
+    from tonelake.operators.streams import link_headers
+
+    a, b = list(C.scan_pages(C.pack_stream(1, [(write_head(2, 312, 48000), 0), (write_tags(b"v", [b"A=b"]), 0)] + [(bytes([i]) * 3000, i * 960) for i in range(40)]))), list(C.scan_pages(C.pack_stream(2, [(b"no head", 0), (b"x", 960)])))
+    raw = C.pack_stream(1, [(write_head(2, 312, 48000), 0), (write_tags(b"v", [b"A=b"]), 0)] + [(bytes([i]) * 3000, i * 960) for i in range(40)])
+    other = C.pack_stream(2, [(b"no head", 0), (b"x", 960)])
+    mixed = raw[: a[5].offset] + other[: b[0].end] + raw[a[6].offset :] + other[b[0].end :] + raw[: a[3].end]  # a lost page, two streams at once, a second link
+    (tmp_path / "m.ogg").write_bytes(mixed)
+    want = [(p["serial"], p["packet_no"], p["granule"], p["hole_before"], p["payload"]) for p in C.scan_packets(C.scan_pages(mixed))]
+    df = C.packets_of_pages(ogg.load_pages(spark, str(tmp_path), ranges=9))
+    got = [(r.serial, r.packet_no, r.granule, r.hole_before, bytes(r.payload)) for r in df.collect()]
+    assert sorted(got) == sorted(want) and sum(g[3] for g in got) == 1
+    links = {(r.link, r.serial): r for r in link_headers(df).collect()}
+    assert sorted(links) == [(0, 1), (1, 2), (2, 1)]
+    assert links[0, 1].channels == 2 and links[0, 1].comments == ["A=b"] and links[0, 1].error_code == 0 and links[2, 1].vendor == "v"
+    assert links[1, 2].channels is None and links[1, 2].error_code != 0 and links[1, 2].last_granule == 960

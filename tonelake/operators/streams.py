@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonelake.functions import kernels
+
 
 def page_holes(pages: DataFrame, *, stream: str = "serial", order: tuple[str, ...] = ("page_off",), seq: str = "seq") -> DataFrame:
     """``pages`` with ``missing``: pages lost between the page before of the stream and this one (0 at the start)."""
@@ -162,3 +164,16 @@ def binary_suffix(data: Column) -> Column:
     refused; no bytes remove the suffix."""
     kept = (F.octet_length(data) == 0) | (F.pmod(F.conv(F.hex(F.substring(data, 1, 1)), 16, 10).cast("int"), F.lit(2)) == 1)
     return F.struct(F.when(kept & (F.octet_length(data) > 0), data).alias("suffix"), F.when(kept, 0).otherwise(-131).alias("error_code"))
+
+
+def link_headers(packets: DataFrame) -> DataFrame:
+    """One row for each link of files' packets (as ``packets_of_pages`` gives them): path, link (from 0 in the order of the file), serial, what its
+    identification and comment headers say, its audio packets and its last granule. A link without good headers has nulls and an
+    ``error_code``."""
+    by = ["path", "serial", "link_off"]
+    at = lambda n: F.first(F.when(F.col("packet_no") == n, F.col("payload")), ignorenulls=True)
+    links = packets.groupBy(*by).agg(at(0).alias("head"), at(1).alias("tags"), F.count(F.when(F.col("packet_no") > 1, 1)).alias("packets"), F.max("granule").alias("last_granule"))
+    links = links.withColumn("link", F.row_number().over(Window.partitionBy("path").orderBy("link_off")) - 1)
+    links = links.withColumn("h", kernels.head_udf()(F.coalesce("head", F.lit(b"")))).withColumn("t", kernels.tags_udf()(F.coalesce("tags", F.lit(b""))))
+    code = F.when(F.col("h.error_code") != 0, F.col("h.error_code")).otherwise(F.col("t.error_code"))
+    return links.select("path", "link", "serial", "h.channels", "h.pre_skip", "h.rate", "h.gain", "h.family", F.col("t.vendor").cast("string").alias("vendor"), F.transform("t.comments", lambda x: x.cast("string")).alias("comments"), "packets", "last_granule", code.alias("error_code"))

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonelake.operators import streams
 from tonelake.plans import views
 from tonelake.sources import containers, ogg
 from tonelake.streaming import sync
@@ -51,7 +52,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.substring(F.repeat(F.md5(F.col("event_id").cast("string")), 19), F.lit(1), size).cast("binary")
     long = F.element_at(F.array(*map(F.lit, (120, 240, 480, 960, 1920))), (F.pmod("event_id", F.lit(5)) + 1).cast("int"))
     granule = F.expr("sum(n) OVER (PARTITION BY stream_id ORDER BY packet_no)")
-    return e.select("stream_id", F.lit(0).alias("link"), "packet_no", payload.alias("payload"), long.alias("n")).withColumn("granule", granule)
+    return e.select("stream_id", "event_id", F.lit(0).alias("link"), "packet_no", payload.alias("payload"), long.alias("n")).withColumn("granule", granule)
 
 
 #: The packets in SQL, and the page of each: a packet closes the page before it that would outlast the delay or 255 segments, and
@@ -97,3 +98,19 @@ def pages_from_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = sync.sync_pages(stream).writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
     run.awaitTermination()
     return described(spark.read.parquet(f"{path}/out"))
+
+
+@query("""WITH e AS (SELECT user_id AS s, event_id % 2 AS k, event_id, ts, list_extract([120, 240, 480, 960, 1920], event_id % 5 + 1) AS n FROM events),
+l AS (SELECT s, k, count(*) AS packets, CAST(sum(n) AS BIGINT) AS last_granule FROM e GROUP BY s, k)
+SELECT s AS stream_id, CAST(row_number() OVER (PARTITION BY s ORDER BY k) - 1 AS INTEGER) AS link, (s + k * 2654435761) & 4294967295 AS serial, 1 AS channels, 312 AS pre_skip, CAST(44100 AS BIGINT) AS rate, 'tonelake query' AS vendor,
+  packets, last_granule, 0 AS error_code FROM l""")
+def links_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two links chained in each file, read by ranges, joined to packets and described by their own headers."""
+    path = scratch(spark, "chained")
+    p = packets(spark, sf_dir)
+    odd = views.table(spark, sf_dir, "events").select("event_id", F.pmod("event_id", F.lit(2)).cast("int").alias("half"))
+    p = p.join(odd, "event_id").drop("link").withColumn("link", F.col("half")).withColumn("granule", F.expr("sum(n) OVER (PARTITION BY stream_id, half ORDER BY packet_no)"))
+    ogg.save_streams(p, path, delay=DELAY, channels=1, rate=44100, vendor="tonelake query")
+    found = streams.link_headers(containers.packets_of_pages(ogg.load_pages(spark, path, ranges=3)))
+    name = F.regexp_extract("path", r"([0-9]+)\.opus$", 1).cast("bigint")
+    return found.select(name.alias("stream_id"), "link", "serial", "channels", "pre_skip", "rate", "vendor", "packets", "last_granule", "error_code")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby, islice
 
 import pandas as pd
 import pyarrow as pa
@@ -198,6 +199,41 @@ def read_packets(contents: DataFrame) -> DataFrame:
     return _scan(contents, PACKET, lambda path, content: ({"path": path} | p for p in scan_packets(scan_pages(content))))
 
 
+def packets_of_pages(pages: DataFrame) -> DataFrame:
+    """One row for each packet of pages that came by any reader, as ``read_packets`` with ``link_off`` in place of ``link``: where the first page of
+    the packet's link stands. Pages are sorted within partitions by file, serial number and place, and walked one by one,
+    so that no stream is held."""
+    ship(pages.sparkSession)
+    names = ["path", "serial", "page_off", "end_off", "continued", "bos", "eos", "granule", "seq", "lacing", "body"]
+    schema = PACKET.replace("link int", "link_off bigint")
+    kinds = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts: list[int] = []
+
+        def walk() -> Iterator[tuple]:
+            for b in batches:
+                yield from zip(*[c.to_pylist() for c in b.columns], strict=True)
+
+        def of_stream(rows: Iterator[tuple]) -> Iterator[Page]:
+            starts.clear()
+            for _, serial, at, end, continued, bos, eos, granule, seq, lacing, body in rows:
+                if bos or not starts:
+                    starts.append(at)
+                yield Page(at, end, 0, CONTINUED * continued | FIRST * bos | LAST * eos, granule, serial, seq, bytes(lacing), body, True)
+
+        def packets() -> Iterator[dict]:
+            for (path, _), rows in groupby(walk(), key=lambda r: r[:2]):
+                for p in scan_packets(of_stream(rows)):
+                    yield {"path": path, "link_off": starts[p.pop("link")]} | p
+
+        found = packets()
+        while some := list(islice(found, 1000)):
+            yield pa.RecordBatch.from_pylist(some, schema=kinds)
+
+    return pages.select(*names).repartition("path", "serial").sortWithinPartitions("path", "serial", "page_off").mapInArrow(run, schema)
+
+
 def write_streams(packets: DataFrame, *, stream: str = "stream_id", order: str = "packet_no", granule: str = "granule", payload: str = "payload") -> DataFrame:
     """One row (stream, content) with each stream's pages; streams are packed in parallel."""
     ship(packets.sparkSession)
