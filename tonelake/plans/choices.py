@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.functions import allocation, lanes, pitch
+from tonelake.functions import allocation, gains, lanes, pitch
 from tonelake.plans import views
 from tonelake.streaming import state
 
@@ -191,3 +191,36 @@ def stereo_predictor(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = views.pcm(spark, sf_dir)
     frames = v.select(F.pmod("frame_id", F.lit(16)).alias("stream_id"), F.col("frame_id").alias("frame_no"), F.transform("samples", lambda x: x.cast("double") * 6).alias("samples"))
     return state.apply(frames, state.StereoPredictor())
+
+
+@query("""WITH f AS (SELECT vec_id % 16 AS stream_id, vec_id AS frame_no, (vec_id // 16) % 33 AS quiet FROM embeddings)
+SELECT stream_id, frame_no, quiet > 10 AND (quiet - 11) % 21 < 20 AS skip FROM f""")
+def dtx_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which frames of sixteen streams need no packet, where every 33rd is not silent."""
+    v = views.pcm(spark, sf_dir)
+    silent = F.pmod(F.floor(F.col("frame_id") / 16), F.lit(33)) > 0
+    loud = F.transform("samples", lambda x: F.when(silent, 0.0).otherwise(x.cast("double")))
+    return state.apply(v.select(F.pmod("frame_id", F.lit(16)).alias("stream_id"), F.col("frame_id").alias("frame_no"), loud.alias("samples")), state.Discontinuous())
+
+
+_LEVEL = "greatest(least(greatest(2 * c{0} - 16, v{1} + c{0} - 4), 63), 0)"
+
+
+@query(f"""WITH c AS (SELECT event_id, event_id % 64 AS v, event_id * 7 % 64 AS c0, event_id * 3 % 41 AS c1, event_id * 11 % 41 AS c2, event_id * 17 % 41 AS c3 FROM events),
+a AS (SELECT *, greatest(c0, v - 16) AS v0 FROM c), b AS (SELECT *, {_LEVEL.format(1, 0)} AS v1 FROM a), d AS (SELECT *, {_LEVEL.format(2, 1)} AS v2 FROM b)
+SELECT event_id, list_transform([v0, v1, v2, {_LEVEL.format(3, 2)}], lambda x: CAST(x AS INTEGER)) AS levels FROM d""")
+def gain_dequantise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels of four gain codes a frame, and the one before, drawn from event numbers."""
+    i = F.col("event_id")
+    codes = F.array(*[F.pmod(i * m, F.lit(n)).cast("int") for m, n in ((7, 64), (3, 41), (11, 41), (17, 41))])
+    return views.table(spark, sf_dir, "events").select("event_id", gains.dequantise(codes, F.pmod(i, F.lit(64)).cast("int"))["levels"].alias("levels"))
+
+
+@query("""WITH RECURSIVE f AS (SELECT vec_id % 16 AS s, row_number() OVER (PARTITION BY vec_id % 16 ORDER BY vec_id) AS n, vec_id, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding) AS m FROM embeddings),
+r AS (SELECT s, n, m AS a FROM f WHERE n = 1 UNION ALL SELECT f.s, f.n, a + 0.5 * (m - a) FROM r JOIN f ON f.s = r.s AND f.n = r.n + 1)
+SELECT s AS stream_id, vec_id AS frame_no, round(a, 6) AS smooth FROM r JOIN f USING (s, n)""")
+def smooth_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smoothed means of the frames of sixteen streams."""
+    v = views.pcm(spark, sf_dir)
+    out = state.apply(v.select(F.pmod("frame_id", F.lit(16)).alias("stream_id"), F.col("frame_id").alias("frame_no"), "samples"), state.Smooth())
+    return out.select("stream_id", "frame_no", F.round("smooth", 6).alias("smooth"))

@@ -114,3 +114,24 @@ def links_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = streams.link_headers(containers.packets_of_pages(ogg.load_pages(spark, path, ranges=3)))
     name = F.regexp_extract("path", r"([0-9]+)\.opus$", 1).cast("bigint")
     return found.select(name.alias("stream_id"), "link", "serial", "channels", "pre_skip", "rate", "vendor", "packets", "last_granule", "error_code")
+
+
+@query("""WITH e AS (SELECT event_id, md5(CAST(event_id AS VARCHAR)) AS h, f FROM events, (SELECT unnest([0, 1]) AS f)),
+v AS (SELECT event_id, f, list_transform(range(0, 4), lambda i: CAST('0x' || substr(h, 16 * f + 4 * i + 3, 2) || substr(h, 16 * f + 4 * i + 1, 2) AS INTEGER)) AS v FROM e)
+SELECT event_id, CAST(f AS INTEGER) AS frame_no, list_transform(v, lambda x: CAST(x - CASE WHEN x >= 32768 THEN 65536 ELSE 0 END AS INTEGER)) AS samples FROM v""")
+def raw_pcm_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets' bytes as 16-bit samples, two frames of four each."""
+    content = views.packets(spark, sf_dir).select(F.col("event_id").cast("string").alias("path"), F.col("payload").alias("content"))
+    found = containers.read_raw_pcm(content, 1, 4)
+    return found.select(F.col("path").cast("bigint").alias("event_id"), F.col("frame_no").cast("int").alias("frame_no"), F.transform("samples", lambda x: x.cast("int")).alias("samples"))
+
+
+@query("""SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS packet_no, CAST(48000 AS BIGINT) AS rate, 2 AS channels, 960 AS frame_size,
+  md5(unhex(md5(CAST(event_id AS VARCHAR)))) AS digest FROM events""")
+def corpus_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stream's packets as a corpus of settings and records, read again."""
+    p = views.packets(spark, sf_dir, numbered=True)
+    records = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("packet_no", F.hex("payload").alias("h")))), lambda x: F.concat(F.lit("1000"), x["h"])), "")
+    head = F.lit(b"OPUSPKT1".hex() + "80bb0000" + "0200" + "c003")
+    files = p.groupBy("stream_id").agg(F.unhex(F.concat(head, records)).alias("content")).select(F.col("stream_id").cast("string").alias("path"), "content")
+    return containers.read_corpus(files).select(F.col("path").cast("bigint").alias("stream_id"), "packet_no", "rate", "channels", "frame_size", F.md5("payload").alias("digest"))
