@@ -96,9 +96,10 @@ def gram_hashes(buffer: bytes, gram: int) -> np.ndarray:
     return out
 
 
-def deep_shallow(text: np.ndarray, at: np.ndarray, length: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+def deep_shallow(text: np.ndarray, at: np.ndarray, length: int, shallow: int = SHALLOW, groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The order of the ``length`` bytes from each of the positions ``at``, and which of them are equal to
-    others. All groups are worked on together, one step of each at a time."""
+    others. ``groups`` are the sizes of consecutive groups of positions that are sorted apart. All are worked on together,
+    one step of each at a time."""
     n, shallow = len(at), min(shallow, length // 2) // 8 * 8
     words = np.ndarray((len(text),), ">u8", np.r_[text, np.zeros(8, np.uint8)].tobytes(), strides=(1,)).astype(np.uint64)
     order, twin = np.arange(n), np.zeros(n, dtype=bool)
@@ -109,7 +110,8 @@ def deep_shallow(text: np.ndarray, at: np.ndarray, length: int, shallow: int = S
         return group, np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size) + first[group]
 
     # multikey quicksort: less than, equal to and greater than the pivot's character; only the equal go deeper
-    first, size, depth = np.array([0]), np.array([n]), np.array([0])
+    size = np.array([n]) if groups is None else groups
+    first, depth = np.cumsum(size) - size, np.zeros(len(size), np.int64)
     deep = [np.zeros((0, 2), np.int64)]
     while True:
         deeper = (depth >= shallow) & (size > 1)
@@ -177,7 +179,9 @@ def sorted_groups(length: int):
         first, windows = np.cumsum(sizes) - sizes, sizes - length + 1
         piece = np.repeat(np.arange(len(raw)), windows)
         offset = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
-        _, twin = deep_shallow(text, first[piece] + offset, length)
+        hashes = rows.column("h").to_numpy()
+        starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]][: len(hashes)])
+        _, twin = deep_shallow(text, first[piece] + offset, length, groups=np.add.reduceat(windows, starts))
         marked = np.flatnonzero(twin & rows.column("own").to_numpy()[piece])
         piece, offset = piece[marked], offset[marked]
         # windows of a piece that touch or overlap become one place
