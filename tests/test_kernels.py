@@ -204,3 +204,25 @@ def test_multistream_needs_equal_durations():
     data = K.join_streams([K.build_packet(0x08, [b"a"]), K.build_packet(0x08, [b"b", b"c"])])
     with pytest.raises(K.BadBytes):
         K.split_streams(data, 2)
+
+
+def test_header_columns(spark):
+    """Headers by Columns against the plain writer and parser, and the matrix of a projection."""
+    from pyspark.sql import functions as F
+
+    from tonelake.functions import ambisonics, editing
+
+    row = spark.range(1)
+    six = F.struct(F.lit(4).alias("streams"), F.lit(2).alias("coupled"), F.array(*map(F.lit, (0, 4, 1, 2, 3, 5))).alias("mapping"))
+    lit = F.lit
+    got = row.select(
+        editing.identification_header(lit(2), lit(312), lit(48000), lit(-256)).alias("plain"),
+        editing.identification_header(lit(6), lit(0), lit(44100), lit(0), lit(1), six).alias("six"),
+        editing.identification_header(lit(6), lit(0), lit(48000), lit(0), lit(3), F.struct(lit(3).alias("streams"), lit(3).alias("coupled"), lit(None).cast("array<int>").alias("mapping")), ambisonics.matrix_column(6, 1)).alias("sphere"),
+        editing.identification_header(lit(3), lit(0), lit(48000), lit(0), lit(1)).alias("none"),
+    ).first()
+    assert bytes(got.plain) == K.write_head(2, 312, 48000, -256) and bytes(got.six) == K.write_head(6, 0, 44100, 0, 4, 2, [0, 4, 1, 2, 3, 5])
+    cells = ambisonics.exported(6, 1)
+    assert bytes(got.sphere)[18:21] == bytes([3, 3, 3]) and len(got.sphere) == 21 + 2 * 36
+    assert [int.from_bytes(got.sphere[21 + 2 * i : 23 + 2 * i], "little", signed=True) for i in range(36)] == [v if v < 32768 else v - 65536 for v in cells]
+    assert got.none is None

@@ -90,6 +90,11 @@ def exported(channels: int, order: int) -> list[int]:
     return [DEMIXING[order][rows * c + r] for c in range(channels) for r in range(channels)]
 
 
+def matrix_column(channels: int, order: int) -> Column:
+    """The same cells as bytes, 16 bits each, the lower byte first."""
+    return F.lit(b"".join((v & 0xFFFF).to_bytes(2, "little") for v in exported(channels, order)))
+
+
 def layout_of(channels: Column, family: Column) -> Column:
     """struct(streams, coupled, mapping) of a mapping family: 0 (mono and stereo), 1 (surround), 2 (ambisonics,
     with the coupled channels last) and 255 (a stream for each channel); null where there is none."""

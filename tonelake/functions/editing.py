@@ -112,7 +112,15 @@ def comment_header(vendor: Column, comments: Column, padding: int = 0) -> Column
     return F.unhex(F.concat(F.hex(F.lit(b"OpusTags")), field(vendor), little(F.size(comments)), body, F.lit("00" * padding)))
 
 
-def identification_header(channels: Column, pre_skip: Column, rate: Column, gain: Column) -> Column:
-    """An identification header of mapping family 0, as bytes, by built-in functions alone."""
+def identification_header(channels: Column, pre_skip: Column, rate: Column, gain: Column, family: Column | None = None, layout: Column | None = None, matrix: Column | None = None) -> Column:
+    """An identification header, as bytes, by built-in functions alone: of mapping family 0, or of ``family`` with the
+    struct(streams, coupled, mapping) of ``layout``; family 3 has the bytes of its demixing ``matrix`` in place of the mapping. Null
+    where a family needs a layout and has none."""
     part = lambda n, size: F.concat(*[F.substring(F.lpad(F.hex(F.pmod(n.cast("bigint"), F.lit(1 << 8 * size))), 2 * size, "0"), i, 2) for i in range(2 * size - 1, 0, -2)])
-    return F.unhex(F.concat(F.hex(F.lit(b"OpusHead")), F.lit("01"), part(channels, 1), part(pre_skip, 2), part(rate, 4), part(gain, 2), F.lit("00")))
+    family = F.lit(0) if family is None else family
+    head = F.concat(F.hex(F.lit(b"OpusHead")), F.lit("01"), part(channels, 1), part(pre_skip, 2), part(rate, 4), part(gain, 2), part(family, 1))
+    if layout is None:
+        return F.unhex(F.when(family == 0, head))
+    mapping = F.array_join(F.transform(layout["mapping"], lambda m: part(m, 1)), "")
+    last = mapping if matrix is None else F.when(family == 3, F.hex(matrix)).otherwise(mapping)
+    return F.unhex(F.when(family == 0, head).otherwise(F.concat(head, part(layout["streams"], 1), part(layout["coupled"], 1), last)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.functions import ambisonics, bands, layouts, pcm, signal, toc
+from tonelake.functions import ambisonics, bands, editing, layouts, pcm, signal, toc
 from tonelake.operators import streams
 from tonelake.plans import views
 from tonelake.plans.samples import S, real
@@ -180,13 +180,17 @@ SURROUND = " ".join(f"WHEN {n} THEN {{'streams': {s}, 'coupled': {c}, 'mapping':
 FAMILIES = views.Drawn(channels=range(261), family=[0, 1, 2, 3, 255])
 
 
-@query(f"""WITH g AS (SELECT *, CAST(pow(floor(sqrt(channels)), 2) AS INTEGER) AS q FROM ({FAMILIES.sql})),
+#: The layout of each family and channel count in SQL.
+LAYOUTS = f"""g AS (SELECT *, CAST(pow(floor(sqrt(channels)), 2) AS INTEGER) AS q FROM ({FAMILIES.sql})),
 k AS (SELECT *, CASE WHEN channels > q THEN 1 ELSE 0 END AS c FROM g),
 l AS (SELECT event_id, channels, family, CASE
   WHEN family = 0 AND channels IN (1, 2) THEN {{'streams': 1, 'coupled': channels - 1, 'mapping': CAST(range(0, channels) AS INTEGER[])}}
   WHEN family = 1 THEN CASE channels {SURROUND} END
   WHEN family = 2 AND channels BETWEEN 1 AND 227 AND channels - q IN (0, 2) THEN {{'streams': q + c, 'coupled': c, 'mapping': CAST(list_concat(range(2 * c, q + 2 * c), range(0, 2 * c)) AS INTEGER[])}}
-  WHEN family = 255 AND channels BETWEEN 1 AND 255 THEN {{'streams': channels, 'coupled': 0, 'mapping': CAST(range(0, channels) AS INTEGER[])}} END AS l FROM k)
+  WHEN family = 255 AND channels BETWEEN 1 AND 255 THEN {{'streams': channels, 'coupled': 0, 'mapping': CAST(range(0, channels) AS INTEGER[])}} END AS l FROM k)"""
+
+
+@query(f"""WITH {LAYOUTS}
 SELECT event_id, channels, family, l.streams AS streams, l.coupled AS coupled, l.mapping AS mapping FROM l""")
 def family_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layouts of families and channel counts drawn from event numbers."""
@@ -194,6 +198,17 @@ def family_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("l", ambisonics.layout_of(F.col("channels"), F.col("family"))).select("event_id", "channels", "family", "l.streams", "l.coupled", "l.mapping")
 
 
+@query(f"""WITH {LAYOUTS}
+SELECT event_id, channels < 256 AND (family = 0 OR family IN (1, 2, 255) AND l IS NOT NULL) AS made,
+  CASE WHEN channels < 256 AND family = 0 OR family IN (1, 2, 255) AND l IS NOT NULL THEN '4F7075734865616401' || printf('%02X', channels) || '380180BB000000FF' || printf('%02X', family)
+    || CASE WHEN family = 0 THEN '' ELSE printf('%02X', l.streams) || printf('%02X', l.coupled) || array_to_string(list_transform(l.mapping, lambda m: printf('%02X', m)), '') END END AS head FROM l""")
+def head_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identification headers of families and channel counts drawn from event numbers, with a gain of -1 dB; null where there is no layout."""
+    c = FAMILIES.frame(spark, sf_dir).withColumn("l", ambisonics.layout_of(F.col("channels"), F.col("family")))
+    head = F.when((F.col("family") != 3) & (F.col("channels") < 256), editing.identification_header(F.col("channels"), F.lit(312), F.lit(48000), F.lit(-256), F.col("family"), F.col("l")))
+    return c.select("event_id", head.isNotNull().alias("made"), F.hex(head).alias("head"))
+
+
 FRAME_BYTES = views.Drawn(size=range(1276))
 
 
