@@ -1,6 +1,7 @@
 """Byte kernels: exhaustive small domains, wire cases and round trips."""
 
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -226,3 +227,23 @@ def test_header_columns(spark):
     assert bytes(got.sphere)[18:21] == bytes([3, 3, 3]) and len(got.sphere) == 21 + 2 * 36
     assert [int.from_bytes(got.sphere[21 + 2 * i : 23 + 2 * i], "little", signed=True) for i in range(36)] == [v if v < 32768 else v - 65536 for v in cells]
     assert got.none is None
+
+
+def test_crc_is_not_taken_byte_by_byte():
+    def plain(data):
+        r = 0
+        for b in data:
+            r = (r << 8 & 0xFFFFFFFF) ^ K.CRC[r >> 24 ^ b]
+        return r
+
+    r = random.Random(1)
+    for n in (0, 1, 2, 3, 4, 5, 1000):
+        data = r.randbytes(n)
+        assert K.page_crc(data) == plain(data)
+    data = r.randbytes(200_000)
+    began = time.perf_counter()
+    assert plain(data) == K.page_crc(data)
+    loop = time.perf_counter() - began
+    began = time.perf_counter()
+    K.page_crc(data * 20)
+    assert time.perf_counter() - began < 5 * loop

@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 
 from tonelake.sources import containers as C
-from tonelake.streaming.sync import sync_pages
+from tonelake.streaming.sync import _Sync, sync_pages
 
 PIECES = "path string, piece long, data binary, last boolean"
 
@@ -64,3 +65,53 @@ def test_a_silent_file_ends(spark, tmp_path, provider):
         assert sorted(r.page_off for r in spark.table("silent").collect()) == [300, 300 + C.page_at(whole, 0).end]
     finally:
         query.stop()
+
+
+class State(dict):
+    """The state of one file, and how often it was visited."""
+
+    visits = 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def getMapState(self, name, key, schema):
+        return self
+
+    def _visit(self, f, *args):
+        self.visits += 1
+        return f(*args)
+
+    def get(self, key=None):
+        return self._visit(super().get, key)
+
+    getValue = get
+
+    def exists(self):
+        return self._visit(self.__contains__, None)
+
+    def containsKey(self, key):
+        return self._visit(self.__contains__, key)
+
+    def update(self, value):
+        self._visit(self.__setitem__, None, value)
+
+    def updateValue(self, key, value):
+        self._visit(self.__setitem__, key, value)
+
+    def removeKey(self, key):
+        self._visit(self.pop, key, None)
+
+
+@pytest.mark.parametrize("batches", [1, 2, 9])
+def test_early_pieces_visit_the_state_in_blocks(batches):
+    data, r = content(3), random.Random(batches)
+    pieces = [Row(path="x", piece=i, data=data[at : at + 997], last=at + 997 >= len(data)) for i, at in enumerate(range(0, len(data), 997))]
+    r.shuffle(pieces)
+    state, sync, got = State(), _Sync(None), []
+    sync.init(state)
+    for i in range(batches):
+        got += sync.handleInputRows(("x",), iter(pieces[i::batches]), None)
+    assert [(p.page_off, p.end_off, p.skipped, p.body) for p in got] == [(p.offset, p.end, p.skipped, p.body) for p in C.scan_pages(data)]
+    assert set(state) == {None} and state[None][-1] == 0  # nothing waits any more
+    assert len(pieces) > 70 and state.visits <= batches * (4 + 2 * (1 + len(pieces) // 32))

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonelake.operators import streams
@@ -47,12 +47,18 @@ DELAY, PIECE = 4800, 997
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets of 1 to 600 bytes and 2.5 to 40 ms."""
-    e = views.packets(spark, sf_dir, numbered=True)
+    return chained(spark, sf_dir, F.lit(0))
+
+
+def chained(spark: SparkSession, sf_dir: str, link: Column) -> DataFrame:
+    """The packets, with their granules in the link that they belong to. They are numbered and summed before they get their bytes, so
+    that what is sorted is narrow."""
+    long = F.element_at(F.array(*map(F.lit, (120, 240, 480, 960, 1920))), (F.pmod("event_id", F.lit(5)) + 1).cast("int"))
+    e = views.packets(spark, sf_dir, numbered=True).select("stream_id", "event_id", link.alias("link"), "packet_no", long.alias("n"))
+    e = e.withColumn("granule", F.expr("sum(n) OVER (PARTITION BY stream_id, link ORDER BY packet_no)"))
     size = (F.pmod("event_id", F.lit(600)) + 1).cast("int")
     payload = F.substring(F.repeat(F.md5(F.col("event_id").cast("string")), 19), F.lit(1), size).cast("binary")
-    long = F.element_at(F.array(*map(F.lit, (120, 240, 480, 960, 1920))), (F.pmod("event_id", F.lit(5)) + 1).cast("int"))
-    granule = F.expr("sum(n) OVER (PARTITION BY stream_id ORDER BY packet_no)")
-    return e.select("stream_id", "event_id", F.lit(0).alias("link"), "packet_no", payload.alias("payload"), long.alias("n")).withColumn("granule", granule)
+    return e.withColumn("payload", payload)
 
 
 #: The packets in SQL, and the page of each: a packet closes the page before it that would outlast the delay or 255 segments, and
@@ -93,8 +99,9 @@ def pages_from_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = F.ceil(F.octet_length("content") / PIECE).cast("int")
     pieces = whole.select("path", "content", F.explode(F.sequence(F.lit(0), count - 1)).alias("piece"), count.alias("count"))
     pieces = pieces.select("path", F.col("piece").cast("bigint").alias("piece"), F.substring("content", F.col("piece") * PIECE + 1, F.lit(PIECE)).alias("data"), (F.col("piece") == F.col("count") - 1).alias("last"))
-    pieces.repartition(3, F.xxhash64("path", "piece")).write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(pieces.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    parts = max(3, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pieces.repartition(parts, F.xxhash64("path", "piece")).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(pieces.schema).option("maxFilesPerTrigger", -(-2 * parts // 3)).parquet(f"{path}/in")
     run = sync.sync_pages(stream).writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
     run.awaitTermination()
     return described(spark.read.parquet(f"{path}/out"))
