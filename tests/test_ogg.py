@@ -126,3 +126,27 @@ def test_pages_of_ranges_make_the_same_packets(spark, tmp_path):
     assert sorted(links) == [(0, 1), (1, 2), (2, 1)]
     assert links[0, 1].channels == 2 and links[0, 1].comments == ["A=b"] and links[0, 1].error_code == 0 and links[2, 1].vendor == "v"
     assert links[1, 2].channels is None and links[1, 2].error_code != 0 and links[1, 2].last_granule == 960
+
+
+def test_links_hold_each_event_once(spark, tmp_path):
+    """Events of one number are packets of their own, as in SQL."""
+    import duckdb
+
+    from tonelake.plans import muxing
+
+    rows = [(1, 5, 1), (1, 5, 2), (1, 6, 3), (2, 6, 1), (2, 6, 2), (2, 6, 2)]
+    spark.createDataFrame(rows, "user_id long, event_id long, ts long").selectExpr("event_id", "timestamp_seconds(ts) AS ts", "user_id").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    found = muxing.links_of_files(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(muxing.ORACLES["links_of_files"])
+    assert sorted(tuple(r[c] for c in want.columns) for r in found.collect()) == sorted(want.fetchall())
+
+
+def test_headers_are_gathered_without_the_bytes_of_audio(spark):
+    from tonelake.operators.streams import link_headers
+
+    none = spark.createDataFrame([], C.PACKET.replace("link int", "link_off bigint"))
+    plan = link_headers(none)._jdf.queryExecution().optimizedPlan().toString()
+    project = next(line for line in plan[plan.index("Aggregate") :].splitlines() if "Project" in line)
+    assert "CASE WHEN" in project and " payload#" not in project.split("CASE WHEN")[0]

@@ -171,8 +171,10 @@ def link_headers(packets: DataFrame) -> DataFrame:
     identification and comment headers say, its audio packets and its last granule. A link without good headers has nulls and an
     ``error_code``."""
     by = ["path", "serial", "link_off"]
-    at = lambda n: F.first(F.when(F.col("packet_no") == n, F.col("payload")), ignorenulls=True)
-    links = packets.groupBy(*by).agg(at(0).alias("head"), at(1).alias("tags"), F.count(F.when(F.col("packet_no") > 1, 1)).alias("packets"), F.max("granule").alias("last_granule"))
+    at = lambda n: F.first(F.when(F.col("packet_no") == n, F.col("said")), ignorenulls=True)
+    # first() of bytes sorts its rows: those of audio go without their bytes
+    narrow = packets.select(*by, "packet_no", "granule", F.when(F.col("packet_no") <= 1, F.col("payload")).alias("said"))
+    links = narrow.groupBy(*by).agg(at(0).alias("head"), at(1).alias("tags"), F.count(F.when(F.col("packet_no") > 1, 1)).alias("packets"), F.max("granule").alias("last_granule"))
     links = links.withColumn("link", F.row_number().over(Window.partitionBy("path").orderBy("link_off")) - 1)
     links = links.withColumn("h", kernels.head_udf()(F.coalesce("head", F.lit(b"")))).withColumn("t", kernels.tags_udf()(F.coalesce("tags", F.lit(b""))))
     code = F.when(F.col("h.error_code") != 0, F.col("h.error_code")).otherwise(F.col("t.error_code"))

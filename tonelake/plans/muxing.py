@@ -114,10 +114,7 @@ SELECT s AS stream_id, CAST(row_number() OVER (PARTITION BY s ORDER BY k) - 1 AS
 def links_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two links chained in each file, read by ranges, joined to packets and described by their own headers."""
     path = scratch(spark, "chained")
-    p = packets(spark, sf_dir)
-    odd = views.table(spark, sf_dir, "events").select("event_id", F.pmod("event_id", F.lit(2)).cast("int").alias("half"))
-    p = p.join(odd, "event_id").drop("link").withColumn("link", F.col("half")).withColumn("granule", F.expr("sum(n) OVER (PARTITION BY stream_id, half ORDER BY packet_no)"))
-    ogg.save_streams(p, path, delay=DELAY, channels=1, rate=44100, vendor="tonelake query")
+    ogg.save_streams(chained(spark, sf_dir, F.pmod("event_id", F.lit(2)).cast("int")), path, delay=DELAY, channels=1, rate=44100, vendor="tonelake query")
     found = streams.link_headers(containers.packets_of_pages(ogg.load_pages(spark, path, ranges=3)))
     name = F.regexp_extract("path", r"([0-9]+)\.opus$", 1).cast("bigint")
     return found.select(name.alias("stream_id"), "link", "serial", "channels", "pre_skip", "rate", "vendor", "packets", "last_granule", "error_code")
