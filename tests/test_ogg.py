@@ -46,6 +46,19 @@ def test_source(spark, tmp_path):
     assert ogg.load_pages(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_ranges_in_one_task_check_each_page_once(tmp_path, monkeypatch):
+    data = C.pack_stream(7, [(bytes([i]) * 700, i * 960) for i in range(60)])
+    for i in range(4):
+        (tmp_path / f"{i}.ogg").write_bytes(data)
+    want = [(str(tmp_path / f"{i}.ogg"), p.offset) for i in range(4) for p in C.scan_pages(data)]
+    checked, crc = [], C.page_crc
+    monkeypatch.setattr(C, "page_crc", lambda x: checked.append(len(x)) or crc(x))
+    reader = ogg.PageReader({"path": str(tmp_path), "ranges": 5})
+    (task,) = reader.partitions()
+    assert [r for b in reader.read(task) for r in zip(b["path"].to_pylist(), b["page_off"].to_pylist(), strict=True)] == want
+    assert sum(checked) <= 4 * len(data)
+
+
 def plain_pages(packets, delay):
     """Which packets end on which page, by the rule on muxing delay."""
     pages, held, segments, last, now = [], [], 0, 0, 0

@@ -12,6 +12,7 @@ from __future__ import annotations
 import posixpath
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -29,6 +30,8 @@ LARGEST_PAGE = 27 + 255 + 255 * 255
 PIECE, RANGE = 1 << 20, 64 << 20
 #: Small ranges go to one task until it has so many bytes, or more if there would be more tasks than so many.
 LEAST_TASK, MOST_TASKS = 1 << 20, 256
+#: Files that the driver renames at a time.
+CALLS = 16
 #: Pages of one Arrow batch.
 BATCH = 256
 #: Samples of a page, at 48 kHz, unless the writer is told otherwise.
@@ -98,7 +101,11 @@ class PageReader(DataSourceReader):
                 if held and held + n > room:
                     out.append(ByteRanges([]))
                     held = 0
-                out[-1].parts.append((f.path, at, at + n, f.size))
+                parts = out[-1].parts
+                if at and parts:  # neighbours in one task are one walk, not each with a start of its own
+                    parts[-1] = (f.path, parts[-1][1], at + n, f.size)
+                else:
+                    parts.append((f.path, at, at + n, f.size))
                 held += n
         return out
 
@@ -171,7 +178,16 @@ class Packer:
 
 @dataclass
 class Wrote(WriterCommitMessage):
-    files: list[tuple[str, str]]
+    """The streams of a task, and the mark that its files bear until all tasks are done."""
+
+    root: str
+    mark: str
+    streams: list[int]
+
+    def names(self) -> Iterator[tuple[str, str]]:
+        """Each file's name for now, and its own."""
+        for s in self.streams:
+            yield posixpath.join(self.root, f".{s}-{self.mark}"), posixpath.join(self.root, f"{s}.opus")
 
 
 class StreamWriter(DataSourceArrowWriter):
@@ -186,7 +202,7 @@ class StreamWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Wrote:
         system, root = at_path(self.path)
         system.create_dir(root, recursive=True)
-        done: list[tuple[str, str]] = []
+        done = Wrote(root, uuid.uuid4().hex, [])
         current = file = packer = held = link = None
 
         def close() -> None:
@@ -201,8 +217,8 @@ class StreamWriter(DataSourceArrowWriter):
                     if file is not None:
                         file.close()
                     current, packer = stream, None
-                    done.append((posixpath.join(root, f".{stream}-{uuid.uuid4().hex}"), posixpath.join(root, f"{stream}.opus")))
-                    file = system.open_output_stream(done[-1][0])
+                    done.streams.append(stream)
+                    file = system.open_output_stream(posixpath.join(root, f".{stream}-{done.mark}"))
                 if packer is None or at != link:  # a chained stream begins with headers of its own
                     close()
                     link, packer = at, Packer(serial_of(stream, at), self.delay)
@@ -216,18 +232,19 @@ class StreamWriter(DataSourceArrowWriter):
         close()
         if file is not None:
             file.close()
-        return Wrote(done)
+        return done
 
     def commit(self, messages: list[Wrote | None]) -> None:
         system = at_path(self.path)[0]
-        for m in messages:
-            for held, name in m.files if m else ():
-                system.move(held, name)
+        with ThreadPoolExecutor(CALLS) as pool:
+            for m in messages:
+                for _ in pool.map(lambda pair: system.move(*pair), m.names() if m else ()):
+                    pass
 
     def abort(self, messages: list[Wrote | None]) -> None:
         system = at_path(self.path)[0]
         for m in messages:
-            for held, _ in m.files if m else ():
+            for held, _ in m.names() if m else ():
                 system.delete_file(held)
 
 
