@@ -3,8 +3,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from tonelake.llm import collocations as module
 from tonelake.llm.collocations import DoubleArray, collocations
 
 
@@ -99,3 +101,41 @@ def test_double_array(seed):
         for w in range(0, 300, 7):
             found = trie.step(trie.states[d].copy(), np.full(len(rows), w))
             assert [x >= 0 for x in found] == [(*p, w) in known for p in rows]
+
+
+def test_passes_over_texts_do_not_grow_with_candidates(spark, monkeypatch):
+    df = spark.createDataFrame(made(7, 120), "lang string, text string")
+    calls, plain = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    passes = []
+    for trie_phrases in (1 << 20, 40, 5):
+        calls.clear()
+        collocations(df, least=5, trie_phrases=trie_phrases)
+        passes.append(len(calls))
+    assert passes[0] == passes[1] == passes[2]
+
+
+@pytest.mark.parametrize("hot", [0, 2, 9])
+def test_tries_of_slices(monkeypatch, hot):
+    """Windows of many slices, packed and dealt to tries, count each phrase once, whatever words are hot."""
+    monkeypatch.setattr(module, "SLICE", 2000)
+    rows = made(11, 120) + [("en", "a b " * 3000)]
+    pieces = [[x for x in re.split(r"[ \t]+", p) if x] for _, t in rows for p in re.split(r"[.,;:!?\n\x0b]", re.sub("[A-Z]", lambda m: m[0].lower(), t))]
+    words = [x for x, _ in collections.Counter(x for w in pieces for x in w).most_common()]
+    known = {x: (pa.array([w.encode() for w in words]), np.arange(len(words), dtype=np.int32)) for x in ("en", "de", "und")}
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] or "und" for r in rows[i : i + 50]]), pa.array([r[1] for r in rows[i : i + 50]])], names=["lang", "text"]) for i in range(0, len(rows), 50)]
+    held = collections.defaultdict(list)
+    for mine, lang, raw in module.by_lang(iter(batches)):
+        codes, piece, _ = module.codes_of(mine, lang, raw, known)
+        for trie, depth, size, data in zip(*(c.to_pylist() for c in module.packed(*module.dealt(*module.windows(codes, piece), hot, 7)).columns), strict=True):
+            held[trie, depth].append(module.unpacked(size, data))
+    assert {d for _, d in held} == ({2, 3, 4} if hot else {2})
+    got = {}
+    for (_, depth), x in held.items():
+        for d, first, last, n in module.nodes(depth, *np.concatenate(x, axis=1), 4):
+            for f, z, m in zip(first.tolist(), last.tolist(), n.tolist(), strict=True):
+                p = tuple(words[i - 1] for i in (f >> 32, f & module.LOW, z >> 32, z & module.LOW) if i)
+                assert len(p) == d and p not in got
+                got[p] = m
+    want = collections.Counter(tuple(w[i : i + k]) for w in pieces for k in (2, 3, 4) for i in range(len(w) - k + 1))
+    assert got == {p: n for p, n in want.items() if n >= 4}

@@ -1,17 +1,17 @@
-"""Collocations by Apriori levels over broadcast double-array tries.
-
-1. Words are counted in Spark; those of ``least`` occurrences or more get numbers, and every text is written as the
-   numbers of its words. A word that is rarer breaks a text as a stop does: no phrase with it can be a candidate.
-2. At each level a double-array trie of the candidates so far is broadcast. In every task numpy puts a state at each
-   position of many texts and advances all states by one word at a time; the states that accept are counted by
-   ``bincount``, and Spark sums the counts of the tasks.
-3. The same pass meets the candidates of the next level: a state that accepts, whose right neighbour's state accepts
-   too, and the word behind it. Both parts being candidates makes them Apriori-safe. Spark sums their
-   occurrences too, and those that reach ``least`` are the next trie's. Pairs, of which most texts have nearly as many
-   as words, are summed in ``PARTS`` passes one behind the other, so that only a part of them is in a shuffle at once.
-
-A trie holds ``TRIE_PHRASES`` at most. Beyond that the first words are dealt into blocks, each with a trie and a
-pass of its own; so are the words when texts are numbered, ``WORDS`` at a time.
+"""Collocations by counting tries over windows of words, each built from a share of all texts.
+
+1. Words are counted in Spark; those of ``least`` occurrences or more get numbers, by falling frequency, and every text
+   is written as the numbers of its words. A word that is rarer breaks a text as a stop does: no phrase with it can be
+   a candidate.
+2. At each word begins a window of up to four. Windows are sorted and counted in slices of texts, and dealt to tries by
+   their first two words, in one shuffle. A word of more than ``TRIE_PHRASES`` occurrences is hot: windows that begin
+   with two or three hot words are dealt by a word more, and what they count above that goes its own way, once for each
+   slice. So no key has more than ``TRIE_PHRASES`` windows and slices, whatever a language repeats.
+3. A trie is its windows in order: a node is a run with the same beginning, and its count is the run's. Runs below
+   ``least`` are left out before the next level is looked at.
+
+All texts are read twice, however many candidates there are. Only the numbers of the words go to all tasks, ``WORDS``
+at a time; beyond that texts are read once more for each ``WORDS``.
 """
 
 from __future__ import annotations
@@ -25,77 +25,206 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonelake.llm.common import forget, kept, slices, small_batches, written
-from tonelake.llm.wordhash import LOWER, utf8
+from tonelake.llm.common import forget, slices, small_batches, written
+from tonelake.llm.wordhash import LOWER, mix, utf8
 
 #: Longest phrase, in words.
 LONGEST = 4
-#: Words that are broadcast at once to number texts, and phrases of one trie.
+#: Words that are broadcast at once to number texts, and windows of one trie.
 WORDS, TRIE_PHRASES = 1 << 20, 1 << 20
-#: Bytes of text, and words, that a worker handles at once.
-SLICE, POSITIONS = 1 << 20, 1 << 21
-#: Passes in which pairs are summed, and parts that a language's phrases are ranked in before all of its first ones are.
-PARTS, RANK_PARTS = 4, 32
+#: Bytes of text that a worker handles at once.
+SLICE = 1 << 23
+#: Parts that a language's phrases are ranked in before all of its first ones are.
+RANK_PARTS = 32
 #: What a byte is: 0 of a word, 1 blank, 2 the end of a piece.
 KIND = np.zeros(256, np.uint8)
 KIND[[9, 32]] = 1
 KIND[[10, 11, 12, 13, *b".,;:!?"]] = 2
 IDS = [f"w{i + 1}" for i in range(LONGEST)]
+#: Mask of the lower of two words in a number, and what a window's row in a shuffle has: its words and its count.
+LOW, ROW = (1 << 32) - 1, LONGEST + 1
 
 
 def word_arrays(raw: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The words of all texts, the number of each word's piece, and of its text."""
-    buf = LOWER[np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", dtype=np.uint8)]
-    kind = KIND[buf]
+    """The words of all texts, the number of each word's piece, and where it begins in the texts joined by one byte."""
+    joined = b"\n" + b"\n".join(raw) + b"\n"
+    buf, kind = (np.frombuffer(joined.translate(bytes(x)), np.uint8) for x in (LOWER, KIND))
     inside = kind == 0
     at = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     starts, ends = at[::2], at[1::2]
     offsets = np.zeros(len(starts) + 1, np.int32)
     np.cumsum(ends - starts, out=offsets[1:])
-    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(buf[inside].tobytes())])
-    begins = 1 + np.cumsum([0, *[len(r) + 1 for r in raw]])
-    return words, np.cumsum(kind == 2)[starts], np.searchsorted(begins, starts, side="right") - 1
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(buf[inside])])
+    return words, np.cumsum(kind == 2, dtype=np.int32)[starts], starts - 1
 
 
-def by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, str, list[bytes]]]:
-    """Runs of rows of one language: the rows, the language, the texts. Columns are lang and text at first."""
-    for b in batches:
-        langs = np.array(b.column(0).to_pylist(), dtype=object)
-        for lang in dict.fromkeys(langs):
-            rows = b.take(pa.array(np.flatnonzero(langs == lang)))
+def by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, str, list[bytes]]]:
+    """Runs of rows of one language, from as many batches as make a slice: the rows, the language, the texts. Columns are lang and text at first."""
+
+    def runs(held: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(held)
+        for lang in pc.unique(table.column(0)).to_pylist():
+            rows = table.filter(pc.equal(table.column(0), lang))
             raw = utf8(rows.column(1).to_pylist())
             for i, j in slices([len(r) for r in raw], SLICE):
                 yield rows.slice(i, j - i), lang, raw[i:j]
 
+    held, total = [], 0
+    for b in batches:
+        held.append(b)
+        total += b.column(1).nbytes
+        if total >= SLICE:
+            yield from runs(held)
+            held, total = [], 0
+    if held:
+        yield from runs(held)
+
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and their counts; a row without a word has the count of all."""
     for _, lang, raw in by_lang(batches):
-        found = word_arrays(raw)[0].value_counts()
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), found.field(0).cast(pa.string()), found.field(1)], names=["lang", "word", "f"])
+        words = word_arrays(raw)[0]
+        found = words.value_counts()
+        word = pa.concat_arrays([found.field(0).cast(pa.string()), pa.nulls(1, pa.string())])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(word), pa.string()), word, pa.array(np.r_[found.field(1).to_numpy(), len(words)])], names=["lang", "word", "f"])
+
 
+def codes_of(rows: pa.Table, lang: str, raw: list[bytes], known: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the words of one language's texts, from a block {lang: (words, numbers)} or from ``codes`` of blocks before, -1 for other
+    words; the words' pieces, and where they begin."""
+    words, piece, starts = word_arrays(raw)
+    block, numbers = known.get(lang, (pa.array([], pa.binary()), np.zeros(0, np.int32)))
+    at = pc.index_in(words, value_set=block).fill_null(-1).to_numpy(zero_copy_only=False)
+    codes = np.r_[numbers, -1].astype(np.int32)[at]
+    if rows.num_columns > 2:
+        codes = np.maximum(codes, np.frombuffer(b"".join(rows.column(2).to_pylist()), np.int32))
+    return codes, piece, starts
 
-def number_words(block, last: bool):
-    """Numbers of the words of a block, given as {lang: (words, numbers)}; -1 for other words. ``last`` gives the codes
-    alone, with breaks."""
+
+def number_words(block):
+    """Texts with the numbers of the words of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, lang, raw in by_lang(batches):
-            words, piece, doc = word_arrays(raw)
-            known, numbers = block.value.get(lang, (pa.array([], pa.binary()), np.zeros(0, np.int32)))
-            at = pc.index_in(words, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
-            codes = np.r_[numbers, -1].astype(np.int32)[at]
-            codes = np.maximum(codes, np.frombuffer(b"".join(x or b"" for x in rows.column(2).to_pylist()) or codes.tobytes(), np.int32))
-            count = np.bincount(doc, minlength=len(raw))
-            if last:
-                # a break before each piece, and of several breaks one
-                fresh = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]][: len(piece)])
-                doc = np.insert(doc, fresh, doc[fresh])
-                codes = np.insert(codes, fresh, -1)
-                stays = np.r_[True, (codes[1:] >= 0) | (codes[:-1] >= 0)][: len(codes)]
-                codes, count = codes[stays], np.bincount(doc[stays], minlength=len(raw))
-            offsets = np.r_[0, np.cumsum(count)].astype(np.int32) * 4
-            out = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(codes.astype(np.int32).tobytes())])
-            yield pa.RecordBatch.from_arrays([out] if last else [rows.column(0), rows.column(1), out], names=["codes"] if last else ["lang", "text", "codes"])
+            codes, _, starts = codes_of(rows, lang, raw, block.value)
+            ends = np.cumsum([len(r) + 1 for r in raw])
+            offsets = np.r_[0, np.searchsorted(starts, ends)].astype(np.int32) * 4
+            out = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(offsets), pa.py_buffer(codes)])
+            yield from pa.table([rows.column(0), rows.column(1), out], names=["lang", "text", "codes"]).to_batches(max_chunksize=256)
+
+    return run
+
+
+def windows(codes: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of two words or more, in order and each once, as numbers of their first and last two words (a word is its number
+    and 1, or 0 for none), and their counts."""
+    x = np.r_[codes.astype(np.int64) + 1, 0, 0]
+    tied = np.r_[piece[1:] == piece[:-1], False, False, False][: len(x)]
+    behind = np.where(tied[:-1], x[1:], 0)
+    pairs, rank = np.unique(x[:-1] << 32 | behind, return_inverse=True)
+    begins = np.flatnonzero((x[:-1] > 0) & (behind > 0))
+    # pairs as their ranks, so that a window is one number that sorts fast
+    tail = np.where(behind[begins + 1] > 0, rank[begins + 2 - (begins + 2 >= len(rank))] + 1, 0)
+    tail[x[begins + 1] == 0] = 0
+    key = np.sort(rank[begins] << 32 | tail)
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    key, n = key[at], np.diff(np.r_[at, len(key)])
+    return pairs[key >> 32], np.r_[0, pairs][key & LOW], n
+
+
+def dealt(first: np.ndarray, last: np.ndarray, n: np.ndarray, hot: int, tries: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows (in order) with their tries: trie, depth, first, last, n. ``depth`` is the words they are dealt by, and the least length
+    of the phrases that they count. Numbers below ``hot`` are hot."""
+    second = (first >> 32 <= hot) & (first & LOW <= hot)
+    third = second & (last > 0) & (last >> 32 <= hot)
+    whole = ~second | (last > 0)
+    depth = 2 + second + third
+    rows = [(depth[whole], first[whole], last[whole], n[whole])]
+    for d, own in ((2, second), (3, third)):
+        if own.any():  # what is counted above the words that these windows are dealt by
+            f, z, m = first[own], (last[own] >> 32 << 32) * (d == 3), n[own]
+            at = np.flatnonzero(np.r_[True, (f[1:] != f[:-1]) | (z[1:] != z[:-1])])
+            rows.append((np.full(len(at), d), f[at], z[at], np.add.reduceat(m, at)))
+    depth, first, last, n = map(np.concatenate, zip(*rows, strict=True))
+    by = np.where(depth > 3, last, np.where(depth > 2, last >> 32, 0))
+    trie = (mix(mix(first.astype(np.uint64)) + by.astype(np.uint64)) >> np.uint64(1)).astype(np.int64) % tries
+    return trie, depth, first, last, n
+
+
+def packed(trie: np.ndarray, depth: np.ndarray, first: np.ndarray, last: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A row for each trie and depth, with its windows as bytes of like weight, compressed."""
+    place = trie * LONGEST + depth - 1
+    order = np.argsort(place.astype(np.uint16) if place.max(initial=0) < 1 << 16 else place, kind="stable")
+    place, first, last = place[order], first[order], last[order]
+    at = np.flatnonzero(np.r_[True, place[1:] != place[:-1]][: len(place)])
+    head = first >> 32
+    step = np.diff(head, prepend=0)
+    step[at] = head[at]
+    planes = np.stack([step, first & LOW, last >> 32, last & LOW, n[order]]).astype(np.int32).view(np.uint8).reshape(ROW, -1, 4).transpose(0, 2, 1).copy()
+    size = np.diff(np.r_[at, len(place)])
+    data = [pa.compress(planes[:, :, i : i + m].tobytes(), codec="zstd", asbytes=True) for i, m in zip(at.tolist(), size.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array((place[at] // LONGEST).astype(np.int32)), pa.array((place[at] % LONGEST + 1).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(data, pa.binary())], names=["trie", "depth", "size", "data"])
+
+
+def unpacked(size: int, data: bytes) -> np.ndarray:
+    """The rows of ``packed``: first, last, n."""
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * ROW * size, codec="zstd"), np.uint8).reshape(ROW, 4, size)
+    step, second, third, fourth, n = planes.transpose(0, 2, 1).copy().view(np.int32)[:, :, 0].astype(np.int64)
+    return np.stack([np.cumsum(step) << 32 | second, third << 32 | fourth, n])
+
+
+def deal_windows(block, hot: int, tries: int):
+    """The windows of texts, packed by trie, from the numbers of the last block of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, lang, raw in by_lang(batches):
+            codes, piece, _ = codes_of(rows, lang, raw, block.value)
+            if len(codes):
+                yield packed(*dealt(*windows(codes, piece), hot, tries))
+
+    return run
+
+
+def nodes(depth: int, first: np.ndarray, last: np.ndarray, n: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The nodes of a trie from ``depth`` on that count ``least`` or more: their depth, first and last words, and counts."""
+    order = np.lexsort((last, first))
+    first, last, n = first[order], last[order], n[order]
+    for d in range(depth, LONGEST + 1):
+        z = last >> 32 << 32 if d == 3 else last
+        reach = z > 0 if d == 3 else z & LOW > 0 if d > 3 else np.ones(len(z), bool)
+        first, last, n, z = first[reach], last[reach], n[reach], z[reach] * (d > 2)
+        if not len(n):
+            return
+        at = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (z[1:] != z[:-1])])
+        count = np.add.reduceat(n, at)
+        good = count >= least
+        yield d, first[at[good]], z[at[good]], count[good]
+        stays = np.repeat(good, np.diff(np.r_[at, len(n)]))
+        first, last, n = first[stays], last[stays], n[stays]
+
+
+def count_tries(facts, least: int):
+    """The phrases of tries that come one behind the other: w1 .. w4 (-1 for none), a, and of their first and last word how often they occur, and the language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, lang, langs = facts.value
+
+        def found(depth: int, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for d, first, last, count in nodes(depth, *np.concatenate(held, axis=1), least):
+                ids = np.stack([first >> 32, first & LOW, last >> 32, last & LOW]).astype(np.int32) - 1
+                columns = [*(pa.array(x) for x in ids), pa.array(count), pa.array(f[ids[0]]), pa.array(f[ids[d - 1]]), langs.take(pa.array(lang[ids[0]]))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*IDS, "a", "head", "tail", "lang"])
+
+        held, key = [], None
+        for b in batches:
+            for trie, depth, size, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (trie, depth) != key and held:
+                    yield from found(key[1], held)
+                    held = []
+                key = trie, depth
+                held.append(unpacked(size, data))
+        if held:
+            yield from found(key[1], held)
 
     return run
 
@@ -165,58 +294,6 @@ class DoubleArray:
         return np.where(self.check[at] == state, at, -1)
 
 
-def scan(trie, depth: int, blocks: int, block: int, part: int, parts: int):
-    """Counts (w1 .. w4, n, met) over codes: in the first part those of the trie's phrases of ``depth`` words (``met`` false), if there are two or
-    more, and those of the candidates of a word more that fall into the part (``met`` true)."""
-    more = depth < LONGEST
-
-    def counts(ids: np.ndarray, n: np.ndarray, met: bool) -> pa.RecordBatch:
-        wide = np.full((len(ids), LONGEST), -1, np.int32)
-        wide[:, : ids.shape[1]] = ids
-        return pa.RecordBatch.from_arrays([*[pa.array(c) for c in wide.T.copy()], pa.array(n.astype(np.int64)), pa.array(np.full(len(n), met))], names=[*IDS, "n", "met"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t: DoubleArray = trie.value
-        accepted = np.zeros(len(t.check), np.int64)
-
-        def advance(raw: list[bytes]) -> pa.RecordBatch | None:
-            words = np.frombuffer(b"".join(raw) + np.full(LONGEST, -1, np.int32).tobytes(), np.int32).astype(np.int64)
-            at = np.flatnonzero(words >= 0)
-            state = np.zeros(len(at), np.int64)
-            for d in range(depth):
-                state = t.step(state, words[at + d])
-                at, state = at[state >= 0], state[state >= 0]
-            if not part and depth > 1:
-                np.add(accepted, np.bincount(state, minlength=len(accepted)), out=accepted)
-            if not more:
-                return None
-            here = np.zeros(len(words) + 1, dtype=bool)
-            here[at] = True
-            if blocks > 1:  # what another block's trie holds isn't known here
-                here[:-1] |= (words >= 0) & (words % blocks != block)
-            safe = here[at + 1] & (words[at + depth] >= 0)
-            if parts > 1:
-                safe &= (words[at] + 7 * words[at + depth]) % parts == part
-            at, state = at[safe], state[safe]
-            _, first, n = np.unique(state * (1 << 31) + words[at + depth], return_index=True, return_counts=True)
-            return counts(words[at[first][:, None] + np.arange(depth + 1)], n, True)
-
-        held, total = [], 0
-        for b in batches:
-            held += [x + b"\xff\xff\xff\xff" for x in b.column(0).to_pylist()]
-            total += b.column(0).nbytes // 4
-            if total >= POSITIONS:
-                if (found := advance(held)) is not None:
-                    yield found
-                held, total = [], 0
-        if held and (found := advance(held)) is not None:
-            yield found
-        n = accepted[t.states[depth - 1]]
-        yield counts(t.levels[depth - 1][n > 0], n[n > 0], False)
-
-    return run
-
-
 def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = 30, keep: int = 2000, words_at_once: int = WORDS, trie_phrases: int = TRIE_PHRASES) -> DataFrame:
     """Columns lang, rank, phrase, a, l, r, n, score: each language's first ``keep`` phrases of 2 to 4 words by score.
 
@@ -227,88 +304,83 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lea
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.coalesce(docs[lang].cast("string"), F.lit("und")).alias("lang"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    counted = kept(base.mapInArrow(count_words, "lang string, word string, f bigint").groupBy("lang", "word").agg(F.sum("f").alias("f")))
-    totals = written(counted.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
-    frequent = written(counted.filter(F.col("f") >= least), "words")
-    counted.unpersist()
-    if frequent.isEmpty():
+    counted = base.mapInArrow(count_words, "lang string, word string, f bigint").groupBy("lang", "word").agg(F.sum("f").alias("f"))
+    some = written(counted.filter((F.col("f") >= least) | F.col("word").isNull()), "words")
+    totals = some.filter("word IS NULL").select("lang", F.col("f").alias("n"))
+    words = numbered(some.filter("word IS NOT NULL"))
+    given, occurrences = words.count(), totals.agg(F.sum("n")).first()[0] or 0
+    if not given:
         return spark.createDataFrame([], "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint")
 
-    # number the words, a block of bounded size at a time
-    blocks = -(-frequent.count() // words_at_once)
-    block_of = F.pmod(F.xxhash64("lang", "word"), F.lit(blocks))
-    coded, numbered, broadcasts, given = base.withColumn("codes", F.lit(None).cast("binary")), [], [], 0
-    for b in range(blocks):
-        mine = frequent.filter(block_of == b)
-        table = mine.orderBy(F.desc("f"), "lang", "word").select("lang", "word").toArrow()
-        langs = np.array(table.column("lang").to_pylist(), dtype=object)
-        words, numbers = table.column("word").combine_chunks().cast(pa.binary()), given + np.arange(len(langs), dtype=np.int32)
-        given += len(langs)
-        broadcasts.append(known := spark.sparkContext.broadcast({x: (words.take(pa.array(np.flatnonzero(langs == x))), numbers[langs == x]) for x in dict.fromkeys(langs)}))
-        numbered.append(mine.mapInArrow(with_numbers(known), "id int, lang string, word string, f bigint"))
-        last = b == blocks - 1
-        coded = written(coded.mapInArrow(number_words(known, last), "codes binary" if last else "lang string, text string, codes binary"), f"codes{b}")
-    words = written(reduce(DataFrame.unionByName, numbered), "numbered")
-
-    levels = [words.select(F.array("id").alias("p"), "f")]
-    found = words.select(F.col("id").alias("w1"))
-    held: list[DataFrame] = [found]
-    for depth in range(1, LONGEST + 1):
-        blocks = max(1, -(-sum(x.count() for x in held) // trie_phrases))
-        tries = []
-        for b in range(blocks):
-            rows = [np.stack([c.to_numpy() for c in x.filter(F.pmod("w1", F.lit(blocks)) == b).toArrow().columns], axis=1) for x in held]
-            tries.append(spark.sparkContext.broadcast(DoubleArray(rows)))
-        broadcasts += tries
-        parts, tables = PARTS if depth == 1 else 1, []
-        for part in range(parts):
-            passes = [coded.mapInArrow(scan(t, depth, blocks, b, part, parts), ", ".join(f"{w} int" for w in IDS) + ", n bigint, met boolean") for b, t in enumerate(tries)]
-            tables.append(written(reduce(DataFrame.unionByName, passes).groupBy("met", *IDS).agg(F.sum("n").alias("n")).filter(F.col("n") >= least), f"level{depth}"))
-        sums = reduce(DataFrame.unionByName, tables)
-        if depth > 1:
-            levels.append(sums.filter("NOT met").select(F.array(*IDS[:depth]).alias("p"), F.col("n").alias("f")))
-        held.append(sums.filter("met").select(*IDS[: depth + 1]))
-        if held[-1].isEmpty():
-            break
-    phrases = written(reduce(DataFrame.unionByName, levels), "phrases")
+    hot = words.filter(F.col("f") > trie_phrases).count()
+    tries = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-occurrences // trie_phrases))
+    coded, broadcasts, before, f, of, langs = base, [], [], [], [], [r[0] for r in totals.select("lang").orderBy("lang").collect()]
+    for start in range(0, given, words_at_once):  # a block of bounded size at a time
+        table = words.filter(F.col("id").between(start, start + words_at_once - 1)).toArrow().sort_by("id")
+        own = pc.index_in(table.column("lang").combine_chunks(), value_set=pa.array(langs)).to_numpy()
+        f.append(table.column("f").to_numpy())
+        of.append(own.astype(np.int32))
+        text_of, number = table.column("word").combine_chunks().cast(pa.binary()), table.column("id").to_numpy()
+        broadcasts.append(block := spark.sparkContext.broadcast({langs[x]: (text_of.take(pa.array(np.flatnonzero(own == x))), number[own == x]) for x in np.unique(own)}))
+        if start + words_at_once < given:
+            coded = written(coded.mapInArrow(number_words(block), "lang string, text string, codes binary"), "codes")
+            before.append(coded)
+    broadcasts.append(facts := spark.sparkContext.broadcast((np.concatenate(f), np.concatenate(of), pa.array(langs))))
+    shares = coded.mapInArrow(deal_windows(block, hot, tries), "trie int, depth int, size int, data binary").repartition(tries, "trie").sortWithinPartitions("trie", "depth")
+    phrases = written(shares.mapInArrow(count_tries(facts, least), ", ".join(f"{w} int" for w in IDS) + ", a bigint, head bigint, tail bigint, lang string"), "phrases")
     for x in broadcasts:
         x.unpersist()
-    forget(coded)
-    return ranked(phrases, words.select("id", "lang", "word"), totals, keep)
-
+    for x in before:
+        forget(x)
+    return first_ones(phrases, words.select("id", "lang", "word"), totals, keep)
 
-def with_numbers(block):
-    """The numbers of a block's words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = np.zeros(len(b), np.int32)
-            langs = np.array(b.column(0).to_pylist(), dtype=object)
-            for lang in dict.fromkeys(langs):
-                known, numbers = block.value[lang]
-                at = pc.index_in(b.column(1).cast(pa.binary()), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
-                ids[langs == lang] = numbers[at[langs == lang]]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), *b.columns], names=["id", "lang", "word", "f"])
-
-    return run
+def numbered(words: DataFrame) -> DataFrame:
+    """Words with numbers without gaps from 0, by falling frequency: id, lang, word, f."""
+    high, low = F.shiftright("place", 33).cast("int"), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = written(words.orderBy(F.desc("f"), "lang", "word").withColumn("place", F.monotonically_increasing_id()), "placed")
+    sizes = dict(placed.groupBy(high.alias("part")).count().collect())
+    starts = np.r_[0, np.cumsum([sizes.get(i, 0) for i in range(max(sizes, default=0) + 1)])].tolist()
+    return placed.select((F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), high + 1) + low).cast("int").alias("id"), "lang", "word", "f")
 
 
 def ranked(phrases: DataFrame, words: DataFrame, totals: DataFrame, keep: int) -> DataFrame:
-    """The result from all phrases (p, f), where ``p`` are numbers of words."""
-    wide = lambda c: F.col(c).cast("decimal(20,0)")
-    many = phrases.filter(F.size("p") > 1).withColumnRenamed("f", "a")
-    cuts = many.select("p", "a", F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("k")).select("p", "a", "k", F.slice("p", 1, F.col("k")).alias("left"), F.slice("p", F.col("k") + 1, F.size("p")).alias("right"))
-    parts = cuts.join(phrases.select(F.col("p").alias("left"), F.col("f").alias("l")), "left").join(phrases.select(F.col("p").alias("right"), F.col("f").alias("r")), "right")
-    score = F.expr("(CAST(a AS DECIMAL(20,0)) * 2000000) div (CAST(l AS DECIMAL(20,0)) + CAST(r AS DECIMAL(20,0)))")
-    scored = parts.groupBy("p", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
-    # the most frequent longer phrase around each
-    spans = F.flatten(F.transform(F.sequence(F.lit(2), F.size("p") - 1), lambda n: F.transform(F.sequence(F.lit(1), F.size("p") - n + 1), lambda i: F.slice("p", i, n))))
-    around = many.filter(F.size("p") > 2).select(F.explode(spans).alias("p"), "a").groupBy("p").agg(F.max("a").alias("longer"))
-    stay = scored.join(around, "p", "left").filter(F.col("longer").isNull() | (wide("longer") * 100 < wide("a") * 80))
-    each = stay.select("p", "a", "cut", F.posexplode("p").alias("i", "id")).join(words, "id")
-    named = each.groupBy("p", "a", "cut").agg(F.first("lang").alias("lang"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("phrase"))
-    order = [F.desc("cut.score"), F.desc("a"), "phrase"]
-    part = F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))
-    first = named.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("rank") <= keep)
-    first = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= keep)
-    return first.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
+    """The result from all phrases (p, f), single words among them, where ``p`` are numbers of words."""
+    single = phrases.filter(F.size("p") == 1).select(F.col("p")[0].alias("id"), "f")
+    ids = [F.coalesce(F.get("p", F.lit(i)), F.lit(-1)).alias(w) for i, w in enumerate(IDS)]
+    many = phrases.filter(F.size("p") > 1).select(*ids, F.col("f").alias("a"), F.element_at("p", -1).alias("end"))
+    many = many.join(single.select(F.col("id").alias("w1"), F.col("f").alias("head")), "w1").join(single.select(F.col("id").alias("end"), F.col("f").alias("tail")), "end")
+    return first_ones(many.join(words.select(F.col("id").alias("w1"), "lang"), "w1"), words, totals, keep)
+
+
+def first_ones(many: DataFrame, words: DataFrame, totals: DataFrame, keep: int) -> DataFrame:
+    """The result from all phrases of two words and more: w1 .. w4 (-1 for none), a, counts ``head`` and ``tail`` of the first and the last word, lang."""
+    small, wide = F.greatest("a", "head", "tail") < 1 << 42, lambda c: c.cast("decimal(20,0)")
+
+    def cut(k: int, l: str, r: str):  # noqa: E741
+        exact = F.expr(f"(CAST(a AS DECIMAL(20,0)) * 2000000) div (CAST({l} AS DECIMAL(20,0)) + CAST({r} AS DECIMAL(20,0)))")
+        return F.struct(F.when(small, F.expr(f"(a * 2000000) div ({l} + {r})")).otherwise(exact).alias("score"), F.lit(k).alias("k"), F.col(l).alias("l"), F.col(r).alias("r"))
+
+    levels = {2: many.filter("w3 < 0"), 3: many.filter("w3 >= 0 AND w4 < 0"), 4: many.filter("w4 >= 0")}
+    found = []
+    for m, level in levels.items():
+        cuts = [("head" if k == 1 else f"l{k}", "tail" if k == m - 1 else f"r{k}") for k in range(1, m)]
+        for k in range(1, m):  # the parts of two words or more
+            for n, name, on in ((k, f"l{k}", IDS[:k]), (m - k, f"r{k}", IDS[k:m])):
+                if n > 1:
+                    level = level.join(levels[n].select(*[F.col(w).alias(o) for w, o in zip(IDS, on, strict=False)], F.col("a").alias(name)), on)
+        level = level.select(*IDS, "a", "lang", F.array_min(F.array(*[cut(k + 1, *c) for k, c in enumerate(cuts)])).alias("cut"))
+        if m < LONGEST:  # the most frequent phrase of a word more around each; one of two words more is no more frequent
+            over = levels[m + 1]
+            around = over.select(*IDS[:m], "a").unionAll(over.select(*[F.col(w).alias(o) for w, o in zip(IDS[1:], IDS[:m], strict=False)], "a")).groupBy(*IDS[:m]).agg(F.max("a").alias("longer"))
+            level = level.join(around, IDS[:m], "left").filter(F.col("longer").isNull() | (wide(F.col("longer")) * 100 < wide(F.col("a")) * 80))
+        found.append(level.select(*IDS, "a", "lang", "cut.*"))
+    order = [F.desc("score"), F.desc("a")]
+    # only the first of a language and those that tie with the last of them are spelt out
+    best = reduce(DataFrame.unionByName, found).withColumn("part", F.pmod(F.xxhash64(*IDS), F.lit(RANK_PARTS)))
+    for by in (["lang", "part"], ["lang"]):
+        best = best.withColumn("rank", F.rank().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= keep)
+    each = best.select("lang", "a", "l", "r", "score", F.array(*IDS).alias("p")).select("*", F.posexplode("p").alias("i", "id")).filter("id >= 0").join(words.select("id", "word"), "id")
+    named = each.groupBy("lang", "p", "a", "l", "r", "score").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("phrase"))
+    last = named.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order, "phrase"))).filter(F.col("rank") <= keep)
+    return last.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
