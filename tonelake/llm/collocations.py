@@ -326,7 +326,7 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lea
             coded = written(coded.mapInArrow(number_words(block), "lang string, text string, codes binary"), "codes")
             before.append(coded)
     broadcasts.append(facts := spark.sparkContext.broadcast((np.concatenate(f), np.concatenate(of), pa.array(langs))))
-    shares = coded.mapInArrow(deal_windows(block, hot, tries), "trie int, depth int, size int, data binary").repartition(tries, "trie").sortWithinPartitions("trie", "depth")
+    shares = coded.mapInArrow(deal_windows(block, hot, tries), "trie int, depth int, size int, data binary").repartitionById(tries, "trie").sortWithinPartitions("trie", "depth")
     phrases = written(shares.mapInArrow(count_tries(facts, least), ", ".join(f"{w} int" for w in IDS) + ", a bigint, head bigint, tail bigint, lang string"), "phrases")
     for x in broadcasts:
         x.unpersist()
