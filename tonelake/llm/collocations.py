@@ -34,6 +34,8 @@ LONGEST = 4
 WORDS, TRIE_PHRASES = 1 << 20, 1 << 20
 #: Bytes of text that a worker handles at once.
 SLICE = 1 << 23
+#: Windows of slices that are held before they are packed, so that tries don't get a small row from each slice.
+HELD = 1 << 20
 #: Parts that a language's phrases are ranked in before all of its first ones are.
 RANK_PARTS = 32
 #: What a byte is: 0 of a word, 1 blank, 2 the end of a piece.
@@ -160,7 +162,7 @@ def packed(trie: np.ndarray, depth: np.ndarray, first: np.ndarray, last: np.ndar
     head = first >> 32
     step = np.diff(head, prepend=0)
     step[at] = head[at]
-    planes = np.stack([step, first & LOW, last >> 32, last & LOW, n[order]]).astype(np.int32).view(np.uint8).reshape(ROW, -1, 4).transpose(0, 2, 1).copy()
+    planes = np.stack([step, first & LOW, last >> 32, last & LOW, n[order]], dtype=np.int32, casting="unsafe").view(np.uint8).reshape(ROW, -1, 4).transpose(0, 2, 1).copy()
     size = np.diff(np.r_[at, len(place)])
     data = [pa.compress(planes[:, :, i : i + m].tobytes(), codec="zstd", asbytes=True) for i, m in zip(at.tolist(), size.tolist(), strict=True)]
     return pa.RecordBatch.from_arrays([pa.array((place[at] // LONGEST).astype(np.int32)), pa.array((place[at] % LONGEST + 1).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(data, pa.binary())], names=["trie", "depth", "size", "data"])
@@ -177,10 +179,16 @@ def deal_windows(block, hot: int, tries: int):
     """The windows of texts, packed by trie, from the numbers of the last block of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
         for rows, lang, raw in by_lang(batches):
             codes, piece, _ = codes_of(rows, lang, raw, block.value)
-            if len(codes):
-                yield packed(*dealt(*windows(codes, piece), hot, tries))
+            held.append(dealt(*windows(codes, piece), hot, tries))
+            total += len(held[-1][0])
+            if total >= HELD:
+                yield packed(*map(np.concatenate, zip(*held, strict=True)))
+                held, total = [], 0
+        if total:
+            yield packed(*map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
